@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, repetition, shard
+from . import mixing, packing, pii, repetition, shard
 
 SHARDS = 40
 
@@ -19,12 +19,20 @@ def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), packing.public_byte_pairs())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_rendezvous_shards, op4_pii_spans, op7_repetition_coverage)}
+    return {f.__name__: f for f in (op3_rendezvous_shards, op4_pii_spans, op5_pivotal_mix, op7_repetition_coverage, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
