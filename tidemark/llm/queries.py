@@ -6,33 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, repetition, shard
+from . import classify, factorisation, mixing, packing, pii, positive_unlabelled, repetition, shard
 
 SHARDS = 40
+TOXIC = 0.7
+METADATA = ("n_chars",)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op2_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = classify.fit_quality(docs, _table(spark, sf_dir, "labels"), factorisation.FMSettings(), METADATA)
+    return classify.scored(docs, model, 0.5, METADATA)
 
 
 def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard.assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), [1.0] * SHARDS)
+    return shard.assign_shards(_table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
 def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pii.digest(_table(spark, sf_dir, "documents"))
 
 
 def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op6_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = classify.fit_toxicity(docs, _table(spark, sf_dir, "labels"), positive_unlabelled.PUSettings())
+    return classify.scored(docs, model, TOXIC)
 
 
 def op7_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repetition.repetition_rules(_table(spark, sf_dir, "documents"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), packing.public_byte_pairs())
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.public_byte_pairs())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_rendezvous_shards, op4_pii_spans, op5_pivotal_mix, op7_repetition_coverage, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op2_factorisation_quality, op3_rendezvous_shards, op4_pii_spans, op5_pivotal_mix, op6_pu_toxicity, op7_repetition_coverage, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
