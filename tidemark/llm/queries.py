@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classify, factorisation, mixing, packing, pii, positive_unlabelled, repetition, shard
+from . import classify, factorisation, jaccard, mixing, packing, pii, positive_unlabelled, repetition, shard
 
 SHARDS = 40
 TOXIC = 0.7
@@ -45,12 +45,16 @@ def op7_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(_table(spark, sf_dir, "documents"))
 
 
+def op8_count_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), jaccard.Similarity(words=3, percent=90))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), packing.public_byte_pairs())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_factorisation_quality, op3_rendezvous_shards, op4_pii_spans, op5_pivotal_mix, op6_pu_toxicity, op7_repetition_coverage, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op2_factorisation_quality, op3_rendezvous_shards, op4_pii_spans, op5_pivotal_mix, op6_pu_toxicity, op7_repetition_coverage, op8_count_tree_jaccard, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
