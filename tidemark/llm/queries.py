@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classify, factorisation, jaccard, mixing, packing, pii, positive_unlabelled, repetition, shard
+from . import classify, factorisation, jaccard, mixing, near_vectors, packing, pii, positive_unlabelled, repetition, shard
 
 SHARDS = 40
 TOXIC = 0.7
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sorted_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = classify.fit_quality(docs, _table(spark, sf_dir, "labels"), factorisation.FMSettings(), METADATA)
@@ -54,7 +58,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_factorisation_quality, op3_rendezvous_shards, op4_pii_spans, op5_pivotal_mix, op6_pu_toxicity, op7_repetition_coverage, op8_count_tree_jaccard, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_sorted_projection_dedup, op2_factorisation_quality, op3_rendezvous_shards, op4_pii_spans, op5_pivotal_mix, op6_pu_toxicity, op7_repetition_coverage, op8_count_tree_jaccard, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
