@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classify, factorisation, jaccard, mixing, near_vectors, packing, pii, positive_unlabelled, repetition, shard
+from . import classify, factorisation, jaccard, katz, mixing, near_vectors, packing, pii, positive_unlabelled, repetition, shard
 
 SHARDS = 40
 TOXIC = 0.7
@@ -57,8 +57,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), packing.public_byte_pairs())
 
 
+def op10_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sorted_projection_dedup, op2_factorisation_quality, op3_rendezvous_shards, op4_pii_spans, op5_pivotal_mix, op6_pu_toxicity, op7_repetition_coverage, op8_count_tree_jaccard, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_sorted_projection_dedup, op2_factorisation_quality, op3_rendezvous_shards, op4_pii_spans, op5_pivotal_mix, op6_pu_toxicity, op7_repetition_coverage, op8_count_tree_jaccard, op9_best_fit_packing, op10_katz_backoff)}
 
 
 def oracle_sql() -> dict[str, str]:
