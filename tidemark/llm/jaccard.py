@@ -298,3 +298,14 @@ def jaccard_components(docs: DataFrame, like: Similarity = Similarity(), key: st
     out = out.join(final, out["class_id"] == final["id"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "class_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, like: Similarity = Similarity(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the near copies of a document with a lesser id; of repeated ids one row stays.
+
+    Documents without shingles or without an id all stay.
+    """
+    found = jaccard_components(docs, like, key, text)
+    heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
+    kept = docs.join(heads, docs[key].cast("long") == heads["_head"]).withColumn("_nth", F.row_number().over(Window.partitionBy("_head").orderBy(text)))
+    return kept.filter("_nth = 1").select(*docs.columns).unionByName(docs.filter(docs[key].isNull()))

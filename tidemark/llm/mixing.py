@@ -16,6 +16,8 @@ from .workspace import Workspace
 BLOCK_ROWS = 8192
 FAN_IN = 1024
 SEED = 17
+WORD = r"[^\x20\x09-\x0D]+"
+NO_KEY = -(2**63)  # stands for a null key in joins
 
 
 @dataclass(frozen=True)
@@ -112,7 +114,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: st
     sized = docs.select(
         docs[key].cast("long").alias("doc_id"),
         docs[source].cast("string").alias("source"),
-        F.coalesce(F.regexp_count(docs[text], F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
     sized = space.write(sized, "sized")
     # One row a source comes to the driver: its total, from partial sums.
@@ -151,13 +153,17 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: st
 def mixed_documents(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` with each row as often as the mix takes it; documents without words go.
 
-    Rows that share key and word count may swap what the mix decides for them.
+    Rows that share key and word count may swap what the mix decides for them; rows
+    are numbered within such a key only if there are any.
     """
-    taken = mix_sources(docs, mix, key, text, source).filter("taken > 0")
-    same = Window.partitionBy("doc_id", "size").orderBy(F.desc("copies"))
-    taken = taken.select(F.col("doc_id").alias("_key"), F.col("size").alias("_size"), "copies", F.row_number().over(same).alias("_nth"))
-    size = F.coalesce(F.regexp_count(docs[text], F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.withColumn("_words", size)
-    rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy(key, "_words").orderBy(source)))
-    joined = rows.join(taken, rows[key].cast("long").eqNullSafe(taken["_key"]) & (rows["_words"] == taken["_size"]) & (rows["_row"] == taken["_nth"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    size = F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("long")
+    name = F.coalesce(docs[key].cast("long"), F.lit(NO_KEY))
+    rows = docs.select("*", name.alias("_mix_key"), size.alias("_mix_size"))
+    taken = mix_sources(docs, mix, key, text, source).select(F.coalesce("doc_id", F.lit(NO_KEY)).alias("_mix_key"), F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies"))
+    on = ["_mix_key", "_mix_size"]
+    if not taken.groupBy(*on).count().filter("count > 1").isEmpty():
+        rows = rows.withColumn("_mix_nth", F.row_number().over(Window.partitionBy(*on).orderBy(source)))
+        taken = taken.withColumn("_mix_nth", F.row_number().over(Window.partitionBy(*on).orderBy("_mix_copies")))
+        on = [*on, "_mix_nth"]
+    joined = rows.join(taken.filter("_mix_copies > 0 AND _mix_size > 0"), on)
+    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
