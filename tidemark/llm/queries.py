@@ -46,7 +46,7 @@ def op6_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition_rules(_table(spark, sf_dir, "documents"))
+    return repetition.repetition_rules(_table(spark, sf_dir, "documents")).drop("worst_share")
 
 
 def op8_count_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
