@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,7 +43,13 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
+        """Store and read again; the shuffle files behind ``df`` go with the end of the write."""
+        before = self.spark.conf.get(CLEAN_UP, "false")
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(CLEAN_UP, before)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema) -> DataFrame:
