@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, text, vocabulary
-from ..operators import aggregates, facts, graph, paging, ranking, search, temporal, versions
+from ..operators import aggregates, facts, graph, paging, ranking, search, stores, temporal, versions
+from ..sources import changes
 from ..sources.evidence import CATALOG, Request
 from ..sources.telemetry import telemetry
 from . import packet
@@ -322,6 +323,61 @@ def packet_items(spark, sf_dir):
     return items.select("rank", "source", "category", "entity_type", "entity_id", "goal_score", "tokens", "provenance")
 
 
+def _changes(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    producer, needs = changes.PRODUCERS[name]
+    return producer(dict(zip(needs, telemetry(spark, sf_dir, *needs), strict=True)))
+
+
+def supersession_claims(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 300).alias("member"), F.col("o_orderdate").alias("created"), F.col("o_orderkey").alias("result"))
+    return stores.first_claims(o, ["member"], "created", "result")
+
+
+def answer_reuse(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    results = e.select(F.col("event_id").alias("result_id"), (F.col("user_id") % 40).alias("question"), (F.col("event_id") % 2).alias("epoch"), F.col("event_type").alias("watermark"), F.col("ts").alias("created_at"))
+    asked = e.filter("event_id % 10 = 0").select(F.col("event_id").alias("request_id"), (F.col("user_id") % 40).alias("question"), F.lit(1).cast("long").alias("epoch"), F.lit("click").alias("watermark"))
+    return stores.reusable(results, ["question"], asked, NOW, dt.timedelta(days=3)).select("request_id", "question", "result_id", "created_at")
+
+
+def scope_filter(spark, sf_dir):
+    r = telemetry(spark, sf_dir, "repos")[0]
+    scopes = F.array(F.lit("nothing"), F.when(F.col("id") == "repo-4", F.col("repo")).otherwise("region_1/*"), F.concat(F.split("repo", "/")[0], F.lit("x/*")))
+    return r.select("id", stores.in_scope(scopes, F.col("repo")).alias("covered"))
+
+
+def answer_caps(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select((F.col("user_id") % 12).alias("answer"), "event_type", "event_id")
+    return stores.cap_lists(e, ["answer"], "event_type", [F.col("event_id")], {"click": 10, "error": 25, "view": 3})
+
+
+def fact_states(spark, sf_dir):
+    ci = _facts("continuous_integration", AS_OF, spark, sf_dir).unionByName(_facts("deployments", AS_OF, spark, sf_dir))
+    kinds = spark.createDataFrame([(k,) for k in ("continuous_integration", "deployments", "status", "evidence")], "fact_kind string")
+    return facts.fact_coverage(ci, kinds, list(facts.PROVIDERS))
+
+
+def alias_names(spark, sf_dir):
+    return changes.repository_aliases(dict(repos=telemetry(spark, sf_dir, "repos")[0]))
+
+
+def tag_lists(spark, sf_dir):
+    r = telemetry(spark, sf_dir, "repos")[0]
+    return r.select("id", text.canonical_list(text.json_array_or_empty(F.col("tags")), 3, 5).alias("tags"))
+
+
+def search_texts(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", text.search_text(F.col("p_name"), F.lit(" "), F.concat(F.lit(" "), F.col("p_brand")), F.col("p_type"), most=20).alias("body"))
+
+
+def parent_lift(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    found = e.filter("event_id % 7 = 0").select((F.col("user_id") % 9).alias("request"), F.col("event_id").alias("subject"), (F.col("value") / 1000).alias("confidence"))
+    owners = e.filter("event_id % 14 = 0").select(F.col("event_id").alias("subject"), F.concat(F.lit("r"), F.col("user_id") % 5).alias("parent"))
+    owners = owners.unionByName(e.filter("event_id % 42 = 0").select(F.col("event_id").alias("subject"), F.lit("other").alias("parent")))
+    return search.lift_to_parents(found, owners, ["request"], "subject", "parent").withColumn("confidence", F.round("confidence", 9))
+
+
 FACT_TIMES = {"actual_completion": ORDERS_AS_OF, "pull_requests": ORDERS_AS_OF, "reviews": ORDERS_AS_OF, "identity": ORDERS_AS_OF, "membership": ORDERS_AS_OF, "status": ORDERS_AS_OF, "work": ORDERS_AS_OF}
 
 PLAIN = (
@@ -330,6 +386,7 @@ PLAIN = (
     category_rules, greedy_dedup, quota_allocation, pack_stop_first, pack_skip, top_k_ties, token_estimates, derived_ids, question_hashes, relation_names, pure_identifiers,
     question_handles, edge_validity, valid_time_read, neighbours, two_hop_walk, edge_admission, keyed_upsert, tombstones, orphaned_stubs, lexical_matches, vector_nearest,
     candidate_fusion, commit_decisions, identity_collisions, floor_calibration, margin_calibration, packet_items,
+    supersession_claims, answer_reuse, scope_filter, answer_caps, fact_states, alias_names, tag_lists, search_texts, parent_lift,
 )
 
 
@@ -338,4 +395,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found |= {f"evidence_{n}": partial(_evidence, n) for n in CATALOG}
     found |= {f"facts_{n}": partial(_facts, n, FACT_TIMES.get(n, AS_OF)) for n in facts.PROVIDERS}
     found |= {"facts_blockers": partial(_dependencies, True), "facts_required_children": partial(_dependencies, False)}
+    found |= {f"changes_{n}": partial(_changes, n) for n in changes.PRODUCERS}
     return found

@@ -200,5 +200,89 @@ FACTS = {
 }
 
 
+SEG = "replace(replace({0}, '%', '%25'), ':', '%3A')"
+
+
+def _id(kind: str, key: str) -> str:
+    return f"('{kind}.v2:' || {SEG.format(f'({key})')})"
+
+
+def _node(kind: str, key: str, label: str, observed: str, start: str = "NULL", end: str = "NULL", op: str = "'node'") -> str:
+    return f"{op} AS op, '{kind}' AS kind, {_id(kind, key)} AS node_id, {label} AS label, NULL::VARCHAR AS source_id, NULL::VARCHAR AS target_id, NULL::VARCHAR AS relation, ({start})::TIMESTAMP AS valid_from, ({end})::TIMESTAMP AS valid_to, ({observed})::TIMESTAMP AS observed_at"
+
+
+def _edge(relation: str, source: str, target: str, observed: str, start: str = "NULL", end: str = "NULL", op: str = "'edge'") -> str:
+    joined = f"{SEG.format(source)} || ':' || {SEG.format(target)}"
+    return f"""{op} AS op, 'relationship' AS kind, 'relationship.v2:{relation.lower()}:' || substr(sha256({joined}), 1, 32) AS node_id, NULL::VARCHAR AS label, {source} AS source_id, {target} AS target_id, '{relation}' AS relation,
+        ({start})::TIMESTAMP AS valid_from, ({end})::TIMESTAMP AS valid_to, ({observed})::TIMESTAMP AS observed_at"""
+
+
+def _placed(kind: str, key: str, label: str, observed: str, source: str, start: str, end: str, with_: str) -> str:
+    edge = _edge("BELONGS_TO_REPOSITORY", _id(kind, key), _id("repository", "repo_id"), observed, start, end)
+    return f"{with_} SELECT {_node(kind, key, label, observed, start, end)} FROM {source} UNION ALL SELECT {edge} FROM {source} WHERE repo_id IN (SELECT id FROM repos)"
+
+
+def _common(a: str, b: str, c: str, d: str) -> tuple[str, str]:
+    start, end = f"greatest({a}, {c})", f"least({b}, {d})"
+    return start, f"CASE WHEN {start} > {end} THEN {start} ELSE {end} END"
+
+
+ITEM, REF, OLDER = _id("work_item", "work_item_id"), _id("work_item_ref", "target_work_item_id"), _first("work_items", "work_item_id", "last_synced DESC")
+PULL, DEPLOYED = "repo_id || '#' || number", "repo_id || '#' || deployment_id"
+_S, _E = _common("a.created_at", "a.completed_at", "b.created_at", "b.completed_at")
+_SOURCE, _TARGET = _id("work_item", "source_work_item_id"), _id("work_item", "target_work_item_id")
+
+
+def _dependency(relation: str, where: str) -> str:
+    return f"""SELECT {_edge(relation, _SOURCE, _TARGET, 'd.last_synced', _S, _E)} FROM j d WHERE there AND {where}
+        UNION ALL SELECT {_edge(relation, _SOURCE, REF, 'd.last_synced', op="'edge_tombstone'")} FROM j d WHERE there AND {where}
+        UNION ALL SELECT {_node('work_item_ref', 'target_work_item_id', 'target_work_item_id', 'd.last_synced')} FROM j d WHERE NOT there AND {where}
+        UNION ALL SELECT {_edge(relation, _SOURCE, REF, 'd.last_synced')} FROM j d WHERE NOT there AND {where}""".replace("a.created_at", "d.a_from").replace("a.completed_at", "d.a_to").replace("b.created_at", "d.b_from").replace("b.completed_at", "d.b_to")
+
+
+CHANGES = {
+    "organizations": f"{W('repos')} SELECT DISTINCT {_node('organization', 'org_id', 'org_id', 'TIMESTAMP ' + chr(39) + '1970-01-01 00:00:01' + chr(39))} FROM repos",
+    "repositories": f"{W('repos')} SELECT {_node('repository', 'id', 'repo', 'last_synced')} FROM repos",
+    "work_items": _placed("work_item", "work_item_id", "title", "last_synced", f"({OLDER})", "created_at", "completed_at", W("work_items", "repos")),
+    "pull_requests": _placed("pull_request", PULL, "title", "last_synced", "git_pull_requests", "created_at", "coalesce(merged_at, closed_at)", W("git_pull_requests", "repos")),
+    "reviews": f"{W('git_pull_request_reviews')} SELECT {_node('review', 'review_id', 'state', 'submitted_at')} FROM git_pull_request_reviews UNION ALL SELECT {_edge('BELONGS_TO_PULL_REQUEST', _id('review', 'review_id'), _id('pull_request', PULL), 'submitted_at')} FROM git_pull_request_reviews",
+    "deployments": _placed("deployment", DEPLOYED, "deployment_id", "last_synced", "deployments", "started_at", "finished_at", W("deployments", "repos")),
+    "ci_runs": _placed("ci_run", "run_id", "run_id", "coalesce(finished_at, started_at)", "ci_pipeline_runs", "started_at", "finished_at", W("ci_pipeline_runs", "repos")),
+    "incidents": f"{W('operational_incidents')} SELECT {_node('incident', 'id', 'title', 'observed_at', 'started_at', 'resolved_at', 'CASE WHEN is_deleted = 1 THEN ' + chr(39) + 'node_tombstone' + chr(39) + ' ELSE ' + chr(39) + 'node' + chr(39) + ' END')} FROM operational_incidents",
+    "dependencies": f"""{DEPS}, j AS (SELECT d.*, a.created_at AS a_from, a.completed_at AS a_to, b.created_at AS b_from, b.completed_at AS b_to, b.work_item_id IS NOT NULL AS there
+        FROM d JOIN items a ON a.work_item_id = d.source_work_item_id LEFT JOIN items b ON b.work_item_id = d.target_work_item_id)
+        {_dependency('BLOCKS', "relationship_type = 'blocks'")} UNION ALL {_dependency('DEPENDS_ON', "relationship_type <> 'blocks'")}
+        UNION ALL SELECT 'orphan_tombstone', 'work_item_ref', {REF}, NULL, NULL, NULL, NULL, NULL, NULL, max(last_synced) FROM j WHERE there GROUP BY target_work_item_id""",
+    "hierarchy": f"{W('work_items')}, w AS ({OLDER}) SELECT {_edge('PART_OF', _id('work_item', 'a.work_item_id'), _id('work_item', 'a.parent_id'), 'a.last_synced', _S, _E)} FROM w a JOIN w b ON a.parent_id = b.work_item_id WHERE a.work_item_id <> a.parent_id",
+    "deployment_incidents": f"""{W('deployment_incident_edges', 'deployments', 'operational_incidents')}, d AS (SELECT repo_id, deployment_id, min(started_at) AS d_from FROM deployments GROUP BY ALL),
+        j AS (SELECT e.*, greatest(d.d_from, i.started_at) AS f, i.resolved_at AS t FROM deployment_incident_edges e LEFT JOIN d USING (repo_id, deployment_id) LEFT JOIN operational_incidents i ON i.id = e.incident_id WHERE incident_id <> 'none')
+        SELECT {_edge('CAUSED', _id('deployment', DEPLOYED), _id('incident', 'incident_id'), 'observed_at', 'f', 'CASE WHEN f > t THEN f ELSE t END')} FROM j""",
+    "teams": f"{W('team_project_ownership')} SELECT {_node('team', 'team_id', 'team_id', 'max(valid_from)')} FROM team_project_ownership GROUP BY team_id",
+    "projects": f"{W('team_project_ownership')} SELECT {_node('project', 'org_id || chr(47) || project_key', 'project_key', 'max(valid_from)')} FROM team_project_ownership GROUP BY org_id, project_key",
+    "work_item_projects": f"{W('work_items')} SELECT {_edge('BELONGS_TO_PROJECT', ITEM, _id('project', 'org_id || chr(47) || project_id'), 'last_synced')} FROM ({OLDER})",
+    "project_teams": f"""{W('team_project_ownership')}, o AS (SELECT org_id, project_key, team_id, min(valid_from) AS f, (list(valid_to ORDER BY valid_from DESC, (valid_to IS NULL) DESC, valid_to DESC))[1] AS t
+        FROM team_project_ownership WHERE project_key IN (SELECT project_key FROM team_project_ownership GROUP BY project_key HAVING count(DISTINCT org_id) = 1) GROUP BY ALL)
+        SELECT {_edge('OWNED_BY_TEAM', _id('project', 'org_id || chr(47) || project_key'), _id('team', 'team_id'), 'f', 'f', 't')} FROM o""",
+}
+
+PLAIN |= {
+    "supersession_claims": _first("(SELECT o_custkey % 300 AS member, o_orderdate AS created, o_orderkey AS result FROM orders)", "member", "created, result"),
+    "answer_reuse": """WITH j AS (SELECT a.event_id AS request_id, a.user_id % 40 AS question, r.event_id AS result_id, r.ts AS created_at FROM events a JOIN events r ON r.user_id % 40 = a.user_id % 40 AND r.event_id % 2 = 1 AND r.event_type = 'click'
+        WHERE a.event_id % 10 = 0 AND r.ts >= TIMESTAMP '2024-01-28') SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY created_at DESC, result_id) = 1""",
+    "scope_filter": f"{W('repos')} SELECT id, id = 'repo-4' OR repo LIKE 'region!_1/%' ESCAPE '!' AS covered FROM repos",
+    "answer_caps": """WITH e AS (SELECT user_id % 12 AS answer, event_type, event_id, CASE event_type WHEN 'click' THEN 10 WHEN 'error' THEN 25 WHEN 'view' THEN 3 ELSE 0 END AS most FROM events),
+        r AS (SELECT *, row_number() OVER w AS place, greatest(0, count(*) OVER (PARTITION BY answer, event_type) - most) AS omitted FROM e WINDOW w AS (PARTITION BY answer, event_type ORDER BY event_id))
+        SELECT answer, event_type, event_id, place, omitted FROM r WHERE place <= most""",
+    "fact_states": f"""{W('ci_pipeline_runs', 'deployments')} SELECT 'continuous_integration' AS fact_kind, (SELECT count(DISTINCT run_id) FROM ci_pipeline_runs WHERE started_at <= {MID}) AS subjects, 'available' AS state
+        UNION ALL SELECT 'deployments', (SELECT count(DISTINCT deployment_id) FROM deployments WHERE started_at <= {MID}), 'available' UNION ALL SELECT 'status', 0, 'no_data' UNION ALL SELECT 'evidence', 0, 'unconfigured'""",
+    "alias_names": f"{W('repos')} SELECT {_id('repository', 'id')} AS node_id, unnest([repo, split_part(repo, '/', 2), provider || ':' || repo]) AS alias FROM repos",
+    "tag_lists": f"{W('repos')} SELECT id, CASE WHEN tags = 'none' THEN '' ELSE 'api,cor' END AS tags FROM repos",
+    "search_texts": "SELECT p_partkey, substr(p_name || chr(10) || p_brand || chr(10) || p_type, 1, 20) AS body FROM part",
+    "parent_lift": """WITH f AS (SELECT user_id % 9 AS request, event_id AS subject, value / 1000 AS confidence, user_id FROM events WHERE event_id % 7 = 0)
+        SELECT request, subject, CASE WHEN subject % 14 = 0 AND subject % 42 <> 0 THEN 'r' || (user_id % 5) END AS parent, CASE WHEN subject % 14 <> 0 THEN 'absent' WHEN subject % 42 = 0 THEN 'ambiguous' ELSE 'lifted' END AS outcome,
+        round(CASE WHEN subject % 14 = 0 AND subject % 42 <> 0 THEN confidence * 0.85::DOUBLE END, 9) AS confidence FROM f""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return PLAIN | {f"evidence_{n}": s for n, s in EVIDENCE.items()} | {f"facts_{n}": s for n, s in FACTS.items()}
+    return PLAIN | {f"evidence_{n}": s for n, s in EVIDENCE.items()} | {f"facts_{n}": s for n, s in FACTS.items()} | {f"changes_{n}": s for n, s in CHANGES.items()}
