@@ -42,10 +42,11 @@ def _batch_rows(batch: pa.RecordBatch, text: str, bits: int, prefixes: tuple[int
         yield rows
 
 
-def sample_rows(docs: DataFrame, wanted: DataFrame, bits: int, prefixes: tuple[int, ...], metadata: tuple[str, ...], key: str, text: str) -> tuple[Rows, pd.DataFrame]:
+def sample_rows(docs: DataFrame, wanted: DataFrame, bits: int, prefixes: tuple[int, ...], metadata: tuple[str, ...], key: str, text: str, counted: bool = True) -> tuple[Rows, pd.DataFrame]:
     """Features of the documents in ``wanted`` (doc_id and marks, few rows by its limit), in order of doc_id.
 
     The join scans ``docs`` once without a shuffle; of repeated keys the least text counts.
+    Without ``counted`` the counts of features stay behind.
     """
     marks = [c for c in wanted.columns if c != "doc_id"]
     found = (
@@ -60,7 +61,7 @@ def sample_rows(docs: DataFrame, wanted: DataFrame, bits: int, prefixes: tuple[i
             made: list[tuple[bytes, bytes, bytes]] = []
             for rows in _batch_rows(batch, "text", bits, prefixes, metadata):
                 for a, b, dense in zip(rows.starts[:-1], rows.starts[1:], rows.dense, strict=True):
-                    made.append((rows.ids[a:b].tobytes(), rows.counts[a:b].tobytes(), dense.tobytes()))
+                    made.append((rows.ids[a:b].tobytes(), rows.counts[a:b].tobytes() if counted else b"", dense.tobytes()))
             columns = [batch.column("doc_id"), *(batch.column(m) for m in marks), *(pa.array([x[i] for x in made], pa.binary()) for i in range(3))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *marks, "ids", "counts", "dense"])
 
@@ -104,7 +105,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: positive_unlabell
     unlabelled = few(ids.filter(~held_out(F.col("doc_id"))), settings.unlabelled)
     positives = few(known.filter("label = 1").select("doc_id"), settings.positives)
     wanted = positives.withColumn("label", F.lit(1)).unionByName(unlabelled.dropDuplicates().withColumn("label", F.lit(0)))
-    rows, frame = sample_rows(docs, wanted, settings.bits, settings.prefixes, (), key, text)
+    rows, frame = sample_rows(docs, wanted, settings.bits, settings.prefixes, (), key, text, counted=False)
     return positive_unlabelled.train(rows, frame["label"].to_numpy() == 1, float(prior), settings)
 
 

@@ -49,15 +49,15 @@ def train(rows: Rows, positive: np.ndarray, prior: float, settings: PUSettings)
     """
     if not positive.any():
         return LinearModel(np.zeros(1 << settings.bits), -4.0, settings)
-    row, known = row_numbers(rows), np.unique(rows.ids)
-    place = np.searchsorted(known, rows.ids)
+    of_positive = np.repeat(positive, np.diff(rows.starts))
     n_p, n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
-    in_p = np.bincount(place[positive[row]], minlength=len(known))
-    in_u = np.bincount(place[~positive[row]], minlength=len(known))
+    in_p = np.bincount(rows.ids[of_positive], minlength=1 << settings.bits)
+    in_u = np.bincount(rows.ids[~of_positive], minlength=1 << settings.bits)
     usual = n_p * (in_u + 1) / (n_u + 2)
     chosen = (in_p >= settings.least_texts) & ((in_p - usual) / np.sqrt(usual) >= settings.surprise)
-    keep = chosen[place]
-    row, ids, n, docs = row[keep], (np.cumsum(chosen) - 1)[place[keep]], int(chosen.sum()), len(positive)
+    keep = np.flatnonzero(chosen[rows.ids])
+    row = np.searchsorted(rows.starts, keep, "right") - 1
+    ids, n, docs = (np.cumsum(chosen) - 1)[rows.ids[keep]], int(chosen.sum()), len(positive)
     weights, bias = np.zeros(n), 0.0
     first, second, bias_1, bias_2 = np.zeros(n), np.zeros(n), 0.0, 0.0
     for t in range(1, settings.passes + 1):
@@ -77,5 +77,5 @@ def train(rows: Rows, positive: np.ndarray, prior: float, settings: PUSettings)
         bias_1, bias_2 = 0.9 * bias_1 + 0.1 * g0, 0.999 * bias_2 + 0.001 * g0**2
         bias -= settings.step * (bias_1 / (1 - 0.9**t)) / (np.sqrt(bias_2 / (1 - 0.999**t)) + 1e-8)
     full = np.zeros(1 << settings.bits)
-    full[known[chosen]] = weights
+    full[chosen] = weights
     return LinearModel(full, bias, settings)
