@@ -8,10 +8,12 @@ whole sets.
 
 Points of unrelated documents lie at nearly equal distances from each other, so a
 tree over all of them would be searched nearly whole.  Therefore the points are
-first dealt into cells without loss: at similarity p two sets of together t n-grams
-differ in at most t (100 - p) / (100 + p) of them; if the n-grams are dealt into more
-groups than that, one group at least is the same in both.  A cell holds the documents
-that agree in one group, and the tree is searched within cells.
+first dealt into cells without loss: in any fixed order of all n-grams, two sets of
+similarity p have one in common among the first n - ceil(n p / 100) + 1 members of
+each.  A cell holds the documents that have one n-gram among these, and the tree is
+searched within cells.  The order puts frequent n-grams, such as those of shared
+passages, last; their frequencies come from a table of counters of fixed size, whose
+errors may cost time but no pair.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .blobs import squeeze, unsqueeze
 from .words import LOWER, hashes, ngram_hashes, raw_texts
 from .workspace import Workspace
 
-GROUPS = 64
+GROUPS = 256
 LEAF, FAN_OUT = 32, 16
 CELL_ROWS = 2048
-BAND_RATIO = 1.4
+COUNTER_BITS = 22  # 4 million counters, sent to the tasks as 4 MB of levels
+COUNTER_SLOTS = 64
 SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -53,15 +57,13 @@ class Similarity:
         """The least intersection of linked sets of so many members together."""
         return -(-self.percent * together // (100 + self.percent))
 
-    def bands(self, most: int) -> list[int]:
-        edges = [1]
-        while edges[-1] <= most:
-            edges.append(max(edges[-1] + 1, int(edges[-1] * BAND_RATIO)))
-        return edges
+    def prefix(self, n: int) -> int:
+        """How many first members may not all be missing from a linked set."""
+        return n - -(-self.percent * n // 100) + 1
 
-    def differences(self, last: int) -> int:
-        """The most members in which linked sets differ, the smaller having up to ``last``."""
-        return (last + 100 * last // self.percent) * (100 - self.percent) // (100 + self.percent)
+    def only_equal(self, n: int) -> bool:
+        """No set other than an equal one can link with a set of n members."""
+        return (n + 100 * n // self.percent) * (100 - self.percent) < 100 + self.percent
 
 
 def shingles(raw: bytes, n: int) -> np.ndarray:
@@ -74,24 +76,47 @@ def shingles(raw: bytes, n: int) -> np.ndarray:
     return np.unique(ngram_hashes(single, k) + np.uint64(k * int(SALTS[2]) % 2**64))
 
 
-def cells(members: np.ndarray, like: Similarity, edges: list[int]) -> np.ndarray:
-    """Keys of the groups of one set, for its own size band and those of lesser partners."""
-    n, out = len(members), []
-    low = np.searchsorted(edges, -(-like.percent * n // 100), "right") - 1
-    high = np.searchsorted(edges, n, "right") - 1
-    for band in range(low, high + 1):
-        differ = like.differences(edges[band + 1] - 1)
-        if not differ:
-            continue  # only equal sets can link
-        count = differ + 2 + differ // 40
-        group = (mixed(members, 3) % np.uint64(count)).astype(np.int64)
-        sums = np.zeros(count, np.uint64)
-        np.add.at(sums, group, mixed(members, 1))
-        # Groups without members say nothing; they are needed only where too few others are left.
-        full = np.bincount(group, minlength=count) > 0
-        chosen = np.flatnonzero(full) if full.sum() > differ else np.arange(count)
-        out.append(mixed(sums[chosen] + chosen.astype(np.uint64) * SALTS[0] + np.uint64(band * int(SALTS[2]) % 2**64), 2))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def cells(members: np.ndarray, like: Similarity, levels: np.ndarray) -> np.ndarray:
+    """The rarest members of one set, as many as decide whether it can link."""
+    n = len(members)
+    if not n or like.only_equal(n):
+        return members[:0]
+    order = np.lexsort((members, levels[counter(members)]))
+    return members[order[: like.prefix(n)]]
+
+
+def counter(members: np.ndarray) -> np.ndarray:
+    return (mixed(members, 3) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def frequency_levels(docs: DataFrame, like: Similarity, key: str, text: str) -> np.ndarray:
+    """A level for each counter, four to a doubling of how many texts its n-grams are in.
+
+    Tasks count on their own and send their counters in slots; what reaches the driver
+    is one array of fixed size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            for raw in raw_texts(batch.column(0)):
+                np.add.at(counts, counter(shingles(raw, like.words)), 1)
+        if counts.any():
+            parts = np.split(counts, COUNTER_SLOTS)
+            yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_SLOTS), pa.int32()), pa.array([squeeze(p) for p in parts], pa.binary())], names=["slot", "counts"])
+
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
+        summed = np.zeros((1 << COUNTER_BITS) // COUNTER_SLOTS, np.int64)
+        for blob in frame.counts:
+            summed += unsqueeze(blob)
+        return pd.DataFrame({"slot": frame.slot[:1].to_numpy(), "counts": [squeeze(np.floor(4 * np.log2(summed + 1)).astype(np.uint8))]})
+
+    counted = docs.select(docs[text].cast("string").alias("text")).mapInArrow(run, "slot int, counts binary")
+    rows = counted.groupBy("slot").applyInPandas(total, "slot int, counts binary").collect()
+    levels = np.zeros((COUNTER_SLOTS, (1 << COUNTER_BITS) // COUNTER_SLOTS), np.uint8)
+    for row in rows:
+        levels[row.slot] = unsqueeze(row.counts)
+    return levels.ravel()
 
 
 def point(members: np.ndarray) -> bytes:
@@ -103,14 +128,15 @@ ROWS = "doc_id long, n_shingles long, set_a long, set_b long, cells array<long>"
 
 def describe(docs: DataFrame, like: Similarity, key: str, text: str) -> DataFrame:
     """Size, two 64-bit hashes of the set and the cells of every document."""
-    edges = like.bands(1 << 40)
+    shared = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, like, key, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
         for batch in batches:
             rows = []
             for raw in raw_texts(batch.column(1)):
                 s = shingles(raw, like.words)
-                rows.append((len(s), int(mixed(s, 0).sum().astype(np.int64)), int(np.bitwise_xor.reduce(mixed(s, 2)).astype(np.int64)) if len(s) else 0, cells(s, like, edges).view(np.int64)))
+                rows.append((len(s), int(mixed(s, 0).sum().astype(np.int64)), int(np.bitwise_xor.reduce(mixed(s, 2)).astype(np.int64)) if len(s) else 0, cells(s, like, levels).view(np.int64)))
             starts = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])]).astype(np.int32)
             flat = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(flat, pa.int64()))
