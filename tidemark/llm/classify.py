@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import factorisation, positive_unlabelled
+from .blobs import release
 from .features import STATS, Rows, slices, sparse_rows
 from .workspace import ship_package
 
@@ -40,6 +41,7 @@ def _batch_rows(batch: pa.RecordBatch, text: str, bits: int, prefixes: tuple[int
         rows.dense = np.concatenate([rows.dense, extra[at : at + n]], axis=1)
         at += n
         yield rows
+        release()
 
 
 def sample_rows(docs: DataFrame, wanted: DataFrame, bits: int, prefixes: tuple[int, ...], metadata: tuple[str, ...], key: str, text: str, counted: bool = True) -> tuple[Rows, pd.DataFrame]:

@@ -28,13 +28,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .blobs import squeeze, unsqueeze
+from .blobs import release, squeeze, unsqueeze
 from .words import LOWER, hashes, ngram_hashes, raw_texts
 from .workspace import Workspace
 
 GROUPS = 256
 LEAF, FAN_OUT = 32, 16
-CELL_ROWS = 2048
+CELL_ROWS = 1024
+PAIRS_AT_ONCE = 8192  # of 1 KB points each
 COUNTER_BITS = 22  # 4 million counters, sent to the tasks as 4 MB of levels
 COUNTER_SLOTS = 64
 SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -97,13 +98,15 @@ def frequency_levels(docs: DataFrame, like: Similarity, key: str, text: str) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNTER_BITS, np.int64)
+        counts = np.zeros(1 << COUNTER_BITS, np.int32)
         for batch in batches:
             for raw in raw_texts(batch.column(0)):
                 np.add.at(counts, counter(shingles(raw, like.words)), 1)
         if counts.any():
             parts = np.split(counts, COUNTER_SLOTS)
             yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_SLOTS), pa.int32()), pa.array([squeeze(p) for p in parts], pa.binary())], names=["slot", "counts"])
+        del counts
+        release()
 
     def total(frame: pd.DataFrame) -> pd.DataFrame:
         summed = np.zeros((1 << COUNTER_BITS) // COUNTER_SLOTS, np.int64)
@@ -176,8 +179,8 @@ class CountTree:
         for depth in range(len(self.levels) - 1, -1, -1):
             level = self.levels[depth]
             kept_q, kept_n = [], []
-            for at in range(0, len(query), 65536):
-                q, n = query[at : at + 65536], node[at : at + 65536]
+            for at in range(0, len(query), PAIRS_AT_ONCE):
+                q, n = query[at : at + PAIRS_AT_ONCE], node[at : at + PAIRS_AT_ONCE]
                 shared = np.minimum(queries[q], level[n]).sum(axis=1)
                 # of a node's points none is smaller than what it shares with the query
                 other = level[n].sum(axis=1) if depth == 0 else shared
@@ -236,11 +239,14 @@ def _cell_pairs(frame: pd.DataFrame, like: Similarity) -> pd.DataFrame:
             apart = (left != right) | (one[i] < two[j])
             keep(one[i[apart]], two[j[apart]])
     pairs, good = np.unique(np.concatenate(found), axis=0), []
-    for at in range(0, len(pairs), 65536):
-        x, y = points[pairs[at : at + 65536, 0]], points[pairs[at : at + 65536, 1]]
+    for at in range(0, len(pairs), PAIRS_AT_ONCE):
+        x, y = points[pairs[at : at + PAIRS_AT_ONCE, 0]], points[pairs[at : at + PAIRS_AT_ONCE, 1]]
         good.append(np.minimum(x, y).sum(axis=1) >= need * (x.sum(axis=1) + y.sum(axis=1)) - 1e-9)
     pairs = pairs[np.concatenate(good)] if good else pairs
-    return pd.DataFrame({"a": known[pairs[:, 0]], "b": known[pairs[:, 1]]})
+    out = pd.DataFrame({"a": known[pairs[:, 0]], "b": known[pairs[:, 1]]})
+    del points, frame, found
+    release()
+    return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
