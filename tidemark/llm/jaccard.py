@@ -8,12 +8,16 @@ whole sets.
 
 Points of unrelated documents lie at nearly equal distances from each other, so a
 tree over all of them would be searched nearly whole.  Therefore the points are
-first dealt into cells without loss: in any fixed order of all n-grams, two sets of
-similarity p have one in common among the first n - ceil(n p / 100) + 1 members of
-each.  A cell holds the documents that have one n-gram among these, and the tree is
-searched within cells.  The order puts frequent n-grams, such as those of shared
-passages, last; their frequencies come from a table of counters of fixed size, whose
-errors may cost time but no pair.
+first dealt into cells without loss, and the tree is searched within cells.  Two ways:
+
+* At a high similarity p, two sets of together t n-grams differ in at most
+  t (100 - p) / (100 + p) of them; if the n-grams are dealt into more groups than that,
+  one group at least is the same in both.  A cell holds the documents that agree in one.
+* At a lower one such groups hold few n-grams each.  In any fixed order of all n-grams
+  two sets have one in common among the first n - ceil(n p / 100) + 1 members of each.
+  A cell holds the documents that have one n-gram among these.  The order puts frequent
+  n-grams, such as those of shared passages, last; their frequencies come from a table of
+  counters of fixed size, whose errors may cost time but no pair.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from .workspace import Workspace
 
 GROUPS = 256
 LEAF, FAN_OUT = 32, 16
+BAND_RATIO = 1.4
+EQUAL_GROUPS_FROM = 88  # percent; below, groups hold too few n-grams to tell texts apart
 CELL_ROWS = 1024
 PAIRS_AT_ONCE = 8192  # of 1 KB points each
 COUNTER_BITS = 22  # 4 million counters, sent to the tasks as 4 MB of levels
@@ -58,6 +64,16 @@ class Similarity:
         """The least intersection of linked sets of so many members together."""
         return -(-self.percent * together // (100 + self.percent))
 
+    def bands(self, most: int) -> list[int]:
+        edges = [1]
+        while edges[-1] <= most:
+            edges.append(max(edges[-1] + 1, int(edges[-1] * BAND_RATIO)))
+        return edges
+
+    def differences(self, last: int) -> int:
+        """The most members in which linked sets differ, the smaller having up to ``last``."""
+        return (last + 100 * last // self.percent) * (100 - self.percent) // (100 + self.percent)
+
     def prefix(self, n: int) -> int:
         """How many first members may not all be missing from a linked set."""
         return n - -(-self.percent * n // 100) + 1
@@ -86,6 +102,26 @@ def cells(members: np.ndarray, like: Similarity, levels: np.ndarray) -> np.ndarr
     return members[order[: like.prefix(n)]]
 
 
+def group_cells(members: np.ndarray, like: Similarity, edges: list[int]) -> np.ndarray:
+    """Keys of the groups of one set, for its own size band and those of lesser partners."""
+    n, out = len(members), []
+    low = np.searchsorted(edges, -(-like.percent * n // 100), "right") - 1
+    high = np.searchsorted(edges, n, "right") - 1
+    for band in range(low, high + 1):
+        differ = like.differences(edges[band + 1] - 1)
+        if not differ:
+            continue  # only equal sets can link
+        count = differ + 2 + differ // 40
+        group = (mixed(members, 3) % np.uint64(count)).astype(np.int64)
+        sums = np.zeros(count, np.uint64)
+        np.add.at(sums, group, mixed(members, 1))
+        # Groups without members say nothing; they are needed only where too few others are left.
+        full = np.bincount(group, minlength=count) > 0
+        chosen = np.flatnonzero(full) if full.sum() > differ else np.arange(count)
+        out.append(mixed(sums[chosen] + chosen.astype(np.uint64) * SALTS[0] + np.uint64(band * int(SALTS[2]) % 2**64), 2))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def counter(members: np.ndarray) -> np.ndarray:
     return (mixed(members, 3) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
@@ -131,15 +167,16 @@ ROWS = "doc_id long, n_shingles long, set_a long, set_b long, cells array<long>"
 
 def describe(docs: DataFrame, like: Similarity, key: str, text: str) -> DataFrame:
     """Size, two 64-bit hashes of the set and the cells of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, like, key, text))
+    edges = like.bands(1 << 40) if like.percent >= EQUAL_GROUPS_FROM else None
+    shared = None if edges else docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, like, key, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = shared.value
+        levels = None if edges else shared.value
         for batch in batches:
             rows = []
             for raw in raw_texts(batch.column(1)):
                 s = shingles(raw, like.words)
-                rows.append((len(s), int(mixed(s, 0).sum().astype(np.int64)), int(np.bitwise_xor.reduce(mixed(s, 2)).astype(np.int64)) if len(s) else 0, cells(s, like, levels).view(np.int64)))
+                rows.append((len(s), int(mixed(s, 0).sum().astype(np.int64)), int(np.bitwise_xor.reduce(mixed(s, 2)).astype(np.int64)) if len(s) else 0, (group_cells(s, like, edges) if edges else cells(s, like, levels)).view(np.int64)))
             starts = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])]).astype(np.int32)
             flat = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(flat, pa.int64()))
