@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ VECTOR_BASE, VECTOR_SPAN = 0.50, 0.20
 JOINT_BASE, JOINT_SPAN = 0.72, 0.14
 LONE_FLOOR, TOP_FLOOR, TOP_GAP = 0.72, 0.88, 0.12
 PARENT_DISCOUNT = 0.85
+#: Rows and queries that meet in one task, and terms compared at once.
+CHUNK_ROWS, BLOCK_QUERIES, TERMS_AT_ONCE = 4096, 1024, 2048
 
 
 def query_terms(text: Column) -> Column:
@@ -38,6 +43,56 @@ def lexical_search(index: DataFrame, queries: DataFrame, key: str, k: int, query
     return ranked.withColumn("relevance", relevance)
 
 
+def _in_blocks(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, work: Callable, schema: str) -> DataFrame:
+    """Every block of queries meets every chunk of rows in a task of its own; both have a bounded size."""
+    chunks, blocks = (max(1, math.ceil(df.count() / n)) for df, n in ((rows, CHUNK_ROWS), (queries, BLOCK_QUERIES)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    at = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = rows.withColumn("_chunk", at(row_id, chunks)).withColumn("_block", every(blocks))
+    right = queries.withColumn("_block", at(query_id, blocks)).withColumn("_chunk", every(chunks))
+    return left.groupBy("_block", "_chunk").cogroup(right.groupBy("_block", "_chunk")).applyInPandas(work, schema)
+
+
+def lexical_search_blocks(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int, query: str = "query_id", asked: str = "query") -> DataFrame:
+    """``lexical_search`` for many queries: only k rows per query and chunk of texts are shuffled, not every match.
+
+    Ids on both sides are unique and not null.
+    """
+    rows = docs.select(F.col(key).alias("_key"), query_terms(F.col(text)).alias("_words"))
+    terms = queries.select(F.col(query).alias("_query"), query_terms(F.col(asked)).alias("_words"))
+    at_once = TERMS_AT_ONCE
+
+    def work(found: pd.DataFrame, sought: pd.DataFrame) -> pd.DataFrame:
+        found, out = found.sort_values("_key", ignore_index=True), []
+        of_query, of_row = sought["_words"].explode().dropna(), found["_words"].explode().dropna()
+        known = pd.Index(of_query.unique())
+        row_code, query_code = known.get_indexer(of_row), known.get_indexer(of_query)
+        matched = np.zeros((len(sought), len(found)), np.float32)
+        for low in range(0, len(known), at_once):
+            sides = []
+            for code, at, n in ((query_code, of_query.index.to_numpy(), len(sought)), (row_code, of_row.index.to_numpy(), len(found))):
+                inside = (code >= low) & (code < low + at_once)
+                side = np.zeros((n, min(at_once, len(known) - low)), np.float32)
+                side[at[inside], code[inside] - low] = 1
+                sides.append(side)
+            matched += sides[0] @ sides[1].T
+        size = sought["_words"].str.len().to_numpy()
+        for i, one in enumerate(matched):
+            hits = np.flatnonzero(one)
+            best = hits[np.argsort(-one[hits], kind="stable")[:k]]
+            if len(best):
+                here = np.zeros(len(best), np.int64)
+                here[0] = len(hits)
+                out.append(pd.DataFrame({query: sought["_query"].iloc[i], key: found["_key"].to_numpy()[best], "terms": size[i], "matched": one[best].astype(np.int64), "_here": here}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in (query, key, "terms", "matched", "_here")})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    hits = _in_blocks(rows, terms, "_key", "_query", work, f"{query} {kind(queries, query)}, {key} {kind(docs, key)}, terms int, matched long, _here long")
+    ranked = hits.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("matched"), key)))
+    ranked = ranked.withColumn("truncated", F.sum("_here").over(Window.partitionBy(query)) > k).filter(F.col("place") <= k).drop("_here")
+    return ranked.withColumn("relevance", F.when(F.col("truncated"), LEXICAL_BASE).otherwise(LEXICAL_BASE + LEXICAL_SPAN * F.col("matched") / F.col("terms")))
+
+
 def expand_terms(terms: DataFrame, lexicon: DataFrame, found: DataFrame, key: str, index: DataFrame) -> DataFrame:
     """Matches of synonyms, appended only where the plain search has not found the text."""
     synonyms = terms.join(lexicon, "term").select("query_id", F.col("synonym").alias("term")).distinct()
@@ -66,6 +121,48 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query
     return scored.withColumn("place", place).filter(F.col("place") <= k)
 
 
+def nearest_blocks(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: str, k: int, floor: float = -1.0) -> DataFrame:
+    """``nearest`` for many queries: exact, scored block by block, k rows per query and chunk of vectors shuffled.
+
+    Ids on both sides are unique and not null.  Vectors that are null, zero or hold
+    null or non-finite components have no similarity, nor have vectors of different lengths.
+    """
+
+    def usable(df: DataFrame, name: str) -> DataFrame:
+        finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+        return df.filter(finite & F.exists(vector, lambda x: x != 0)).select(F.col(name).alias(f"_{name}_id"), F.col(vector).cast("array<double>").alias("_v"))
+
+    def units(frame: pd.DataFrame) -> np.ndarray:
+        raw = np.stack(frame["_v"].to_numpy())
+        raw = raw / np.abs(raw).max(axis=1, keepdims=True)
+        return raw / np.sqrt((raw**2).sum(axis=1, keepdims=True))
+
+    def work(found: pd.DataFrame, sought: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        found, sought = (f.assign(_n=f["_v"].str.len()) for f in (found, sought))
+        for n, some in sought.groupby("_n"):
+            near = found[found["_n"] == n].sort_values("_row")
+            if not len(near):
+                continue
+            x, y, ids = units(near), units(some), near["_row"].to_numpy()
+            for q, one, rough in zip(some["_query"].to_numpy(), y, y @ x.T, strict=True):
+                rough[ids == q] = -np.inf
+                # Products of whole matrices differ in the last bits by place; ties are decided on sums of one order.
+                least = np.partition(rough, -k)[-k] if len(rough) > k else -np.inf
+                near_k = np.flatnonzero((rough >= least - 1e-12) & (rough > floor - 1e-12))
+                exact = (x[near_k] * one).sum(axis=1)
+                best = np.argsort(-exact, kind="stable")
+                best = best[exact[best] > floor][:k]
+                out.append(pd.DataFrame({"query_id": q, "hit_id": ids[near_k[best]], "similarity": exact[best]}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query_id", "hit_id", "similarity")})
+
+    rows, asked = (usable(df, name).withColumnRenamed(f"_{name}_id", to) for df, name, to in ((vectors, key, "_row"), (queries, query, "_query")))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    scored = _in_blocks(rows, asked, "_row", "_query", work, f"query_id {kind(queries, query)}, hit_id {kind(vectors, key)}, similarity double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "hit_id"))
+    return scored.withColumn("place", place).filter(F.col("place") <= k)
+
+
 def vector_relevance(similarity: Column, floor: float) -> Column:
     return F.lit(VECTOR_BASE) if floor >= 1 else VECTOR_BASE + VECTOR_SPAN * (similarity - floor) / (1 - floor)
 

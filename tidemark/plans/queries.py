@@ -289,6 +289,21 @@ def vector_nearest(spark, sf_dir):
     return out.select("query_id", "hit_id", "place", F.round("similarity", 9).alias("similarity"), F.round(search.vector_relevance(F.col("similarity"), 0.05), 9).alias("relevance"))
 
 
+def lexical_matches_all(spark, sf_dir):
+    """The names of every fiftieth part are searched for in all parts."""
+    p = _t(spark, sf_dir, "part")
+    q = p.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
+    out = search.lexical_search_blocks(p.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("t")), q, "p_partkey", "t", 50)
+    return out.select("query_id", "p_partkey", "matched", "place", "truncated", F.round("relevance", 9).alias("relevance"))
+
+
+def vector_nearest_all(spark, sf_dir):
+    """Every fiftieth vector is searched for among all vectors."""
+    v = _t(spark, sf_dir, "embeddings")
+    out = search.nearest_blocks(v, v.filter("vec_id % 50 = 0"), "vec_id", "embedding", "vec_id", 20, 0.05)
+    return out.select("query_id", "hit_id", "place", F.round("similarity", 9).alias("similarity"), F.round(search.vector_relevance(F.col("similarity"), 0.05), 9).alias("relevance"))
+
+
 def candidate_fusion(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("request"), (F.col("event_id") % 60).alias("subject"), F.element_at(F.array(*map(F.lit, ("lexical", "vector", "alias", "exact"))), (F.col("event_id") % 4 + 1).cast("int")).alias("mechanism"), (F.col("value") / 400).alias("confidence"), F.array(F.col("event_type")).alias("terms"))
     out = search.merge_candidates(e, ["request"], "subject")
@@ -387,6 +402,7 @@ PLAIN = (
     question_handles, edge_validity, valid_time_read, neighbours, two_hop_walk, edge_admission, keyed_upsert, tombstones, orphaned_stubs, lexical_matches, vector_nearest,
     candidate_fusion, commit_decisions, identity_collisions, floor_calibration, margin_calibration, packet_items,
     supersession_claims, answer_reuse, scope_filter, answer_caps, fact_states, alias_names, tag_lists, search_texts, parent_lift,
+    lexical_matches_all, vector_nearest_all,
 )
 
 
