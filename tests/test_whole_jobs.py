@@ -1,11 +1,14 @@
 """Queries over whole tables, against plain recounts."""
 
+import hashlib
 import re
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.functions import text
 from tidemark.operators import search
 from tidemark.plans.queries import queries
 
@@ -58,3 +61,19 @@ def test_copies_tie_by_id_over_chunks(spark, small_blocks):
     got = search.nearest_blocks(v, v.filter("vec_id % 50 = 0"), "vec_id", "embedding", "vec_id", 4).collect()
     found = {q: [r.hit_id for r in sorted(got, key=lambda r: r.place) if r.query_id == q] for q in (0, 50, 300)}
     assert found == {0: [1, 2, 3, 4], 50: [0, 1, 2, 3], 300: []}
+
+
+def plain_hash(question):
+    """Blanks and ends as Spark's functions see them: ASCII."""
+    once = re.sub(r"[ \t\n\x0b\f\r]+", " ", question).strip(" ").lower()
+    return hashlib.sha256(re.sub(r"[.?!,;: \t\n\x0b\f\r]+$", "", once).encode()).hexdigest()
+
+
+def test_hashes_are_of_whole_texts(spark, sf_dir):
+    rows = table(sf_dir, "documents", "doc_id", "text")
+    assert sum(len(r["text"]) > 200 for r in rows) > 100
+    got = {r.doc_id: r["hash"] for r in queries()["question_hashes_all"](spark, sf_dir).collect()}
+    assert got == {r["doc_id"]: plain_hash(f"  {r['text']} ?? ") for r in rows}
+    ends = [("a" * 300 + end,) for end in ("b", "c", "b ?!")]
+    hashes = [r[0] for r in spark.createDataFrame(ends, "q string").select(text.question_hash(F.col("q"))).collect()]
+    assert hashes == [plain_hash(q) for q, in ends] and hashes[0] == hashes[2] != hashes[1]

@@ -210,6 +210,12 @@ def question_hashes(spark, sf_dir):
     return d.select("doc_id", text.question_hash(F.col("q")).alias("hash"))
 
 
+def question_hashes_all(spark, sf_dir):
+    """Of whole texts."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("  "), F.col("text"), F.lit(" ?? ")).alias("q"))
+    return d.select("doc_id", text.question_hash(F.col("q")).alias("hash"))
+
+
 def relation_names(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", text.relation_name(F.concat_ws("-", "p_name", "p_type")).alias("relation"))
 
@@ -402,7 +408,7 @@ PLAIN = (
     question_handles, edge_validity, valid_time_read, neighbours, two_hop_walk, edge_admission, keyed_upsert, tombstones, orphaned_stubs, lexical_matches, vector_nearest,
     candidate_fusion, commit_decisions, identity_collisions, floor_calibration, margin_calibration, packet_items,
     supersession_claims, answer_reuse, scope_filter, answer_caps, fact_states, alias_names, tag_lists, search_texts, parent_lift,
-    lexical_matches_all, vector_nearest_all,
+    lexical_matches_all, vector_nearest_all, question_hashes_all,
 )
 
 
