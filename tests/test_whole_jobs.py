@@ -1,7 +1,10 @@
 """Queries over whole tables, against plain recounts."""
 
+import datetime as dt
 import hashlib
 import re
+from collections import Counter, defaultdict
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -77,3 +80,62 @@ def test_hashes_are_of_whole_texts(spark, sf_dir):
     ends = [("a" * 300 + end,) for end in ("b", "c", "b ?!")]
     hashes = [r[0] for r in spark.createDataFrame(ends, "q string").select(text.question_hash(F.col("q"))).collect()]
     assert hashes == [plain_hash(q) for q, in ends] and hashes[0] == hashes[2] != hashes[1]
+
+
+def rows_of(spark, sf_dir, name):
+    return Counter(tuple(r) for r in queries()[name](spark, sf_dir).collect())
+
+
+def test_watermarks_of_all_events(spark, sf_dir):
+    latest = {}
+    for r in table(sf_dir, "events", "event_type", "ts"):
+        if r["ts"] <= dt.datetime(2024, 1, 30, 23):
+            source = "error" if r["event_type"] == "click" else r["event_type"]
+            latest[source] = max(latest.get(source, r["ts"]), r["ts"])
+    got = {r.source: r.watermark for r in queries()["source_watermarks_all"](spark, sf_dir).collect()}
+    assert got == {x: latest.get(x) for x in ("click", "error", "purchase", "signup", "view")}
+
+
+def test_greedy_dedup_of_all_lines(spark, sf_dir):
+    lines = defaultdict(list)
+    for r in table(sf_dir, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"):
+        lines[r["l_suppkey"] % 40, r["l_orderkey"]].append((r["l_linenumber"], r["l_partkey"]))
+    used, kept = defaultdict(set), Counter()
+    for line, order, packet, part in sorted((min(a for a, _ in x), o, p, min(b for _, b in x)) for (p, o), x in lines.items()):
+        keys = {f"o{order % 50}", f"p{part % 60}"}
+        if not keys & used[packet]:
+            used[packet] |= keys
+            kept[packet, order, line, part] += 1
+    assert rows_of(spark, sf_dir, "greedy_dedup_all") == kept
+
+
+def test_decisions_on_all_candidates(spark, sf_dir):
+    asked, expected = defaultdict(list), {}
+    for r in table(sf_dir, "events", "event_id", "user_id", "event_type", "value"):
+        sure = Decimal(repr(min(1.0, 0.6 + r["value"] / 100))).quantize(Decimal("0.01"), ROUND_HALF_UP)
+        asked[r["user_id"]].append((-sure, r["event_id"], r["event_type"] != "view"))
+    for user, found in asked.items():
+        (best, subject, eligible), *rest = sorted(found)
+        gap = rest[0][0] - best if rest else None
+        outcome = "ambiguous" if not eligible else ("commit" if -best >= Decimal("0.72") else "ambiguous") if gap is None else "tied" if gap == 0 else "commit" if -best >= Decimal("0.88") and gap >= Decimal("0.12") else "ambiguous"
+        expected[user] = (outcome, subject if outcome == "commit" else None, float(-best), None if gap is None else float(gap))
+    assert {r.request: tuple(r)[1:] for r in queries()["commit_decisions_all"](spark, sf_dir).collect()} == expected
+
+
+def test_all_events_ask(spark, sf_dir):
+    rows, newest = table(sf_dir, "events", "event_id", "user_id", "event_type", "ts"), {}
+    key = lambda r: (r["user_id"] % 40, r["event_id"] % 2, r["event_type"])
+    for r in sorted(rows, key=lambda r: (r["ts"], -r["event_id"])):
+        if r["ts"] >= dt.datetime(2024, 1, 28):
+            newest[key(r)] = (r["event_id"], r["ts"])
+    expected = Counter((r["event_id"], r["user_id"] % 40, *newest[key(r)]) for r in rows if key(r) in newest)
+    assert len(expected) > 100 and rows_of(spark, sf_dir, "answer_reuse_all") == expected
+
+
+def test_all_events_are_lifted(spark, sf_dir):
+    expected = {}
+    for r in table(sf_dir, "events", "event_id", "user_id", "event_type", "value"):
+        outcome = {"view": "absent", "purchase": "ambiguous"}.get(r["event_type"], "lifted")
+        expected[r["event_id"]] = (r["user_id"] % 9, outcome, *((f"u{r['user_id']}", pytest.approx(r["value"] / 1000 * 0.85, abs=1e-9)) if outcome == "lifted" else (None, None)))
+    got = {r.subject: (r.request, r.outcome, r.parent, r.confidence) for r in queries()["parent_lift_all"](spark, sf_dir).collect()}
+    assert got == expected

@@ -73,12 +73,16 @@ def ambiguous_projects(spark, sf_dir):
     return versions.unambiguous(o, ["org_id", "project_key"])[1]
 
 
-def source_watermarks(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").filter("event_type <> 'view' OR user_id % 2 = 0").selectExpr("CASE WHEN event_type = 'click' THEN 'error' ELSE event_type END AS source", "ts")
+def source_watermarks(spark, sf_dir, rows="event_type <> 'view' OR user_id % 2 = 0"):
+    e = _t(spark, sf_dir, "events").filter(rows).selectExpr("CASE WHEN event_type = 'click' THEN 'error' ELSE event_type END AS source", "ts")
     catalog = spark.createDataFrame([(x,) for x in ("click", "error", "purchase", "signup", "view")], "source string")
     return aggregates.watermarks(temporal.as_of(e, "ts", dt.datetime(2024, 1, 30, 23)), catalog, "source", "ts", temporal.stamp(dt.datetime(2024, 1, 31, 20)))
 
 
+def source_watermarks_all(spark, sf_dir):
+    return source_watermarks(spark, sf_dir, "true")
+
+
 def coverage_sets(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     out = aggregates.coverage(e, ["user_id"], "event_type", F.col("value") > 30)
@@ -165,13 +169,17 @@ def category_rules(spark, sf_dir):
     return e.select("event_id", "entity_type", vocabulary.category_rule(F.col("entity_type")).alias("r")).select("event_id", "entity_type", "r.category", "r.severity", "r.category_rank")
 
 
-def greedy_dedup(spark, sf_dir):
-    i = _t(spark, sf_dir, "lineitem").filter("l_linenumber <= 6").select((F.col("l_suppkey") % 40).alias("packet"), "l_orderkey", "l_linenumber", "l_partkey")
+def greedy_dedup(spark, sf_dir, rows="l_linenumber <= 6"):
+    i = _t(spark, sf_dir, "lineitem").filter(rows).select((F.col("l_suppkey") % 40).alias("packet"), "l_orderkey", "l_linenumber", "l_partkey")
     i = i.groupBy("packet", "l_orderkey").agg(F.min("l_linenumber").alias("line"), F.min("l_partkey").alias("part"))
     keys = [F.concat(F.lit("o"), F.col("l_orderkey") % 50), F.concat(F.lit("p"), F.col("part") % 60)]
     return ranking.greedy_distinct(i, ["packet"], [F.col("line"), F.col("l_orderkey")], keys)
 
 
+def greedy_dedup_all(spark, sf_dir):
+    return greedy_dedup(spark, sf_dir, "true")
+
+
 def quota_allocation(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("event_id", "value", F.element_at(F.array(*map(F.lit, vocabulary.CATEGORIES)), (F.col("event_id") % 4 + 1).cast("int")).alias("category"), (F.col("user_id") % 20).alias("packet"))
     e = e.withColumn("rank", F.row_number().over(Window.partitionBy("packet").orderBy(F.desc("value"), "event_id")))
@@ -316,12 +324,16 @@ def candidate_fusion(spark, sf_dir):
     return out.select("request", "subject", F.array_join("terms", ",").alias("terms"), F.array_join("mechanisms", ",").alias("mechanisms"), F.round("base", 9).alias("base"), F.round("confidence", 9).alias("confidence"))
 
 
-def commit_decisions(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").filter("event_id % 3 = 0").select(F.col("user_id").alias("request"), F.col("event_id").alias("subject"), F.round(F.least(F.lit(1.0), 0.6 + F.col("value") / 100), 2).alias("confidence"), F.col("event_type"))
+def commit_decisions(spark, sf_dir, rows="event_id % 3 = 0"):
+    e = _t(spark, sf_dir, "events").filter(rows).select(F.col("user_id").alias("request"), F.col("event_id").alias("subject"), F.round(F.least(F.lit(1.0), 0.6 + F.col("value") / 100), 2).alias("confidence"), F.col("event_type"))
     out = search.commit_gate(e, ["request"], "subject", F.col("event_type") != "view", F.col("event_type").eqNullSafe("nothing"))
     return out.select("request", "outcome", "committed", F.round("confidence", 9).alias("confidence"), F.round("gap", 9).alias("gap"))
 
 
+def commit_decisions_all(spark, sf_dir):
+    return commit_decisions(spark, sf_dir, "true")
+
+
 def identity_collisions(spark, sf_dir):
     p = _t(spark, sf_dir, "part").select(F.lower(F.concat_ws(" ", "p_name", "p_size")).alias("term"), F.col("p_partkey").alias("subject"), F.when(F.col("p_partkey") % 2 == 0, "label").otherwise("alias").alias("cls"))
     return search.identity_claims(p, "term", "subject", "cls")
@@ -361,6 +373,14 @@ def answer_reuse(spark, sf_dir):
     return stores.reusable(results, ["question"], asked, NOW, dt.timedelta(days=3)).select("request_id", "question", "result_id", "created_at")
 
 
+def answer_reuse_all(spark, sf_dir):
+    """Every event is a stored result and asks for the newest one of its own question, epoch and type."""
+    e = _t(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 40).alias("question"), (F.col("event_id") % 2).alias("epoch"), F.col("event_type").alias("watermark"))
+    results = e.withColumnsRenamed({"event_id": "result_id", "ts": "created_at"})
+    asked = e.drop("ts").withColumnRenamed("event_id", "request_id")
+    return stores.reusable(results, ["question"], asked, NOW, dt.timedelta(days=3)).select("request_id", "question", "result_id", "created_at")
+
+
 def scope_filter(spark, sf_dir):
     r = telemetry(spark, sf_dir, "repos")[0]
     scopes = F.array(F.lit("nothing"), F.when(F.col("id") == "repo-4", F.col("repo")).otherwise("region_1/*"), F.concat(F.split("repo", "/")[0], F.lit("x/*")))
@@ -399,6 +419,15 @@ def parent_lift(spark, sf_dir):
     return search.lift_to_parents(found, owners, ["request"], "subject", "parent").withColumn("confidence", F.round("confidence", 9))
 
 
+def parent_lift_all(spark, sf_dir):
+    """Views belong to nobody, other events to their user, purchases to the shop as well."""
+    e = _t(spark, sf_dir, "events")
+    found = e.select((F.col("user_id") % 9).alias("request"), F.col("event_id").alias("subject"), (F.col("value") / 1000).alias("confidence"))
+    owners = e.filter("event_type <> 'view'").select(F.col("event_id").alias("subject"), F.concat(F.lit("u"), "user_id").alias("parent"))
+    owners = owners.unionByName(e.filter("event_type = 'purchase'").select(F.col("event_id").alias("subject"), F.lit("shop").alias("parent")))
+    return search.lift_to_parents(found, owners, ["request"], "subject", "parent").withColumn("confidence", F.round("confidence", 9))
+
+
 FACT_TIMES = {"actual_completion": ORDERS_AS_OF, "pull_requests": ORDERS_AS_OF, "reviews": ORDERS_AS_OF, "identity": ORDERS_AS_OF, "membership": ORDERS_AS_OF, "status": ORDERS_AS_OF, "work": ORDERS_AS_OF}
 
 PLAIN = (
@@ -408,7 +437,7 @@ PLAIN = (
     question_handles, edge_validity, valid_time_read, neighbours, two_hop_walk, edge_admission, keyed_upsert, tombstones, orphaned_stubs, lexical_matches, vector_nearest,
     candidate_fusion, commit_decisions, identity_collisions, floor_calibration, margin_calibration, packet_items,
     supersession_claims, answer_reuse, scope_filter, answer_caps, fact_states, alias_names, tag_lists, search_texts, parent_lift,
-    lexical_matches_all, vector_nearest_all, question_hashes_all,
+    lexical_matches_all, vector_nearest_all, question_hashes_all, source_watermarks_all, greedy_dedup_all, commit_decisions_all, answer_reuse_all, parent_lift_all,
 )
 
 
