@@ -146,3 +146,20 @@ def test_near_vectors_edge_cases(spark):
     assert links[1] == (3, 1) and links[2] == (3, 1) and links[12] == (3, 1)
     assert all(links[i] == (0, i) for i in (3, 4, 5, 6, 7, 8, 9, 10, 11)) and links[None] == (0, None)
     assert near_vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_near_vectors_with_a_common_direction(spark):
+    rng = np.random.default_rng(8)
+    common = rng.standard_normal(64)
+    common /= np.linalg.norm(common)
+    x = np.sqrt(0.85) * common + np.sqrt(0.15 / 64) * rng.standard_normal((2400, 64))
+    x[1200:] = x[:1200] + np.sqrt(0.11 / 64) * rng.standard_normal((1200, 64))  # a pair each at about 0.93 and more
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.945
+    np.fill_diagonal(near, False)
+    expected = plain_components(range(len(x)), list(zip(*(e.tolist() for e in np.nonzero(near)), strict=True)))
+    assert len(x) - len(set(expected.values())) > 200
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = near_vectors.near_vectors(df, near_vectors.Passes(least_cosine=0.945, window=8)).collect()
+    assert {r.vec_id: r.component_id for r in got} == expected

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,8 @@ PARTITION_ROWS = 50_000
 class Passes:
     """window: how many following vectors each is compared with in one order.
 
-    miss: how likely a pair at the least similarity may be missed by all passes.
+    miss: how likely a pair at the least similarity may be missed by one round of passes,
+    if directions are spread evenly.
     """
 
     least_cosine: float = 0.93
@@ -33,11 +35,12 @@ class Passes:
     seed: int = 5
 
     def count(self, largest: int) -> int:
-        """Passes for a group of so many vectors.
+        """Passes of one round for a group of so many vectors.
 
         Two vectors at an angle a agree in a random sign with chance 1 - a / pi.  In
         the order by 64 such signs they are neighbours if they agree in the first
-        log2(largest / window) of them, so more vectors take more passes.
+        log2(largest / window) of them, so more vectors take more passes.  Where
+        directions crowd, more signs have to agree; ``near_vectors`` repeats rounds.
         """
         prefix = max(0.0, math.log2(max(1, largest) / self.window)) + 1
         met = (1 - math.acos(self.least_cosine) / math.pi) ** prefix
@@ -63,12 +66,12 @@ def matrix(column: pa.Array) -> np.ndarray:
     return scaled / np.sqrt((scaled**2).sum(axis=1, keepdims=True))
 
 
-def _codes(batch: pa.RecordBatch, passes: int, seed: int) -> Iterator[pa.RecordBatch]:
+def _codes(batch: pa.RecordBatch, turns: range, seed: int) -> Iterator[pa.RecordBatch]:
     size = batch.column("size").to_numpy()
     for n in np.unique(size):
         part = batch.filter(pa.array(size == n))
         units = matrix(part.column("vector"))
-        for turn in range(passes):
+        for turn in turns:
             code = (signs(units, turn, seed) ^ np.uint64(1 << 63)).view(np.int64)  # signed order is the bits' order
             fixed = [pa.array(np.full(len(part), turn, np.int32)), part.column("label"), part.column("size"), pa.array(code)]
             yield pa.RecordBatch.from_arrays([*fixed, part.column("id"), part.column("vector")], names=["turn", "label", "size", "code", "id", "vector"])
@@ -106,18 +109,54 @@ def _neighbours(run: pa.Table, window: int, least: float) -> tuple[np.ndarray, n
     return ids[a[kept]], ids[b[kept]]
 
 
+KEYS = ["turn", "label", "size", "code", "id"]
+
+
+def _compared(table: pa.Table, window: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    group = np.stack([table.column(c).to_numpy() for c in ("turn", "label", "size")], axis=1)
+    edges = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
+    for start, end in zip([0, *edges], [*edges, len(table)], strict=True):
+        if end - start > 1:
+            yield _neighbours(table.slice(start, end - start), window, least)
+
+
 def _sorted_runs(batches: Iterator[pa.RecordBatch], window: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Compare along a partition's order, batch by batch, carrying the last ``window`` rows over."""
+    """Compare along a partition's order, batch by batch, carrying the last ``window`` rows over.
+
+    The first and the last ``window`` rows come out as well, by the boundary between two
+    partitions that they lie at.
+    """
+    part = TaskContext.get().partitionId()
     tail: pa.Table | None = None
+    head: pa.Table | None = None
+
+    def border(rows: pa.Table, at: int) -> list[pa.RecordBatch]:
+        rows, none = rows.combine_chunks(), pa.nulls(len(rows), pa.int64())
+        columns = [none, none, pa.array(np.full(len(rows), at, np.int32)), *(rows.column(c).combine_chunks() for c in (*KEYS, "vector"))]
+        return [pa.RecordBatch.from_arrays(columns, names=["a", "b", "border", *KEYS, "vector"])] if len(rows) else []
+
     for batch in batches:
         table = pa.Table.from_batches([batch])
+        if head is None or len(head) < window:
+            head = table.slice(0, window) if head is None else pa.concat_tables([head, table.slice(0, window - len(head))])
         table = pa.concat_tables([tail, table]) if tail is not None else table
-        group = np.stack([table.column(c).to_numpy() for c in ("turn", "label", "size")], axis=1)
-        edges = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
-        for start, end in zip([0, *edges], [*edges, len(table)], strict=True):
-            if end - start > 1:
-                a, b = _neighbours(table.slice(start, end - start), window, least)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for a, b in _compared(table, window, least):
+            rest = [pa.nulls(len(a), batch.schema.field(c).type) for c in (*KEYS, "vector")]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int32()), *rest], names=["a", "b", "border", *KEYS, "vector"])
+        tail = table.slice(max(0, len(table) - window))
+    if head is not None and tail is not None:
+        yield from border(head, part - 1)
+        yield from border(tail, part)
+
+
+def _border_runs(batches: Iterator[pa.RecordBatch], window: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Compare the rows at the boundaries of partitions, in the same order."""
+    tail: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([tail, table]) if tail is not None else table
+        for a, b in _compared(table, window, least):
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         tail = table.slice(max(0, len(table) - window))
 
 
@@ -142,7 +181,8 @@ def near_vectors(vectors: DataFrame, passes: Passes = Passes(), key: str = "vec_
 
     Equal vectors of a label form a class.  In each pass the classes are ordered by
     label and by 64 random signs; neighbours in a window are verified in double
-    precision, and the verified pairs of all passes are united to components.  Links
+    precision, and the verified pairs of all passes are united to components.  Rounds of
+    passes in other directions follow until a whole one joins no components.  Links
     are then counted exactly within each component, large ones in blocks.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows
@@ -160,17 +200,38 @@ def near_vectors(vectors: DataFrame, passes: Passes = Passes(), key: str = "vec_
     sizes = classes.groupBy("label", "size").count().agg(F.max("count"), F.sum("count")).collect()[0]
     turns, total = passes.count(sizes[0] or 0), sizes[1] or 0
 
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from _codes(batch, turns, passes.seed)
-
     coded = classes.select("label", "size", "id", F.col("vector").cast("array<float>").alias("vector") if dict(vectors.dtypes)[vector] == "array<float>" else "vector")
     stored = dict(coded.dtypes)["vector"]
-    coded = coded.mapInArrow(codes, f"turn int, label long, size int, code long, id long, vector {stored}")
+    fields = f"turn int, label long, size int, code long, id long, vector {stored}"
     parts = max(turns, -(-total * turns // PARTITION_ROWS))
-    ordered = coded.repartitionByRange(parts, "turn", "label", "size", "code", "id").sortWithinPartitions("turn", "label", "size", "code", "id")
-    links = space.write(ordered.mapInArrow(lambda b: _sorted_runs(b, passes.window, passes.least_cosine), "a long, b long").distinct(), "links")
-    found = connected_components(links, "a", "b", space, "part")
+
+    def pairs(nth: int) -> DataFrame:
+        """Verified pairs of a round's passes."""
+
+        def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _codes(batch, range(nth * turns, (nth + 1) * turns), passes.seed)
+
+        ordered = coded.mapInArrow(codes, fields).repartitionByRange(parts, *KEYS).sortWithinPartitions(*KEYS)
+        runs = space.write(ordered.mapInArrow(lambda b: _sorted_runs(b, passes.window, passes.least_cosine), f"a long, b long, border int, {fields}"), f"runs{nth}")
+        borders = runs.filter("border IS NOT NULL").select("border", *KEYS, "vector").repartition("border").sortWithinPartitions("border", *KEYS).drop("border")
+        over = borders.mapInArrow(lambda b: _border_runs(b, passes.window, passes.least_cosine), "a long, b long")
+        links = space.write(runs.filter("a IS NOT NULL").select("a", "b").unionByName(over).distinct(), f"links{nth}")
+        space.drop(f"runs{nth}")
+        return links
+
+    found, nth = connected_components(pairs(0), "a", "b", space, "part0_"), 0
+    while True:
+        nth += 1
+        ends = pairs(nth)
+        for end in ("a", "b"):
+            at = found.select(F.col("id").alias(end), F.col("component").alias("_at"))
+            ends = ends.join(at, end, "left").withColumn(end, F.coalesce("_at", end)).drop("_at")
+        fresh = space.write(ends.filter("a <> b").distinct(), f"fresh{nth}")
+        if fresh.isEmpty():
+            break
+        edges = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(fresh)
+        found = connected_components(edges, "a", "b", space, f"part{nth}_")
 
     heads = found.select("component").distinct().select(F.col("component").alias("id"), "component")
     placed = classes.join(found.unionByName(heads), "id").select(F.struct("component", "label", "size").alias("group"), "id", "vector", "copies")
