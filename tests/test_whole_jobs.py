@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import search
+from tidemark.operators import ranking, search, stores
 from tidemark.plans.queries import queries
 
 
@@ -139,3 +139,26 @@ def test_all_events_are_lifted(spark, sf_dir):
         expected[r["event_id"]] = (r["user_id"] % 9, outcome, *((f"u{r['user_id']}", pytest.approx(r["value"] / 1000 * 0.85, abs=1e-9)) if outcome == "lifted" else (None, None)))
     got = {r.subject: (r.request, r.outcome, r.parent, r.confidence) for r in queries()["parent_lift_all"](spark, sf_dir).collect()}
     assert got == expected
+
+
+def test_requests_meet_one_result_of_a_key(spark, monkeypatch):
+    met, plain = [], stores.first_per_key
+    monkeypatch.setattr(stores, "first_per_key", lambda df, *a: met.append(df.count()) or plain(df, *a))
+    at = dt.datetime(2024, 1, 1)
+    results = spark.createDataFrame([(i, "q", 1, "w", at + dt.timedelta(minutes=i // 2)) for i in range(50)], "result_id int, question string, epoch int, watermark string, created_at timestamp_ntz")
+    asked = spark.createDataFrame([(i, "q", 1, "w") for i in range(20)], "request_id int, question string, epoch int, watermark string")
+    got = stores.reusable(results, ["question"], asked, at, dt.timedelta(days=1)).collect()
+    assert {(r.request_id, r.result_id) for r in got} == {(i, 48) for i in range(20)} and max(met) == 50
+
+
+def test_only_first_rows_of_equal_keys_are_folded(spark):
+    rows = [("p", i, f"a{i % 3}", None if i % 2 else f"b{i % 5}") for i in range(300)] + [("p", 300 + i, None, None) for i in range(3)]
+    df, args = spark.createDataFrame(rows, "p string, id int, a string, b string"), (["p"], [F.col("id")], [F.col("a"), F.col("b")])
+    used, kept = set(), []
+    for _, i, *keys in rows:
+        keys = {k for k in keys if k}
+        if not keys & used:
+            used |= keys
+            kept.append(i)
+    assert ranking.first_of_equal_keys(df, *args).count() == 3 + 15 + 3
+    assert sorted(r.id for r in ranking.greedy_distinct(df, *args).collect()) == kept

@@ -31,12 +31,21 @@ def source_top(df: DataFrame, n: int = 100, entity: list[str] | None = None) ->
     return df.withColumn("_rank", best).filter("_rank = 1").drop("_rank").orderBy(*order).limit(n)
 
 
+def first_of_equal_keys(df: DataFrame, group: list[str], order: list[Column], keys: list[Column]) -> DataFrame:
+    """Without the rows that ``greedy_distinct`` cannot keep: a later row with the same keys as another
+    finds at least one of them used.  Rows without any key all stay."""
+    marked = df.withColumn("_keys", F.array_compact(F.array(*keys)))
+    nth = F.row_number().over(Window.partitionBy(*group, "_keys").orderBy(*order))
+    return marked.withColumn("_nth", nth).filter((F.col("_nth") == 1) | (F.size("_keys") == 0)).drop("_keys", "_nth")
+
+
 def greedy_distinct(df: DataFrame, group: list[str], order: list[Column], keys: list[Column]) -> DataFrame:
     """Row by row in order: keep a row only if no kept row has used one of its keys.
 
     Dropped rows claim nothing.  The rows of one group (one packet's candidates, which
-    its sources bound) are folded as one array.
+    its sources bound) are folded as one array, of rows with the same keys only the first.
     """
+    df = first_of_equal_keys(df, group, order, keys)
     row = F.struct(F.row_number().over(Window.partitionBy(*group).orderBy(*order)).alias("_at"), F.array_compact(F.array(*keys)).alias("_keys"), F.struct(*df.columns).alias("_row"))
     listed = df.select(*group, row.alias("_item")).groupBy(*group).agg(F.array_sort(F.collect_list("_item")).alias("_items"))
     start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<int>").alias("kept"))

@@ -15,7 +15,8 @@ def reusable(results: DataFrame, key: list[str], asked: DataFrame, now: dt.datet
     """For each request the newest stored result of the same key, young enough, of the same
     invalidation epoch and source watermark."""
     fresh = results.filter(F.col("created_at") >= stamp(now - max_age))
-    same = asked.join(fresh, [*key, "epoch", "watermark"])
+    newest = first_per_key(fresh, [*key, "epoch", "watermark"], [F.desc("created_at"), F.col("result_id")])
+    same = asked.join(newest, [*key, "epoch", "watermark"])
     return first_per_key(same, ["request_id"], [F.desc("created_at"), F.col("result_id")])
 
 
