@@ -67,8 +67,9 @@ def test_jaccard_components_equal_all_pairs(spark, n, percent):
 
 
 def test_blocks_of_large_cells(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "CELL_ROWS", 4)
-    monkeypatch.setattr(jaccard, "LEAF", 2)
+    monkeypatch.setattr(jaccard, "block_rows", lambda band: 4)
+    monkeypatch.setattr(jaccard, "FEW", 3)
+    monkeypatch.setattr(jaccard, "QUERIES", 1)
     rng = np.random.default_rng(9)
     base = [f"w{x}" for x in range(200)]
     rows = []
@@ -82,15 +83,64 @@ def test_blocks_of_large_cells(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == expected
 
 
-def test_tree_finds_all_that_reach_the_bound():
+@pytest.mark.parametrize("lesser", [False, True])
+def test_trees_find_all_that_reach_the_bound(lesser):
     rng = np.random.default_rng(4)
-    centre = rng.integers(0, 12, (40, jaccard.GROUPS))
-    points = np.concatenate([centre + rng.integers(0, 2, centre.shape) for _ in range(8)]).astype(np.int32)
-    queries = points[::7]
-    i, j = jaccard.CountTree(points).search(queries, 90 / 190)
-    shared = np.minimum(queries[:, None], points[None]).sum(axis=2)
-    together = queries.sum(axis=1)[:, None] + points.sum(axis=1)[None]
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(shared >= 90 / 190 * together - 1e-9)), strict=True))
+    tree = np.sort(rng.integers(0, 9, 400))
+    tree = np.unique(tree, return_inverse=True)[1]
+    centre = rng.integers(0, 3, (12, 64))
+    counts = (centre[rng.integers(0, 12, 400)] + (rng.random((400, 64)) < 0.05)).astype(np.uint8)
+    sizes, components = counts.sum(axis=1, dtype=np.int64), rng.integers(0, 60, 400)
+    asking = rng.choice(400, 120, replace=False)
+    forest = jaccard.CountForest(counts, tree, sizes, components)
+    q, p = forest.search(counts[asking], tree[asking], sizes[asking], components[asking], 80 / 180, lesser)
+    shared = np.minimum(counts[asking][:, None], counts[None]).sum(axis=2, dtype=np.int64)
+    good = (shared >= 80 / 180 * (sizes[asking][:, None] + sizes[None]) - 1e-6) & (tree[asking][:, None] == tree[None])
+    good &= (components[None] < components[asking][:, None]) if lesser else (components[None] != components[asking][:, None])
+    assert set(zip(q.tolist(), p.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(good)), strict=True))
+    assert len(q) > 100
+
+
+def test_folded_points_bound_the_intersection():
+    rng = np.random.default_rng(6)
+    one = np.unique(rng.integers(0, 2**63, 120).astype(np.uint64))
+    two = np.unique(np.concatenate([one[:90], rng.integers(0, 2**63, 50).astype(np.uint64)]))
+    bits = jaccard.group_bits(jaccard.band_of(len(one)))
+    groups = [jaccard.groups_of(jaccard.point(x)) >> (jaccard.group_bits(jaccard.band_of(len(x))) - bits) for x in (one, two)]
+    counts = jaccard.Points(np.concatenate(groups), np.array([0, len(one), len(one) + len(two)]), bits).dense(np.arange(2))
+    assert counts.sum(axis=1).tolist() == [len(one), len(two)]
+    assert len(np.intersect1d(one, two)) <= np.minimum(counts[0], counts[1]).sum() < 110
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_all_verified_pairs_come_out_of_trees(spark, monkeypatch, n, percent):
+    """On real documents: what is verified is what ``tree_pairs`` gave, and it joins all that links."""
+    given, asked = [], []
+    pairs, check = jaccard.tree_pairs, jaccard.verified
+
+    def watched(*a, **k):
+        out = pairs(*a, **k)
+        given.append({tuple(r) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(jaccard, "tree_pairs", watched)
+    monkeypatch.setattr(jaccard, "verified", lambda p, *a: asked.append({tuple(r) for r in p.collect()}) or check(p, *a))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = jaccard.jaccard_components(docs, jaccard.Similarity(n, percent))
+    assert len(given) == 2 and given[0] and asked[0] <= given[0] and asked[1] == given[1]
+    expected, _ = all_pairs([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], n, percent)
+    assert {r.doc_id: r.component_id for r in got.collect()} == expected
+
+
+def test_repeated_ids_are_documents_of_their_own(spark):
+    words = [f"w{x}" for x in range(60)]
+    near = [*words[:59], "other"]
+    clean = [f"c{x}" for x in range(40)]
+    rows = [(1, " ".join(words)), (1, " ".join(clean)), (2, " ".join(near)), (3, " ".join(clean)), (3, " ".join(near)), (4, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect())
+    assert got == [(1, 36, 1), (1, 56, 1), (2, 56, 1), (3, 36, 1), (3, 56, 1), (4, 56, 1)]
+    assert sorted(tuple(r) for r in jaccard.one_of_each_group(docs).collect()) == sorted(rows[:2])
 
 
 def test_jaccard_edge_cases(edge, empty):

@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 import ctypes
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 
 
+@cache
+def _packer() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+@cache
+def _unpacker() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def squeeze(x: np.ndarray) -> bytes:
     """Type and values, byte planes apart so that high zero bytes cost nothing."""
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes() if len(x) else b""
-    return x.dtype.str.encode() + zstandard.ZstdCompressor(level=1).compress(planes)
+    return x.dtype.str.encode() + _packer().compress(planes)
 
 
 def unsqueeze(blob: bytes) -> np.ndarray:
     kind = np.dtype(blob[:3].decode())
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[3:]), np.uint8)
+    planes = np.frombuffer(_unpacker().decompress(blob[3:]), np.uint8)
     return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel() if len(planes) else np.zeros(0, kind)
 
 

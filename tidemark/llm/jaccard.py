@@ -1,23 +1,19 @@
-"""N-gram Jaccard join with count vectors of hashed token groups.
-
-A document is the set of its word n-grams.  Hashing the n-grams into GROUPS groups
-gives it a point of group counts; two documents share at most the sum of the
-coordinates' minima, and a node of an R-tree over such points bounds all the points
-below it by its coordinates' maxima.  What survives the bound is verified on the
-whole sets.
-
-Points of unrelated documents lie at nearly equal distances from each other, so a
-tree over all of them would be searched nearly whole.  Therefore the points are
-first dealt into cells without loss, and the tree is searched within cells.  Two ways:
-
-* At a high similarity p, two sets of together t n-grams differ in at most
-  t (100 - p) / (100 + p) of them; if the n-grams are dealt into more groups than that,
-  one group at least is the same in both.  A cell holds the documents that agree in one.
-* At a lower one such groups hold few n-grams each.  In any fixed order of all n-grams
-  two sets have one in common among the first n - ceil(n p / 100) + 1 members of each.
-  A cell holds the documents that have one n-gram among these.  The order puts frequent
-  n-grams, such as those of shared passages, last; their frequencies come from a table of
-  counters of fixed size, whose errors may cost time but no pair.
+"""N-gram Jaccard join with an R-tree of count vectors of hashed token groups.
+
+A document is the set of its word n-grams.  Hashing the n-grams into groups, several
+times as many as the set has members, gives it a point of group counts.  Two documents
+share at most the sum of the coordinates' minima; a node of an R-tree over such points
+bounds all the points below it by its coordinates' maxima, its least size and its
+components.  Pairs that the tree lets through are verified on the whole sets.
+
+Points of unrelated documents lie at nearly equal distances from each other, so one tree
+over all of them would be searched nearly whole.  Therefore the points are first dealt
+into cells without loss, and each cell has a tree of its own.  In any fixed order of
+all n-grams two sets that link have one in common among the first n - ceil(n p / 100) + 1
+members of each, so a cell holds the documents that have one n-gram among these and sizes
+of one band or near it.  The order puts frequent n-grams, such as those of shared
+passages, last; their frequencies come from a table of counters of fixed size, whose
+errors may cost time but no pair.
 """
 
 from __future__ import annotations
@@ -28,20 +24,22 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components
 from .blobs import release, squeeze, unsqueeze
+from .components import connected_components
 from .words import LOWER, hashes, ngram_hashes, raw_texts
 from .workspace import Workspace
 
-GROUPS = 256
-LEAF, FAN_OUT = 32, 16
-BAND_RATIO = 1.4
-EQUAL_GROUPS_FROM = 88  # percent; below, groups hold too few n-grams to tell texts apart
-CELL_ROWS = 1024
-PAIRS_AT_ONCE = 8192  # of 1 KB points each
+LEAF, FAN_OUT = 8, 8
+GROUP_BITS = 16  # groups of a point at most
+BAND = 63  # the low bits of a cell's key: its size band
+CHOICES = 3  # cells in which a class looks for one partner first
+FEW = 128  # classes of a cell compared together in that step
+DENSE_BYTES = 1 << 24  # of counts held as a matrix at once
+QUERIES = 4  # times as many queries as points in a task of a large cell
+TASK_ROWS = 2048  # rows of small cells that share a task
 COUNTER_BITS = 22  # 4 million counters, sent to the tasks as 4 MB of levels
 COUNTER_SLOTS = 64
 SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -60,29 +58,37 @@ class Similarity:
     words: int = 5
     percent: int = 80
 
-    def need(self, together: np.ndarray | int) -> np.ndarray | int:
-        """The least intersection of linked sets of so many members together."""
-        return -(-self.percent * together // (100 + self.percent))
-
-    def bands(self, most: int) -> list[int]:
-        edges = [1]
-        while edges[-1] <= most:
-            edges.append(max(edges[-1] + 1, int(edges[-1] * BAND_RATIO)))
-        return edges
-
-    def differences(self, last: int) -> int:
-        """The most members in which linked sets differ, the smaller having up to ``last``."""
-        return (last + 100 * last // self.percent) * (100 - self.percent) // (100 + self.percent)
+    @property
+    def share(self) -> float:
+        """The least intersection of linked sets, of their members together."""
+        return self.percent / (100 + self.percent)
 
     def prefix(self, n: int) -> int:
         """How many first members may not all be missing from a linked set."""
         return n - -(-self.percent * n // 100) + 1
 
+    def bands(self, n: int) -> range:
+        """The bands of sizes of a set of n members and of the lesser sets it can link with."""
+        return range(band_of(max(1, -(-self.percent * n // 100))), band_of(n) + 1)
+
     def only_equal(self, n: int) -> bool:
         """No set other than an equal one can link with a set of n members."""
         return (n + 100 * n // self.percent) * (100 - self.percent) < 100 + self.percent
 
 
+def band_of(n: int) -> int:
+    return n.bit_length() - 1
+
+
+def group_bits(band: int) -> int:
+    """Eight groups or more for each member of a set of this band, up to a bound."""
+    return min(band + 4, GROUP_BITS)
+
+
+def block_rows(band: int) -> int:
+    return max(FEW, min(1024, DENSE_BYTES >> group_bits(band)))
+
+
 def shingles(raw: bytes, n: int) -> np.ndarray:
     """Sorted distinct hashes of the lower-cased text's n-word shingles; fewer words make one."""
     words = raw.translate(LOWER).split()
@@ -94,39 +100,20 @@ def shingles(raw: bytes, n: int) -> np.ndarray:
 
 
 def cells(members: np.ndarray, like: Similarity, levels: np.ndarray) -> np.ndarray:
-    """The rarest members of one set, as many as decide whether it can link."""
+    """The rarest members of one set, as many as decide whether it can link, in each of its bands."""
     n = len(members)
     if not n or like.only_equal(n):
         return members[:0]
     order = np.lexsort((members, levels[counter(members)]))
-    return members[order[: like.prefix(n)]]
-
-
-def group_cells(members: np.ndarray, like: Similarity, edges: list[int]) -> np.ndarray:
-    """Keys of the groups of one set, for its own size band and those of lesser partners."""
-    n, out = len(members), []
-    low = np.searchsorted(edges, -(-like.percent * n // 100), "right") - 1
-    high = np.searchsorted(edges, n, "right") - 1
-    for band in range(low, high + 1):
-        differ = like.differences(edges[band + 1] - 1)
-        if not differ:
-            continue  # only equal sets can link
-        count = differ + 2 + differ // 40
-        group = (mixed(members, 3) % np.uint64(count)).astype(np.int64)
-        sums = np.zeros(count, np.uint64)
-        np.add.at(sums, group, mixed(members, 1))
-        # Groups without members say nothing; they are needed only where too few others are left.
-        full = np.bincount(group, minlength=count) > 0
-        chosen = np.flatnonzero(full) if full.sum() > differ else np.arange(count)
-        out.append(mixed(sums[chosen] + chosen.astype(np.uint64) * SALTS[0] + np.uint64(band * int(SALTS[2]) % 2**64), 2))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    rare = members[order[: like.prefix(n)]] & ~np.uint64(BAND)
+    return np.concatenate([rare | np.uint64(min(band, BAND)) for band in like.bands(n)])
 
 
 def counter(members: np.ndarray) -> np.ndarray:
     return (mixed(members, 3) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
-def frequency_levels(docs: DataFrame, like: Similarity, key: str, text: str) -> np.ndarray:
+def frequency_levels(docs: DataFrame, like: Similarity, text: str) -> np.ndarray:
     """A level for each counter, four to a doubling of how many texts its n-grams are in.
 
     Tasks count on their own and send their counters in slots; what reaches the driver
@@ -159,133 +146,197 @@ def frequency_levels(docs: DataFrame, like: Similarity, key: str, text: str) ->
 
 
 def point(members: np.ndarray) -> bytes:
-    return np.bincount((mixed(members, 0) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes()
+    """The group of each member, in order, as gaps: a sparse vector of counts."""
+    if not len(members):
+        return b""
+    bits = group_bits(band_of(len(members)))
+    groups = np.sort(mixed(members, 0) >> np.uint64(64 - bits)).astype(np.uint16)
+    return squeeze(np.diff(groups, prepend=np.uint16(0)))
+
 
+def groups_of(blob: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(blob), dtype=np.uint16)
 
-ROWS = "doc_id long, n_shingles long, set_a long, set_b long, cells array<long>"
+
+ROWS = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, cells array<long>, point binary"
 
 
 def describe(docs: DataFrame, like: Similarity, key: str, text: str) -> DataFrame:
-    """Size, two 64-bit hashes of the set and the cells of every document."""
-    edges = like.bands(1 << 40) if like.percent >= EQUAL_GROUPS_FROM else None
-    shared = None if edges else docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, like, key, text))
+    """Size, two 64-bit hashes of the set, the cells and the point of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, like, text))
+    names = [c.split()[0] for c in ROWS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = None if edges else shared.value
+        levels = shared.value
         for batch in batches:
-            rows = []
-            for raw in raw_texts(batch.column(1)):
-                s = shingles(raw, like.words)
-                rows.append((len(s), int(mixed(s, 0).sum().astype(np.int64)), int(np.bitwise_xor.reduce(mixed(s, 2)).astype(np.int64)) if len(s) else 0, (group_cells(s, like, edges) if edges else cells(s, like, levels)).view(np.int64)))
-            starts = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])]).astype(np.int32)
-            flat = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(flat, pa.int64()))
-            columns = [batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", "cells"])
+            sets = [shingles(raw, like.words) for raw in raw_texts(batch.column("text"))]
+            of_each = [cells(s, like, levels).view(np.int64) for s in sets]
+            starts = np.concatenate([[0], np.cumsum([len(c) for c in of_each])]).astype(np.int32)
+            flat = np.concatenate(of_each) if of_each else np.zeros(0, np.int64)
+            set_a = [int(mixed(s, 0).sum().astype(np.int64)) for s in sets]
+            set_b = [int(np.bitwise_xor.reduce(mixed(s, 2)).astype(np.int64)) if len(s) else 0 for s in sets]
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_a, pa.int64()), pa.array(set_b, pa.int64())]
+            columns += [pa.ListArray.from_arrays(pa.array(starts), pa.array(flat, pa.int64())), pa.array([point(s) if len(c) else b"" for s, c in zip(sets, of_each, strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        release()
 
-    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, ROWS)
+    body = docs[text].cast("string")
+    return docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text")).mapInArrow(run, ROWS)
 
 
-def points_of(texts: DataFrame, like: Similarity) -> DataFrame:
-    """(id, point): the little-endian 32-bit group counts of each text's set."""
+@dataclass
+class Points:
+    """Sparse count vectors: row i has the sorted groups flat[starts[i] : starts[i + 1]]."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = pa.array([point(shingles(raw, like.words)) for raw in raw_texts(batch.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), made], names=["id", "point"])
+    flat: np.ndarray
+    starts: np.ndarray
+    bits: int
 
-    return texts.select("id", "text").mapInArrow(run, "id long, point binary")
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        """Counts of the given rows as a matrix."""
+        sizes = (self.starts[1:] - self.starts[:-1])[rows]
+        at = np.repeat(self.starts[rows] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        place = np.repeat(np.arange(len(rows)) << self.bits, sizes) + self.flat[at]
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        counts = np.diff(np.append(first, len(place)))
+        out = np.zeros((len(rows), 1 << self.bits), np.uint8 if counts.max(initial=0) < 256 else np.uint32)
+        out.ravel()[place[first]] = counts
+        return out
 
+    def order(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two least hashes of each row's groups; near rows tend to have the same ones."""
+        x = self.flat.astype(np.uint64)
+        return tuple(np.minimum.reduceat(mixed(x, k), self.starts[:-1]) for k in (1, 2))
 
-class CountTree:
-    """An R-tree over group counts, packed by size and then by the first coordinates."""
 
-    def __init__(self, points: np.ndarray) -> None:
-        self.order = np.lexsort([*points[:, :3].T, points.sum(axis=1)])
-        self.levels = [points[self.order]]
-        width = LEAF
-        while len(self.levels[-1]) > 1:
-            last = self.levels[-1]
-            self.levels.append(np.maximum.reduceat(last, np.arange(0, len(last), width), axis=0))
-            width = FAN_OUT
+@dataclass
+class Level:
+    """Nodes of one height: bounds of what lies below, and where their children are."""
+
+    counts: np.ndarray
+    least_size: np.ndarray
+    low: np.ndarray  # the least and the greatest component below
+    high: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
 
-    def search(self, queries: np.ndarray, need: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) pairs whose summed minima reach ``need`` of both sizes together."""
-        sizes = queries.sum(axis=1)
-        query, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
+
+class CountForest:
+    """R-trees over group counts, one for each of many cells, searched together.
+
+    ``tree`` numbers the cell of each point; points of a tree follow each other, near
+    ones close together.  Every tree has a root above its points, however small it is.
+    """
+
+    def __init__(self, counts: np.ndarray, tree: np.ndarray, sizes: np.ndarray, components: np.ndarray) -> None:
+        nothing = np.zeros(0, np.int64)
+        self.levels = [Level(counts, sizes, components, components, nothing, nothing)]
+        trees = int(tree.max(initial=-1)) + 1
+        self.root_level, self.root = np.zeros(trees, np.int64), np.zeros(trees, np.int64)
+        going, owner, width = np.arange(len(tree)), tree, LEAF
+        while len(going):
+            last = self.levels[-1]
+            run = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            nth = np.arange(len(owner)) - np.repeat(run, np.diff(np.append(run, len(owner))))
+            at = np.flatnonzero(nth % width == 0)
+            begin, end = going[at], going[at] + np.diff(np.append(at, len(going)))
+            fold = lambda f, x: f.reduceat(x[going], at, axis=0)  # noqa: B023, E731
+            self.levels.append(Level(fold(np.maximum, last.counts), fold(np.minimum, last.least_size), fold(np.minimum, last.low), fold(np.maximum, last.high), begin, end))
+            owner, width = owner[at], FAN_OUT
+            alone = np.bincount(owner, minlength=trees)[owner] == 1
+            self.root_level[owner[alone]], self.root[owner[alone]] = len(self.levels) - 1, np.flatnonzero(alone)
+            going, owner = np.flatnonzero(~alone), owner[~alone]
+
+    def search(self, counts: np.ndarray, tree: np.ndarray, sizes: np.ndarray, components: np.ndarray, share: float, lesser: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) pairs within a tree whose summed minima reach ``share`` of both sizes.
+
+        The two are of different components; with ``lesser`` the point's is the lesser one.
+        """
+        query, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        step = max(1, DENSE_BYTES // counts.shape[1] // 4)
         for depth in range(len(self.levels) - 1, -1, -1):
             level = self.levels[depth]
-            kept_q, kept_n = [], []
-            for at in range(0, len(query), PAIRS_AT_ONCE):
-                q, n = query[at : at + PAIRS_AT_ONCE], node[at : at + PAIRS_AT_ONCE]
-                shared = np.minimum(queries[q], level[n]).sum(axis=1)
-                # of a node's points none is smaller than what it shares with the query
-                other = level[n].sum(axis=1) if depth == 0 else shared
-                good = shared >= need * (sizes[q] + other) - 1e-9
-                kept_q.append(q[good])
-                kept_n.append(n[good])
-            query, node = np.concatenate(kept_q), np.concatenate(kept_n)
             if depth:
-                fan = LEAF if depth == 1 else FAN_OUT
-                last = len(self.levels[depth - 1])
-                begin = node * fan
-                count = np.minimum(begin + fan, last) - begin
-                query = np.repeat(query, count)
-                node = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]) if len(count) else begin, count) + np.arange(count.sum())
-        return query, self.order[node]
-
-
-def _leaf_pairs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of positions within each run [start, end)."""
-    first = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends, strict=True)])
-    count = np.repeat(ends, ends - starts) - first - 1
-    left = np.repeat(first, count)
-    begin = np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-    return left, left + 1 + np.arange(count.sum()) - begin
+                enter = np.flatnonzero(self.root_level[tree] == depth)
+                query, node = np.concatenate([query, enter]), np.concatenate([node, self.root[tree[enter]]])
+            low, high = level.low[node], level.high[node]
+            good = low < components[query] if lesser else (low != components[query]) | (high != components[query])
+            need = share * (sizes[query] + level.least_size[node]) - 1e-6
+            good &= sizes[query] >= need
+            query, node, need = query[good], node[good], need[good]
+            passed = np.zeros(len(query), np.bool_)
+            for at in range(0, len(query), step):
+                part = slice(at, at + step)
+                passed[part] = np.minimum(counts[query[part]], level.counts[node[part]]).sum(axis=1, dtype=np.int32) >= need[part]
+            query, node = query[passed], node[passed]
+            if depth:
+                width = (level.end - level.begin)[node]
+                query = np.repeat(query, width)
+                node = np.repeat(level.begin[node] - np.concatenate([[0], np.cumsum(width)[:-1]]) if len(width) else width, width) + np.arange(width.sum())
+        return query, node
 
 
-def _cell_pairs(frame: pd.DataFrame, like: Similarity) -> pd.DataFrame:
-    """Pairs of classes of different components that share a cell and pass the bound.
+def _candidates(frame: pd.DataFrame, like: Similarity, lesser: bool) -> pd.DataFrame:
+    """Pairs (a, b) of classes, a < b, that a tree lets through.
 
-    Cells no larger than a leaf are compared together; larger ones through their tree.
+    A row has a tree (cell and part), an id, a component, a size, a point, and whether it is
+    a point of the tree, a query or both (1, 2, 3).  With ``lesser`` each query keeps one
+    partner only, the one with the least id.
     """
-    need = like.percent / (100 + like.percent)
-    frame = frame.sort_values(["cell", "left", "right", "block", "id"], kind="stable")
-    ids, component, block = (frame[c].to_numpy() for c in ("id", "component", "block"))
-    known, place = np.unique(ids, return_inverse=True)
-    points = np.zeros((len(known), GROUPS), np.int32)
-    points[place] = np.frombuffer(b"".join(frame.point), "<i4").reshape(-1, GROUPS)
-    key = frame[["cell", "left", "right"]].to_numpy()
-    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-    ends = np.concatenate([new[1:], [len(frame)]])
-    small = (ends - new <= LEAF) & (key[new, 1] == key[new, 2])
+    frame = frame.sort_values(["cell", "part"], kind="stable")
+    frame = frame.iloc[np.argsort(frame.cell.to_numpy() & BAND, kind="stable")]
+    cell, part, ids = (frame[c].to_numpy() for c in ("cell", "part", "id"))
+    known, first, place = np.unique(ids, return_index=True, return_inverse=True)
+    groups = [groups_of(frame.point.iloc[i]) for i in first]
+    new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])
+    starts, tree = np.append(np.flatnonzero(new), len(frame)), np.cumsum(new) - 1
+    sizes, components, role = frame["n_shingles"].to_numpy(), frame["component"].to_numpy(), frame["role"].to_numpy()
     found = [np.zeros((0, 2), np.int64)]
-
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
-        apart = component[i] != component[j]
-        pair = np.sort(np.stack([place[i[apart]], place[j[apart]]], axis=1), axis=1)
-        found.append(np.unique(pair, axis=0))
-
-    if small.any():
-        keep(*_leaf_pairs(new[small], ends[small]))
-    for a, b in zip(new[~small], ends[~small], strict=True):
-        left, right = key[a, 1], key[a, 2]
-        one, two = a + np.flatnonzero(block[a:b] == left), a + np.flatnonzero(block[a:b] == right)
-        if len(one) and len(two):
-            i, j = CountTree(points[place[two]]).search(points[place[one]], need)
-            apart = (left != right) | (one[i] < two[j])
-            keep(one[i[apart]], two[j[apart]])
-    pairs, good = np.unique(np.concatenate(found), axis=0), []
-    for at in range(0, len(pairs), PAIRS_AT_ONCE):
-        x, y = points[pairs[at : at + PAIRS_AT_ONCE, 0]], points[pairs[at : at + PAIRS_AT_ONCE, 1]]
-        good.append(np.minimum(x, y).sum(axis=1) >= need * (x.sum(axis=1) + y.sum(axis=1)) - 1e-9)
-    pairs = pairs[np.concatenate(good)] if good else pairs
+    at = 0
+    while at < len(starts) - 1:
+        band = int(cell[starts[at]] & BAND)
+        bits, to = group_bits(band), at + 1
+        while to < len(starts) - 1 and int(cell[starts[to]] & BAND) == band and (starts[to + 1] - starts[at]) << bits <= DENSE_BYTES:
+            to += 1
+        rows = np.arange(starts[at], starts[to])
+        folded = [groups[p] >> max(0, group_bits(band_of(int(n))) - bits) for p, n in zip(place[rows], sizes[rows], strict=True)]
+        points = Points(np.concatenate(folded), np.concatenate([[0], np.cumsum([len(x) for x in folded])]), bits)
+        one, two = points.order()
+        order = np.lexsort((two, one, tree[rows]))
+        order = order[(role[rows[order]] & 1) > 0]
+        asking = np.flatnonzero(role[rows] & 2)
+        base = tree[rows[0]]
+        if len(order) and len(asking):
+            inside = rows[order]
+            forest = CountForest(points.dense(order), tree[inside] - base, sizes[inside], components[inside])
+            slice_rows = max(1, 4 * DENSE_BYTES >> bits)
+            for k in range(0, len(asking), slice_rows):
+                some = asking[k : k + slice_rows]
+                mine = rows[some]
+                q, p = forest.search(points.dense(some), tree[mine] - base, sizes[mine], components[mine], like.share, lesser)
+                pair = np.stack([place[inside[p]], place[mine[q]]], axis=1)
+                if lesser:  # ids are the components here
+                    pair = pair[np.lexsort((pair[:, 0], pair[:, 1]))]
+                    pair = pair[np.concatenate([[True], pair[1:, 1] != pair[:-1, 1]])] if len(pair) else pair
+                found.append(np.unique(np.sort(pair, axis=1), axis=0))
+        at = to
+    pairs = np.unique(np.concatenate(found), axis=0)
     out = pd.DataFrame({"a": known[pairs[:, 0]], "b": known[pairs[:, 1]]})
-    del points, frame, found
+    del frame, found, groups
     release()
     return out
 
 
+def tree_pairs(rows: DataFrame, like: Similarity, large: Column, buckets: int, lesser: bool) -> DataFrame:
+    """(a, b) of classes in one tree, by rows as ``_candidates`` takes them.
+
+    A large cell's parts have a task each; small cells share tasks.
+    """
+    task = F.when(large, F.xxhash64("cell", "part")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(buckets)))
+    asked = rows.select(task.alias("task"), "cell", "part", "id", "component", "n_shingles", "role", "point")
+    return asked.groupBy("task").applyInPandas(lambda p: _candidates(p, like, lesser), "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
 
@@ -293,7 +344,7 @@ def verified(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
         for batch in batches:
             sets: dict[int, np.ndarray] = {}
             good = []
-            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), raw_texts(batch.column(3)), strict=True):
+            for a, x, y in zip(batch.column("a").to_pylist(), raw_texts(batch.column("text_a")), raw_texts(batch.column("text_b")), strict=True):
                 if a not in sets:
                     sets = {a: shingles(x, like.words)}
                 other = shingles(y, like.words)
@@ -307,74 +358,125 @@ def verified(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, like: Similarity = Similarity(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links).
-
-    Documents with equal sets form a class, linked without comparing.  Among classes
-    that share a cell, each is first compared with the one it shares most cells with;
-    what is not connected then is searched for by the tree, cell by cell, cells of
-    many classes in blocks.  No pair that could link two components is left out.
+def _first_partners(shared: DataFrame, points: DataFrame, like: Similarity, space: Workspace) -> DataFrame:
+    """A lesser partner (a) for each class (b) that has one in a few of its cells, in parts of a cell.
 
-    Null and empty texts have no shingles and link with nothing.  Rows that repeat a
-    doc_id are one document, linked wherever one of its texts is; rows without an id
-    keep a null component.  Other columns are ignored; an empty table gives an empty
-    result.
+    The least class of a cell is a point of every part, so that most of a group of near
+    copies is linked to one of them.
+    """
+    nth = [F.min_by("cell", F.xxhash64("cell", F.lit(k))) for k in range(CHOICES)]
+    chosen = shared.groupBy("id").agg(F.array_distinct(F.array(*nth)).alias("cells")).select("id", F.explode("cells").alias("cell"))
+    chosen = space.write(chosen, "chosen")
+    sizes = chosen.groupBy("cell").agg(F.ceil(F.count("*") / FEW).cast("int").alias("parts"))
+    heads = shared.groupBy("cell").agg(F.min("id").alias("first")).join(sizes, "cell")
+    asking = chosen.join(sizes, "cell").select("cell", "id", F.pmod(F.xxhash64("id", "cell"), F.col("parts")).cast("int").alias("part"), "parts", F.lit(3).alias("role"))
+    always = heads.select("cell", F.col("first").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.lit(1).alias("role"))
+    rows = asking.unionByName(always).join(points, "id").withColumn("component", F.col("id"))
+    buckets = max(12, -(-chosen.count() // TASK_ROWS))
+    pairs = tree_pairs(rows, like, F.col("parts") > 8, buckets, lesser=True)
+    return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+
+def _open_pairs(shared: DataFrame, points: DataFrame, found: DataFrame, like: Similarity, space: Workspace) -> DataFrame:
+    """Pairs of classes of different components in any cell, as the trees let them through.
+
+    Of a cell, all classes are points, and those outside its largest component ask.  A
+    cell of many classes is cut into blocks of points and parts of those who ask, so
+    that a task holds a bounded number of either.
     """
+    placed = shared.join(found, "id", "left").select("cell", "id", F.coalesce("component", "id").alias("component"))
+    inside = placed.groupBy("cell", "component").agg(F.count("*").alias("n"))
+    mixed_cells = inside.groupBy("cell").agg(F.sum("n").alias("n"), F.max("n").alias("top_n"), F.max_by("component", "n").alias("top"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    rows_of = F.element_at(F.array(*[F.lit(block_rows(b)) for b in range(BAND + 1)]), (F.col("cell").bitwiseAND(F.lit(BAND)) + 1).cast("int"))
+    cut = mixed_cells.withColumn("blocks", F.ceil(F.col("n") / rows_of).cast("int")).withColumn("askers", F.ceil((F.col("n") - F.col("top_n")) / (QUERIES * rows_of)).cast("int"))
+    cut = space.write(cut, "mixed")
+    rows = placed.join(cut, "cell").withColumn("asks", F.col("component") != F.col("top"))
+    large = (F.col("blocks") > 1) | (F.col("askers") > 1)
+    small_rows = rows.filter(~large).select("cell", "id", "component", F.lit(0).alias("part"), F.when(F.col("asks"), 3).otherwise(1).alias("role"), F.lit(False).alias("large"))
+    block, asker = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("askers")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cut_rows = rows.filter(large)
+    as_points = cut_rows.withColumn("_k", each("askers")).select("cell", "id", "component", (block * F.col("askers") + F.col("_k")).alias("part"), F.lit(1).alias("role"), F.lit(True).alias("large"))
+    as_queries = cut_rows.filter("asks").withColumn("_k", each("blocks")).select("cell", "id", "component", (F.col("_k") * F.col("askers") + asker).alias("part"), F.lit(2).alias("role"), F.lit(True).alias("large"))
+    small = cut.filter(~large).agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+    every = small_rows.unionByName(as_points).unionByName(as_queries).join(points, "id")
+    return tree_pairs(every, like, F.col("large"), max(12, -(-small // TASK_ROWS)), lesser=False)
+
+
+def _row_components(docs: DataFrame, like: Similarity, key: str, text: str) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_hash, n_shingles, and of its component the
+    least (doc_id, text_hash); null where there is no set or no id."""
     space = Workspace(docs.sparkSession, "jaccard")
-    rows = space.write(describe(docs, like, key, text), "rows")
+    rows = space.write(describe(docs, like, key, text).withColumn("row", F.monotonically_increasing_id()), "rows")
     named = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("id"), F.min_by("cells", "doc_id").alias("cells"))
-    in_cell = Window.partitionBy("cell")
-    # Only cells with two classes or more matter; most have one.
-    shared = (
-        classes.select("id", F.explode("cells").alias("cell"))
-        .withColumn("first", F.min("id").over(in_cell))
-        .withColumn("classes", F.count("*").over(in_cell))
-        .filter("classes > 1")
+    same_set = ["n_shingles", "set_a", "set_b"]
+    classes = space.write(
+        named.groupBy(*same_set).agg(
+            F.min("row").alias("id"),
+            F.min_by("doc_id", "row").alias("of_doc"),
+            F.min_by("text_hash", "row").alias("of_text"),
+            F.min("doc_id").alias("least_doc"),
+            F.min_by("text_hash", F.struct("doc_id", "text_hash")).alias("least_text"),
+        ),
+        "classes",
     )
-    shared = space.write(shared, "shared")
-    ids = shared.select("id").distinct()
-    members = space.write(rows.select("doc_id", "n_shingles", "set_a", "set_b"), "members")
-    heads = space.write(members.filter("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id")), "heads")
-    chosen = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("text"))
-    texts = space.write(chosen.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    members = space.write(rows.select("doc_id", "text_hash", *same_set), "members")
+    of_class = rows.select(F.col("row").alias("id"), "cells", "n_shingles", "point").join(classes.select("id"), "id", "left_semi")
+    of_class = space.write(of_class.filter(F.size("cells") > 0), "of_class")
     space.drop("rows")
-
-    stars = shared.filter("id > first").groupBy("id", "first").count().groupBy("id").agg(F.max_by("first", F.struct("count", -F.col("first"))).alias("a"))
-    links = space.write(verified(stars.select("a", F.col("id").alias("b")), texts, like), "links0")
-    found = connected_components(links, "a", "b", space, "star")
-
-    placed = shared.select("cell", "id").join(found, "id", "left").select("cell", "id", F.coalesce("component", "id").alias("component"))
-    mixed_cells = placed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high")
-    blocks = F.ceil(F.col("n") / CELL_ROWS).cast("int")
-    open_rows = placed.join(mixed_cells, "cell")
-    points = points_of(texts.join(open_rows.select("id").distinct(), "id", "left_semi"), like)
-    open_rows = open_rows.join(points, "id").withColumn("blocks", blocks)
-    open_rows = open_rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = open_rows.withColumn("_other", other).select(
-        "cell", "id", "component", "point", "block", F.least("block", "_other").alias("left"), F.greatest("block", "_other").alias("right"),
-    )
-    parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    tasks = spread.withColumn("task", F.pmod(F.xxhash64("cell", "left", "right"), F.lit(parts * 16)))
-    pairs = tasks.groupBy("task").applyInPandas(lambda p: _cell_pairs(p, like), "a long, b long").distinct()
-    more = space.write(verified(pairs, texts, like), "links1")
+    exploded = of_class.select("id", F.explode("cells").alias("cell"))
+    several = exploded.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
+    shared = space.write(exploded.join(several, "cell", "left_semi"), "shared")  # most cells have one class only
+    ids = shared.select("id").distinct()
+    points = space.write(of_class.join(ids, "id", "left_semi").select("id", "n_shingles", "point"), "points")
+    space.drop("of_class")
+    wanted = classes.join(ids, "id", "left_semi").select("id", F.col("of_doc").alias("_doc"), F.col("of_text").alias("_hash"))
+    chosen = docs.select(docs[key].cast("long").alias("_doc"), F.xxhash64(docs[text].cast("string")).alias("_hash"), docs[text].cast("string").alias("text"))
+    # repeated rows have one text
+    texts = space.write(chosen.join(wanted, ["_doc", "_hash"]).groupBy("id").agg(F.min("text").alias("text")), "texts")
+
+    links = space.write(verified(_first_partners(shared, points, like, space), texts, like), "links0")
+    found = connected_components(links, "a", "b", space, "first")
+    more = space.write(verified(_open_pairs(shared, points, found, like, space), texts, like), "links1")
+    space.drop("shared", "chosen", "points", "texts", "mixed")
     edges = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
     final = connected_components(edges, "a", "b", space, "all")
 
-    same = (members["n_shingles"] == heads["n_shingles"]) & (members["set_a"] == heads["set_a"]) & (members["set_b"] == heads["set_b"])
-    out = members.join(heads.select("n_shingles", "set_a", "set_b", "class_id"), same, "left").select(members["doc_id"], members["n_shingles"], "class_id")
-    out = out.join(final, out["class_id"] == final["id"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "class_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id"))
+    placed = classes.join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = placed.groupBy("component").agg(F.min("least_doc").alias("head_doc"), F.min_by("least_text", F.struct("least_doc", "least_text")).alias("head_text"))
+    heads = placed.join(least, "component").select(*[F.col(c).alias(f"_{c}") for c in same_set], "head_doc", "head_text")
+    same = (members["n_shingles"] == heads["_n_shingles"]) & (members["set_a"] == heads["_set_a"]) & (members["set_b"] == heads["_set_b"]) & members["doc_id"].isNotNull()
+    return members.join(heads, same, "left").select("doc_id", "text_hash", "n_shingles", "head_doc", "head_text")
+
+
+def jaccard_components(docs: DataFrame, like: Similarity = Similarity(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links).
+
+    Documents with equal sets form a class, linked without comparing.  Classes that share
+    a cell are compared by the cell's tree: first each asks for one partner in a few of
+    its cells, which joins most groups of near copies; then all classes of different
+    components in one cell are searched for.  No pair that could link two components is
+    left out.
+
+    Null and empty texts have no shingles and link with nothing.  Rows that repeat a
+    doc_id are separate documents, each linked by its own text; rows without an id
+    link with nothing and keep a null component.  Other columns are ignored; an empty
+    table gives an empty result.
+    """
+    found = _row_components(docs, like, key, text)
+    return found.select("doc_id", "n_shingles", F.coalesce("head_doc", "doc_id").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, like: Similarity = Similarity(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the near copies of a document with a lesser id; of repeated ids one row stays.
+    """``docs`` without near copies: of each component the row with the least id stays, and of
+    several such the one with the least hash of its text; of rows equal in both, one.
 
     Documents without shingles or without an id all stay.
     """
-    found = jaccard_components(docs, like, key, text)
-    heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.join(heads, docs[key].cast("long") == heads["_head"]).withColumn("_nth", F.row_number().over(Window.partitionBy("_head").orderBy(text)))
-    return kept.filter("_nth = 1").select(*docs.columns).unionByName(docs.filter(docs[key].isNull()))
+    found = _row_components(docs, like, key, text).filter("doc_id IS NOT NULL")
+    is_head = (F.col("doc_id") == F.col("head_doc")) & (F.col("text_hash") == F.col("head_text"))
+    heads = found.filter(is_head | F.col("head_doc").isNull()).select(F.col("doc_id").alias("_head"), F.col("text_hash").alias("_hash"), F.col("head_doc").isNull().alias("_all")).distinct()
+    same = (docs[key].cast("long") == heads["_head"]) & (F.xxhash64(docs[text].cast("string")) == heads["_hash"])
+    alike = Window.partitionBy("_head", "_hash").orderBy(F.lit(0))
+    kept = docs.join(heads, same).withColumn("_nth", F.row_number().over(alike))
+    return kept.filter("_nth = 1 OR _all").select(*docs.columns).unionByName(docs.filter(docs[key].isNull()))
