@@ -8,11 +8,13 @@ components.  Pairs that the tree lets through are verified on the whole sets.
 
 Points of unrelated documents lie at nearly equal distances from each other, so one tree
 over all of them would be searched nearly whole.  Therefore the points are first dealt
-into cells without loss, and each cell has a tree of its own.  In any fixed order of
-all n-grams two sets that link have one in common among the first n - ceil(n p / 100) + 1
-members of each, so a cell holds the documents that have one n-gram among these and sizes
-of one band or near it.  The order puts frequent n-grams, such as those of shared
-passages, last; their frequencies come from a table of counters of fixed size, whose
+into cells without loss, and each cell has a tree of its own.  Sets of together t
+members that link differ in at most d = t (100 - p) / (100 + p) of them, so of g groups
+of n-grams all but d hold the same members in both.  A cell holds the documents that
+agree in one group.  A document need not go to all its cells: the rarest of the groups
+in which two sets agree is among the d + 1 rarest of either, by any order that depends
+on a group's members only.  Groups of few or frequent n-grams, such as those of shared
+passages, come last; frequencies come from a table of counters of fixed size, whose
 errors may cost time but no pair.
 """
 
@@ -33,7 +35,7 @@ from .words import LOWER, hashes, ngram_hashes, raw_texts
 from .workspace import Workspace
 
 LEAF, FAN_OUT = 8, 8
-GROUP_BITS = 16  # groups of a point at most
+GROUP_BITS = 12  # of the groups of a point, for sets of up to 2 ** 16 members
 BAND = 63  # the low bits of a cell's key: its size band
 CHOICES = 3  # cells in which a class looks for one partner first
 FEW = 128  # classes of a cell compared together in that step
@@ -63,9 +65,9 @@ class Similarity:
         """The least intersection of linked sets, of their members together."""
         return self.percent / (100 + self.percent)
 
-    def prefix(self, n: int) -> int:
-        """How many first members may not all be missing from a linked set."""
-        return n - -(-self.percent * n // 100) + 1
+    def differences(self, one: int, other: int) -> int:
+        """In how many members sets of these sizes at most may differ to link."""
+        return (one + other) * (100 - self.percent) // (100 + self.percent)
 
     def bands(self, n: int) -> range:
         """The bands of sizes of a set of n members and of the lesser sets it can link with."""
@@ -73,7 +75,7 @@ class Similarity:
 
     def only_equal(self, n: int) -> bool:
         """No set other than an equal one can link with a set of n members."""
-        return (n + 100 * n // self.percent) * (100 - self.percent) < 100 + self.percent
+        return self.differences(n, 100 * n // self.percent) < 1
 
 
 def band_of(n: int) -> int:
@@ -81,8 +83,8 @@ def band_of(n: int) -> int:
 
 
 def group_bits(band: int) -> int:
-    """Eight groups or more for each member of a set of this band, up to a bound."""
-    return min(band + 4, GROUP_BITS)
+    """Eight groups or more for each member of a set of this band, for large sets fewer."""
+    return max(min(band + 4, GROUP_BITS), band - 4)
 
 
 def block_rows(band: int) -> int:
@@ -100,13 +102,24 @@ def shingles(raw: bytes, n: int) -> np.ndarray:
 
 
 def cells(members: np.ndarray, like: Similarity, levels: np.ndarray) -> np.ndarray:
-    """The rarest members of one set, as many as decide whether it can link, in each of its bands."""
-    n = len(members)
+    """Keys of the rarest groups of one set, as many as decide whether it can link, in each of its bands."""
+    n, out = len(members), [members[:0]]
     if not n or like.only_equal(n):
         return members[:0]
-    order = np.lexsort((members, levels[counter(members)]))
-    rare = members[order[: like.prefix(n)]] & ~np.uint64(BAND)
-    return np.concatenate([rare | np.uint64(min(band, BAND)) for band in like.bands(n)])
+    rarity = 128 - levels[counter(members)].astype(np.int64)
+    hashed, summands = mixed(members, 3), mixed(members, 1)
+    for band in like.bands(n):
+        last = (2 << band) - 1
+        most = like.differences(last, 100 * last // like.percent)
+        differ = like.differences(n, 100 * n // like.percent if band == band_of(n) else last)
+        count = most + 2 + most // 4
+        group = (hashed % np.uint64(count)).astype(np.int64)
+        sums = np.zeros(count, np.uint64)
+        np.add.at(sums, group, summands)
+        rarest = np.argsort(-np.bincount(group, weights=rarity, minlength=count), kind="stable")[: differ + 1]
+        key = mixed(sums[rarest] + rarest.astype(np.uint64) * SALTS[0], 2)
+        out.append((key & ~np.uint64(BAND)) | np.uint64(min(band, BAND)))
+    return np.concatenate(out)
 
 
 def counter(members: np.ndarray) -> np.ndarray:
@@ -150,12 +163,12 @@ def point(members: np.ndarray) -> bytes:
     if not len(members):
         return b""
     bits = group_bits(band_of(len(members)))
-    groups = np.sort(mixed(members, 0) >> np.uint64(64 - bits)).astype(np.uint16)
-    return squeeze(np.diff(groups, prepend=np.uint16(0)))
+    groups = np.sort(mixed(members, 0) >> np.uint64(64 - bits)).astype(np.uint32)
+    return squeeze(np.diff(groups, prepend=np.uint32(0)))
 
 
 def groups_of(blob: bytes) -> np.ndarray:
-    return np.cumsum(unsqueeze(blob), dtype=np.uint16)
+    return np.cumsum(unsqueeze(blob), dtype=np.uint32)
 
 
 ROWS = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, cells array<long>, point binary"
@@ -368,7 +381,7 @@ def _first_partners(shared: DataFrame, points: DataFrame, like: Similarity, spac
     chosen = shared.groupBy("id").agg(F.array_distinct(F.array(*nth)).alias("cells")).select("id", F.explode("cells").alias("cell"))
     chosen = space.write(chosen, "chosen")
     sizes = chosen.groupBy("cell").agg(F.ceil(F.count("*") / FEW).cast("int").alias("parts"))
-    heads = shared.groupBy("cell").agg(F.min("id").alias("first")).join(sizes, "cell")
+    heads = shared.filter("id = first").join(sizes, "cell")
     asking = chosen.join(sizes, "cell").select("cell", "id", F.pmod(F.xxhash64("id", "cell"), F.col("parts")).cast("int").alias("part"), "parts", F.lit(3).alias("role"))
     always = heads.select("cell", F.col("first").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.lit(1).alias("role"))
     rows = asking.unionByName(always).join(points, "id").withColumn("component", F.col("id"))
@@ -384,7 +397,7 @@ def _open_pairs(shared: DataFrame, points: DataFrame, found: DataFrame, like: Si
     cell of many classes is cut into blocks of points and parts of those who ask, so
     that a task holds a bounded number of either.
     """
-    placed = shared.join(found, "id", "left").select("cell", "id", F.coalesce("component", "id").alias("component"))
+    placed = shared.select("cell", "id").join(found, "id", "left").select("cell", "id", F.coalesce("component", "id").alias("component"))
     inside = placed.groupBy("cell", "component").agg(F.count("*").alias("n"))
     mixed_cells = inside.groupBy("cell").agg(F.sum("n").alias("n"), F.max("n").alias("top_n"), F.max_by("component", "n").alias("top"), F.count("*").alias("k")).filter("k > 1").drop("k")
     rows_of = F.element_at(F.array(*[F.lit(block_rows(b)) for b in range(BAND + 1)]), (F.col("cell").bitwiseAND(F.lit(BAND)) + 1).cast("int"))
@@ -424,9 +437,10 @@ def _row_components(docs: DataFrame, like: Similarity, key: str, text: str) -> D
     of_class = rows.select(F.col("row").alias("id"), "cells", "n_shingles", "point").join(classes.select("id"), "id", "left_semi")
     of_class = space.write(of_class.filter(F.size("cells") > 0), "of_class")
     space.drop("rows")
-    exploded = of_class.select("id", F.explode("cells").alias("cell"))
-    several = exploded.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
-    shared = space.write(exploded.join(several, "cell", "left_semi"), "shared")  # most cells have one class only
+    # Most cells have one class only.  Both sides of the join read one and the same shuffle.
+    dealt = of_class.select("id", F.explode("cells").alias("cell")).repartition("cell")
+    several = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").select("cell", "first")
+    shared = space.write(dealt.join(several, "cell").select("cell", "id", "first"), "shared")
     ids = shared.select("id").distinct()
     points = space.write(of_class.join(ids, "id", "left_semi").select("id", "n_shingles", "point"), "points")
     space.drop("of_class")
