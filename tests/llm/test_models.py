@@ -3,6 +3,7 @@
 import math
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -70,40 +71,55 @@ def test_interactions_equal_the_double_sum():
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def plain_katz(rows):
-    texts = [[*(t or "").encode().translate(LOWER).split(), None] for _, t in rows]
-    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
-    words, pairs, contexts = Counter(), Counter(), Counter()
+def plain_katz(rows, others=None):
+    """Scores of ``rows`` under the model of those not held out, or of ``others`` under that of all ``rows``."""
+    split = lambda t: [*(t or "").encode().translate(LOWER).split(), None]
+    texts = [split(t) for _, t in rows]
+    held = [others is None and zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
+    grams = [Counter(), Counter(), Counter()]
     for tokens, out in zip(texts, held, strict=True):
         if not out:
-            words.update(tokens)
-            pairs.update(zip(["<start>", *tokens], tokens, strict=False))
-            contexts.update(["<start>", *tokens[:-1]])
-    one = katz.Discounts.of([Counter(words.values())[r] for r in range(1, 7)])
-    two = katz.Discounts.of([Counter(pairs.values())[r] for r in range(1, 7)])
-    cut = lambda d, c: c * d.factors[c - 1] if c <= 5 else c
+            padded = ["<start>", "<start>", *tokens]
+            grams[0].update(tokens)
+            grams[1].update(zip(padded[1:], tokens, strict=False))
+            grams[2].update(zip(padded, padded[1:], tokens, strict=False))
+    words = grams[0]
+    cuts = [katz.Discounts.of([Counter(g.values())[r] for r in range(1, 7)]) for g in grams]
+    cut = lambda k, c: c * cuts[k].factors[c - 1] if c <= 5 else c
     total = sum(words.values())
-    kept = sum(cut(one, c) for c in words.values())
+    kept = sum(cut(0, c) for c in words.values())
     unknown = max(1 - kept / total, 1 / (total + 1)) if total else 1.0
-    p1 = lambda w: cut(one, words[w]) * (1 - unknown) / kept if words[w] else unknown
     after = defaultdict(list)
-    for (h, w), c in pairs.items():
-        after[h].append((w, c))
+    for k in (1, 2):
+        for gram, c in grams[k].items():
+            after[gram[:-1]].append((gram[-1], c))
 
-    def p2(w, h):
-        if not contexts[h]:
-            return p1(w)
+    @cache
+    def context(h):
+        n, k = sum(c for _, c in after[h]), len(h)
         all_above = all(c > 5 for _, c in after[h])
-        free = 1 / (contexts[h] + 1) if all_above else 1 - sum(cut(two, c) for _, c in after[h]) / contexts[h]
-        if pairs[h, w]:
-            return pairs[h, w] / (contexts[h] + 1) if all_above else cut(two, pairs[h, w]) / contexts[h]
-        return free / (1 - sum(p1(x) for x, _ in after[h])) * p1(w)
-
+        free = 1 / (n + 1) if all_above else 1 - sum(cut(k, c) for _, c in after[h]) / n
+        return n, all_above, free / (1 - sum(p(x, h[1:]) for x, _ in after[h]))
+
+    def p(w, h):
+        if not h:
+            return cut(0, words[w]) * (1 - unknown) / kept if words[w] else unknown
+        if h not in after:
+            return p(w, h[1:])
+        n, all_above, weight = context(h)
+        c = grams[len(h)][*h, w]
+        if c:
+            return c / (n + 1) if all_above else cut(len(h), c) / n
+        return weight * p(w, h[1:])
+
+    if others is not None:
+        rows, texts, held = others, [split(t) for _, t in others], [True] * len(others)
     scores = []
     for (i, _), tokens, out in zip(rows, texts, held, strict=True):
+        padded = ["<start>", "<start>", *tokens]
         base = sum(math.log10((words[w] + 1) / (total + len(words) + 1)) for w in tokens)
-        scores.append((i, out, len(tokens), sum(words[w] > 0 for w in tokens), total, base, sum(math.log10(p2(w, h)) for h, w in zip(["<start>", *tokens], tokens, strict=False))))
-    return scores, p2, words, after
+        scores.append((i, out, len(tokens), sum(words[w] > 0 for w in tokens), total, base, sum(math.log10(p(w, tuple(padded[k : k + 2]))) for k, w in enumerate(tokens))))
+    return scores, p, words, after
 
 
 def agree(got, expected):
@@ -115,15 +131,25 @@ def agree(got, expected):
 
 def test_katz_against_a_plain_model_and_sums_to_one(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    expected, p2, words, after = plain_katz([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    expected, p, words, after = plain_katz([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
     agree(katz.katz_scores(docs).collect(), expected)
-    for h in ["<start>", *list(after)[:3]]:
-        assert sum(p2(w, h) for w in words) + p2(b"never seen", h) == pytest.approx(1)
+    seen = [h for h in after if len(h) == 2]
+    for h in [("<start>", "<start>"), ("<start>",), *seen[:3], (seen[5][1],), (b"never seen", seen[9][1])]:
+        assert sum(p(w, h) for w in words) + p(b"never seen", h) == pytest.approx(1)
+
+
+def test_a_stored_model_scores_another_table(spark, edge, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id % 3 = 0")
+    others = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id % 3 = 1").select("doc_id", "text").unionByName(edge.filter("doc_id IS NULL OR doc_id <> 7").select("doc_id", "text"))
+    katz.fit(docs).write(str(tmp_path / "model"))
+    got = katz.scored_by(katz.Model.read(spark, str(tmp_path / "model")), others)
+    expected, *_ = plain_katz([(r.doc_id, r.text) for r in docs.collect()], [tuple(r) for r in others.collect()])
+    agree(got.collect(), expected)
 
 
 def test_katz_on_edge_cases_in_small_chunks(spark, edge, empty, monkeypatch):
-    monkeypatch.setattr(katz, "CHUNK_BYTES", 300)
-    monkeypatch.setattr(katz, "PART_TOKENS", 20_000)
+    monkeypatch.setattr(katz, "LEAST_TOKENS", 50)
+    monkeypatch.setattr(katz, "MESSAGE_TOKENS", 3)
     docs = edge.filter("doc_id IS NULL OR doc_id <> 7").repartition(1)
     docs = docs.unionByName(docs.filter("doc_id = 1").selectExpr("100 AS doc_id", *docs.columns[1:]))
     expected, *_ = plain_katz([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])

@@ -43,7 +43,7 @@ def all_pairs(rows, n, percent):
     for i, text in rows:
         sets.setdefault(i, words_set(text, n))
     ids = sorted(sets)
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if sets[a] and sets[b] and 100 * min(len(sets[a]), len(sets[b])) >= percent * max(len(sets[a]), len(sets[b])) and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     return plain_components(ids, links), sets
 
 
@@ -125,7 +125,7 @@ def test_all_verified_pairs_come_out_of_trees(spark, monkeypatch, n, percent):
 
     monkeypatch.setattr(jaccard, "tree_pairs", watched)
     monkeypatch.setattr(jaccard, "verified", lambda p, *a: asked.append({tuple(r) for r in p.collect()}) or check(p, *a))
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = jaccard.jaccard_components(docs, jaccard.Similarity(n, percent))
     assert len(given) == 2 and given[0] and asked[0] <= given[0] and asked[1] == given[1]
     expected, _ = all_pairs([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], n, percent)

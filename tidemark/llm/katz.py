@@ -1,23 +1,29 @@
-"""Katz back-off language model: Good-Turing counts in partitioned tables, scored token by token.
-
-Texts are encoded once in chunks.  A chunk asks the unigram parts for the ids and
-counts of its distinct words, then the bigram parts for the counts of its distinct
-word pairs; each part of the counts lives in one place, answers every chunk and is
-stored.  What travels is one entry per distinct word or pair of a chunk, so a very
-common word or pair costs one entry a chunk; the pairs of a common first word are
+"""Katz back-off language model of order three: Good-Turing counts in partitioned tables, scored token by token.
+
+Texts are encoded once in chunks.  At each order a chunk asks parts of the counts, one
+entry for each distinct n-gram of the chunk: first the unigram parts for the ids and
+counts of its words, then the bigram parts, dealt by the first word, then the trigram
+parts, dealt by the first pair.  A part adds up what all chunks have in their training
+texts, answers every chunk, and is stored; stored parts answer other texts likewise,
+being one more chunk that asks nothing.  What follows a very common word or pair is
 dealt over several parts.
+
+A chunk and a part hold about the square root of MESSAGE_TOKENS x all tokens, so that a
+message between the two has MESSAGE_TOKENS on average and the number of messages grows
+in proportion to the tokens.  A chunk is no larger than an input partition.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import release, squeeze, unsqueeze
@@ -25,10 +31,11 @@ from .classify import remainder
 from .words import LOWER, hashes, raw_texts
 from .workspace import Workspace, ship_package
 
-CHUNK_BYTES = 4_000_000
-PART_TOKENS = 500_000
+MESSAGE_TOKENS = 1000
+LEAST_TOKENS = 50_000
+TOKEN_BYTES = 6
 END = np.uint64(0xE1D0E1D0E1D0E1D1)
-START_ID = 0
+START_ID = 0  # of the word and of the pair before a text
 KEEP = 5  # counts above are not discounted
 RANKS = [f"n{r}" for r in range(1, KEEP + 2)]
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -41,6 +48,11 @@ def spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def share_tokens(tokens: int) -> int:
+    """Tokens of a chunk and of a part."""
+    return max(LEAST_TOKENS, math.isqrt(MESSAGE_TOKENS * tokens))
+
+
 @dataclass(frozen=True)
 class Discounts:
     """Good-Turing factors for counts 1 to KEEP; greater counts keep theirs."""
@@ -77,51 +89,62 @@ class Unigrams:
     types: int
     kept: float  # the sum of the discounted counts
 
-    def probability(self, counts: np.ndarray) -> np.ndarray:
+    def probability(self, counts: np.ndarray, _: np.ndarray | None = None) -> np.ndarray:
         unknown = max(1 - self.kept / self.total, 1 / (self.total + 1)) if self.total else 1.0
         scale = (1 - unknown) / self.kept if self.kept else 0.0
         return np.where(counts > 0, self.discounts.apply(counts) * scale, unknown)
 
 
+@dataclass(frozen=True)
+class Bigrams:
+    """The level above: probabilities of pairs seen in training."""
+
+    discounts: Discounts
+
+    def probability(self, counts: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """Of a pair's signed count (negative where its context frees nothing) and its context's."""
+        seen, n = np.abs(counts), np.maximum(contexts, 1)
+        return np.where(counts < 0, seen / (n + 1), self.discounts.apply(seen) / n)
+
+
 CHUNKS = "chunk long, docs binary, nulls binary, held binary, lengths binary, words binary, tokens binary, n_tokens long, n_texts long"
 CHUNK_NAMES = [c.split()[0] for c in CHUNKS.split(", ")]
 
 
-def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunk_row(chunk: int, part: pa.Table) -> pa.RecordBatch:
+    single, lengths = [], []
+    for t in raw_texts(part.column("text")):
+        h = hashes(t.translate(LOWER).split())
+        single += [h, END[None]]
+        lengths.append(len(h) + 1)
+    words, tokens = np.unique(np.concatenate(single), return_inverse=True)
+    held = part.column("held_out").to_numpy().astype(np.uint8)
+    ids, none = part.column("doc_id").fill_null(0).to_numpy(), part.column("doc_id").is_null().to_numpy()
+    size = np.array(lengths, np.int64)
+    row = [chunk, squeeze(ids), squeeze(none.astype(np.uint8)), squeeze(held), squeeze(size), words.tobytes(), squeeze(tokens.astype(np.int32)), int(size[held == 0].sum()), int((held == 0).sum())]
+    release()
+    return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=CHUNK_NAMES)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    chunk = TaskContext.get().partitionId() << 24
+    chunk, waiting, held_bytes = TaskContext.get().partitionId() << 24, [], 0
     for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64)
         at = 0
-        while at < len(ends):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_BYTES, "right")))
-            part = batch.slice(at, to - at)
-            single, lengths = [], []
-            for t in raw_texts(part.column("text")):
-                h = hashes(t.translate(LOWER).split())
-                single += [h, END[None]]
-                lengths.append(len(h) + 1)
-            words, tokens = np.unique(np.concatenate(single), return_inverse=True)
-            held = part.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint8)
-            ids, none = part.column("doc_id").fill_null(0).to_numpy(), part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-            size = np.array(lengths, np.int64)
-            row = [chunk, squeeze(ids), squeeze(none.astype(np.uint8)), squeeze(held), squeeze(size), words.tobytes(), squeeze(tokens.astype(np.int32)), int(size[held == 0].sum()), int((held == 0).sum())]
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=CHUNK_NAMES)
-            at, chunk = to, chunk + 1
-            release()
-
-
-def _tokens(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """tokens, lengths and which tokens belong to training texts."""
-    lengths = unsqueeze(row.lengths)
-    return unsqueeze(row.tokens), lengths, np.repeat(unsqueeze(row.held) == 0, lengths)
-
-
-def _word_parts(words: np.ndarray, parts: int) -> np.ndarray:
-    """Where each part's words begin in the sorted words."""
-    part = ((words >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
-    return np.searchsorted(part, np.arange(parts + 1))
+        while at < len(sizes):
+            ends = held_bytes + np.cumsum(sizes[at:])
+            n = int(np.searchsorted(ends, chunk_bytes))
+            to = min(len(sizes), at + n + 1)
+            waiting.append(batch.slice(at, to - at))
+            held_bytes = int(ends[to - at - 1])
+            if held_bytes >= chunk_bytes:
+                yield _chunk_row(chunk, pa.Table.from_batches(waiting))
+                chunk, waiting, held_bytes = chunk + 1, [], 0
+            at = to
+    if waiting:
+        yield _chunk_row(chunk, pa.Table.from_batches(waiting))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]):
@@ -131,19 +154,25 @@ def _rows(batches: Iterator[pa.RecordBatch]):
             release()
 
 
+def _message_batch(made: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*made, strict=True)) if made else [[] for _ in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+
+WORD_QUESTIONS = "part int, chunk long, words binary, counts binary"
+WORD_ANSWERS = "part int, chunk long, a binary, b binary, types long, total long, " + ", ".join(f"{r} long" for r in RANKS)
+
+
 def _ask_words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
-        tokens, _, training = _tokens(row)
+        training = np.repeat(unsqueeze(row.held) == 0, unsqueeze(row.lengths))
         words = np.frombuffer(row.words, np.uint64)
-        counts = np.bincount(tokens[training], minlength=len(words)).astype(np.int64)
-        starts = _word_parts(words, parts)
+        counts = np.bincount(unsqueeze(row.tokens)[training], minlength=len(words)).astype(np.int64)
+        part = ((words >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
+        starts = np.searchsorted(part, np.arange(parts + 1))
         full = np.flatnonzero(np.diff(starts))
         made = [(int(p), row.chunk, words[starts[p] : starts[p + 1]].tobytes(), squeeze(counts[starts[p] : starts[p + 1]])) for p in full]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "chunk", "words", "counts"])
-
-
-WORD_ANSWERS = "part int, chunk long, a binary, b binary, types long, total long, " + ", ".join(f"{r} long" for r in RANKS)
-PAIR_ANSWERS = "part int, chunk long, counts binary, ranks binary, gammas binary, first binary, runs binary, second binary, " + ", ".join(f"{r} long" for r in RANKS)
+        yield _message_batch(made, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], ["part", "chunk", "words", "counts"])
 
 
 def _ranks(counts: np.ndarray) -> list[int]:
@@ -151,16 +180,21 @@ def _ranks(counts: np.ndarray) -> list[int]:
 
 
 def _answer_words(frame: pd.DataFrame, parts: int) -> pd.DataFrame:
-    """Count a part's words over all chunks; tell each chunk the ids and counts of its own."""
+    """Count a part's words over all chunks; tell each chunk the ids and counts of its own.
+
+    Words known from training are numbered first, so that the stored ones keep their
+    ids whatever else is asked.
+    """
     frame = frame.sort_values("chunk")
     part, asked = int(frame.part.iloc[0]), [np.frombuffer(x, np.uint64) for x in frame.words]
     words, place = np.unique(np.concatenate(asked), return_inverse=True)
     counts = np.bincount(place, weights=np.concatenate([unsqueeze(x) for x in frame.counts]), minlength=len(words)).astype(np.int64)
-    ids = 1 + np.arange(len(words)) * parts + part
+    known = counts > 0
+    rank = np.where(known, np.cumsum(known) - 1, known.sum() + np.cumsum(~known) - 1)
+    ids = 1 + rank * parts + part
     ends = np.cumsum([len(x) for x in asked])
     nothing = [0] * (2 + len(RANKS))
-    out = [[part, c, squeeze(ids[place[e - len(w) : e]]), squeeze(counts[place[e - len(w) : e]]), *nothing] for c, w, e in zip(frame.chunk, asked, ends, strict=True)]
-    known = counts > 0
+    out = [[part, c, squeeze(ids[place[e - len(w) : e]]), squeeze(counts[place[e - len(w) : e]]), *nothing] for c, w, e in zip(frame.chunk, asked, ends, strict=True) if c >= 0]
     out.append([part, -1, words[known].tobytes(), squeeze(counts[known]), int(known.sum()), int(counts.sum()), *_ranks(counts)])
     return pd.DataFrame(out, columns=[c.split()[0] for c in WORD_ANSWERS.split(", ")])
 
@@ -174,78 +208,72 @@ def _name_words(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     return chunk.assign(**joined)
 
 
+def _part_of(first: np.ndarray, salt: np.ndarray, parts: int) -> np.ndarray:
+    return (spread(spread(first) + salt.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
 @dataclass
-class Pairs:
-    """A chunk's distinct (previous, word) pairs in the order in which it asks for them."""
+class Grams:
+    """A chunk's distinct n-grams, a context and a word each, in the order in which it asks for them."""
 
-    place: np.ndarray  # of each token, its pair
-    first: np.ndarray  # id of the previous word
-    second: np.ndarray
+    first: np.ndarray  # id of the context
+    second: np.ndarray  # id of the word
     first_count: np.ndarray
-    second_count: np.ndarray
-    times: np.ndarray  # in training texts
+    times: np.ndarray  # in the chunk's training texts
+    low: np.ndarray  # count of the n-gram without its first word
+    base: np.ndarray  # count of the context of that one
+    back: np.ndarray  # where each n-gram is in this order
     starts: np.ndarray  # of the parts
     salted: np.ndarray
-    probes: list[np.ndarray]  # by part: salted first words whose sums the chunk needs
-
+    probes: list[np.ndarray]  # by part: contexts in several parts whose sums the chunk needs
 
-def _pairs(row, parts: int, total: int, texts: int) -> Pairs:
-    tokens, lengths, training = _tokens(row)
-    ids, counts = unsqueeze(row.ids), unsqueeze(row.counts)
-    n = len(ids)
-    previous = np.concatenate([[n], tokens[:-1]]).astype(np.int64)
-    previous[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = n
-    key, place = np.unique(previous * n + tokens, return_inverse=True)
-    ids_, counts_ = np.append(ids, START_ID), np.append(counts, texts)
-    head, tail = key // n, key % n
-    times = np.bincount(place, weights=training, minlength=len(key)).astype(np.int64)
-    # a first word with more than a quarter of a part's share of tokens goes to several parts
-    splits = np.maximum(1, -(-counts_ * 4 * parts // max(1, total)))
-    part_of = lambda word, salt: (spread(spread(word) + salt.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    part = part_of(ids_[head], (spread(ids_[tail]) % splits[head].astype(np.uint64)).astype(np.int64))
-    order = np.lexsort((ids_[tail], ids_[head], part))
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    head, tail = head[order], tail[order]
-    many = np.unique(head[splits[head] > 1])
-    probes = [[] for _ in range(parts)]
-    for h in many:
-        for p in np.unique(part_of(np.full(splits[h], ids_[h]), np.arange(splits[h]))):
-            probes[p].append(ids_[h])
-    starts = np.searchsorted(part[order], np.arange(parts + 1))
-    return Pairs(back[place], ids_[head], ids_[tail], counts_[head], counts_[tail], times[order], starts, splits[head] > 1, [np.unique(np.array(x, np.int64)) for x in probes])
-
-
-def _runs(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @classmethod
+    def dealt(cls, first: np.ndarray, second: np.ndarray, first_count: np.ndarray, times: np.ndarray, low: np.ndarray, base: np.ndarray, parts: int, total: int) -> Grams:
+        # a context with more than a quarter of a part's share of tokens goes to several parts
+        splits = np.maximum(1, -(-first_count * 4 * parts // max(1, total)))
+        part = _part_of(first, (spread(second) % splits.astype(np.uint64)).astype(np.int64), parts)
+        order = np.lexsort((second, first, part))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        probes: list[list[int]] = [[] for _ in range(parts)]
+        many, at = np.unique(first[splits > 1], return_index=True)
+        for h, n in zip(many, splits[splits > 1][at], strict=True):
+            for p in np.unique(_part_of(np.full(n, h), np.arange(n), parts)):
+                probes[p].append(int(h))
+        starts = np.searchsorted(part[order], np.arange(parts + 1))
+        return cls(first[order], second[order], first_count[order], times[order], low[order], base[order], back, starts, (splits > 1)[order], [np.array(x, np.int64) for x in probes])
+
+    def questions(self, chunk: int) -> pa.RecordBatch:
+        made = []
+        for p in range(len(self.probes)):
+            a, b = self.starts[p], self.starts[p + 1]
+            if a < b or len(self.probes[p]):
+                first, begin, runs = _runs(self.first[a:b])
+                made.append((p, chunk, *(squeeze(v) for v in (np.diff(first, prepend=0), runs, self.base[a:b][begin], self.second[a:b], self.times[a:b], self.low[a:b], self.probes[p]))))
+        return _message_batch(made, [pa.int32(), pa.int64(), *[pa.binary()] * 7], QUESTION_NAMES)
+
+
+def _runs(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begin = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])) if len(first) else np.zeros(0, np.int64)
-    return first[begin], np.diff(np.append(begin, len(first)))
+    return first[begin], begin, np.diff(np.append(begin, len(first)))
 
 
-QUESTIONS = ["part", "chunk", "first", "runs", "second", "times", "second_count", "probes"]
+QUESTION_NAMES = ["part", "chunk", "first", "runs", "base", "second", "times", "low", "probes"]
+QUESTIONS = "part int, chunk long, " + ", ".join(f"{c} binary" for c in QUESTION_NAMES[2:])
+STORED = ["first", "runs", "base", "second", "times", "low"]
+ANSWERS = "part int, chunk long, counts binary, numbers binary, ranks binary, gammas binary, " + ", ".join(f"{c} binary" for c in STORED) + ", " + ", ".join(f"{r} long" for r in RANKS)
 
 
-def _ask_pairs(batches: Iterator[pa.RecordBatch], parts: int, total: int, texts: int) -> Iterator[pa.RecordBatch]:
-    for row in _rows(batches):
-        x, made = _pairs(row, parts, total, texts), []
-        for p in range(parts):
-            a, b = x.starts[p], x.starts[p + 1]
-            if a < b or len(x.probes[p]):
-                first, runs = _runs(x.first[a:b])
-                made.append((p, row.chunk, *(squeeze(v) for v in (np.diff(first, prepend=0), runs, x.second[a:b], x.times[a:b], x.second_count[a:b], x.probes[p]))))
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=QUESTIONS)
-
-
-def _answer_pairs(frame: pd.DataFrame, unigrams: Unigrams) -> pd.DataFrame:
-    """Count a part's pairs over all chunks; tell each chunk its counts, and of first words
-    with a pair unseen in training the counts of counts and the unigram mass of what follows them."""
+def _answer(frame: pd.DataFrame, parts: int, below: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pd.DataFrame:
+    """Count a part's n-grams over all chunks; tell each chunk its counts and numbers, and of
+    contexts with an n-gram unseen in training the counts of counts and what ``below`` gives
+    the words that follow them."""
     release()
     frame = frame.sort_values("chunk")
-    asked = [{c: unsqueeze(getattr(r, c)) for c in QUESTIONS[2:]} for r in frame.itertuples()]
+    part, asked = int(frame.part.iloc[0]), [{c: unsqueeze(getattr(r, c)) for c in QUESTION_NAMES[2:]} for r in frame.itertuples()]
     for q in asked:
-        q["first"] = np.cumsum(q["first"])
-        q["each"] = np.repeat(q["first"], q["runs"])
-    whole = {c: np.concatenate([q[c] for q in asked]) for c in ("each", "second", "times", "second_count", "probes")}
+        q["each"], q["base"] = np.repeat(np.cumsum(q["first"]), q["runs"]), np.repeat(q["base"], q["runs"])
+    whole = {c: np.concatenate([q[c] for q in asked]) for c in ("each", "base", "second", "times", "low", "probes")}
     order = np.lexsort((whole["second"], whole["each"]))
     first, second = whole["each"][order], whole["second"][order]
     new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]) if len(first) else np.zeros(0, np.bool_)
@@ -253,113 +281,281 @@ def _answer_pairs(frame: pd.DataFrame, unigrams: Unigrams) -> pd.DataFrame:
     place[order] = np.cumsum(new) - 1
     at = np.flatnonzero(new)
     counts = np.add.reduceat(whole["times"][order], at) if len(at) else np.zeros(0, np.int64)
-    first, second, second_count = first[at], second[at], whole["second_count"][order][at]
+    first, second, low, base = first[at], second[at], whole["low"][order][at], whole["base"][order][at]
+    del whole["each"], whole["second"], order
+    seen = counts > 0
     heads, head = np.unique(np.concatenate([first, whole["probes"]]), return_inverse=True)
     head = head[: len(first)]
     per_rank = np.stack([np.bincount(head[counts == r], minlength=len(heads)) for r in range(1, KEEP + 1)], axis=1) if len(heads) else np.zeros((0, KEEP), np.int64)
-    gamma = np.bincount(head, weights=np.where(counts > 0, unigrams.probability(second_count), 0.0), minlength=len(heads))
+    gamma = np.bincount(head[seen], weights=below(low[seen], base[seen]), minlength=len(heads))
     split = np.isin(heads, whole["probes"])
     kept_whole = ~split & (per_rank.sum(axis=1) == 0)
+    number = np.where(seen, 1 + (np.cumsum(seen) - 1) * parts + part, 0)
     out, at = [], 0
     for chunk, q in zip(frame.chunk, asked, strict=True):
         n = len(q["second"])
         mine = place[at : at + n]
         at += n
+        if chunk < 0:
+            continue
         c = counts[mine]
         wanted = np.unique(head[mine[c == 0]])
         wanted = np.concatenate([wanted[~split[wanted]], np.searchsorted(heads, q["probes"])])
         signed = np.where(kept_whole[head[mine]], -c, c)
-        out.append([int(frame.part.iloc[0]), chunk, squeeze(signed), squeeze(per_rank[wanted].ravel().astype(np.int64)), squeeze(gamma[wanted]), b"", b"", b"", *[0] * len(RANKS)])
-    seen = counts > 0
-    names, runs = _runs(first[seen])
-    out.append([int(frame.part.iloc[0]), -1, squeeze(counts[seen]), b"", b"", squeeze(np.diff(names, prepend=0)), squeeze(runs), squeeze(second[seen]), *_ranks(counts)])
-    return pd.DataFrame(out, columns=[c.split()[0] for c in PAIR_ANSWERS.split(", ")])
+        given = number[mine]
+        out.append([part, chunk, squeeze(signed), squeeze(np.diff(given[given > 0], prepend=0)), squeeze(per_rank[wanted].ravel().astype(np.int64)), squeeze(gamma[wanted]), *[b""] * len(STORED), *[0] * len(RANKS)])
+    names, begin, runs = _runs(first[seen])
+    stored = (np.diff(names, prepend=0), runs, base[seen][begin], second[seen], counts[seen], low[seen])
+    out.append([part, -1, squeeze(np.zeros(0, np.int64)), b"", b"", b"", *(squeeze(x) for x in stored), *_ranks(counts)])
+    return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWERS.split(", ")])
 
 
-def _scores(chunk: pd.DataFrame, answers: pd.DataFrame, parts: int, texts: int, unigrams: Unigrams, discounts: Discounts) -> pd.DataFrame:
-    release()
-    row = chunk.iloc[0]
-    x = _pairs(row, parts, unigrams.total, texts)
-    counts = np.zeros(len(x.first), np.int64)
-    ranks, gammas = {}, {}
+@dataclass
+class Resolved:
+    """By n-gram, in its chunk's order of asking."""
+
+    counts: np.ndarray  # negative where the context frees nothing
+    numbers: np.ndarray
+    weights: np.ndarray  # of the next lower order, where the count is 0
+
+
+def _resolved(x: Grams, answers: pd.DataFrame, discounts: Discounts) -> Resolved:
+    counts, numbers = np.zeros(len(x.first), np.int64), np.zeros(len(x.first), np.int64)
+    heads, ranks, gammas = [], [], []
     for a in answers.itertuples():
         begin, end = x.starts[a.part], x.starts[a.part + 1]
         counts[begin:end] = got = unsqueeze(a.counts)
-        first = x.first[begin:end]
-        open_ = np.unique(first[(got == 0) & ~x.salted[begin:end]])
-        per_rank, gamma = unsqueeze(a.ranks).reshape(-1, KEEP), unsqueeze(a.gammas)
-        for h, r, g in zip(np.concatenate([open_, x.probes[a.part]]).tolist(), per_rank, gamma.tolist(), strict=True):
-            ranks[h] = ranks.get(h, 0) + r
-            gammas[h] = gammas.get(h, 0.0) + g
-    known = np.array(sorted(ranks), np.int64)
-    per_rank = np.stack([ranks[h] for h in known.tolist()]) if len(known) else np.zeros((0, KEEP), np.int64)
-    gamma = np.array([gammas[h] for h in known.tolist()])
-    spot = np.minimum(np.searchsorted(known, x.first), max(0, len(known) - 1))
-    told = (known[spot] == x.first) if len(known) else np.zeros(len(x.first), np.bool_)
+        numbers[begin:end][got != 0] = np.cumsum(unsqueeze(a.numbers))
+        heads += [np.unique(x.first[begin:end][(got == 0) & ~x.salted[begin:end]]), x.probes[a.part]]
+        ranks.append(unsqueeze(a.ranks).reshape(-1, KEEP))
+        gammas.append(unsqueeze(a.gammas))
+    nothing = np.zeros(0, np.int64)
+    known, place = np.unique(np.concatenate([nothing, *heads]), return_inverse=True)
+    weights = np.ones(len(x.first))
+    if not len(known):
+        return Resolved(counts, numbers, weights)
+    per_rank = np.stack([np.bincount(place, weights=r, minlength=len(known)) for r in np.concatenate(ranks).T], axis=1)
+    gamma = np.bincount(place, weights=np.concatenate(gammas), minlength=len(known))
+    spot = np.minimum(np.searchsorted(known, x.first), len(known) - 1)
+    told = known[spot] == x.first
     # contexts none of whose continuations is discounted set 1 / (count + 1) aside instead
-    undiscounted = counts < 0
-    if len(known):
-        undiscounted |= told & x.salted & (per_rank.sum(axis=1) == 0)[spot]
-    counts = np.abs(counts)
-    below = unigrams.probability(x.second_count)
+    counts = np.where(told & x.salted & (per_rank.sum(axis=1) == 0)[spot], -np.abs(counts), counts)
     n = np.maximum(x.first_count, 1)
-    seen = np.where(undiscounted, counts / (n + 1), discounts.apply(counts) / n)
-    backed = below.copy()
-    if len(known):
-        freed = discounts.freed(per_rank)[spot] / n
-        freed = np.where(freed > 0, freed, 1 / (n + 1))
-        backed = np.where(told & (x.first_count > 0), freed / (1 - gamma[spot]) * below, below)
-    logs = np.log10(np.where(counts > 0, seen, backed))
-    tokens, lengths, _ = _tokens(row)
+    freed = discounts.freed(per_rank)[spot] / n
+    freed = np.where(freed > 0, freed, 1 / (n + 1))
+    weights = np.where(told & (x.first_count > 0), freed / (1 - gamma[spot]), 1.0)
+    return Resolved(counts, numbers, weights)
+
+
+def _before(tokens: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
+    """What precedes each token in its text; ``start`` before the first."""
+    out = np.concatenate([[start], tokens[:-1]]).astype(np.int64)
+    out[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = start
+    return out
+
+
+@dataclass
+class Pairs:
+    place: np.ndarray  # of each token, the pair it ends
+    head: np.ndarray  # the chunk's words of each pair
+    tail: np.ndarray
+    grams: Grams
+
+
+def _pairs(row, parts: int, total: int, texts: int) -> Pairs:
+    tokens, lengths, ids, counts = (unsqueeze(getattr(row, c)) for c in ("tokens", "lengths", "ids", "counts"))
+    n = len(ids)
+    key, place = np.unique(_before(tokens, lengths, n) * n + tokens, return_inverse=True)
+    head, tail = key // n, key % n
+    ids_, counts_ = np.append(ids, START_ID), np.append(counts, texts)
+    times = np.bincount(place, weights=np.repeat(unsqueeze(row.held) == 0, lengths), minlength=len(key)).astype(np.int64)
+    return Pairs(place, head, tail, Grams.dealt(ids_[head], ids[tail], counts_[head], times, counts[tail], np.zeros(len(key), np.int64), parts, total))
+
+
+STATE = "chunk long, docs binary, nulls binary, held binary, lengths binary, ids binary, counts binary, place binary, heads binary, tails binary, pair_counts binary, pair_ids binary, unseen binary"
+
+
+def _state(chunk: pd.DataFrame, answers: pd.DataFrame, parts: int, total: int, texts: int, unigrams: Unigrams, discounts: Discounts) -> pd.DataFrame:
+    """A chunk with its pairs: signed counts, ids, and the probability of those unseen in training."""
+    release()
+    row = chunk.iloc[0]
+    x = _pairs(row, parts, total, texts)
+    found, back = _resolved(x.grams, answers, discounts), x.grams.back
+    counts, weights = found.counts[back], found.weights[back]
+    unseen = counts == 0
+    p = weights[unseen] * unigrams.probability(unsqueeze(row.counts)[x.tail[unseen]])
+    made = (x.place.astype(np.int32), np.diff(x.head.astype(np.int32), prepend=np.int32(0)), x.tail.astype(np.int32), counts, found.numbers[back], p)
+    kept = [c.split()[0] for c in STATE.split(", ")]
+    return chunk.assign(**dict(zip(kept[-6:], map(squeeze, made), strict=True)))[kept]
+
+
+@dataclass
+class Triples:
+    at: np.ndarray  # the tokens whose context was seen in training
+    place: np.ndarray  # of each of them, its trigram
+    pair: np.ndarray  # of each trigram, the pair of its last two words
+    grams: Grams
+
+
+def _pair_probabilities(row, texts: int, discounts: Discounts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By pair: probability, signed count and the count of its first word."""
+    counts = unsqueeze(row.pair_counts)
+    context = np.append(unsqueeze(row.counts), texts)[np.cumsum(unsqueeze(row.heads))]
+    p = Bigrams(discounts).probability(counts, context)
+    p[counts == 0] = unsqueeze(row.unseen)
+    return p, counts, context
+
+
+def _triples(row, parts: int, total: int, texts: int, pair_counts: np.ndarray, contexts: np.ndarray) -> Triples:
+    place, tail, lengths = (unsqueeze(getattr(row, c)) for c in ("place", "tails", "lengths"))
+    n = len(tail)
+    before = _before(place, lengths, n)
+    known = np.append(np.abs(pair_counts), texts)  # the count of a pair as a context
+    at = np.flatnonzero(known[before] > 0)
+    words = len(unsqueeze(row.ids))
+    key, first, which = np.unique(before[at] * words + tail[place[at]], return_index=True, return_inverse=True)
+    pair = place[at[first]].astype(np.int64)
+    context = key // words
+    training = np.repeat(unsqueeze(row.held) == 0, lengths)[at]
+    times = np.bincount(which, weights=training, minlength=len(key)).astype(np.int64)
+    ids = np.append(unsqueeze(row.pair_ids), START_ID)
+    return Triples(at, which, pair, Grams.dealt(ids[context], unsqueeze(row.ids)[tail[pair]], known[context], times, pair_counts[pair], contexts[pair], parts, total))
+
+
+def _scores(chunk: pd.DataFrame, answers: pd.DataFrame, parts: int, total: int, texts: int, unigrams: Unigrams, pairs: Discounts, triples: Discounts) -> pd.DataFrame:
+    release()
+    row = chunk.iloc[0]
+    below, pair_counts, contexts = _pair_probabilities(row, texts, pairs)
+    x = _triples(row, parts, total, texts, pair_counts, contexts)
+    found, back = _resolved(x.grams, answers, triples), x.grams.back
+    counts, n = found.counts[back], np.maximum(x.grams.first_count[back], 1)
+    seen = np.where(counts < 0, -counts / (n + 1), triples.apply(np.abs(counts)) / n)
+    p = np.where(counts != 0, seen, found.weights[back] * below[x.pair])
+    place, lengths = unsqueeze(row.place), unsqueeze(row.lengths)
+    logs = np.log10(below)[place]  # an unknown context leaves all to the pair
+    logs[x.at] = np.log10(p)[x.place]
     doc = np.repeat(np.arange(len(lengths)), lengths)
-    word_counts = unsqueeze(row.counts)[tokens]
+    word_counts = unsqueeze(row.counts)[unsqueeze(row.tails)[place]]
     base = np.log10((word_counts + 1) / (unigrams.total + unigrams.types + 1))
-    total = lambda v: np.bincount(doc, weights=v, minlength=len(lengths))
+    sums = lambda v: np.bincount(doc, weights=v, minlength=len(lengths))
     ids = pd.array(unsqueeze(row.docs), "Int64")
     ids[unsqueeze(row.nulls) == 1] = pd.NA
     return pd.DataFrame({
-        "doc_id": ids, "held_out": unsqueeze(row.held) == 1, "n_tokens": lengths, "n_known": total(word_counts > 0).astype(np.int64),
-        "train_tokens": unigrams.total, "base_score": total(base), "score": total(logs[x.place]),
+        "doc_id": ids, "held_out": unsqueeze(row.held) == 1, "n_tokens": lengths, "n_known": sums(word_counts > 0).astype(np.int64),
+        "train_tokens": unigrams.total, "base_score": sums(base), "score": sums(logs),
     })
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+TABLES = ("unigrams", "bigrams", "trigrams")
 
 
-def katz_scores(docs: DataFrame, folds: int = 7, held: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: counts, the add-one unigram score, and the log10
-    probability of the text under the bigram model learned from the rows not held out.
+@dataclass(frozen=True)
+class Model:
+    """Counts in three tables of parts, and what holds for all of them."""
+
+    unigrams: DataFrame
+    bigrams: DataFrame
+    trigrams: DataFrame
+    parts: int
+    tokens: int
+    texts: int
+
+    def write(self, path: str) -> None:
+        """One row a part in each table; a part's row answers for all n-grams dealt to it."""
+        for name in TABLES:
+            getattr(self, name).write.parquet(f"{path}/{name}")
+        self.unigrams.sparkSession.createDataFrame([(self.parts, self.tokens, self.texts)], "parts long, tokens long, texts long").write.parquet(f"{path}/totals")
 
-    Tokens: words with A-Z lowered, then one end; the first word follows a start that
-    is counted but not scored.  P(w | h) = d c(h, w) / c(h) if seen, else the mass
-    freed in h times P(w) over what the words unseen after h have of P; a context that
-    frees nothing sets 1 / (c(h) + 1) aside; an unknown context falls back whole.
-    P(w) is discounted likewise and gives the rest to one unknown word.
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Model:
+        parts, tokens, texts = spark.read.parquet(f"{path}/totals").collect()[0]
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in TABLES), parts, tokens, texts)
 
-    A null or empty text is its end alone.  Repeated rows count as often as they
-    occur.  Other columns are ignored; an empty table gives an empty result.
-    """
+
+def _evaluated(docs: DataFrame, learn_from: Callable, key: str, text: str, model: Model | None) -> tuple[DataFrame, Model]:
+    """Scores of all rows, under ``model`` or the one learned from the rows not held out."""
     spark = docs.sparkSession
     ship_package(spark)
     space = Workspace(spark, "katz")
-    chosen = docs.select(docs[key].cast("long").alias("doc_id"), (remainder(docs[key], folds) == held).alias("held_out"), docs[text].cast("string").alias("text"))
-    chunks = space.write(chosen.mapInArrow(_encoded, CHUNKS), "chunks")
-    tokens, texts = (x or 0 for x in chunks.agg(F.sum("n_tokens"), F.sum("n_texts")).collect()[0])
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART_TOKENS))
-    asked = chunks.mapInArrow(lambda b: _ask_words(b, parts), "part int, chunk long, words binary, counts binary")
-    answers = space.write(asked.groupBy("part").applyInPandas(lambda p: _answer_words(p, parts), WORD_ANSWERS), "unigrams")
-    model = answers.filter("chunk = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "total", *RANKS)]).collect()[0]
-    discounts = Discounts.of(list(model[2:]))
+    chosen = docs.select(docs[key].cast("long").alias("doc_id"), learn_from(docs[key]).alias("held_out"), docs[text].cast("string").alias("text"))
+    size = chosen.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    chunk_bytes = TOKEN_BYTES * share_tokens(size // TOKEN_BYTES)
+    chunks = space.write(chosen.mapInArrow(lambda b: _encoded(b, chunk_bytes), CHUNKS), "chunks")
+    if model:
+        parts, tokens, texts = model.parts, model.tokens, model.texts
+    else:
+        tokens, texts = (x or 0 for x in chunks.agg(F.sum("n_tokens"), F.sum("n_texts")).collect()[0])
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // share_tokens(tokens)))
+    stored = lambda name, columns: [getattr(model, name).select(*columns)] if model else []
+
+    def told(asked: DataFrame, answer: Callable[[pd.DataFrame], pd.DataFrame], schema: str, name: str, columns: list[str]) -> DataFrame:
+        for more in stored(name, columns):
+            asked = asked.unionByName(more)
+        return space.write(asked.groupBy("part").applyInPandas(answer, schema), name)
+
+    def counts_of(answers: DataFrame, *columns: str) -> list[int]:
+        return list(answers.filter("chunk = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in columns]).collect()[0])
+
+    words = F.col("a").alias("words"), F.col("b").alias("counts")
+    asked = chunks.mapInArrow(lambda b: _ask_words(b, parts), WORD_QUESTIONS)
+    answers = told(asked, lambda p: _answer_words(p, parts), WORD_ANSWERS, "unigrams", ["part", "chunk", "words", "counts"])
+    types, total, *ranks = counts_of(answers, "types", "total", *RANKS)
+    discounts = Discounts.of(ranks)
     # all discounted counts together: the total less what counts up to KEEP give away
-    kept = model[1] - float(discounts.freed(np.array([model[2 : 2 + KEEP]]))[0])
-    unigrams = Unigrams(discounts, model[1], model[0], kept)
+    unigrams = Unigrams(discounts, total, types, total - float(discounts.freed(np.array([ranks[:KEEP]]))[0]))
     replies = answers.filter("chunk >= 0").select("chunk", "part", "a", "b")
     named = space.write(chunks.drop("words").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(_name_words, NAMED), "named")
     space.drop("chunks")
-    asked = named.mapInArrow(lambda b: _ask_pairs(b, parts, tokens, texts), "part int, chunk long, " + ", ".join(f"{c} binary" for c in QUESTIONS[2:]))
-    answers = space.write(asked.groupBy("part").applyInPandas(lambda p: _answer_pairs(p, unigrams), PAIR_ANSWERS), "bigrams")
-    ranks = answers.filter("chunk = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in RANKS]).collect()[0]
-    pair_discounts = Discounts.of(list(ranks))
-    replies = answers.filter("chunk >= 0").select("chunk", "part", "counts", "ranks", "gammas")
-    scores = named.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(lambda a, b: _scores(a, b, parts, texts, unigrams, pair_discounts), RESULT)
-    return scores
+    known = [answers.filter("chunk = -1").select("part", "chunk", *words)]
+
+    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            yield _pairs(row, parts, tokens, texts).grams.questions(row.chunk)
+
+    def of_chunks(answers: DataFrame):
+        known.append(answers.filter("chunk = -1").select("part", "chunk", *STORED, F.col("counts").alias("probes")))
+        return answers.filter("chunk >= 0").select("chunk", "part", "counts", "numbers", "ranks", "gammas").groupBy("chunk")
+
+    pairs = told(named.mapInArrow(ask_pairs, QUESTIONS), lambda p: _answer(p, parts, unigrams.probability), ANSWERS, "bigrams", QUESTION_NAMES)
+    two = Discounts.of(counts_of(pairs, *RANKS))
+    state = named.groupBy("chunk").cogroup(of_chunks(pairs)).applyInPandas(lambda a, b: _state(a, b, parts, tokens, texts, unigrams, two), STATE)
+    state = space.write(state, "state")
+    space.drop("named")
+
+    def ask_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            _, pair_counts, contexts = _pair_probabilities(row, texts, two)
+            yield _triples(row, parts, tokens, texts, pair_counts, contexts).grams.questions(row.chunk)
+
+    triples = told(state.mapInArrow(ask_triples, QUESTIONS), lambda p: _answer(p, parts, Bigrams(two).probability), ANSWERS, "trigrams", QUESTION_NAMES)
+    three = Discounts.of(counts_of(triples, *RANKS))
+    scores = state.groupBy("chunk").cogroup(of_chunks(triples)).applyInPandas(lambda a, b: _scores(a, b, parts, tokens, texts, unigrams, two, three), RESULT)
+    return scores, model or Model(*known, parts, tokens, texts)
+
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
+    """The model of all rows of ``docs``."""
+    return _evaluated(docs, lambda k: F.lit(False), key, text, None)[1]
+
+
+def scored_by(model: Model, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``katz_scores``, under a stored model; every row is held out."""
+    return _evaluated(docs, lambda k: F.lit(True), key, text, model)[0]
+
+
+def katz_scores(docs: DataFrame, folds: int = 7, held: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: counts, the add-one unigram score, and the log10
+    probability of the text under the trigram model learned from the rows not held out.
+
+    Tokens: words with A-Z lowered, then one end; the first word follows two starts that
+    are counted but not scored.  P(w | h) = d c(h, w) / c(h) if seen, else the mass
+    freed in h, times P(w | h without its first word), over what the words unseen after h
+    have of that; the same holds there.  A context that frees nothing sets 1 / (c(h) + 1)
+    aside; an unknown context falls back whole.  P(w) is discounted likewise and gives
+    the rest to one unknown word.
+
+    A null or empty text is its end alone.  Repeated rows count as often as they
+    occur.  Other columns are ignored; an empty table gives an empty result.
+    """
+    return _evaluated(docs, lambda k: remainder(k, folds) == held, key, text, None)[0]
