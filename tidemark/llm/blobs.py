@@ -20,16 +20,35 @@ def _unpacker() -> zstandard.ZstdDecompressor:
     return zstandard.ZstdDecompressor()
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the smallest type that holds them."""
+    if x.dtype.kind not in "iu" or not len(x):
+        return x
+    low, high = int(x.min()), int(x.max())
+    for kind in ("u1", "u2", "u4") if low >= 0 else ("i1", "i2", "i4"):
+        if np.iinfo(kind).min <= low and high <= np.iinfo(kind).max:
+            return x.astype(kind) if np.dtype(kind).itemsize < x.dtype.itemsize else x
+    return x
+
+
 def squeeze(x: np.ndarray) -> bytes:
-    """Type and values, byte planes apart so that high zero bytes cost nothing."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes() if len(x) else b""
-    return x.dtype.str.encode() + _packer().compress(planes)
+    """Type and values in the smallest type, byte planes apart."""
+    small = np.ascontiguousarray(_narrow(x))
+    size = small.dtype.itemsize
+    planes = small.view(np.uint8).reshape(-1, size)
+    return x.dtype.str.encode() + small.dtype.str.encode() + _packer().compress(b"".join(planes[:, k].tobytes() for k in range(size)) if size > 1 else small.tobytes())
 
 
 def unsqueeze(blob: bytes) -> np.ndarray:
-    kind = np.dtype(blob[:3].decode())
-    planes = np.frombuffer(_unpacker().decompress(blob[3:]), np.uint8)
-    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel() if len(planes) else np.zeros(0, kind)
+    kind, small = np.dtype(blob[:3].decode()), np.dtype(blob[3:6].decode())
+    flat = np.frombuffer(_unpacker().decompress(blob[6:]), np.uint8)
+    if small.itemsize == 1:
+        return flat.view(small).astype(kind)
+    planes = flat.reshape(small.itemsize, -1)
+    out = np.empty((planes.shape[1], small.itemsize), np.uint8)
+    for k in range(small.itemsize):
+        out[:, k] = planes[k]
+    return out.view(small).ravel().astype(kind, copy=False)
 
 
 def release() -> None:

@@ -31,7 +31,7 @@ from .classify import remainder
 from .words import LOWER, hashes, raw_texts
 from .workspace import Workspace, ship_package
 
-MESSAGE_TOKENS = 1000
+MESSAGE_TOKENS = 4000
 LEAST_TOKENS = 50_000
 TOKEN_BYTES = 6
 END = np.uint64(0xE1D0E1D0E1D0E1D1)
@@ -89,7 +89,7 @@ class Unigrams:
     types: int
     kept: float  # the sum of the discounted counts
 
-    def probability(self, counts: np.ndarray, _: np.ndarray | None = None) -> np.ndarray:
+    def probability(self, counts: np.ndarray) -> np.ndarray:
         unknown = max(1 - self.kept / self.total, 1 / (self.total + 1)) if self.total else 1.0
         scale = (1 - unknown) / self.kept if self.kept else 0.0
         return np.where(counts > 0, self.discounts.apply(counts) * scale, unknown)
@@ -97,14 +97,18 @@ class Unigrams:
 
 @dataclass(frozen=True)
 class Bigrams:
-    """The level above: probabilities of pairs seen in training."""
+    """A level above: n-grams seen in training, by counts and those of their contexts."""
 
     discounts: Discounts
 
-    def probability(self, counts: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        """Of a pair's signed count (negative where its context frees nothing) and its context's."""
-        seen, n = np.abs(counts), np.maximum(contexts, 1)
-        return np.where(counts < 0, seen / (n + 1), self.discounts.apply(seen) / n)
+    def mass(self, counts: np.ndarray) -> np.ndarray:
+        """Of signed counts: discounted, or as they are, negative, where the context frees nothing."""
+        return np.where(counts < 0, counts, self.discounts.apply(np.abs(counts)))
+
+    @staticmethod
+    def share(mass: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """The probability that such a mass is after contexts of these counts."""
+        return np.where(mass < 0, -mass / (contexts + 1), mass / np.maximum(contexts, 1))
 
 
 CHUNKS = "chunk long, docs binary, nulls binary, held binary, lengths binary, words binary, tokens binary, n_tokens long, n_texts long"
@@ -182,20 +186,23 @@ def _ranks(counts: np.ndarray) -> list[int]:
 def _answer_words(frame: pd.DataFrame, parts: int) -> pd.DataFrame:
     """Count a part's words over all chunks; tell each chunk the ids and counts of its own.
 
-    Words known from training are numbered first, so that the stored ones keep their
-    ids whatever else is asked.
+    Words unseen in training are numbered last, so that the stored ones keep their ids
+    whatever else is asked.
     """
     frame = frame.sort_values("chunk")
     part, asked = int(frame.part.iloc[0]), [np.frombuffer(x, np.uint64) for x in frame.words]
     words, place = np.unique(np.concatenate(asked), return_inverse=True)
     counts = np.bincount(place, weights=np.concatenate([unsqueeze(x) for x in frame.counts]), minlength=len(words)).astype(np.int64)
     known = counts > 0
-    rank = np.where(known, np.cumsum(known) - 1, known.sum() + np.cumsum(~known) - 1)
+    order = np.lexsort((words, -counts))  # frequent words get small ids
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
     ids = 1 + rank * parts + part
     ends = np.cumsum([len(x) for x in asked])
     nothing = [0] * (2 + len(RANKS))
     out = [[part, c, squeeze(ids[place[e - len(w) : e]]), squeeze(counts[place[e - len(w) : e]]), *nothing] for c, w, e in zip(frame.chunk, asked, ends, strict=True) if c >= 0]
-    out.append([part, -1, words[known].tobytes(), squeeze(counts[known]), int(known.sum()), int(counts.sum()), *_ranks(counts)])
+    stored = order[: known.sum()]
+    out.append([part, -1, words[stored].tobytes(), squeeze(counts[stored]), int(known.sum()), int(counts.sum()), *_ranks(counts)])
     return pd.DataFrame(out, columns=[c.split()[0] for c in WORD_ANSWERS.split(", ")])
 
 
@@ -203,9 +210,13 @@ NAMED = ", ".join(c for c in CHUNKS.split(", ") if c != "words binary") + ", ids
 
 
 def _name_words(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """The chunk with its words in the order of their ids; word 0 is the start."""
     answers = answers.sort_values("part")
-    joined = {c: squeeze(np.concatenate([unsqueeze(x) for x in answers[k]])) for c, k in (("ids", "a"), ("counts", "b"))}
-    return chunk.assign(**joined)
+    ids, counts = (np.concatenate([unsqueeze(x) for x in answers[k]]) for k in ("a", "b"))
+    order = np.argsort(ids)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(1, len(order) + 1)
+    return chunk.assign(tokens=squeeze(place[unsqueeze(chunk.tokens.iloc[0])]), ids=squeeze(np.diff(ids[order], prepend=0)), counts=squeeze(counts[order]))
 
 
 def _part_of(first: np.ndarray, salt: np.ndarray, parts: int) -> np.ndarray:
@@ -221,130 +232,125 @@ class Grams:
     first_count: np.ndarray
     times: np.ndarray  # in the chunk's training texts
     low: np.ndarray  # count of the n-gram without its first word
-    base: np.ndarray  # count of the context of that one
-    back: np.ndarray  # where each n-gram is in this order
+    order: np.ndarray  # of the n-grams as they were given
     starts: np.ndarray  # of the parts
     salted: np.ndarray
     probes: list[np.ndarray]  # by part: contexts in several parts whose sums the chunk needs
 
     @classmethod
-    def dealt(cls, first: np.ndarray, second: np.ndarray, first_count: np.ndarray, times: np.ndarray, low: np.ndarray, base: np.ndarray, parts: int, total: int) -> Grams:
+    def dealt(cls, first: np.ndarray, second: np.ndarray, first_count: np.ndarray, times: np.ndarray, low: np.ndarray, parts: int, total: int) -> Grams:
+        """Of n-grams in the order of their ids."""
         # a context with more than a quarter of a part's share of tokens goes to several parts
         splits = np.maximum(1, -(-first_count * 4 * parts // max(1, total)))
-        part = _part_of(first, (spread(second) % splits.astype(np.uint64)).astype(np.int64), parts)
-        order = np.lexsort((second, first, part))
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
+        salted = splits > 1
+        salt = np.zeros(len(first), np.int64)
+        salt[salted] = spread(second[salted]) % splits[salted].astype(np.uint64)
+        part = _part_of(first, salt, parts)
+        order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
         probes: list[list[int]] = [[] for _ in range(parts)]
-        many, at = np.unique(first[splits > 1], return_index=True)
-        for h, n in zip(many, splits[splits > 1][at], strict=True):
+        many, at = np.unique(first[salted], return_index=True)
+        for h, n in zip(many, splits[salted][at], strict=True):
             for p in np.unique(_part_of(np.full(n, h), np.arange(n), parts)):
                 probes[p].append(int(h))
-        starts = np.searchsorted(part[order], np.arange(parts + 1))
-        return cls(first[order], second[order], first_count[order], times[order], low[order], base[order], back, starts, (splits > 1)[order], [np.array(x, np.int64) for x in probes])
+        starts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+        return cls(first[order], second[order], first_count[order], times[order], low[order], order, starts, salted[order], [np.array(x, np.int64) for x in probes])
 
     def questions(self, chunk: int) -> pa.RecordBatch:
         made = []
         for p in range(len(self.probes)):
             a, b = self.starts[p], self.starts[p + 1]
             if a < b or len(self.probes[p]):
-                first, begin, runs = _runs(self.first[a:b])
-                made.append((p, chunk, *(squeeze(v) for v in (np.diff(first, prepend=0), runs, self.base[a:b][begin], self.second[a:b], self.times[a:b], self.low[a:b], self.probes[p]))))
-        return _message_batch(made, [pa.int32(), pa.int64(), *[pa.binary()] * 7], QUESTION_NAMES)
+                first, runs = _runs(self.first[a:b])
+                made.append((p, chunk, *(squeeze(v) for v in (np.diff(first, prepend=0), runs, self.second[a:b], self.times[a:b], self.low[a:b], self.probes[p]))))
+        return _message_batch(made, [pa.int32(), pa.int64(), *[pa.binary()] * 6], QUESTION_NAMES)
 
 
-def _runs(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _runs(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begin = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])) if len(first) else np.zeros(0, np.int64)
-    return first[begin], begin, np.diff(np.append(begin, len(first)))
+    return first[begin], np.diff(np.append(begin, len(first)))
 
 
-QUESTION_NAMES = ["part", "chunk", "first", "runs", "base", "second", "times", "low", "probes"]
+QUESTION_NAMES = ["part", "chunk", "first", "runs", "second", "times", "low", "probes"]
 QUESTIONS = "part int, chunk long, " + ", ".join(f"{c} binary" for c in QUESTION_NAMES[2:])
-STORED = ["first", "runs", "base", "second", "times", "low"]
-ANSWERS = "part int, chunk long, counts binary, numbers binary, ranks binary, gammas binary, " + ", ".join(f"{c} binary" for c in STORED) + ", " + ", ".join(f"{r} long" for r in RANKS)
+STORED = ["first", "runs", "second", "times", "low"]
+ANSWERS = "part int, chunk long, counts binary, ranks binary, gammas binary, " + ", ".join(f"{c} binary" for c in STORED) + ", " + ", ".join(f"{r} long" for r in RANKS)
 
 
-def _answer(frame: pd.DataFrame, parts: int, below: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pd.DataFrame:
-    """Count a part's n-grams over all chunks; tell each chunk its counts and numbers, and of
-    contexts with an n-gram unseen in training the counts of counts and what ``below`` gives
-    the words that follow them."""
+def _answer(frame: pd.DataFrame, below: Callable[[np.ndarray], np.ndarray]) -> pd.DataFrame:
+    """Count a part's n-grams over all chunks; tell each chunk its counts, and of contexts with
+    an n-gram unseen in training the counts of counts and what ``below`` gives all seen."""
     release()
     frame = frame.sort_values("chunk")
     part, asked = int(frame.part.iloc[0]), [{c: unsqueeze(getattr(r, c)) for c in QUESTION_NAMES[2:]} for r in frame.itertuples()]
-    for q in asked:
-        q["each"], q["base"] = np.repeat(np.cumsum(q["first"]), q["runs"]), np.repeat(q["base"], q["runs"])
-    whole = {c: np.concatenate([q[c] for q in asked]) for c in ("each", "base", "second", "times", "low", "probes")}
-    order = np.lexsort((whole["second"], whole["each"]))
-    first, second = whole["each"][order], whole["second"][order]
-    new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]) if len(first) else np.zeros(0, np.bool_)
+    whole = {c: np.concatenate([q[c] for q in asked]) for c in ("second", "times", "low", "runs", "probes")}
+    firsts = np.concatenate([np.cumsum(q["first"]) for q in asked])
+    heads, head = np.unique(np.concatenate([firsts, whole["probes"]]), return_inverse=True)
+    head = np.repeat(head[: len(firsts)], whole["runs"])
+    width = int(whole["second"].max(initial=0)) + 1
+    if len(heads) * width < 1 << 62:
+        order = np.argsort(head * width + whole["second"], kind="stable")  # merges the chunks' sorted runs
+    else:
+        order = np.lexsort((whole["second"], head))
+    head, second = head[order], whole["second"][order]
+    new = np.concatenate([[True], (head[1:] != head[:-1]) | (second[1:] != second[:-1])]) if len(head) else np.zeros(0, np.bool_)
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
     at = np.flatnonzero(new)
     counts = np.add.reduceat(whole["times"][order], at) if len(at) else np.zeros(0, np.int64)
-    first, second, low, base = first[at], second[at], whole["low"][order][at], whole["base"][order][at]
-    del whole["each"], whole["second"], order
+    head, second, low = head[at], second[at], whole["low"][order[at]]
     seen = counts > 0
-    heads, head = np.unique(np.concatenate([first, whole["probes"]]), return_inverse=True)
-    head = head[: len(first)]
     per_rank = np.stack([np.bincount(head[counts == r], minlength=len(heads)) for r in range(1, KEEP + 1)], axis=1) if len(heads) else np.zeros((0, KEEP), np.int64)
-    gamma = np.bincount(head[seen], weights=below(low[seen], base[seen]), minlength=len(heads))
+    gamma = np.bincount(head[seen], weights=below(low[seen]), minlength=len(heads))
     split = np.isin(heads, whole["probes"])
     kept_whole = ~split & (per_rank.sum(axis=1) == 0)
-    number = np.where(seen, 1 + (np.cumsum(seen) - 1) * parts + part, 0)
-    out, at = [], 0
+    signed = np.where(kept_whole[head], -counts, counts)
+    nothing, out, at = [b""] * len(STORED) + [0] * len(RANKS), [], 0
     for chunk, q in zip(frame.chunk, asked, strict=True):
-        n = len(q["second"])
-        mine = place[at : at + n]
-        at += n
-        if chunk < 0:
-            continue
-        c = counts[mine]
-        wanted = np.unique(head[mine[c == 0]])
-        wanted = np.concatenate([wanted[~split[wanted]], np.searchsorted(heads, q["probes"])])
-        signed = np.where(kept_whole[head[mine]], -c, c)
-        given = number[mine]
-        out.append([part, chunk, squeeze(signed), squeeze(np.diff(given[given > 0], prepend=0)), squeeze(per_rank[wanted].ravel().astype(np.int64)), squeeze(gamma[wanted]), *[b""] * len(STORED), *[0] * len(RANKS)])
-    names, begin, runs = _runs(first[seen])
-    stored = (np.diff(names, prepend=0), runs, base[seen][begin], second[seen], counts[seen], low[seen])
-    out.append([part, -1, squeeze(np.zeros(0, np.int64)), b"", b"", b"", *(squeeze(x) for x in stored), *_ranks(counts)])
+        mine = place[at : at + len(q["second"])]
+        at += len(mine)
+        if chunk >= 0:
+            wanted = np.unique(head[mine[~seen[mine]]])
+            wanted = np.concatenate([wanted[~split[wanted]], np.searchsorted(heads, q["probes"])])
+            out.append([part, chunk, squeeze(signed[mine]), squeeze(per_rank[wanted].ravel().astype(np.int64)), squeeze(gamma[wanted]), *nothing])
+    names, runs = _runs(heads[head[seen]])
+    stored = (np.diff(names, prepend=0), runs, second[seen], counts[seen], low[seen])
+    out.append([part, -1, squeeze(np.zeros(0, np.int64)), b"", b"", *(squeeze(x) for x in stored), *_ranks(counts)])
     return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWERS.split(", ")])
 
 
-@dataclass
-class Resolved:
-    """By n-gram, in its chunk's order of asking."""
-
-    counts: np.ndarray  # negative where the context frees nothing
-    numbers: np.ndarray
-    weights: np.ndarray  # of the next lower order, where the count is 0
-
+def _resolved(x: Grams, answers: pd.DataFrame, discounts: Discounts, under: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """By n-gram as given: its count, negative where the context frees nothing, and the weight
+    of the next lower order where the count is 0.
 
-def _resolved(x: Grams, answers: pd.DataFrame, discounts: Discounts) -> Resolved:
-    counts, numbers = np.zeros(len(x.first), np.int64), np.zeros(len(x.first), np.int64)
-    heads, ranks, gammas = [], [], []
+    ``under``: the count of the context without its first word, by which the masses seen
+    after a context are to be divided; None if they are probabilities.
+    """
+    counts = np.zeros(len(x.first), np.int64)
+    heads, ranks, gammas = [np.zeros(0, np.int64)], [], []
     for a in answers.itertuples():
         begin, end = x.starts[a.part], x.starts[a.part + 1]
         counts[begin:end] = got = unsqueeze(a.counts)
-        numbers[begin:end][got != 0] = np.cumsum(unsqueeze(a.numbers))
-        heads += [np.unique(x.first[begin:end][(got == 0) & ~x.salted[begin:end]]), x.probes[a.part]]
+        open_, _ = _runs(x.first[begin:end][(got == 0) & ~x.salted[begin:end]])
+        heads += [open_, x.probes[a.part]]
         ranks.append(unsqueeze(a.ranks).reshape(-1, KEEP))
         gammas.append(unsqueeze(a.gammas))
-    nothing = np.zeros(0, np.int64)
-    known, place = np.unique(np.concatenate([nothing, *heads]), return_inverse=True)
+    known, place = np.unique(np.concatenate(heads), return_inverse=True)
     weights = np.ones(len(x.first))
-    if not len(known):
-        return Resolved(counts, numbers, weights)
-    per_rank = np.stack([np.bincount(place, weights=r, minlength=len(known)) for r in np.concatenate(ranks).T], axis=1)
-    gamma = np.bincount(place, weights=np.concatenate(gammas), minlength=len(known))
-    spot = np.minimum(np.searchsorted(known, x.first), len(known) - 1)
-    told = known[spot] == x.first
-    # contexts none of whose continuations is discounted set 1 / (count + 1) aside instead
-    counts = np.where(told & x.salted & (per_rank.sum(axis=1) == 0)[spot], -np.abs(counts), counts)
-    n = np.maximum(x.first_count, 1)
-    freed = discounts.freed(per_rank)[spot] / n
-    freed = np.where(freed > 0, freed, 1 / (n + 1))
-    weights = np.where(told & (x.first_count > 0), freed / (1 - gamma[spot]), 1.0)
-    return Resolved(counts, numbers, weights)
+    if len(known):
+        per_rank = np.stack([np.bincount(place, weights=r, minlength=len(known)) for r in np.concatenate(ranks).T], axis=1)
+        gamma = np.bincount(place, weights=np.concatenate(gammas), minlength=len(known))
+        spot = np.minimum(np.searchsorted(known, x.first), len(known) - 1)
+        told = known[spot] == x.first
+        # contexts none of whose continuations is discounted set 1 / (count + 1) aside instead
+        counts = np.where(told & x.salted & (per_rank.sum(axis=1) == 0)[spot], -np.abs(counts), counts)
+        n = np.maximum(x.first_count, 1)
+        freed = discounts.freed(per_rank)[spot] / n
+        freed = np.where(freed > 0, freed, 1 / (n + 1))
+        taken = gamma[spot] if under is None else Bigrams.share(gamma[spot], under[x.order])
+        weights = np.where(told & (x.first_count > 0), freed / (1 - taken), 1.0)
+    out = np.empty(len(counts), np.int64), np.empty(len(counts))
+    out[0][x.order], out[1][x.order] = counts, weights
+    return out
 
 
 def _before(tokens: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
@@ -354,94 +360,83 @@ def _before(tokens: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-@dataclass
 class Pairs:
-    place: np.ndarray  # of each token, the pair it ends
-    head: np.ndarray  # the chunk's words of each pair
-    tail: np.ndarray
-    grams: Grams
+    """A chunk's distinct pairs of words, in the order of their ids."""
 
+    def __init__(self, row, texts: int) -> None:
+        self.lengths = unsqueeze(row.lengths)
+        self.training = np.repeat(unsqueeze(row.held) == 0, self.lengths)
+        self.ids = np.concatenate([[START_ID], np.cumsum(unsqueeze(row.ids))])
+        self.word_counts = np.concatenate([[texts], unsqueeze(row.counts)])
+        self.tokens = unsqueeze(row.tokens).astype(np.int64)
+        key, self.place = np.unique(_before(self.tokens, self.lengths, 0) * len(self.ids) + self.tokens, return_inverse=True)
+        self.head, self.tail = key // len(self.ids), key % len(self.ids)
 
-def _pairs(row, parts: int, total: int, texts: int) -> Pairs:
-    tokens, lengths, ids, counts = (unsqueeze(getattr(row, c)) for c in ("tokens", "lengths", "ids", "counts"))
-    n = len(ids)
-    key, place = np.unique(_before(tokens, lengths, n) * n + tokens, return_inverse=True)
-    head, tail = key // n, key % n
-    ids_, counts_ = np.append(ids, START_ID), np.append(counts, texts)
-    times = np.bincount(place, weights=np.repeat(unsqueeze(row.held) == 0, lengths), minlength=len(key)).astype(np.int64)
-    return Pairs(place, head, tail, Grams.dealt(ids_[head], ids[tail], counts_[head], times, counts[tail], np.zeros(len(key), np.int64), parts, total))
+    def grams(self, parts: int, total: int) -> Grams:
+        times = np.bincount(self.place, weights=self.training, minlength=len(self.head)).astype(np.int64)
+        return Grams.dealt(self.ids[self.head], self.ids[self.tail], self.word_counts[self.head], times, self.word_counts[self.tail], parts, total)
 
+    def probabilities(self, counts: np.ndarray, unseen: np.ndarray, discounts: Discounts) -> np.ndarray:
+        p = Bigrams.share(Bigrams(discounts).mass(counts), self.word_counts[self.head])
+        p[counts == 0] = unseen
+        return p
 
-STATE = "chunk long, docs binary, nulls binary, held binary, lengths binary, ids binary, counts binary, place binary, heads binary, tails binary, pair_counts binary, pair_ids binary, unseen binary"
+
+STATE = NAMED + ", pair_counts binary, unseen binary"
 
 
 def _state(chunk: pd.DataFrame, answers: pd.DataFrame, parts: int, total: int, texts: int, unigrams: Unigrams, discounts: Discounts) -> pd.DataFrame:
-    """A chunk with its pairs: signed counts, ids, and the probability of those unseen in training."""
+    """A chunk with the signed counts of its pairs and the probability of those unseen in training."""
     release()
-    row = chunk.iloc[0]
-    x = _pairs(row, parts, total, texts)
-    found, back = _resolved(x.grams, answers, discounts), x.grams.back
-    counts, weights = found.counts[back], found.weights[back]
+    x = Pairs(chunk.iloc[0], texts)
+    counts, weights = _resolved(x.grams(parts, total), answers, discounts, None)
     unseen = counts == 0
-    p = weights[unseen] * unigrams.probability(unsqueeze(row.counts)[x.tail[unseen]])
-    made = (x.place.astype(np.int32), np.diff(x.head.astype(np.int32), prepend=np.int32(0)), x.tail.astype(np.int32), counts, found.numbers[back], p)
-    kept = [c.split()[0] for c in STATE.split(", ")]
-    return chunk.assign(**dict(zip(kept[-6:], map(squeeze, made), strict=True)))[kept]
+    return chunk.assign(pair_counts=squeeze(counts), unseen=squeeze(weights[unseen] * unigrams.probability(x.word_counts[x.tail[unseen]])))
 
 
-@dataclass
 class Triples:
-    at: np.ndarray  # the tokens whose context was seen in training
-    place: np.ndarray  # of each of them, its trigram
-    pair: np.ndarray  # of each trigram, the pair of its last two words
-    grams: Grams
-
-
-def _pair_probabilities(row, texts: int, discounts: Discounts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By pair: probability, signed count and the count of its first word."""
-    counts = unsqueeze(row.pair_counts)
-    context = np.append(unsqueeze(row.counts), texts)[np.cumsum(unsqueeze(row.heads))]
-    p = Bigrams(discounts).probability(counts, context)
-    p[counts == 0] = unsqueeze(row.unseen)
-    return p, counts, context
-
-
-def _triples(row, parts: int, total: int, texts: int, pair_counts: np.ndarray, contexts: np.ndarray) -> Triples:
-    place, tail, lengths = (unsqueeze(getattr(row, c)) for c in ("place", "tails", "lengths"))
-    n = len(tail)
-    before = _before(place, lengths, n)
-    known = np.append(np.abs(pair_counts), texts)  # the count of a pair as a context
-    at = np.flatnonzero(known[before] > 0)
-    words = len(unsqueeze(row.ids))
-    key, first, which = np.unique(before[at] * words + tail[place[at]], return_index=True, return_inverse=True)
-    pair = place[at[first]].astype(np.int64)
-    context = key // words
-    training = np.repeat(unsqueeze(row.held) == 0, lengths)[at]
-    times = np.bincount(which, weights=training, minlength=len(key)).astype(np.int64)
-    ids = np.append(unsqueeze(row.pair_ids), START_ID)
-    return Triples(at, which, pair, Grams.dealt(ids[context], unsqueeze(row.ids)[tail[pair]], known[context], times, pair_counts[pair], contexts[pair], parts, total))
+    """A chunk's distinct trigrams whose first two words were seen in training, in the order of their ids.
+
+    A pair's id as a context is made of both words' ids; above 2**31 words two such ids
+    may meet, with a chance of about contexts / 2**64.
+    """
+
+    def __init__(self, pairs: Pairs, pair_counts: np.ndarray, texts: int) -> None:
+        before = _before(pairs.place + 1, pairs.lengths, 0)
+        known = np.concatenate([[texts], np.abs(pair_counts)])  # the count of a pair as a context
+        self.at = np.flatnonzero(known[before] > 0)  # the tokens after such a pair
+        key, first, self.place = np.unique(before[self.at] * len(pairs.ids) + pairs.tokens[self.at], return_index=True, return_inverse=True)
+        context = key // len(pairs.ids)
+        self.pair = pairs.place[self.at[first]]  # of the last two words
+        self.count = known[context]
+        self.under = pairs.word_counts[pairs.head[self.pair]]
+        self.contexts = np.concatenate([[START_ID], (pairs.ids[pairs.head] << 32) + pairs.ids[pairs.tail]])[context]
+        self.words = pairs.ids[key % len(pairs.ids)]
+        self.times = np.bincount(self.place, weights=pairs.training[self.at], minlength=len(key)).astype(np.int64)
+        self.low = pair_counts[self.pair]
+
+    def grams(self, parts: int, total: int) -> Grams:
+        return Grams.dealt(self.contexts, self.words, self.count, self.times, self.low, parts, total)
 
 
 def _scores(chunk: pd.DataFrame, answers: pd.DataFrame, parts: int, total: int, texts: int, unigrams: Unigrams, pairs: Discounts, triples: Discounts) -> pd.DataFrame:
     release()
     row = chunk.iloc[0]
-    below, pair_counts, contexts = _pair_probabilities(row, texts, pairs)
-    x = _triples(row, parts, total, texts, pair_counts, contexts)
-    found, back = _resolved(x.grams, answers, triples), x.grams.back
-    counts, n = found.counts[back], np.maximum(x.grams.first_count[back], 1)
-    seen = np.where(counts < 0, -counts / (n + 1), triples.apply(np.abs(counts)) / n)
-    p = np.where(counts != 0, seen, found.weights[back] * below[x.pair])
-    place, lengths = unsqueeze(row.place), unsqueeze(row.lengths)
-    logs = np.log10(below)[place]  # an unknown context leaves all to the pair
-    logs[x.at] = np.log10(p)[x.place]
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    word_counts = unsqueeze(row.counts)[unsqueeze(row.tails)[place]]
+    x, pair_counts = Pairs(row, texts), unsqueeze(row.pair_counts)
+    below = x.probabilities(pair_counts, unsqueeze(row.unseen), pairs)
+    y = Triples(x, pair_counts, texts)
+    counts, weights = _resolved(y.grams(parts, total), answers, triples, y.under)
+    p = np.where(counts != 0, Bigrams.share(Bigrams(triples).mass(counts), y.count), weights * below[y.pair])
+    logs = np.log10(below)[x.place]  # an unknown context leaves all to the pair
+    logs[y.at] = np.log10(p)[y.place]
+    doc = np.repeat(np.arange(len(x.lengths)), x.lengths)
+    word_counts = x.word_counts[x.tokens]
     base = np.log10((word_counts + 1) / (unigrams.total + unigrams.types + 1))
-    sums = lambda v: np.bincount(doc, weights=v, minlength=len(lengths))
+    sums = lambda v: np.bincount(doc, weights=v, minlength=len(x.lengths))
     ids = pd.array(unsqueeze(row.docs), "Int64")
     ids[unsqueeze(row.nulls) == 1] = pd.NA
     return pd.DataFrame({
-        "doc_id": ids, "held_out": unsqueeze(row.held) == 1, "n_tokens": lengths, "n_known": sums(word_counts > 0).astype(np.int64),
+        "doc_id": ids, "held_out": unsqueeze(row.held) == 1, "n_tokens": x.lengths, "n_known": sums(word_counts > 0).astype(np.int64),
         "train_tokens": unigrams.total, "base_score": sums(base), "score": sums(logs),
     })
 
@@ -497,7 +492,9 @@ def _evaluated(docs: DataFrame, learn_from: Callable, key: str, text: str, model
     def counts_of(answers: DataFrame, *columns: str) -> list[int]:
         return list(answers.filter("chunk = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in columns]).collect()[0])
 
-    words = F.col("a").alias("words"), F.col("b").alias("counts")
+    def kept(answers: DataFrame, name: str, *columns) -> DataFrame:
+        return space.write(answers.filter("chunk = -1").select("part", "chunk", *columns), f"model_{name}")
+
     asked = chunks.mapInArrow(lambda b: _ask_words(b, parts), WORD_QUESTIONS)
     answers = told(asked, lambda p: _answer_words(p, parts), WORD_ANSWERS, "unigrams", ["part", "chunk", "words", "counts"])
     types, total, *ranks = counts_of(answers, "types", "total", *RANKS)
@@ -506,32 +503,33 @@ def _evaluated(docs: DataFrame, learn_from: Callable, key: str, text: str, model
     unigrams = Unigrams(discounts, total, types, total - float(discounts.freed(np.array([ranks[:KEEP]]))[0]))
     replies = answers.filter("chunk >= 0").select("chunk", "part", "a", "b")
     named = space.write(chunks.drop("words").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(_name_words, NAMED), "named")
-    space.drop("chunks")
-    known = [answers.filter("chunk = -1").select("part", "chunk", *words)]
+    one = model.unigrams if model else kept(answers, "unigrams", F.col("a").alias("words"), F.col("b").alias("counts"))
+    space.drop("chunks", "unigrams")
 
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            yield _pairs(row, parts, tokens, texts).grams.questions(row.chunk)
+            yield Pairs(row, texts).grams(parts, tokens).questions(row.chunk)
 
     def of_chunks(answers: DataFrame):
-        known.append(answers.filter("chunk = -1").select("part", "chunk", *STORED, F.col("counts").alias("probes")))
-        return answers.filter("chunk >= 0").select("chunk", "part", "counts", "numbers", "ranks", "gammas").groupBy("chunk")
+        return answers.filter("chunk >= 0").select("chunk", "part", "counts", "ranks", "gammas").groupBy("chunk")
 
-    pairs = told(named.mapInArrow(ask_pairs, QUESTIONS), lambda p: _answer(p, parts, unigrams.probability), ANSWERS, "bigrams", QUESTION_NAMES)
-    two = Discounts.of(counts_of(pairs, *RANKS))
-    state = named.groupBy("chunk").cogroup(of_chunks(pairs)).applyInPandas(lambda a, b: _state(a, b, parts, tokens, texts, unigrams, two), STATE)
+    stored_grams = [*STORED, F.col("counts").alias("probes")]
+    answers = told(named.mapInArrow(ask_pairs, QUESTIONS), lambda p: _answer(p, unigrams.probability), ANSWERS, "bigrams", QUESTION_NAMES)
+    two = Discounts.of(counts_of(answers, *RANKS))
+    state = named.groupBy("chunk").cogroup(of_chunks(answers)).applyInPandas(lambda a, b: _state(a, b, parts, tokens, texts, unigrams, two), STATE)
     state = space.write(state, "state")
-    space.drop("named")
+    pairs = model.bigrams if model else kept(answers, "bigrams", *stored_grams)
+    space.drop("named", "bigrams")
 
     def ask_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            _, pair_counts, contexts = _pair_probabilities(row, texts, two)
-            yield _triples(row, parts, tokens, texts, pair_counts, contexts).grams.questions(row.chunk)
+            yield Triples(Pairs(row, texts), unsqueeze(row.pair_counts), texts).grams(parts, tokens).questions(row.chunk)
 
-    triples = told(state.mapInArrow(ask_triples, QUESTIONS), lambda p: _answer(p, parts, Bigrams(two).probability), ANSWERS, "trigrams", QUESTION_NAMES)
-    three = Discounts.of(counts_of(triples, *RANKS))
-    scores = state.groupBy("chunk").cogroup(of_chunks(triples)).applyInPandas(lambda a, b: _scores(a, b, parts, tokens, texts, unigrams, two, three), RESULT)
-    return scores, model or Model(*known, parts, tokens, texts)
+    answers = told(state.mapInArrow(ask_triples, QUESTIONS), lambda p: _answer(p, Bigrams(two).mass), ANSWERS, "trigrams", QUESTION_NAMES)
+    three = Discounts.of(counts_of(answers, *RANKS))
+    scores = state.groupBy("chunk").cogroup(of_chunks(answers)).applyInPandas(lambda a, b: _scores(a, b, parts, tokens, texts, unigrams, two, three), RESULT)
+    triples = model.trigrams if model else answers.filter("chunk = -1").select("part", "chunk", *stored_grams)
+    return scores, Model(one, pairs, triples, parts, tokens, texts)
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
