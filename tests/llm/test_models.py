@@ -38,6 +38,43 @@ def test_toxicity_on_held_out_labels(spark, labels):
     assert got.get((0, 1), 0) / (got[0, 0] + got.get((0, 1), 0)) < 0.02
 
 
+def plain_risk(weights, x, positive, prior):
+    """Both terms by their definition, document by document."""
+    g = x @ weights
+    loss = lambda v: math.log1p(math.exp(-v))
+    of_p = [(loss(v), loss(-v)) for v in g[positive]]
+    first = prior * sum(a for a, _ in of_p) / len(of_p)
+    return first, sum(loss(-v) for v in g[~positive]) / (~positive).sum() - prior * sum(b for _, b in of_p) / len(of_p)
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.9])
+def test_risk_and_slope_equal_the_definition(prior):
+    rng = np.random.default_rng(1)
+    x, positive = rng.normal(size=(60, 5)), rng.random(60) < 0.4
+    weights = rng.normal(size=5)
+    value, slope = positive_unlabelled.risk(x @ weights, positive, prior, 0.0)
+    first, second = plain_risk(weights, x, positive, prior)
+    assert value == pytest.approx(first + max(0.0, second))
+    which = (lambda w: sum(plain_risk(w, x, positive, prior))) if second >= 0 else (lambda w: -plain_risk(w, x, positive, prior)[1])
+    for k in range(5):
+        step = np.eye(5)[k] * 1e-6
+        assert (x.T @ slope)[k] == pytest.approx((which(weights + step) - which(weights - step)) / 2e-6, rel=1e-4, abs=1e-7)
+
+
+def test_the_turned_slope_is_reached():
+    g, positive = np.full(20, 3.0), np.arange(20) < 10
+    g[10:] = -6.0
+    value, slope = positive_unlabelled.risk(g, positive, 0.8, 0.0)
+    assert value == pytest.approx(0.8 * math.log1p(math.exp(-3))) and (slope[positive] > 0).all() and (slope[~positive] < 0).all()
+
+
+def test_prior_from_scores():
+    rng = np.random.default_rng(5)
+    positives, negatives = rng.normal(2, 1, 4000), rng.normal(-2, 1, 17000)
+    got = positive_unlabelled.share_above(positives[:1000], np.concatenate([positives[1000:], negatives]), 0.3)
+    assert abs(got - 0.15) < 0.03
+
+
 def test_held_out_is_crc32_of_the_text_of_the_id(spark):
     rows = spark.range(50).withColumn("h", classify.held_out(F.col("id"))).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in rows)

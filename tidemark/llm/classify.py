@@ -97,18 +97,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, settings: factorisation.FMSe
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: positive_unlabelled.PUSettings, key: str = "doc_id", text: str = "text") -> positive_unlabelled.LinearModel:
-    """Positives: labelled toxic.  Unlabelled: documents of any kind, their labels unread."""
+    """Positives: labelled toxic.  Unlabelled: rows of the labels table of any kind, their labels unread.
+
+    Both samples are bounded by settings; a share of positives is estimated from scores."""
     ship_package(docs.sparkSession)
     known = training_labels(labels, "toxic")
-    prior = settings.prior
-    if prior is None:
-        prior = known.agg(F.avg(F.col("label").cast("double"))).collect()[0][0] or 0.0
-    ids = docs.select(docs[key].cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
-    unlabelled = few(ids.filter(~held_out(F.col("doc_id"))), settings.unlabelled)
+    unlabelled = few(known.select("doc_id"), settings.unlabelled)
     positives = few(known.filter("label = 1").select("doc_id"), settings.positives)
-    wanted = positives.withColumn("label", F.lit(1)).unionByName(unlabelled.dropDuplicates().withColumn("label", F.lit(0)))
+    wanted = positives.withColumn("label", F.lit(1)).unionByName(unlabelled.withColumn("label", F.lit(0)))
     rows, frame = sample_rows(docs, wanted, settings.bits, settings.prefixes, (), key, text, counted=False)
-    return positive_unlabelled.train(rows, frame["label"].to_numpy() == 1, float(prior), settings)
+    positive = frame["label"].to_numpy() == 1
+    prior = settings.prior if settings.prior is not None else positive_unlabelled.estimated_prior(rows, positive, frame["doc_id"].to_numpy(), settings)
+    return positive_unlabelled.train(rows, positive, prior, settings)
 
 
 def _scorer(model, text: str, metadata: tuple[str, ...]) -> Callable[[pa.RecordBatch], np.ndarray]:

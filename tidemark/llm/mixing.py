@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,6 @@ BLOCK_ROWS = 8192
 FAN_IN = 1024
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
-NO_KEY = -(2**63)  # stands for a null key in joins
 
 
 @dataclass(frozen=True)
@@ -83,7 +82,7 @@ def pivot(mass: np.ndarray, chance: np.ndarray, draws: np.ndarray) -> tuple[np.n
 
 
 def _rounded(frame: pd.DataFrame, level: int, final: bool) -> pd.DataFrame:
-    frame = frame.sort_values(["size", "doc_id", "block"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
+    frame = frame.sort_values(["size", "doc_id", "row_key", "block"], ascending=[False, True, True, True], kind="stable", na_position="last").reset_index(drop=True)
     key = f"{SEED}:{level}:{frame.source_no[0]}:{frame.parent[0]}"
     draws = np.random.Generator(np.random.Philox(zlib.crc32(key.encode()))).random(len(frame) + 1)
     chance, held = pivot(frame["size"].to_numpy(np.float64), frame.chance.to_numpy(np.float64), draws[:-1])
@@ -98,6 +97,11 @@ def _level(rows: DataFrame, level: int, final: bool) -> DataFrame:
     return rows.groupBy("source_no", "parent").applyInPandas(lambda p: _rounded(p, level, final)[names], schema)
 
 
+def _row_key(docs: DataFrame, key: str, text: str) -> Column:
+    """Equal for rows that are equal in key and text, and for hardly any others."""
+    return F.xxhash64(docs[key].cast("long"), F.lit("text"), docs[text].cast("string"))
+
+
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies.
 
@@ -109,10 +113,16 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: st
     a source of its own, after all others.  Repeated rows are separate documents.
     Other columns are ignored; an empty table gives an empty result.
     """
+    return _decided(docs, mix, key, text, source).drop("row_key")
+
+
+def _decided(docs: DataFrame, mix: Mix, key: str, text: str, source: str) -> DataFrame:
+    """``mix_sources`` with each row's ``row_key``."""
     spark = docs.sparkSession
     space = Workspace(spark, "mix")
     sized = docs.select(
         docs[key].cast("long").alias("doc_id"),
+        _row_key(docs, key, text).alias("row_key"),
         docs[source].cast("string").alias("source"),
         F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
@@ -128,8 +138,8 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: st
         plan.append((no, name, size, target, int(copies), copies - int(copies), blocks))
     plans = spark.createDataFrame(plan, "source_no int, of string, source_size long, target double, whole int, chance double, blocks int")
     rows = sized.join(plans, sized["source"].eqNullSafe(plans["of"])).select(
-        "doc_id", "size", "source_no", "source_size", "target", "whole", "chance",
-        F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"),
+        "doc_id", "row_key", "size", "source_no", "source_size", "target", "whole", "chance",
+        F.pmod("row_key", F.col("blocks")).alias("block"),
     )
     first = space.write(_level(rows.withColumn("parent", F.col("block")), 0, most_blocks == 1), "level0")
     done, waiting, level, blocks = None, first.filter("open"), 0, most_blocks
@@ -147,23 +157,20 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: st
         late = first.filter("open").join(done, (F.col("source_no") == F.col("_no")) & (F.col("block") == F.col("_block"))).withColumn("extra", F.col("_chance")).drop("_no", "_block", "_chance")
         decided = closed.unionByName(late)
     copies = F.col("whole") + F.col("extra").cast("int")
-    return decided.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return decided.select("doc_id", "row_key", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` with each row as often as the mix takes it; documents without words go.
 
-    Rows that share key and word count may swap what the mix decides for them; rows
-    are numbered within such a key only if there are any.
+    Rows equal in key and text get the copies of all of them together, one more for the
+    first ones where these can't be shared evenly.
     """
-    size = F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("long")
-    name = F.coalesce(docs[key].cast("long"), F.lit(NO_KEY))
-    rows = docs.select("*", name.alias("_mix_key"), size.alias("_mix_size"))
-    taken = mix_sources(docs, mix, key, text, source).select(F.coalesce("doc_id", F.lit(NO_KEY)).alias("_mix_key"), F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies"))
-    on = ["_mix_key", "_mix_size"]
-    if not taken.groupBy(*on).count().filter("count > 1").isEmpty():
-        rows = rows.withColumn("_mix_nth", F.row_number().over(Window.partitionBy(*on).orderBy(source)))
-        taken = taken.withColumn("_mix_nth", F.row_number().over(Window.partitionBy(*on).orderBy("_mix_copies")))
-        on = [*on, "_mix_nth"]
-    joined = rows.join(taken.filter("_mix_copies > 0 AND _mix_size > 0"), on)
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    decided = _decided(docs, mix, key, text, source).filter("size > 0")
+    taken = decided.groupBy("row_key").agg(F.min("copies").alias("_mix_least"), (F.sum("copies") - F.min("copies") * F.count("*")).alias("_mix_more"))
+    rows = docs.select("*", _row_key(docs, key, text).alias("_mix_key"))
+    joined = rows.join(taken.filter("_mix_least + _mix_more > 0"), rows["_mix_key"] == taken["row_key"])
+    nth = F.row_number().over(Window.partitionBy("_mix_key").orderBy(source))
+    copies = F.col("_mix_least") + F.when(nth <= F.col("_mix_more"), 1).otherwise(0)
+    joined = joined.withColumn("_mix_copies", copies).filter("_mix_copies > 0")
+    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,13 +12,20 @@ from .features import Rows, row_numbers
 
 @dataclass(frozen=True)
 class PUSettings:
-    """Bounds and constants of training; prior None: the share of positives among the labels."""
+    """Bounds and constants of training.
+
+    positives, unlabelled: rows of the labels table to learn from, at most; of the latter
+    the labels stay unread.  prior: the share of positives among the unlabelled; None
+    to estimate it from scores.
+    """
 
     bits: int = 18
     prefixes: tuple[int, ...] = (4, 5, 6, 7, 8)
     positives: int = 3000
     unlabelled: int = 6000
     prior: float | None = None
+    first_prior: float = 0.1
+    least_recall: float = 0.7
     least_texts: int = 5
     surprise: float = 5.0
     passes: int = 250
@@ -38,14 +46,31 @@ class LinearModel:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -40, 40)))
 
 
+def risk(g: np.ndarray, positive: np.ndarray, prior: float, slack: float) -> tuple[float, np.ndarray]:
+    """prior R_p(+) + max(0, R_u(-) - prior R_p(-)) with logistic losses, and its slope in g.
+
+    Where the estimate of the negatives' risk falls below zero, the slope is that of
+    this term alone, turned round (Kiryo and others, 2017), so that a flexible model
+    can't turn unlabelled positives into negatives.
+    """
+    n_p, n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
+    p = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
+    loss_negative = np.logaddexp(0, g)
+    of_positives = prior * np.logaddexp(0, -g)[positive].sum() / n_p
+    negatives = loss_negative[~positive].sum() / n_u - prior * loss_negative[positive].sum() / n_p
+    slope = np.where(positive, -prior * p / n_p, p / n_u)
+    if negatives < -slack:
+        return of_positives, -slope
+    slope[positive] += prior / n_p * (p[positive] - 1)
+    return of_positives + max(0.0, negatives), slope
+
+
 def train(rows: Rows, positive: np.ndarray, prior: float, settings: PUSettings) -> LinearModel:
-    """Minimise prior R_p(+) + max(0, R_u(-) - prior R_p(-)) with logistic losses.
+    """Minimise the risk by gradient steps over all rows.
 
-    Where the estimate of the negatives' risk falls below zero, the step goes up that
-    term instead of down (Kiryo and others, 2017), so that a flexible model can't turn
-    unlabelled positives into negatives.  Only features get a weight that at least
-    ``least_texts`` toxic texts hold, ``surprise`` standard deviations more of them
-    than of the unlabelled.  Without positives every score is low and alike.
+    Only features get a weight that at least ``least_texts`` toxic texts hold,
+    ``surprise`` standard deviations more of them than of the unlabelled.  Without
+    positives every score is low and alike.
     """
     if not positive.any():
         return LinearModel(np.zeros(1 << settings.bits), -4.0, settings)
@@ -62,14 +87,7 @@ def train(rows: Rows, positive: np.ndarray, prior: float, settings: PUSettings)
     first, second, bias_1, bias_2 = np.zeros(n), np.zeros(n), 0.0, 0.0
     for t in range(1, settings.passes + 1):
         g = np.bincount(row, weights=weights[ids], minlength=docs) + bias
-        p = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
-        loss_negative = np.logaddexp(0, g)
-        negatives = loss_negative[~positive].sum() / n_u - prior * loss_negative[positive].sum() / n_p
-        slope = np.where(positive, 0.0, p / n_u)
-        slope[positive] -= prior * p[positive] / n_p
-        if negatives < -settings.slack:
-            slope = -slope
-        slope[positive] += np.where(negatives < -settings.slack, 0.0, prior / n_p) * (p[positive] - 1)
+        _, slope = risk(g, positive, prior, settings.slack)
         gradient = np.bincount(ids, weights=slope[row], minlength=n) + settings.decay * weights
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         weights -= settings.step * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
@@ -79,3 +97,37 @@ def train(rows: Rows, positive: np.ndarray, prior: float, settings: PUSettings)
     full = np.zeros(1 << settings.bits)
     full[chosen] = weights
     return LinearModel(full, bias, settings)
+
+
+def share_above(of_positives: np.ndarray, of_unlabelled: np.ndarray, least_recall: float) -> float:
+    """The share of positives among the unlabelled, by scores of both that no training saw.
+
+    At any threshold the unlabelled above it hold at least the positives' part of them;
+    the least ratio of the two shares above, where enough positives are, bounds the prior.
+    """
+    ordered = np.sort(of_positives)
+    cuts = ordered[: max(1, int(len(ordered) * (1 - least_recall)))]
+    above_p = 1 - np.searchsorted(ordered, cuts, "left") / len(ordered)
+    above_u = 1 - np.searchsorted(np.sort(of_unlabelled), cuts, "left") / max(1, len(of_unlabelled))
+    return float(np.clip((above_u / above_p).min(), 1e-3, 0.999))
+
+
+def subset(rows: Rows, chosen: np.ndarray) -> Rows:
+    keep = np.repeat(chosen, np.diff(rows.starts))
+    starts = np.concatenate([[0], np.cumsum(np.diff(rows.starts)[chosen])])
+    return Rows(starts, rows.ids[keep], rows.counts[keep] if len(rows.counts) else rows.counts, rows.dense[chosen])
+
+
+def estimated_prior(rows: Rows, positive: np.ndarray, ids: np.ndarray, settings: PUSettings) -> float:
+    """Train on half of the documents and score the others, both ways; compare the two shares above a threshold.
+
+    A document that is among the positives and the unlabelled is in one half with both.
+    """
+    half = np.array([zlib.crc32(str(i).encode()) >> 8 & 1 for i in ids.tolist()], np.bool_)
+    scores = np.zeros(len(positive))
+    for seen in (half, ~half):
+        if not positive[seen].any() or positive[seen].all():
+            return settings.first_prior
+        model = train(subset(rows, seen), positive[seen], settings.first_prior, settings)
+        scores[~seen] = model.scores(subset(rows, ~seen))
+    return share_above(scores[positive], scores[~positive], settings.least_recall)

@@ -34,7 +34,8 @@ def assign_shards(docs: DataFrame, weights: list[float], grown: list[float] | No
 
     size: UTF-8 bytes of the text plus 16; a null text has none, and crc32 0.  Equal
     keys (repeated rows, null keys) share a shard.  slot: 0, 1, 2 ... in each shard by
-    md5(key), key, crc32 and size; rows equal in all of these may swap slots.  Other
+    md5(key), key, crc32 and size, rows without a key after those whose md5 begins alike; rows
+    equal in all of these may swap slots.  Other
     columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -51,5 +52,8 @@ def assign_shards(docs: DataFrame, weights: list[float], grown: list[float] | No
     stored = Workspace(spark, "shard").write(rows, "rows")
     per_shard = stored.count() / len(weights)
     digits = max(0, math.ceil(math.log(max(1.0, per_shard / ROWS_PER_SPREAD), 16)))
-    ranked = gapless_rank(stored, ["shard"], F.substring("_digest", 1, digits), ["_digest", "doc_id", "text_crc32", "size"], "slot")
+    prefix = F.substring("_digest", 1, digits)
+    # rows without a key share a digest; their texts' checksums spread them
+    spread = F.when(F.col("doc_id").isNull(), F.concat(prefix, F.lpad(F.substring(F.lower(F.hex("text_crc32")), 1, digits), digits, "0"))).otherwise(prefix)
+    ranked = gapless_rank(stored, ["shard"], spread, ["_digest", "doc_id", "text_crc32", "size"], "slot")
     return ranked.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
