@@ -104,12 +104,13 @@ def share_above(of_positives: np.ndarray, of_unlabelled: np.ndarray, least_recal
 
     At any threshold the unlabelled above it hold at least the positives' part of them;
     the least ratio of the two shares above, where enough positives are, bounds the prior.
+    A standard error is added to the share of the unlabelled.
     """
-    ordered = np.sort(of_positives)
+    ordered, n = np.sort(of_positives), max(1, len(of_unlabelled))
     cuts = ordered[: max(1, int(len(ordered) * (1 - least_recall)))]
     above_p = 1 - np.searchsorted(ordered, cuts, "left") / len(ordered)
-    above_u = 1 - np.searchsorted(np.sort(of_unlabelled), cuts, "left") / max(1, len(of_unlabelled))
-    return float(np.clip((above_u / above_p).min(), 1e-3, 0.999))
+    above_u = 1 - np.searchsorted(np.sort(of_unlabelled), cuts, "left") / n
+    return float(((above_u + np.sqrt(above_u * (1 - above_u) / n)) / above_p).min())
 
 
 def subset(rows: Rows, chosen: np.ndarray) -> Rows:
@@ -122,6 +123,8 @@ def estimated_prior(rows: Rows, positive: np.ndarray, ids: np.ndarray, settings:
     """Train on half of the documents and score the others, both ways; compare the two shares above a threshold.
 
     A document that is among the positives and the unlabelled is in one half with both.
+    Scores that don't tell positives apart give no estimate under a half; then it is
+    ``first_prior``.
     """
     half = np.array([zlib.crc32(str(i).encode()) >> 8 & 1 for i in ids.tolist()], np.bool_)
     scores = np.zeros(len(positive))
@@ -130,4 +133,5 @@ def estimated_prior(rows: Rows, positive: np.ndarray, ids: np.ndarray, settings:
             return settings.first_prior
         model = train(subset(rows, seen), positive[seen], settings.first_prior, settings)
         scores[~seen] = model.scores(subset(rows, ~seen))
-    return share_above(scores[positive], scores[~positive], settings.least_recall)
+    found = share_above(scores[positive], scores[~positive], settings.least_recall)
+    return found if 0 < found < 0.5 else settings.first_prior
