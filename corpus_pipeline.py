@@ -44,14 +44,19 @@ STAGES = [
     ("pack", pack_sequences),
 ]
 
-#: The classifier and the mix are not expressible in SQL; tests hold each stage against brute force.
+#: The classifier and the mix are not expressible in SQL; tests/llm/test_pipeline.py recounts each stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each result written to the shared folder and read again."""
+    """Apply the stages to documents, each result written to the shared folder and read again.
+
+    A stage's table is removed once the next one is written.
+    """
     space = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = space.write(stage(spark, docs, sf_dir), f"{k}_{name}")
+        if k:
+            space.drop(f"{k - 1}_{STAGES[k - 1][0]}")
     return docs
