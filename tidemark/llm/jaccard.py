@@ -289,12 +289,12 @@ class CountForest:
         return query, node
 
 
-def _candidates(frame: pd.DataFrame, like: Similarity, lesser: bool) -> pd.DataFrame:
-    """Pairs (a, b) of classes, a < b, that a tree lets through.
+def _candidates(frame: pd.DataFrame, like: Similarity, lesser: bool, one_each: bool) -> pd.DataFrame:
+    """Pairs of a point (a) and a query (b) that a tree lets through.
 
     A row has a tree (cell and part), an id, a component, a size, a point, and whether it is
-    a point of the tree, a query or both (1, 2, 3).  With ``lesser`` each query keeps one
-    partner only, the one with the least id.
+    a point of the tree, a query or both (1, 2, 3).  With ``one_each`` a query keeps one
+    partner only, the one with the least id; otherwise a < b.
     """
     frame = frame.sort_values(["cell", "part"], kind="stable")
     frame = frame.iloc[np.argsort(frame.cell.to_numpy() & BAND, kind="stable")]
@@ -328,10 +328,11 @@ def _candidates(frame: pd.DataFrame, like: Similarity, lesser: bool) -> pd.DataF
                 mine = rows[some]
                 q, p = forest.search(points.dense(some), tree[mine] - base, sizes[mine], components[mine], like.share, lesser)
                 pair = np.stack([place[inside[p]], place[mine[q]]], axis=1)
-                if lesser:  # ids are the components here
+                if one_each:
                     pair = pair[np.lexsort((pair[:, 0], pair[:, 1]))]
-                    pair = pair[np.concatenate([[True], pair[1:, 1] != pair[:-1, 1]])] if len(pair) else pair
-                found.append(np.unique(np.sort(pair, axis=1), axis=0))
+                    found.append(pair[np.concatenate([[True], pair[1:, 1] != pair[:-1, 1]])] if len(pair) else pair)
+                else:
+                    found.append(np.unique(np.sort(pair, axis=1), axis=0))
         at = to
     pairs = np.unique(np.concatenate(found), axis=0)
     out = pd.DataFrame({"a": known[pairs[:, 0]], "b": known[pairs[:, 1]]})
@@ -340,14 +341,15 @@ def _candidates(frame: pd.DataFrame, like: Similarity, lesser: bool) -> pd.DataF
     return out
 
 
-def tree_pairs(rows: DataFrame, like: Similarity, large: Column, buckets: int, lesser: bool) -> DataFrame:
-    """(a, b) of classes in one tree, by rows as ``_candidates`` takes them.
+def tree_pairs(rows: DataFrame, like: Similarity, large: Column, buckets: int, lesser: bool, one_each: bool) -> DataFrame:
+    """Distinct pairs of classes in one tree, by rows as ``_candidates`` takes them.
 
     A large cell's parts have a task each; small cells share tasks.
     """
     task = F.when(large, F.xxhash64("cell", "part")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(buckets)))
     asked = rows.select(task.alias("task"), "cell", "part", "id", "component", "n_shingles", "role", "point")
-    return asked.groupBy("task").applyInPandas(lambda p: _candidates(p, like, lesser), "a long, b long").distinct()
+    pairs = asked.groupBy("task").applyInPandas(lambda p: _candidates(p, like, lesser, one_each), "a long, b long")
+    return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if one_each else pairs.distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
@@ -386,11 +388,10 @@ def _first_partners(shared: DataFrame, points: DataFrame, like: Similarity, spac
     always = heads.select("cell", F.col("first").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.lit(1).alias("role"))
     rows = asking.unionByName(always).join(points, "id").withColumn("component", F.col("id"))
     buckets = max(12, -(-chosen.count() // TASK_ROWS))
-    pairs = tree_pairs(rows, like, F.col("parts") > 8, buckets, lesser=True)
-    return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    return tree_pairs(rows, like, F.col("parts") > 8, buckets, lesser=True, one_each=True)
 
 
-def _open_pairs(shared: DataFrame, points: DataFrame, found: DataFrame, like: Similarity, space: Workspace) -> DataFrame:
+def _open_pairs(shared: DataFrame, points: DataFrame, found: DataFrame, like: Similarity, space: Workspace, one_each: bool) -> DataFrame:
     """Pairs of classes of different components in any cell, as the trees let them through.
 
     Of a cell, all classes are points, and those outside its largest component ask.  A
@@ -402,7 +403,7 @@ def _open_pairs(shared: DataFrame, points: DataFrame, found: DataFrame, like: Si
     mixed_cells = inside.groupBy("cell").agg(F.sum("n").alias("n"), F.max("n").alias("top_n"), F.max_by("component", "n").alias("top"), F.count("*").alias("k")).filter("k > 1").drop("k")
     rows_of = F.element_at(F.array(*[F.lit(block_rows(b)) for b in range(BAND + 1)]), (F.col("cell").bitwiseAND(F.lit(BAND)) + 1).cast("int"))
     cut = mixed_cells.withColumn("blocks", F.ceil(F.col("n") / rows_of).cast("int")).withColumn("askers", F.ceil((F.col("n") - F.col("top_n")) / (QUERIES * rows_of)).cast("int"))
-    cut = space.write(cut, "mixed")
+    cut = space.write(cut, f"mixed{int(one_each)}")
     rows = placed.join(cut, "cell").withColumn("asks", F.col("component") != F.col("top"))
     large = (F.col("blocks") > 1) | (F.col("askers") > 1)
     small_rows = rows.filter(~large).select("cell", "id", "component", F.lit(0).alias("part"), F.when(F.col("asks"), 3).otherwise(1).alias("role"), F.lit(False).alias("large"))
@@ -413,7 +414,7 @@ def _open_pairs(shared: DataFrame, points: DataFrame, found: DataFrame, like: Si
     as_queries = cut_rows.filter("asks").withColumn("_k", each("blocks")).select("cell", "id", "component", (F.col("_k") * F.col("askers") + asker).alias("part"), F.lit(2).alias("role"), F.lit(True).alias("large"))
     small = cut.filter(~large).agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
     every = small_rows.unionByName(as_points).unionByName(as_queries).join(points, "id")
-    return tree_pairs(every, like, F.col("large"), max(12, -(-small // TASK_ROWS)), lesser=False)
+    return tree_pairs(every, like, F.col("large"), max(12, -(-small // TASK_ROWS)), lesser=False, one_each=one_each)
 
 
 def _row_components(docs: DataFrame, like: Similarity, key: str, text: str) -> DataFrame:
@@ -449,14 +450,19 @@ def _row_components(docs: DataFrame, like: Similarity, key: str, text: str) -> D
     # repeated rows have one text
     texts = space.write(chosen.join(wanted, ["_doc", "_hash"]).groupBy("id").agg(F.min("text").alias("text")), "texts")
 
-    links = space.write(verified(_first_partners(shared, points, like, space), texts, like), "links0")
-    found = connected_components(links, "a", "b", space, "first")
-    more = space.write(verified(_open_pairs(shared, points, found, like, space), texts, like), "links1")
-    space.drop("shared", "chosen", "points", "texts", "mixed")
-    edges = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final = connected_components(edges, "a", "b", space, "all")
-
-    placed = classes.join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    found = None
+    for step in ("first", "other", "all"):
+        if found is None:
+            pairs = _first_partners(shared, points, like, space)
+        else:
+            pairs = _open_pairs(shared, points, found, like, space, one_each=step == "other")
+        edges = space.write(verified(pairs, texts, like), f"links_{step}")
+        if found is not None:
+            edges = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(edges)
+        found = connected_components(edges, "a", "b", space, step)
+    space.drop("shared", "chosen", "points", "texts", "mixed0", "mixed1")
+
+    placed = classes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = placed.groupBy("component").agg(F.min("least_doc").alias("head_doc"), F.min_by("least_text", F.struct("least_doc", "least_text")).alias("head_text"))
     heads = placed.join(least, "component").select(*[F.col(c).alias(f"_{c}") for c in same_set], "head_doc", "head_text")
     same = (members["n_shingles"] == heads["_n_shingles"]) & (members["set_a"] == heads["_set_a"]) & (members["set_b"] == heads["_set_b"]) & members["doc_id"].isNotNull()
@@ -468,9 +474,9 @@ def jaccard_components(docs: DataFrame, like: Similarity = Similarity(), key: st
 
     Documents with equal sets form a class, linked without comparing.  Classes that share
     a cell are compared by the cell's tree: first each asks for one partner in a few of
-    its cells, which joins most groups of near copies; then all classes of different
-    components in one cell are searched for.  No pair that could link two components is
-    left out.
+    its cells, then for one of another component in all of them, which joins most groups
+    of near copies; then all pairs of different components in one cell are searched for.
+    No pair that could link two components is left out.
 
     Null and empty texts have no shingles and link with nothing.  Rows that repeat a
     doc_id are separate documents, each linked by its own text; rows without an id
