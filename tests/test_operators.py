@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import identity, text
+from tidemark.functions.vocabulary import category_rule
 from tidemark.operators import aggregates, facts, graph, paging, ranking, search, temporal, versions
 from tidemark.plans import packet
 from tidemark.plans.queries import queries
@@ -123,6 +124,15 @@ def test_time_is_checked():
     assert temporal.check_time("valid_time", now, now + dt.timedelta(seconds=30)) == (now, None)
 
 
+def test_evidence_may_name_a_rule_and_a_claim_of_its_own(spark):
+    rows = [("Incident", "team.rule", "inferred"), ("commit", " ", "inferred"), ("task", "r" * 241, "inferred"), ("release", "x", "observed"), ("other", None, None)]
+    got = spark.createDataFrame(rows, "t string, r string, c string").select(category_rule(F.col("t"), F.col("r"), F.col("c")).alias("x")).select("x.*").collect()
+    assert [(r.rule_id, r.claim, r.category) for r in got] == [
+        ("team.rule", "inferred", "pressure"), ("evidence.observed.cause.v1", "observed", "cause"), ("evidence.observed.action.v1", "observed", "action"),
+        ("evidence.observed.state.v1", "observed", "state"), ("evidence.observed.reference.v1", "observed", "evidence"),
+    ]
+
+
 def test_evidence_rules_name_what_is_broken(spark):
     row = ("ref-00001", "s", "commit", "e", "l", "", "native", 0.5, "c", T0)
     names = "evidence_ref_id string, system string, entity_type string, entity_id string, display_label string, safe_uri string, provenance string, confidence double, citation string, observed_at timestamp_ntz"

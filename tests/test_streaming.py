@@ -42,6 +42,24 @@ def test_batches_apply_once_heal_stubs_and_roll_back(spark, tmp_path):
     assert store.retire() == [1] or store.retire() == []
 
 
+def test_removed_nodes_take_edges_and_late_stubs_stay(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    row = lambda op, kind, node, s=None, t=None, day=0: (op, kind, node, node, s, t, "BLOCKS" if s else None, None, None, t0 + dt.timedelta(day))
+    make = lambda rows: spark.createDataFrame(rows, changes.CHANGE)
+    store = GraphStore(spark, f"file://{tmp_path}/g")
+    names = lambda table: sorted(r.node_id for r in store.read(table).collect())
+    store.apply(make([row("node", "work_item", x) for x in "abc"] + [row("edge", "relationship", "e1", "a", "b"), row("edge", "relationship", "e2", "a", "c")]), 0)
+    store.apply(make([row("node_tombstone", "work_item", "b", day=1), row("node", "work_item_ref", "late", day=5), row("node", "work_item_ref", "old", day=1)]), 1)
+    assert names("nodes") == ["a", "c", "late", "old"] and names("edges") == ["e2"]
+    store.apply(make([row("orphan_tombstone", "work_item_ref", "late", day=2), row("orphan_tombstone", "work_item_ref", "old", day=2)]), 2)
+    assert names("nodes") == ["a", "c", "late"]
+    store.rollback()
+    assert names("nodes") == ["a", "c", "late", "old"] and store.pointer().batch == 1
+    (tmp_path / "g" / "pointers" / "next").write_text("a crash left this")
+    assert names("edges") == ["e2"]
+    assert store.apply(make([row("orphan_tombstone", "work_item_ref", "old", day=2)]), 2) and names("nodes") == ["a", "c", "late"]
+
+
 def test_a_stream_gives_what_one_batch_gives(spark, sf_dir, tmp_path):
     t = tables(spark, sf_dir)
     out = changes.hierarchy(t).unionByName(changes.repositories(t))

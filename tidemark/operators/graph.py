@@ -19,14 +19,16 @@ def undirected(edges: DataFrame, source: str, target: str) -> DataFrame:
 def walk(edges: DataFrame, seeds: DataFrame, hops: int, source: str, target: str) -> DataFrame:
     """(seed, node, hop): nodes within so many hops of each seed, at their least distance.
 
-    The loop is over hops, not rows; each turn joins the frontier with the edges and
-    drops what was visited.
+    The loop is over hops, not rows; each turn joins the frontier with either end of
+    the edges, so only what is reached is made distinct, and drops what was visited.
     """
-    both = undirected(edges.select(source, target), source, target)
+    out = edges.select(F.col(source).alias("node"), F.col(target).alias("_next"))
+    back = edges.select(F.col(target).alias("node"), F.col(source).alias("_next"))
     visited = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("hop")).distinct()
     frontier = visited
     for hop in range(1, hops + 1):
-        reached = frontier.join(both, "node").select("seed", F.col("neighbour").alias("node")).distinct()
+        steps = frontier.select("seed", "node")
+        reached = steps.join(out, "node").unionByName(steps.join(back, "node")).select("seed", F.col("_next").alias("node")).distinct()
         frontier = reached.join(visited, ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop))
         visited = visited.unionByName(frontier)
     return visited

@@ -19,9 +19,9 @@ def goal_score(citation: Column, label: Column, goal: str) -> Column:
     return sum((text.contains(w).cast("int") for w in goal_words(goal)), F.lit(0))
 
 
-def evidence_order(score: str = "goal_score", rank: str = "category_rank") -> list[Column]:
-    """Nearest provenance, newest, best score, category, surest, then by id."""
-    return [provenance_rank(F.col("provenance")), F.desc("observed_at"), F.desc(score), F.col(rank), F.desc("confidence"), F.col("system"), F.col("entity_type"), F.col("entity_id"), F.col("evidence_ref_id")]
+def evidence_order(score: str = "goal_score", rank: str = "category_rank", digest: Column | None = None) -> list[Column]:
+    """Nearest provenance, newest, best score, category, surest, then by id, entity, digest, citation and label."""
+    return [provenance_rank(F.col("provenance")), F.desc("observed_at"), F.desc(score), F.col(rank), F.desc("confidence"), *map(F.col, ("evidence_ref_id", "system", "entity_type", "entity_id")), *([] if digest is None else [digest]), F.col("citation"), F.col("display_label")]
 
 
 def source_top(df: DataFrame, n: int = 100, entity: list[str] | None = None) -> DataFrame:

@@ -60,7 +60,10 @@ def assemble(tables: Tables, request: Request, goal: str = "", limits: Limits =
     tops, unavailable = run_catalog(tables, request, lambda df: source_top(fit(df), limits.per_source))
     rows = ranked(tops.withColumn("packet", F.lit(1)), goal)
     entity = F.concat_ws("\x00", "system", "entity_type", "entity_id")
-    rows = greedy_distinct(rows, ["packet"], [F.col("rank")], [F.concat(F.lit("r"), "evidence_ref_id"), F.concat(F.lit("e"), entity)])
+    keys = [F.concat(F.lit("r"), "evidence_ref_id"), F.concat(F.lit("e"), entity)]
+    if "content_digest" in rows.columns:  # sources that have none leave it out
+        keys.append(F.when(F.col("content_digest") != "", F.concat(F.lit("c"), "content_digest")))
+    rows = greedy_distinct(rows, ["packet"], [F.col("rank")], keys)
     rows = take_quota(rows, ["packet"], "rank", "category", limits.items)
     rows = pack_skipping(rows, ["packet"], "rank", "tokens", limits.tokens)
     return rows.orderBy("rank"), bad, unavailable

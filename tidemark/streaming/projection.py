@@ -1,8 +1,9 @@
 """Incremental projection of change batches into the graph's tables, and atomic rebuilds.
 
-State lives in versioned folders; a batch writes the next version and then moves a
-one-line pointer, so a reader sees one version or the other and a failed batch leaves
-only an unused folder.  The pointer keeps the last batch id: a repeated batch is skipped.
+State lives in versioned folders; a batch writes the next version and then a numbered
+one-line pointer of which the greatest counts, so a reader sees one version or the other
+and a failed batch leaves only an unused folder.  The pointer keeps the last batch id: a
+repeated batch is skipped.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ class Pointer:
     previous: int = -1
     batch: int = -1
     epoch: int = 0
+    previous_batch: int = -1
+    number: int = 0
 
 
 class GraphStore:
@@ -41,21 +44,21 @@ class GraphStore:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def pointer(self) -> Pointer:
-        fs, path = self._fs("pointer.json")
-        if not fs.exists(path):
-            return Pointer()
-        return Pointer(**json.loads(self.spark.read.text(f"{self.root}/pointer.json").collect()[0][0]))
+        fs, path = self._fs("pointers")
+        names = sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+        done = [n for n in names if n.endswith(".json")]
+        return Pointer(**json.loads(self.spark.read.text(f"{self.root}/pointers/{done[-1]}").collect()[0][0])) if done else Pointer()
 
     def _move(self, pointer: Pointer) -> None:
-        """Write beside the pointer, then rename over it."""
-        fs, new = self._fs("pointer.next")
+        """Write a new pointer under another name, then give it the next number in one rename."""
+        pointer.number = self.pointer().number + 1
+        fs, new = self._fs("pointers/next")
         stream = fs.create(new, True)
         stream.write(bytearray(json.dumps(asdict(pointer)).encode()))
         stream.close()
-        _, old = self._fs("pointer.json")
-        if fs.exists(old):
-            fs.delete(old, False)
-        fs.rename(new, old)
+        _, name = self._fs(f"pointers/{pointer.number:012d}.json")
+        if not fs.rename(new, name):
+            raise RuntimeError(f"pointer {pointer.number} was written by another")
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         v = self.pointer().version if version is None else version
@@ -63,7 +66,11 @@ class GraphStore:
         return self.spark.createDataFrame([], schema) if v < 0 else self.spark.read.schema(schema).parquet(f"{self.root}/v{v}/{table}")
 
     def apply(self, changes: DataFrame, batch: int) -> bool:
-        """Edges first, then nodes, then tombstones; false if the batch was applied before."""
+        """Edges first, then nodes, then tombstones; false if the batch was applied before.
+
+        A removed node takes its edges with it.  A stub goes only if no edge touches it and it
+        was observed no later than its tombstone takes effect.
+        """
         now = self.pointer()
         if batch <= now.batch:
             return False
@@ -74,15 +81,20 @@ class GraphStore:
         edges = upsert(edge_state, of("edge").select(*edge_state.columns), ["node_id"], [F.desc_nulls_last("observed_at"), F.col("target_id")])
         edges = apply_tombstones(edges, of("edge_tombstone").select("node_id", F.col("observed_at").alias("effective_at")), ["node_id"], "observed_at", "effective_at")
         nodes = upsert(node_state, of("node").select(*node_state.columns), ["node_id"], newest)
+        before = nodes
         nodes = apply_tombstones(nodes, of("node_tombstone").select("node_id", F.col("observed_at").alias("effective_at")), ["node_id"], "observed_at", "effective_at")
+        gone = before.select("node_id").join(nodes.select("node_id"), "node_id", "left_anti")
+        for end in ("source_id", "target_id"):
+            edges = edges.join(gone.select(F.col("node_id").alias(end)), end, "left_anti")
         version = now.version + 1
-        edges.write.mode("overwrite").parquet(f"{self.root}/v{version}/edges")
+        edges.select(*edge_state.columns).write.mode("overwrite").parquet(f"{self.root}/v{version}/edges")
         edges = self.read("edges", version)
-        heal = of("orphan_tombstone").select("node_id").distinct().withColumn("_heal", F.lit(True))
+        heal = of("orphan_tombstone").groupBy("node_id").agg(F.max("observed_at").alias("_effective"))
         marked = nodes.join(heal, "node_id", "left")
-        nodes = drop_orphans(marked, edges, F.coalesce(F.col("_heal"), F.lit(False))).select(*node_state.columns)
+        due = F.col("_effective").isNotNull() & (F.col("observed_at").isNull() | (F.col("observed_at") <= F.col("_effective")))
+        nodes = drop_orphans(marked, edges, F.coalesce(due, F.lit(False))).select(*node_state.columns)
         nodes.write.mode("overwrite").parquet(f"{self.root}/v{version}/nodes")
-        self._move(Pointer(version, now.version, batch, now.epoch))
+        self._move(Pointer(version, now.version, batch, now.epoch, now.batch))
         return True
 
     def rebuild(self, changes: DataFrame) -> int:
@@ -93,15 +105,15 @@ class GraphStore:
         fresh.apply(changes, 0)
         for table in ("nodes", "edges"):
             fresh.read(table).write.mode("overwrite").parquet(f"{self.root}/v{version}/{table}")
-        self._move(Pointer(version, now.version, now.batch, now.epoch + 1))
+        self._move(Pointer(version, now.version, now.batch, now.epoch + 1, now.batch))
         return now.epoch + 1
 
     def rollback(self) -> None:
-        """Serve the version before, while it is still there."""
+        """Serve the version before, while it is still there; the batch taken back can be applied again."""
         now = self.pointer()
         if now.previous < 0:
             raise ValueError("there is no earlier version")
-        self._move(Pointer(now.previous, -1, now.batch, now.epoch))
+        self._move(Pointer(now.previous, -1, now.previous_batch, now.epoch, now.previous_batch))
 
     def retire(self) -> list[int]:
         """Delete versions that are neither served nor kept for a rollback."""
