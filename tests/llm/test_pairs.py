@@ -105,11 +105,29 @@ def test_folded_points_bound_the_intersection():
     rng = np.random.default_rng(6)
     one = np.unique(rng.integers(0, 2**63, 120).astype(np.uint64))
     two = np.unique(np.concatenate([one[:90], rng.integers(0, 2**63, 50).astype(np.uint64)]))
-    bits = jaccard.group_bits(jaccard.band_of(len(one)))
-    groups = [jaccard.groups_of(jaccard.point(x)) >> (jaccard.group_bits(jaccard.band_of(len(x))) - bits) for x in (one, two)]
-    counts = jaccard.Points(np.concatenate(groups), np.array([0, len(one), len(one) + len(two)]), bits).dense(np.arange(2))
+    band = jaccard.band_of(len(one))
+    bits, fine = jaccard.group_bits(band), jaccard.fine_bits(band)
+    groups = [jaccard.groups_of(jaccard.point(x)) >> (jaccard.fine_bits(jaccard.band_of(len(x))) - fine) for x in (one, two)]
+    flat, starts = np.concatenate(groups), np.array([0, len(one), len(one) + len(two)])
+    counts = jaccard.Points(flat >> (fine - bits), starts, bits).dense(np.arange(2))
     assert counts.sum(axis=1).tolist() == [len(one), len(two)]
-    assert len(np.intersect1d(one, two)) <= np.minimum(counts[0], counts[1]).sum() < 110
+    shared = len(np.intersect1d(one, two))
+    assert shared <= np.minimum(counts[0], counts[1]).sum() < 110
+    for left, right in ((0, 1), (1, 0)):
+        assert shared <= jaccard.shared_at_most(flat, starts, np.array([left]), np.array([right]))[0] <= 94
+    none = np.zeros(0, np.int64)
+    assert not len(jaccard.shared_at_most(flat, starts, none, none))
+
+
+def test_finer_groups_lose_no_shared_member():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 2**63, 90).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, rng.integers(64, 90))) for _ in range(40)]
+    groups = [jaccard.groups_of(jaccard.point(x)) >> (jaccard.fine_bits(jaccard.band_of(len(x))) - 9) for x in sets]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    one, other = rng.integers(0, 40, (2, 500))
+    got = jaccard.shared_at_most(np.concatenate(groups), starts, one, other)
+    assert all(n >= len(np.intersect1d(sets[i], sets[k])) for n, i, k in zip(got, one, other, strict=True))
 
 
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])

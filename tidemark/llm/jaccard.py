@@ -4,7 +4,10 @@ A document is the set of its word n-grams.  Hashing the n-grams into groups, sev
 times as many as the set has members, gives it a point of group counts.  Two documents
 share at most the sum of the coordinates' minima; a node of an R-tree over such points
 bounds all the points below it by its coordinates' maxima, its least size and its
-components.  Pairs that the tree lets through are verified on the whole sets.
+components.  A point that the tree lets through is held against the query once more by
+the counts of finer groups, which bound the overlap more closely, since classes of one
+large group of near copies often miss the bound by little.  Pairs that are left are
+verified on the whole sets.
 
 Points of unrelated documents lie at nearly equal distances from each other, so one tree
 over all of them would be searched nearly whole.  Therefore the points are first dealt
@@ -87,6 +90,11 @@ def group_bits(band: int) -> int:
     return max(min(band + 4, GROUP_BITS), band - 4)
 
 
+def fine_bits(band: int) -> int:
+    """Of the finer groups: 128 or more for each member, so that few hold two."""
+    return min(band + 8, 32)
+
+
 def block_rows(band: int) -> int:
     return max(FEW, min(1024, DENSE_BYTES >> group_bits(band)))
 
@@ -159,10 +167,10 @@ def frequency_levels(docs: DataFrame, like: Similarity, text: str) -> np.ndarray
 
 
 def point(members: np.ndarray) -> bytes:
-    """The group of each member, in order, as gaps: a sparse vector of counts."""
+    """The finer group of each member, in order, as gaps: a sparse vector of counts."""
     if not len(members):
         return b""
-    bits = group_bits(band_of(len(members)))
+    bits = fine_bits(band_of(len(members)))
     groups = np.sort(mixed(members, 0) >> np.uint64(64 - bits)).astype(np.uint32)
     return squeeze(np.diff(groups, prepend=np.uint32(0)))
 
@@ -289,6 +297,25 @@ class CountForest:
         return query, node
 
 
+def shared_at_most(flat: np.ndarray, starts: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each pair of rows, how many members of the other lie in groups of the one: no less than they share."""
+    out = np.zeros(len(one), np.int64)
+    order = np.argsort(one, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(one[order])) + 1, len(order))
+    for low, high in zip(np.append(0, ends[:-1]), ends if len(one) else [], strict=False):
+        row = one[order[low]]
+        mine = flat[starts[row] : starts[row + 1]]
+        step = max(1, (1 << 20) // len(mine))
+        for at in range(low, high, step):
+            some = order[at : min(at + step, high)]
+            begin, sizes = starts[other[some]], (starts[1:] - starts[:-1])[other[some]]
+            first = np.cumsum(sizes) - sizes
+            theirs = flat[np.repeat(begin - first, sizes) + np.arange(sizes.sum())]
+            hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            out[some] = np.add.reduceat(hit, first, dtype=np.int64)
+    return out
+
+
 def _candidates(frame: pd.DataFrame, like: Similarity, lesser: bool, one_each: bool) -> pd.DataFrame:
     """Pairs of a point (a) and a query (b) that a tree lets through.
 
@@ -312,8 +339,9 @@ def _candidates(frame: pd.DataFrame, like: Similarity, lesser: bool, one_each: b
         while to < len(starts) - 1 and int(cell[starts[to]] & BAND) == band and (starts[to + 1] - starts[at]) << bits <= DENSE_BYTES:
             to += 1
         rows = np.arange(starts[at], starts[to])
-        folded = [groups[p] >> max(0, group_bits(band_of(int(n))) - bits) for p, n in zip(place[rows], sizes[rows], strict=True)]
-        points = Points(np.concatenate(folded), np.concatenate([[0], np.cumsum([len(x) for x in folded])]), bits)
+        folded = [groups[p] >> (fine_bits(band_of(int(n))) - fine_bits(band)) for p, n in zip(place[rows], sizes[rows], strict=True)]
+        fine, ends = np.concatenate(folded), np.concatenate([[0], np.cumsum([len(x) for x in folded])])
+        points = Points(fine >> (fine_bits(band) - bits), ends, bits)
         one, two = points.order()
         order = np.lexsort((two, one, tree[rows]))
         order = order[(role[rows[order]] & 1) > 0]
@@ -327,6 +355,8 @@ def _candidates(frame: pd.DataFrame, like: Similarity, lesser: bool, one_each: b
                 some = asking[k : k + slice_rows]
                 mine = rows[some]
                 q, p = forest.search(points.dense(some), tree[mine] - base, sizes[mine], components[mine], like.share, lesser)
+                close = shared_at_most(fine, ends, some[q], order[p]) >= like.share * (sizes[mine[q]] + sizes[inside[p]]) - 1e-6
+                q, p = q[close], p[close]
                 pair = np.stack([place[inside[p]], place[mine[q]]], axis=1)
                 if one_each:
                     pair = pair[np.lexsort((pair[:, 0], pair[:, 1]))]
