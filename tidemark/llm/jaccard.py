@@ -91,8 +91,8 @@ def group_bits(band: int) -> int:
 
 
 def fine_bits(band: int) -> int:
-    """Of the finer groups: 128 or more for each member, so that few hold two."""
-    return min(band + 8, 32)
+    """Of the finer groups: 64 or more for each member, so that few hold two."""
+    return min(band + 7, 32)
 
 
 def block_rows(band: int) -> int:
