@@ -34,6 +34,12 @@ INCIDENT_PROVENANCE = {
 #: The order of match mechanisms and of relation types that may be stored.
 MECHANISMS = ("caller", "exact", "alias", "provider_key", "lexical", "vector")
 
+#: Kinds of facts in the order in which a bundle lists them.
+FACT_KINDS = (
+    "identity", "membership", "status", "actual_completion", "work", "blockers", "required_children", "pull_requests", "reviews", "continuous_integration",
+    "deployments", "incidents", "metrics", "health", "workload", "investment", "readiness", "operational_deficiencies", "source_health", "evidence",
+)
+
 
 def choose(c: Column, table: dict[str, str], otherwise: str = "") -> Column:
     out = F.lit(otherwise)

@@ -37,10 +37,6 @@ def broken_rule(availability: Column | None = None) -> Column:
     return out
 
 
-def packet_status(items: Column, candidates: Column, partial: Column, truncated: Column) -> Column:
-    return F.when(items == 0, F.when(candidates > 0, "partial").when(partial, "degraded").otherwise("empty")).when(partial | truncated, "partial").otherwise("complete")
-
-
 def ranked(evidence: DataFrame, goal: str) -> DataFrame:
     """Evidence with category, goal score, token cost and its rank from 1."""
     df = evidence.withColumn("goal_score", goal_score(F.col("citation"), F.col("display_label"), goal)).withColumn("_rule", category_rule(F.col("entity_type"))).select("*", "_rule.*").drop("_rule")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..sources.telemetry import with_tables
+from . import answers
 
 W = with_tables
 
@@ -285,4 +286,4 @@ PLAIN |= {
 
 
 def oracle_sql() -> dict[str, str]:
-    return PLAIN | {f"evidence_{n}": s for n, s in EVIDENCE.items()} | {f"facts_{n}": s for n, s in FACTS.items()} | {f"changes_{n}": s for n, s in CHANGES.items()}
+    return PLAIN | answers.STATEMENTS | {f"evidence_{n}": s for n, s in EVIDENCE.items()} | {f"facts_{n}": s for n, s in FACTS.items()} | {f"changes_{n}": s for n, s in CHANGES.items()}
