@@ -105,8 +105,8 @@ def dependency_facts(tables: dict[str, DataFrame], blocking: bool) -> DataFrame:
     blocks = F.lower("relationship_type") == "blocks"
     own, other = ("target_work_item_id", "source_work_item_id") if blocking else ("source_work_item_id", "target_work_item_id")
     d = d.filter(blocks if blocking else ~blocks)
-    items = latest_version(tables["work_items"], ["work_item_id"], "last_synced").select(F.col("work_item_id").alias(own), "status")
-    return long_facts(d.join(items, own), "blockers" if blocking else "required_children", F.col(own), {"related": F.col(other)})
+    items = tables["work_items"].select(F.col("work_item_id").alias(own))
+    return long_facts(d.join(items, own, "left_semi"), "blockers" if blocking else "required_children", F.col(own), {"related": F.col(other)})
 
 
 def fact_coverage(facts: DataFrame, kinds: DataFrame, configured: list[str]) -> DataFrame:

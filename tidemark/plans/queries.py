@@ -361,6 +361,11 @@ def _changes(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return producer(dict(zip(needs, telemetry(spark, sf_dir, *needs), strict=True)))
 
 
+def omitted_projects(spark, sf_dir):
+    names = ("work_items", "projects")
+    return changes.omitted_projects(dict(zip(names, telemetry(spark, sf_dir, *names), strict=True)))
+
+
 def supersession_claims(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 300).alias("member"), F.col("o_orderdate").alias("created"), F.col("o_orderkey").alias("result"))
     return stores.first_claims(o, ["member"], "created", "result")
@@ -437,7 +442,7 @@ PLAIN = (
     question_handles, edge_validity, valid_time_read, neighbours, two_hop_walk, edge_admission, keyed_upsert, tombstones, orphaned_stubs, lexical_matches, vector_nearest,
     candidate_fusion, commit_decisions, identity_collisions, floor_calibration, margin_calibration, packet_items,
     supersession_claims, answer_reuse, scope_filter, answer_caps, fact_states, alias_names, tag_lists, search_texts, parent_lift,
-    lexical_matches_all, vector_nearest_all, question_hashes_all, source_watermarks_all, greedy_dedup_all, commit_decisions_all, answer_reuse_all, parent_lift_all,
+    omitted_projects, lexical_matches_all, vector_nearest_all, question_hashes_all, source_watermarks_all, greedy_dedup_all, commit_decisions_all, answer_reuse_all, parent_lift_all,
 )
 
 

@@ -229,6 +229,7 @@ def _common(a: str, b: str, c: str, d: str) -> tuple[str, str]:
 
 
 ITEM, REF, OLDER = _id("work_item", "work_item_id"), _id("work_item_ref", "target_work_item_id"), _first("work_items", "work_item_id", "last_synced DESC")
+TWO_PART = f"({_id('project', 'by_whom')} || ':' || {SEG.format('p.id')})"
 PULL, DEPLOYED = "repo_id || '#' || number", "repo_id || '#' || deployment_id"
 _S, _E = _common("a.created_at", "a.completed_at", "b.created_at", "b.completed_at")
 _SOURCE, _TARGET = _id("work_item", "source_work_item_id"), _id("work_item", "target_work_item_id")
@@ -264,9 +265,17 @@ CHANGES = {
     "project_teams": f"""{W('team_project_ownership')}, o AS (SELECT org_id, project_key, team_id, min(valid_from) AS f, (list(valid_to ORDER BY valid_from DESC, (valid_to IS NULL) DESC, valid_to DESC))[1] AS t
         FROM team_project_ownership WHERE project_key IN (SELECT project_key FROM team_project_ownership GROUP BY project_key HAVING count(DISTINCT org_id) = 1) GROUP BY ALL)
         SELECT {_edge('OWNED_BY_TEAM', _id('project', 'org_id || chr(47) || project_key'), _id('team', 'team_id'), 'f', 'f', 't')} FROM o""",
+    "incident_repositories": f"""{W('operational_incidents', 'service_mappings', 'repos')}, m AS (SELECT DISTINCT s.org_id, s.service_id, s.repo_id FROM service_mappings s JOIN repos r ON r.id = s.repo_id AND r.org_id = s.org_id WHERE is_active = 1)
+        SELECT {_edge('BELONGS_TO_REPOSITORY', _id('incident', 'i.id'), _id('repository', 'm.repo_id'), 'i.started_at', 'i.started_at', 'i.resolved_at')} FROM operational_incidents i JOIN m USING (org_id, service_id) WHERE i.is_deleted = 0""",
+    "work_item_teams": f"""{W('work_item_team_attributions', 'work_items', 'team_project_ownership')} SELECT {_edge('OWNED_BY_TEAM', ITEM, _id('team', 'team_id'), 'computed_at')} FROM work_item_team_attributions
+        WHERE is_primary = 1 AND team_id <> '' AND work_item_id IN (SELECT work_item_id FROM work_items) AND team_id IN (SELECT team_id FROM team_project_ownership)""",
+    "resolved_projects": f"""{W('work_items', 'projects')}, p AS (SELECT id, min(provider) AS by_whom FROM projects GROUP BY id HAVING count(*) = 1)
+        SELECT {_edge('BELONGS_TO_PROJECT', ITEM, TWO_PART, 'w.updated_at')} FROM ({OLDER}) w JOIN p ON p.id = w.project_id""",
 }
 
 PLAIN |= {
+    "omitted_projects": f"""{W('work_items', 'projects')}, p AS (SELECT id, count(*) AS claimants FROM projects GROUP BY id HAVING count(*) > 1), w AS ({OLDER})
+        SELECT p.id, claimants, (SELECT count(*) FROM w WHERE w.project_id = p.id) AS items FROM p""",
     "supersession_claims": _first("(SELECT o_custkey % 300 AS member, o_orderdate AS created, o_orderkey AS result FROM orders)", "member", "created, result"),
     "answer_reuse": """WITH j AS (SELECT a.event_id AS request_id, a.user_id % 40 AS question, r.event_id AS result_id, r.ts AS created_at FROM events a JOIN events r ON r.user_id % 40 = a.user_id % 40 AND r.event_id % 2 = 1 AND r.event_type = 'click'
         WHERE a.event_id % 10 = 0 AND r.ts >= TIMESTAMP '2024-01-28') SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY created_at DESC, result_id) = 1""",

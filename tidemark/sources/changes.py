@@ -167,6 +167,37 @@ def project_teams(t: Tables) -> DataFrame:
     return _emit(folded, _edge("OWNED_BY_TEAM", derive_id("project", F.concat("org_id", F.lit("/"), "project_key")), derive_id("team", F.col("team_id")), F.col("valid_from"), F.col("valid_from"), F.col("valid_to")))
 
 
+def incident_repositories(t: Tables) -> DataFrame:
+    """An edge from each incident that is not deleted to every repository its service actively maps to."""
+    maps = t["service_mappings"].filter("is_active = 1").select("org_id", "service_id", "repo_id").distinct()
+    repos = t["repos"].select(F.col("id").alias("repo_id"), "org_id")
+    df = t["operational_incidents"].filter("is_deleted = 0").join(maps, ["org_id", "service_id"]).join(repos, ["repo_id", "org_id"], "left_semi")
+    at = F.coalesce("started_at", "observed_at")
+    return _emit(df, _edge("BELONGS_TO_REPOSITORY", derive_id("incident", F.col("id")), derive_id("repository", F.col("repo_id")), at, F.col("started_at"), F.col("resolved_at")))
+
+
+def work_item_teams(t: Tables) -> DataFrame:
+    """The primary attribution of an item that is there to a team that is there."""
+    items, teams = t["work_items"].select("work_item_id"), t["team_project_ownership"].select("team_id")
+    a = latest_version(t["work_item_team_attributions"], ["work_item_id", "team_id"], "computed_at", ["is_primary"])
+    df = a.filter("is_primary = 1 AND team_id <> ''").join(items, "work_item_id", "left_semi").join(teams, "team_id", "left_semi")
+    return _emit(df, _edge("OWNED_BY_TEAM", derive_id("work_item", F.col("work_item_id")), derive_id("team", F.col("team_id")), F.col("computed_at")))
+
+
+def resolved_projects(t: Tables) -> DataFrame:
+    """The project of an item, by provider, where one provider alone has its id."""
+    single, _ = unambiguous(t["projects"], ["id"])
+    items = latest_version(t["work_items"], ["work_item_id"], "last_synced").select("work_item_id", F.col("project_id").alias("id"), "updated_at")
+    return _emit(items.join(single, "id"), _edge("BELONGS_TO_PROJECT", derive_id("work_item", F.col("work_item_id")), derive_id("project", F.col("provider"), F.col("id")), F.col("updated_at")))
+
+
+def omitted_projects(t: Tables) -> DataFrame:
+    """The ledger of what ``resolved_projects`` leaves out: ambiguous ids, their claimants and items."""
+    _, several = unambiguous(t["projects"], ["id"])
+    items = latest_version(t["work_items"], ["work_item_id"], "last_synced").groupBy(F.col("project_id").alias("id")).agg(F.count("*").alias("items"))
+    return several.join(items, "id", "left").select("id", "claimants", F.coalesce("items", F.lit(0)).alias("items"))
+
+
 #: name: (function, tables it reads)
 PRODUCERS: dict[str, tuple[Callable[[Tables], DataFrame], tuple[str, ...]]] = {
     "organizations": (organization_seed, ("repos",)),
@@ -184,6 +215,9 @@ PRODUCERS: dict[str, tuple[Callable[[Tables], DataFrame], tuple[str, ...]]] = {
     "projects": (projects, ("team_project_ownership",)),
     "work_item_projects": (work_item_projects, ("work_items",)),
     "project_teams": (project_teams, ("team_project_ownership",)),
+    "incident_repositories": (incident_repositories, ("operational_incidents", "service_mappings", "repos")),
+    "work_item_teams": (work_item_teams, ("work_item_team_attributions", "work_items", "team_project_ownership")),
+    "resolved_projects": (resolved_projects, ("work_items", "projects")),
 }
 
 

@@ -78,6 +78,9 @@ TELEMETRY = {
         FROM events WHERE event_type = 'purchase'""",
     "team_daily": """SELECT concat('team-', user_id % 30) AS team_id, CAST(ts AS DATE) AS day, date_trunc('hour', ts) AS computed_at, event_type AS rule_id, event_id,
         value AS metric, CASE WHEN value > 20 THEN TRUE ELSE FALSE END AS fired, CASE WHEN value > 40 THEN 'high' WHEN value > 15 THEN 'elevated' ELSE 'low' END AS severity FROM events""",
+    "projects": """SELECT DISTINCT concat('proj-', o_custkey % 18) AS id, CASE WHEN o_custkey % 18 % 6 = 0 AND o_orderstatus = 'F' THEN 'linear' ELSE 'jira' END AS provider FROM orders""",
+    "work_item_team_attributions": """SELECT concat('WI-', o_orderkey) AS work_item_id, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE concat('team-', o_custkey % 35) END AS team_id,
+        CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 1 END AS is_primary, o_orderdate AS computed_at FROM orders""",
     "team_project_ownership": """SELECT concat('org-', user_id % 5) AS org_id, 'jira' AS provider, concat('PK', user_id % 60) AS project_key, concat('team-', event_id % 30) AS team_id,
         ts AS valid_from, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 4 DAY END AS valid_to FROM events WHERE event_type = 'signup'""",
 }
