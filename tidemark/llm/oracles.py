@@ -176,10 +176,69 @@ links AS MATERIALIZED (
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id FROM sets LEFT JOIN least ON id = doc_id
 """
 
+OP12 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), r AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS y,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+), c AS (
+  SELECT *, substr(t, 1, least(x, y)) AS p, substr(t, least(x, y) + 1, abs(x - y)) AS m, substr(t, greatest(x, y) + 1) AS s FROM r
+), o AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output FROM c
+), again AS (
+  SELECT *, CASE form WHEN 'plain' THEN [output] WHEN 'psm' THEN string_split_regex(output[4:], '<S>|<M>') ELSE string_split_regex(output[4:], '<P>|<M>') END AS z FROM o
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN least(x, y) END AS prefix_chars, CASE WHEN form <> 'plain' THEN abs(x - y) END AS middle_chars,
+  sha256(output) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN z[1] WHEN 'psm' THEN z[1] || z[3] || z[2] ELSE z[2] || z[3] || z[1] END) AS restored_sha256
+FROM again
+"""
+
+
+def _assigned(name: str, books: str) -> str:
+    """The nearest entry of each part, ties to the lower index."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT r, k, any_value(x) AS x, arg_min(j, (d, j)) AS j, min(d) AS d FROM (
+    SELECT p.r, p.k, p.x, c.j, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT AS d FROM p JOIN {books} c ON c.k = p.k)
+  GROUP BY r, k
+)"""
+
+
+def _renewed(name: str, books: str, assigned: str) -> str:
+    """Componentwise floor of the mean; unused entries stay."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT o.k, o.j, coalesce(f.c, o.c) AS c FROM {books} o LEFT JOIN (
+    SELECT k, j, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY i) AS c FROM (
+      SELECT k, j, i, sum(x[i]) AS s, count(*) AS n FROM {assigned}, unnest(range(1, len(x) + 1)) u(i) GROUP BY k, j, i)
+    GROUP BY k, j) f ON f.k = o.k AND f.j = o.j
+)"""
+
+
+OP13 = f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, e) AS r, vec_id, label, e FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)
+), p AS MATERIALIZED (
+  SELECT r, k, e[len(e) // 16 * k + 1 : len(e) // 16 * (k + 1)] AS x FROM v, range(16) t(k)
+), c0 AS MATERIALIZED (SELECT k, r - 1 AS j, x AS c FROM p WHERE r <= 64),
+{_assigned("a0", "c0")}, {_renewed("c1", "c0", "a0")}, {_assigned("a1", "c1")}, {_renewed("c2", "c1", "a1")}, {_assigned("a2", "c2")},
+codes AS (SELECT r, string_agg(printf('%02x', j), '' ORDER BY k) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r)
+SELECT v.vec_id, code, error, (sum(error) OVER (PARTITION BY v.label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(q::VARCHAR, ',' ORDER BY k, j, i)) FROM (SELECT k, j, i, c[i] AS q FROM c2, unnest(range(1, len(c) + 1)) u(i))) AS codebooks_sha256
+FROM v JOIN codes ON codes.r = v.r
+"""
+
 ORACLES = {
     "op1_sorted_projection_dedup": OP1,
     "op3_rendezvous_shards": OP3,
     "op4_pii_spans": OP4,
     "op7_repetition_coverage": OP7,
     "op8_count_tree_jaccard": OP8,
+    "op12_bit_parallel_middle": OP12,
+    "op13_heap_lloyd_codes": OP13,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classify, factorisation, jaccard, katz, mixing, near_vectors, packing, pii, positive_unlabelled, repetition, shard
+from . import classify, factorisation, fill_in_middle, jaccard, katz, mixing, near_vectors, packing, pii, positive_unlabelled, repetition, shard, token_files, vector_codes
 
 SHARDS = 40
 TOXIC = 0.7
@@ -61,8 +61,20 @@ def op10_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), token_files.public_word_pieces())
+
+
+def op12_bit_parallel_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_heap_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sorted_projection_dedup, op2_factorisation_quality, op3_rendezvous_shards, op4_pii_spans, op5_pivotal_mix, op6_pu_toxicity, op7_repetition_coverage, op8_count_tree_jaccard, op9_best_fit_packing, op10_katz_backoff)}
+    return {f.__name__: f for f in (op1_sorted_projection_dedup, op2_factorisation_quality, op3_rendezvous_shards, op4_pii_spans, op5_pivotal_mix, op6_pu_toxicity, op7_repetition_coverage, op8_count_tree_jaccard, op9_best_fit_packing, op10_katz_backoff, op11_orc_token_files, op12_bit_parallel_middle, op13_heap_lloyd_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
