@@ -1,72 +1,143 @@
 """Incremental projection of change batches into the graph's tables, and atomic rebuilds.
 
-State lives in versioned folders; a batch writes the next version and then a numbered
-one-line pointer of which the greatest counts, so a reader sees one version or the other
-and a failed batch leaves only an unused folder.  The pointer keeps the last batch id: a
-repeated batch is skipped.
+Nodes lie in buckets of their id.  An edge lies twice, in the bucket of either end, so what
+touches a node is in the node's own bucket.  A batch writes new folders for the buckets it
+touches and then one pointer that says which folder serves each bucket; all other buckets
+keep their files.  A reader sees one pointer or the next, a failed batch leaves unused
+folders under names that are never used again, and a repeated batch is skipped.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import apply_tombstones, drop_orphans, upsert
 from ..sources.changes import CHANGE
+from .files import Folder, Pointers
 
 NODE = "kind string, node_id string, label string, valid_from timestamp_ntz, valid_to timestamp_ntz, observed_at timestamp_ntz"
 EDGE = "node_id string, source_id string, target_id string, relation string, valid_from timestamp_ntz, valid_to timestamp_ntz, observed_at timestamp_ntz"
+#: An edge as it is stored: at its source (out) and at its target (in).
+STORED = {"nodes": NODE, "edges": f"{EDGE}, role string"}
 
 
 @dataclass
 class Pointer:
-    """Which version is served, what it was before, and the last batch in it."""
+    """Which folder serves each bucket, and the last batch in it."""
 
-    version: int = -1
-    previous: int = -1
+    nodes: dict[str, str] = field(default_factory=dict)
+    edges: dict[str, str] = field(default_factory=dict)
     batch: int = -1
     epoch: int = 0
-    previous_batch: int = -1
-    number: int = 0
+    number: int = -1
+    previous: int = -1
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 class GraphStore:
-    """Nodes and edges under a folder that Spark can write."""
+    """The graph of one organization under a folder that Spark can write.
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    ``buckets`` is set when the store is made; a batch costs what its buckets hold, so more
+    buckets suit larger graphs and smaller batches.  An edge's id decides its ends.
+    """
 
-    def _fs(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self._points, self._folder = Pointers(spark, f"{self.root}/pointers"), Folder(spark, self.root)
 
     def pointer(self) -> Pointer:
-        fs, path = self._fs("pointers")
-        names = sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
-        done = [n for n in names if n.endswith(".json")]
-        return Pointer(**json.loads(self.spark.read.text(f"{self.root}/pointers/{done[-1]}").collect()[0][0])) if done else Pointer()
-
-    def _move(self, pointer: Pointer) -> None:
-        """Write a new pointer under another name, then give it the next number in one rename."""
-        pointer.number = self.pointer().number + 1
-        fs, new = self._fs("pointers/next")
-        stream = fs.create(new, True)
-        stream.write(bytearray(json.dumps(asdict(pointer)).encode()))
-        stream.close()
-        _, name = self._fs(f"pointers/{pointer.number:012d}.json")
-        if not fs.rename(new, name):
-            raise RuntimeError(f"pointer {pointer.number} was written by another")
-
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        v = self.pointer().version if version is None else version
-        schema = NODE if table == "nodes" else EDGE
-        return self.spark.createDataFrame([], schema) if v < 0 else self.spark.read.schema(schema).parquet(f"{self.root}/v{v}/{table}")
+        found = self._points.last()
+        return replace(Pointer(**json.loads(found[1])), number=found[0]) if found else Pointer()
+
+    def _move(self, pointer: Pointer, now: Pointer) -> None:
+        self._points.put(json.dumps(asdict(pointer)), now.number + 1)
+
+    def bucket(self, node: Column) -> Column:
+        return F.pmod(F.xxhash64(node), F.lit(self.buckets)).cast("int")
+
+    def _read(self, table: str, pointer: Pointer, only: set[int] | None = None) -> DataFrame:
+        """The stored rows of a table, of some buckets only if asked."""
+        served = getattr(pointer, table)
+        paths = [f"{self.root}/{table}/{at}/bucket={b}" for b, at in served.items() if only is None or int(b) in only]
+        return self.spark.read.schema(STORED[table]).parquet(*paths) if paths else self.spark.createDataFrame([], STORED[table])
+
+    def read(self, table: str, pointer: Pointer | None = None) -> DataFrame:
+        rows = self._read(table, pointer or self.pointer())
+        return rows if table == "nodes" else rows.filter("role = 'out'").drop("role")
+
+    def around(self, nodes: list[str]) -> DataFrame:
+        """Edges that touch the nodes, read from the nodes' buckets only."""
+        asked = self.spark.createDataFrame([(n,) for n in nodes], "_node string")
+        only = {r[0] for r in asked.select(self.bucket(F.col("_node"))).distinct().collect()}
+        rows = self._read("edges", self.pointer(), only)
+        own = F.when(F.col("role") == "out", F.col("source_id")).otherwise(F.col("target_id"))
+        return rows.join(F.broadcast(asked), own == F.col("_node"), "left_semi").drop("role").distinct()
+
+    def _buckets_of(self, *ids: DataFrame) -> set[int]:
+        """The buckets of some ids, at most as many as the store has."""
+        found: set[int] = set()
+        for df in ids:
+            found |= {r[0] for r in df.select(self.bucket(F.col(df.columns[0])).alias("b")).distinct().collect()}
+        return found
+
+    def _write(self, df: DataFrame, table: str, own: Column, touched: set[int], served: dict[str, str]) -> dict[str, str]:
+        """Store the touched buckets anew; a bucket without rows is no longer served."""
+        fresh = Pointers.fresh()
+        df.withColumn("bucket", self.bucket(own)).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{table}/{fresh}")
+        written = {n.split("=")[1] for n in self._folder.names(f"{table}/{fresh}") if n.startswith("bucket=")}
+        kept = {b: at for b, at in served.items() if int(b) not in touched}
+        return kept | {b: fresh for b in written}
+
+    def _applied(self, changes: DataFrame, now: Pointer) -> Pointer:
+        """The state after the changes, written but not served: edges first, then nodes, then tombstones."""
+        work = f"{self.root}/work-{Pointers.fresh()}"
+        changes.select(*_columns(CHANGE)).write.parquet(work)  # one reading of a source that may not repeat itself
+        changes = self.spark.read.schema(CHANGE).parquet(work)
+        of = lambda *ops: changes.filter(F.col("op").isin(*ops) & F.col("node_id").isNotNull())
+        removed = lambda op: of(op).select("node_id", F.col("observed_at").alias("effective_at"))
+
+        touched = self._buckets_of(of("node", "node_tombstone", "orphan_tombstone").select("node_id"))
+        nodes = upsert(self._read("nodes", now, touched), of("node").select(*_columns(NODE)), ["node_id"], [F.desc_nulls_last("observed_at"), F.col("label")])
+        kept = apply_tombstones(nodes, removed("node_tombstone"), ["node_id"], "observed_at", "effective_at")
+        # what a tombstone names and did not survive it is gone, with its edges
+        gone = removed("node_tombstone").select("node_id").distinct().join(kept.select("node_id"), "node_id", "left_anti").join(nodes.select("node_id"), "node_id", "left_semi")
+        gone.write.parquet(f"{work}-gone")
+        gone = self.spark.read.schema("node_id string").parquet(f"{work}-gone")
+
+        moved = of("edge", "edge_tombstone")
+        near = self._buckets_of(moved.select("source_id"), moved.select("target_id"), gone)
+        falling = self._read("edges", now, self._buckets_of(gone))
+        far = [falling.join(gone.select(F.col("node_id").alias(a)), a, "left_semi").select(b) for a, b in (("source_id", "target_id"), ("target_id", "source_id"))]
+        near |= self._buckets_of(*far)
+        both = lambda df: df.withColumn("role", F.explode(F.array(F.lit("out"), F.lit("in"))))
+        state = self._read("edges", now, near)
+        edges = upsert(state, both(of("edge").select(*_columns(EDGE))), ["node_id", "role"], [F.desc_nulls_last("observed_at"), F.col("target_id")])
+        edges = apply_tombstones(edges, removed("edge_tombstone"), ["node_id"], "observed_at", "effective_at")
+        for end in ("source_id", "target_id"):
+            edges = edges.join(gone.select(F.col("node_id").alias(end)), end, "left_anti")
+        own = F.when(F.col("role") == "out", F.col("source_id")).otherwise(F.col("target_id"))
+        # a copy whose bucket was not read belongs to an edge that did not change
+        edges = edges.select(*_columns(STORED["edges"]))
+        new_edges = self._write(edges, "edges", own, near, now.edges)
+
+        heal = of("orphan_tombstone").groupBy("node_id").agg(F.max("observed_at").alias("_effective"))
+        beside = self._read("edges", replace(now, edges=new_edges), self._buckets_of(heal.select("node_id")))
+        due = F.col("_effective").isNotNull() & (F.col("observed_at").isNull() | (F.col("observed_at") <= F.col("_effective")))
+        nodes = drop_orphans(kept.join(heal, "node_id", "left"), beside, F.coalesce(due, F.lit(False))).select(*_columns(NODE))
+        new_nodes = self._write(nodes, "nodes", F.col("node_id"), touched, now.nodes)
+        for name in (work, f"{work}-gone"):
+            self._folder.delete(name.removeprefix(f"{self.root}/"))
+        return replace(now, nodes=new_nodes, edges=new_edges)
 
     def apply(self, changes: DataFrame, batch: int) -> bool:
-        """Edges first, then nodes, then tombstones; false if the batch was applied before.
+        """Apply a batch; false if it was applied before.
 
         A removed node takes its edges with it.  A stub goes only if no edge touches it and it
         was observed no later than its tombstone takes effect.
@@ -74,57 +145,56 @@ class GraphStore:
         now = self.pointer()
         if batch <= now.batch:
             return False
-        changes = changes.select(*[c.split()[0] for c in CHANGE.split(", ")])
-        newest = [F.desc_nulls_last("observed_at"), F.col("label")]
-        of = lambda *ops: changes.filter(F.col("op").isin(*ops) & F.col("node_id").isNotNull())
-        edge_state, node_state = self.read("edges"), self.read("nodes")
-        edges = upsert(edge_state, of("edge").select(*edge_state.columns), ["node_id"], [F.desc_nulls_last("observed_at"), F.col("target_id")])
-        edges = apply_tombstones(edges, of("edge_tombstone").select("node_id", F.col("observed_at").alias("effective_at")), ["node_id"], "observed_at", "effective_at")
-        nodes = upsert(node_state, of("node").select(*node_state.columns), ["node_id"], newest)
-        before = nodes
-        nodes = apply_tombstones(nodes, of("node_tombstone").select("node_id", F.col("observed_at").alias("effective_at")), ["node_id"], "observed_at", "effective_at")
-        gone = before.select("node_id").join(nodes.select("node_id"), "node_id", "left_anti")
-        for end in ("source_id", "target_id"):
-            edges = edges.join(gone.select(F.col("node_id").alias(end)), end, "left_anti")
-        version = now.version + 1
-        edges.select(*edge_state.columns).write.mode("overwrite").parquet(f"{self.root}/v{version}/edges")
-        edges = self.read("edges", version)
-        heal = of("orphan_tombstone").groupBy("node_id").agg(F.max("observed_at").alias("_effective"))
-        marked = nodes.join(heal, "node_id", "left")
-        due = F.col("_effective").isNotNull() & (F.col("observed_at").isNull() | (F.col("observed_at") <= F.col("_effective")))
-        nodes = drop_orphans(marked, edges, F.coalesce(due, F.lit(False))).select(*node_state.columns)
-        nodes.write.mode("overwrite").parquet(f"{self.root}/v{version}/nodes")
-        self._move(Pointer(version, now.version, batch, now.epoch, now.batch))
+        self._move(replace(self._applied(changes, now), batch=batch, previous=now.number), now)
         return True
 
     def rebuild(self, changes: DataFrame) -> int:
         """A new epoch from a full set of changes, served only once it is complete."""
         now = self.pointer()
-        version = now.version + 1
-        fresh = GraphStore(self.spark, f"{self.root}/epoch{now.epoch + 1}")
-        fresh.apply(changes, 0)
-        for table in ("nodes", "edges"):
-            fresh.read(table).write.mode("overwrite").parquet(f"{self.root}/v{version}/{table}")
-        self._move(Pointer(version, now.version, now.batch, now.epoch + 1, now.batch))
+        made = self._applied(changes, Pointer())
+        self._move(replace(made, batch=now.batch, epoch=now.epoch + 1, previous=now.number), now)
         return now.epoch + 1
 
+    def _at(self, number: int) -> Pointer | None:
+        name = f"{number:012d}.json"
+        if number < 0 or name not in self._points.names():
+            return None
+        return Pointer(**json.loads(self.spark.read.text(f"{self.root}/pointers/{name}", wholetext=True).collect()[0][0]))
+
     def rollback(self) -> None:
-        """Serve the version before, while it is still there; the batch taken back can be applied again."""
+        """Serve the state before, while it is still there; the batch taken back can be applied again."""
         now = self.pointer()
-        if now.previous < 0:
-            raise ValueError("there is no earlier version")
-        self._move(Pointer(now.previous, -1, now.previous_batch, now.epoch, now.previous_batch))
-
-    def retire(self) -> list[int]:
-        """Delete versions that are neither served nor kept for a rollback."""
-        now, gone = self.pointer(), []
-        for v in range(now.version):
-            fs, path = self._fs(f"v{v}")
-            if v not in (now.version, now.previous) and fs.exists(path):
-                fs.delete(path, True)
-                gone.append(v)
+        before = self._at(now.previous)
+        if before is None:
+            raise ValueError("there is no earlier state")
+        self._move(replace(before, previous=-1), now)
+
+    def retire(self) -> list[str]:
+        """Delete bucket folders that neither the pointer nor the one before serves, and what crashes have left."""
+        now = self.pointer()
+        served, gone = [p for p in (now, self._at(now.previous)) if p], []
+        for table in ("nodes", "edges"):
+            used = {(at, b) for p in served for b, at in getattr(p, table).items()}
+            for at in self._folder.names(table):
+                for name in self._folder.names(f"{table}/{at}"):
+                    if name.startswith("bucket=") and (at, name.split("=")[1]) not in used:
+                        self._folder.delete(f"{table}/{at}/{name}")
+                        gone.append(f"{table}/{at}/{name}")
+                if at not in {x for x, _ in used}:
+                    self._folder.delete(f"{table}/{at}")
+        for name in self._folder.names():
+            if name.startswith("work-"):
+                self._folder.delete(name)
         return gone
 
+    def purge(self) -> None:
+        """Forget the organization: nothing is served from now on, then all files go."""
+        now = self.pointer()
+        self._move(Pointer(epoch=now.epoch + 1), now)
+        for table in ("nodes", "edges"):
+            self._folder.delete(table)
+        self.retire()
+
 
 def project_stream(changes: DataFrame, store: GraphStore, checkpoint: str, available_now: bool = True):
     """Apply a stream of changes batch by batch; the checkpoint and the pointer agree on what is done."""
