@@ -20,13 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .blobs import release
 from .workspace import Workspace, ship_package
 
 ID = np.dtype("<u4")
 #: ASCII punctuation that no contraction begins with; after a letter or digit it is a piece of its own.
 TRAILING = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27)
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
-LONGEST = 64
+LONGEST = 32
 
 
 @lru_cache(maxsize=4)
@@ -36,10 +37,29 @@ def _loaded(path: str):
     return tokenizers.Tokenizer.from_file(path)
 
 
+class Memory:
+    """Words met lately and their ids: two generations of at most ``most / 2`` words."""
+
+    def __init__(self) -> None:
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def get(self, word: bytes) -> bytes | None:
+        return self.young.get(word) or self.old.get(word)
+
+    def put(self, word: bytes, ids: bytes) -> None:
+        if len(word) <= LONGEST:
+            self.young[word] = ids
+
+    def age(self, most: int) -> None:
+        if len(self.young) > most // 2:
+            self.young, self.old = {}, self.young
+
+
 @lru_cache(maxsize=4)
-def _memory(path: str) -> dict[bytes, bytes]:
-    """Ids of the words that this Python worker has met, kept from task to task."""
-    return {}
+def _memory(path: str) -> Memory:
+    """What this Python worker has met, kept from task to task."""
+    return Memory()
 
 
 class WordPieces:
@@ -47,18 +67,17 @@ class WordPieces:
 
     ``by_word`` is for tokenizers that lower-case, drop white space and never join letters
     across it: then a text's ids are those of its words, and the library is asked once for
-    each word a worker has not met.  Beyond ``memory`` words it forgets them all; words
-    longer than 64 bytes are asked for each time.
+    each word a worker has not met lately.  Words longer than 32 bytes are asked for each time.
     """
 
-    def __init__(self, path: str, by_word: bool = False, memory: int = 2_000_000) -> None:
+    def __init__(self, path: str, by_word: bool = False, memory: int = 800_000) -> None:
         self.path, self.by_word, self.memory = path, by_word, memory
 
     def whole(self, text: bytes) -> bytes:
         ids = _loaded(self.path).encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _word(self, word: bytes, known: dict[bytes, bytes]) -> bytes:
+    def _word(self, word: bytes, known: Memory) -> bytes:
         core = word.rstrip(TRAILING)
         if b"<|" in word or not core or core[-1] not in ALNUM or len(core) == len(word):
             ids = self.whole(word)
@@ -68,11 +87,8 @@ class WordPieces:
                 found = known.get(part)
                 if found is None:
                     found = self.whole(part)
-                    if len(part) <= LONGEST:
-                        known[part] = found
+                    known.put(part, found)
                 ids += found
-        if len(word) <= LONGEST:
-            known[word] = ids
         return ids
 
     def ids(self, data: bytes) -> bytes:
@@ -80,13 +96,16 @@ class WordPieces:
         if not self.by_word:
             return self.whole(data)
         known = _memory(self.path)
-        if len(known) > self.memory:
-            known.clear()
+        known.age(self.memory)
         # special tokens are told from other text before letters are lowered
         split = (data if b"<|" in data else data.lower()).split()
-        found = list(map(known.get, split))
+        found = list(map(known.young.get, split))
         if None in found:
-            found = [(known.get(w) or self._word(w, known)) if ids is None else ids for w, ids in zip(split, found, strict=True)]
+            for at, ids in enumerate(found):
+                if ids is None:
+                    ids = known.get(split[at])
+                    found[at] = self._word(split[at], known) if ids is None else ids
+                    known.put(split[at], found[at])
         return b"".join(found)
 
 
@@ -148,6 +167,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: WordPieces, end_id: i
                 docs, ids, held = [], [], 0
         if ids:
             yield made(docs, ids)
+        release()
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: WordPieces, end_id: int = 2, layout: Layout = Layout(), key: str = "doc_id", text: str = "text") -> TokenFiles:
