@@ -27,7 +27,7 @@ ID = np.dtype("<u4")
 #: ASCII punctuation that no contraction begins with; after a letter or digit it is a piece of its own.
 TRAILING = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27)
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
-LONGEST = 32
+LONGEST = 24
 
 
 @lru_cache(maxsize=4)
@@ -67,10 +67,10 @@ class WordPieces:
 
     ``by_word`` is for tokenizers that lower-case, drop white space and never join letters
     across it: then a text's ids are those of its words, and the library is asked once for
-    each word a worker has not met lately.  Words longer than 32 bytes are asked for each time.
+    each word a worker has not met lately.  Words longer than 24 bytes are asked for each time.
     """
 
-    def __init__(self, path: str, by_word: bool = False, memory: int = 800_000) -> None:
+    def __init__(self, path: str, by_word: bool = False, memory: int = 600_000) -> None:
         self.path, self.by_word, self.memory = path, by_word, memory
 
     def whole(self, text: bytes) -> bytes:
@@ -138,7 +138,7 @@ class Layout:
 
 
 TOKENS = "part int, doc_id long, begin long, n_tokens long, ids array<int>"
-FLUSH_IDS = 2 << 20
+FLUSH_IDS = 512 << 10
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: WordPieces, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: WordPieces, end_id: i
         return pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "begin", "n_tokens", "ids"])
 
     for batch in batches:
-        docs, ids, held = [], [], 0
+        docs, ids, held, text, found = [], [], 0, None, None
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
             found = tokenizer.ids(text.as_py() or b"") + end
             docs.append(doc)
@@ -167,6 +167,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: WordPieces, end_id: i
                 docs, ids, held = [], [], 0
         if ids:
             yield made(docs, ids)
+        del batch, docs, ids, text, found  # before the next one comes
         release()
 
 
@@ -230,10 +231,13 @@ class TokenFiles:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 listed = batch.column("ids")
-                data, cuts = listed.flatten().to_numpy().astype(ID), listed.value_lengths().to_numpy()
+                data, cuts = listed.flatten().to_numpy().view(ID), listed.value_lengths().to_numpy()
                 ends = np.cumsum(cuts, dtype=np.int64)
                 crc = [zlib.crc32(data[a:b]) for a, b in zip((ends - cuts).tolist(), ends.tolist(), strict=True)]
+                del listed, data
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "doc_id", "begin")), pa.array(cuts.astype(np.int64)), pa.array(crc, pa.int64())], names=["part", "doc_id", "begin", "n_tokens", "ids_crc32"])
+                del batch
+                release()
 
         read = self.tokens().select("part", "doc_id", "begin", "ids").mapInArrow(run, "part int, doc_id long, begin long, n_tokens long, ids_crc32 long")
         starts = self.parts().select("part", F.col("start").alias("_before"))
