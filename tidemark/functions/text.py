@@ -81,3 +81,8 @@ def handles(c: Column, pattern: str) -> Column:
 def json_array_or_empty(c: Column) -> Column:
     """A JSON array of texts; anything else is empty."""
     return F.coalesce(F.from_json(F.when(c.rlike(r"^\s*\["), c), "array<string>"), F.array().cast("array<string>"))
+
+
+def bounded_text(c: Column, most: int) -> Column:
+    """Without white space around it and at most so many characters; never ends in white space."""
+    return F.rtrim(F.substring(F.trim(c), 1, most))
