@@ -27,7 +27,7 @@ ID = np.dtype("<u4")
 #: ASCII punctuation that no contraction begins with; after a letter or digit it is a piece of its own.
 TRAILING = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27)
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
-LONGEST = 24
+LONGEST = 32
 
 
 @lru_cache(maxsize=4)
@@ -67,29 +67,29 @@ class WordPieces:
 
     ``by_word`` is for tokenizers that lower-case, drop white space and never join letters
     across it: then a text's ids are those of its words, and the library is asked once for
-    each word a worker has not met lately.  Words longer than 24 bytes are asked for each time.
+    each word a worker has not met lately.  Words longer than 32 bytes are asked for each time.
     """
 
-    def __init__(self, path: str, by_word: bool = False, memory: int = 600_000) -> None:
+    def __init__(self, path: str, by_word: bool = False, memory: int = 800_000) -> None:
         self.path, self.by_word, self.memory = path, by_word, memory
 
     def whole(self, text: bytes) -> bytes:
         ids = _loaded(self.path).encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _met(self, part: bytes, known: Memory) -> bytes:
+        ids = known.get(part)
+        if ids is None:
+            ids = self.whole(part)
+        known.put(part, ids)
+        return ids
+
     def _word(self, word: bytes, known: Memory) -> bytes:
+        """A letter or digit and the punctuation after it are pieces apart, and remembered apart."""
         core = word.rstrip(TRAILING)
-        if b"<|" in word or not core or core[-1] not in ALNUM or len(core) == len(word):
-            ids = self.whole(word)
-        else:
-            ids = b""
-            for part in (core, word[len(core) :]):
-                found = known.get(part)
-                if found is None:
-                    found = self.whole(part)
-                    known.put(part, found)
-                ids += found
-        return ids
+        if len(core) == len(word) or not core or core[-1] not in ALNUM or b"<|" in word:
+            return self._met(word, known)
+        return self._met(core, known) + self._met(word[len(core) :], known)
 
     def ids(self, data: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of a UTF-8 text."""
@@ -101,11 +101,7 @@ class WordPieces:
         split = (data if b"<|" in data else data.lower()).split()
         found = list(map(known.young.get, split))
         if None in found:
-            for at, ids in enumerate(found):
-                if ids is None:
-                    ids = known.get(split[at])
-                    found[at] = self._word(split[at], known) if ids is None else ids
-                    known.put(split[at], found[at])
+            found = [self._word(w, known) if ids is None else ids for w, ids in zip(split, found, strict=True)]
         return b"".join(found)
 
 
