@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import census, paths, versions
+from ..operators import census, paths, quota, versions
 from ..sources import changes
 from ..sources.telemetry import telemetry, with_tables
 from ..streaming import feed
@@ -322,4 +322,33 @@ SELECT request, nth AS place, edge_id, 'principal' AS standing, 'relationship' A
   CASE WHEN confidence = 0 THEN 0.55 ELSE confidence END AS confidence, is_current AS "current" FROM b WHERE nth <= 3""",
 }
 
-QUERIES = (feed_modes, feed_pages, feed_ticks, graph_state_nodes, graph_state_edges, census_kinds, census_decisions, census_windows, context_admission, context_paths, path_drivers)
+
+# ---- quotas of users and of what they do, in windows of two days from the first event on
+
+def _quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "event_id", "ts")
+    return quota.decide(events, ["user_id"], "event_type", "ts", "event_id", 172_800, 5, 2)
+
+
+def quota_decisions(spark, sf_dir):
+    return _quota(spark, sf_dir).select("event_id", F.timestamp_micros("window_start").cast("timestamp_ntz").alias("window_start"), "admitted", "denied", "retry_after")
+
+
+def quota_totals(spark, sf_dir):
+    return quota.totals(_quota(spark, sf_dir), ["user_id"], "event_type").withColumn("window_start", F.timestamp_micros("window_start").cast("timestamp_ntz"))
+
+
+QUOTA_SQL = """WITH RECURSIVE s(user_id, window_start) AS (
+  SELECT user_id, min(ts) FROM events GROUP BY user_id
+  UNION ALL
+  SELECT s.user_id, min(e.ts) FROM s JOIN events e ON e.user_id = s.user_id AND e.ts >= s.window_start + INTERVAL 2 DAY GROUP BY s.user_id, s.window_start
+), w AS (SELECT e.*, s.window_start FROM events e ASOF JOIN s ON s.user_id = e.user_id AND e.ts >= s.window_start),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, window_start, event_type ORDER BY ts, event_id) AS nth FROM w),
+a AS (SELECT *, coalesce(count(*) FILTER (nth <= 2) OVER (PARTITION BY user_id, window_start ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM r),
+d AS (SELECT *, CASE WHEN used >= 5 THEN 'key_quota' WHEN nth > 2 THEN 'member_quota' END AS denied FROM a)"""
+STATEMENTS |= {
+    "quota_decisions": f"{QUOTA_SQL} SELECT event_id, window_start, denied IS NULL AS admitted, denied, CASE WHEN denied IS NOT NULL THEN epoch_us(window_start) + 172800000000 - epoch_us(ts) END AS retry_after FROM d",
+    "quota_totals": f"{QUOTA_SQL} SELECT user_id, window_start, event_type, count(*) FILTER (denied IS NULL) AS admitted, count(*) FILTER (denied IS NOT NULL) AS denied FROM d GROUP BY ALL",
+}
+
+QUERIES = (quota_decisions, quota_totals, feed_modes, feed_pages, feed_ticks, graph_state_nodes, graph_state_edges, census_kinds, census_decisions, census_windows, context_admission, context_paths, path_drivers)
