@@ -44,18 +44,16 @@ class Memory:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def get(self, word: bytes) -> bytes | None:
-        return self.young.get(word) or self.old.get(word)
-
-    def put(self, word: bytes, ids: bytes) -> None:
-        if len(word) <= LONGEST:
-            self.young[word] = ids
-
     def age(self, most: int) -> None:
         if len(self.young) > most // 2:
             self.young, self.old = {}, self.young
 
 
+@lru_cache(maxsize=4)
+def _model(path: str):
+    return _loaded(path).model
+
+
 @lru_cache(maxsize=4)
 def _memory(path: str) -> Memory:
     """What this Python worker has met, kept from task to task."""
@@ -73,24 +71,39 @@ class WordPieces:
     def __init__(self, path: str, by_word: bool = False, memory: int = 800_000) -> None:
         self.path, self.by_word, self.memory = path, by_word, memory
 
+    def _piece(self, word: bytes) -> bytes:
+        """Lower-case ASCII letters are one piece that no normalizer changes: the library's merges alone give its ids."""
+        if not (word.isalpha() and word.islower()):
+            return self.whole(word)
+        ids = [t.id for t in _model(self.path).tokenize(word.decode())]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def whole(self, text: bytes) -> bytes:
         ids = _loaded(self.path).encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _met(self, part: bytes, known: Memory) -> bytes:
-        ids = known.get(part)
+    def _missing(self, word: bytes, young: dict[bytes, bytes], old: dict[bytes, bytes]) -> bytes:
+        """A letter or digit and the punctuation after it are pieces apart.  Both together are
+        remembered from the second time on, so that words met once take one place."""
+        ids = old.get(word)
         if ids is None:
-            ids = self.whole(part)
-        known.put(part, ids)
+            core = word.rstrip(TRAILING)
+            if len(core) < len(word) and core and core[-1] in ALNUM and b"<|" not in word:
+                head, end = young.get(core) or old.get(core), word[len(core) :]
+                tail = young.get(end) or self.whole(end)
+                young[end] = tail
+                if head is None:
+                    head = self._piece(core)
+                    if len(core) <= LONGEST:
+                        young[core] = head
+                    return head + tail
+                ids = head + tail
+            else:
+                ids = self._piece(word)
+        if len(word) <= LONGEST:
+            young[word] = ids
         return ids
 
-    def _word(self, word: bytes, known: Memory) -> bytes:
-        """A letter or digit and the punctuation after it are pieces apart, and remembered apart."""
-        core = word.rstrip(TRAILING)
-        if len(core) == len(word) or not core or core[-1] not in ALNUM or b"<|" in word:
-            return self._met(word, known)
-        return self._met(core, known) + self._met(word[len(core) :], known)
-
     def ids(self, data: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of a UTF-8 text."""
         if not self.by_word:
@@ -101,7 +114,11 @@ class WordPieces:
         split = (data if b"<|" in data else data.lower()).split()
         found = list(map(known.young.get, split))
         if None in found:
-            found = [self._word(w, known) if ids is None else ids for w, ids in zip(split, found, strict=True)]
+            young, old, missing = known.young, known.old, self._missing
+            for at, ids in enumerate(found):
+                if ids is None:
+                    word = split[at]
+                    found[at] = young.get(word) or missing(word, young, old)
         return b"".join(found)
 
 
