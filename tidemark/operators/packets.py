@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .temporal import freshness, stamp
+
 
 def self_sized(rest: Column) -> Column:
     """Bytes of a text that states its own size in digits, when all but these digits takes ``rest`` bytes."""
@@ -63,3 +67,17 @@ def packet_states(packets: DataFrame, items: DataFrame, stale: DataFrame, missin
         F.transform(rules, lambda r: F.concat(F.lit("check."), r)).alias("checks"),
         F.transform(rules, lambda r: F.concat(F.lit("step."), r)).alias("steps"),
     )
+
+
+def quarantined_watermarks(sources: DataFrame, valid: DataFrame, quarantined: DataFrame, at: dt.datetime) -> DataFrame:
+    """Per source: its newest valid row and how fresh that is, and how many rows were set aside, under which rules.
+
+    A source of which nothing valid is left has no watermark and is missing, however new its
+    invalid rows are.
+    """
+    newest = valid.groupBy("source").agg(F.max("observed_at").alias("watermark"))
+    aside = quarantined.groupBy("source").agg(F.count("*").alias("quarantined"), F.array_sort(F.collect_set("broken")).alias("rules"))
+    out = sources.select("source").distinct().join(newest, "source", "left").join(aside, "source", "left")
+    return out.select(
+        "source", "watermark", freshness(F.col("watermark"), stamp(at)).alias("freshness"), F.coalesce("quarantined", F.lit(0)).alias("quarantined"), F.coalesce("rules", F.array().cast("array<string>")).alias("rules"),
+    )

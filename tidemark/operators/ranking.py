@@ -24,9 +24,14 @@ def evidence_order(score: str = "goal_score", rank: str = "category_rank", diges
     return [provenance_rank(F.col("provenance")), F.desc("observed_at"), F.desc(score), F.col(rank), F.desc("confidence"), *map(F.col, ("evidence_ref_id", "system", "entity_type", "entity_id")), *([] if digest is None else [digest]), F.col("citation"), F.col("display_label")]
 
 
+def provenance_order() -> list[Column]:
+    """Provenance, newest, id."""
+    return [provenance_rank(F.col("provenance")), F.desc("observed_at"), F.col("evidence_ref_id")]
+
+
 def source_top(df: DataFrame, n: int = 100, entity: list[str] | None = None) -> DataFrame:
     """The best ``n`` rows of a source, one per entity: provenance, newest, id."""
-    order = [provenance_rank(F.col("provenance")), F.desc("observed_at"), F.col("evidence_ref_id")]
+    order = provenance_order()
     best = F.row_number().over(Window.partitionBy(*(entity or ["system", "entity_type", "entity_id"])).orderBy(*order))
     return df.withColumn("_rank", best).filter("_rank = 1").drop("_rank").orderBy(*order).limit(n)
 

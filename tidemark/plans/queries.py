@@ -349,11 +349,14 @@ def margin_calibration(spark, sf_dir):
     return search.margin_threshold(e, "margin", "correct").select(F.round("largest_wrong", 9).alias("largest_wrong"), F.round("reach", 9).alias("reach"))
 
 
-def packet_items(spark, sf_dir):
+def _packet(spark, sf_dir):
     names = sorted({n for _, needs, _ in CATALOG.values() for n in needs})
     tables = dict(zip(names, telemetry(spark, sf_dir, *names), strict=True))
-    items, _, _ = packet.assemble(tables, Request("org-3", "repo-8", now=NOW), GOAL)
-    return items.select("rank", "source", "category", "entity_type", "entity_id", "goal_score", "tokens", "provenance")
+    return packet.assemble(tables, Request("org-3", "repo-8", now=NOW), GOAL)
+
+
+def packet_items(spark, sf_dir):
+    return _packet(spark, sf_dir).items.select("rank", "source", "category", "entity_type", "entity_id", "goal_score", "tokens", "provenance")
 
 
 def _changes(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -231,15 +231,22 @@ CATALOG: dict[str, tuple[Callable[[Tables, Request], DataFrame], tuple[str, ...]
 }
 
 
-def run_catalog(tables: Tables, request: Request, each: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame | None, dict[str, str]]:
-    """All sources whose tables are there, in order, each row with its source and scope; what is
-    missing is reported as unavailable and does not stop the others.  ``each`` is applied to a
-    source's rows before they are united."""
-    parts, unavailable = [], {}
+def catalog_sources(tables: Tables, request: Request) -> tuple[dict[str, Callable[[], DataFrame]], dict[str, str]]:
+    """How each source whose tables are there is read, with source and scope in its rows; what is
+    missing is reported as unavailable and does not stop the others."""
+    found: dict[str, Callable[[], DataFrame]] = {}
+    unavailable = {}
     for name, (source, needs, narrowed) in CATALOG.items():
         if missing := [n for n in needs if n not in tables]:
             unavailable[name] = f"no table {', '.join(missing)}"
             continue
         scope = "narrowed" if narrowed and (request.branch or request.commit_sha) else "repository"
-        parts.append(each(source(tables, request).withColumns({"source": L(name), "scope": L(scope)})))
+        found[name] = partial(lambda f, n, s: f(tables, request).withColumns({"source": L(n), "scope": L(s)}), source, name, scope)
+    return found, unavailable
+
+
+def run_catalog(tables: Tables, request: Request, each: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame | None, dict[str, str]]:
+    """All sources in one frame, in order.  ``each`` is applied to a source's rows before they are united."""
+    found, unavailable = catalog_sources(tables, request)
+    parts = [each(read()) for read in found.values()]
     return (reduce(DataFrame.unionByName, parts) if parts else None), unavailable
