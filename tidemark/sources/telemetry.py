@@ -91,11 +91,14 @@ TABLE = re.compile(rf"\b(FROM|JOIN) ({'|'.join(BASE)})\b")
 
 def telemetry(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     """The named tables over the Parquet files of a folder."""
-    out = []
+    out: list[DataFrame] = []
+    read: dict[str, DataFrame] = {}
     for name in names:
         bases = {m[2] for m in TABLE.finditer(TELEMETRY[name])}
         statement = TABLE.sub(r"\1 {\2}", TELEMETRY[name])
-        df = spark.sql(statement, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in bases})
+        for t in bases - set(read):
+            read[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        df = spark.sql(statement, **{t: read[t] for t in bases})
         # date_trunc gives a zoned type here and a plain one there
         out.append(df.withColumns({c: df[c].cast("timestamp_ntz") for c, kind in df.dtypes if kind == "timestamp"}))
     return out
