@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import values_at_ranks
 from .temporal import freshness
 
 
@@ -40,27 +43,32 @@ def curate_priors(selections: DataFrame, group: list[str], value: str, mode: str
     return counted.withColumn("rank", F.row_number().over(order) - 1)
 
 
-def timing_summary(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Mean, upper median (the element at n / 2 from 0) and greatest.
+def _beside(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
+    """Both of one row per group; null keys are keys."""
+    named = right.withColumnsRenamed({g: f"_of_{g}" for g in group})
+    same = reduce(lambda c, g: c & F.col(g).eqNullSafe(F.col(f"_of_{g}")), group, F.lit(True))
+    return left.join(named, same).drop(*[f"_of_{g}" for g in group])
 
-    Ranks come from a window over the group, so nothing is gathered in one row.
-    """
-    w = Window.partitionBy(*group)
-    ranked = df.select(*group, value, F.row_number().over(w.orderBy(value)).alias("_at"), F.count(F.lit(1)).over(w).alias("_n"))
-    return ranked.groupBy(*group).agg(F.avg(value).alias("mean"), F.max(F.when(F.col("_at") == F.floor(F.col("_n") / 2) + 1, F.col(value))).alias("p50"), F.max(value).alias("most"), F.count("*").alias("calls"))
+
+def timing_summary(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Mean, upper median (the element at n / 2 from 0) and greatest."""
+    middle = values_at_ranks(df.select(*group, value), group, value, {"p50": lambda n: F.floor(n / 2)})
+    rest = df.groupBy(*group).agg(F.avg(value).alias("mean"), F.max(value).alias("most"), F.count("*").alias("calls"))
+    return _beside(rest, middle, group).select(*group, "mean", "p50", "most", "calls")
 
 
 def nearest_rank(df: DataFrame, group: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
-    """The value at ceil(f n), counted from 1."""
-    return df.groupBy(*group).agg(*[F.expr(f"percentile_disc({f}) WITHIN GROUP (ORDER BY {value})").alias(name) for name, f in fractions.items()])
+    """The value at ceil(f n), counted from 1; nulls do not count."""
+    at = {name: (lambda n, f=f: F.greatest(F.lit(1), F.ceil(n * f)) - 1) for name, f in fractions.items()}
+    found = values_at_ranks(df.select(*group, value).filter(F.col(value).isNotNull()), group, value, at)
+    missing = df.groupBy(*group).agg(F.max(value).alias("_any")).filter("_any IS NULL").select(*group, *[F.col("_any").alias(n) for n in fractions])
+    return found.unionByName(missing)
 
 
 def floor_index(df: DataFrame, group: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
     """The value at floor(f n), counted from 1 and at least the first: not the nearest rank."""
-    w = Window.partitionBy(*group)
-    ranked = df.select(*group, value, F.row_number().over(w.orderBy(value)).alias("_at"), F.count(F.lit(1)).over(w).alias("_n"))
-    at = lambda f: F.greatest(F.lit(1), F.floor(F.col("_n") * f))
-    return ranked.groupBy(*group).agg(*[F.max(F.when(F.col("_at") == at(f), F.col(value))).alias(name) for name, f in fractions.items()])
+    at = {name: (lambda n, f=f: F.greatest(F.lit(1), F.floor(n * f)) - 1) for name, f in fractions.items()}
+    return values_at_ranks(df.select(*group, value), group, value, at)
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import MECHANISMS
+from .ranks import values_at_ranks
 
 #: Bounds of the lexical, vector and corroborated scores, and of the gates.
 LEXICAL_BASE, LEXICAL_SPAN = 0.50, 0.25
@@ -241,12 +242,12 @@ def identity_claims(names: DataFrame, term: str, subject: str, cls: str) -> Data
 def calibrate_floor(samples: DataFrame, similarity: str, recall: float) -> DataFrame:
     """The greatest floor that keeps the target share of correct similarities, as ``>=`` on a sample,
     and the share it keeps.  At least one sample stays."""
-    n = samples.agg(F.count(similarity).alias("n"))
-    ranked = samples.filter(F.col(similarity).isNotNull()).select(similarity)
-    counted = ranked.groupBy(similarity).agg(F.count("*").alias("_same"))
-    at = counted.withColumn("_above", F.sum("_same").over(Window.orderBy(F.desc(similarity)).rowsBetween(Window.unboundedPreceding, 0)))
-    kept = at.join(n).withColumn("kept", F.col("_above") / F.col("n")).filter(F.col("kept") >= recall)
-    return kept.agg(F.max(similarity).alias("floor"), F.min("kept").alias("kept"))
+    some = samples.filter(F.col(similarity).isNotNull()).select(similarity)
+    # the smallest number of rows that is the target share of all; a rounded product may be one off
+    least = lambda n: F.least(n, F.greatest(F.lit(1), F.when((F.ceil(n * recall) - 1) / n >= recall, F.ceil(n * recall) - 1).otherwise(F.ceil(n * recall))))
+    at = values_at_ranks(some.withColumn("_one", F.lit(1)), ["_one"], similarity, {"floor": lambda n: n - least(n)}).select("floor")
+    kept = some.join(at).groupBy("floor").agg((F.count_if(F.col(similarity) >= F.col("floor")) / F.count("*")).alias("kept"))
+    return kept.agg(F.max("floor").alias("floor"), F.max("kept").alias("kept"))
 
 
 def over_fetch(near_duplicates: int, k: int) -> int:
