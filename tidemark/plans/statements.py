@@ -294,5 +294,27 @@ PLAIN |= {
 }
 
 
+def _without(name: str, part: str, instead: str = "") -> str:
+    """A statement without its row filter, for the query over the whole table."""
+    if part not in PLAIN[name]:
+        raise ValueError(f"{name} does not hold {part}")
+    return PLAIN[name].replace(part, instead, 1)
+
+
+WHOLE = {
+    "commit_decisions_all": _without("commit_decisions", " WHERE event_id % 3 = 0"),
+    "source_watermarks_all": _without("source_watermarks", "(event_type <> 'view' OR user_id % 2 = 0) AND "),
+    "greedy_dedup_all": _without("greedy_dedup", " WHERE l_linenumber <= 6"),
+    "question_hashes_all": _without("question_hashes", "substr(text, 1, 200)", "text"),
+    "lexical_matches_all": _without("lexical_matches", "(VALUES (1, 'large red widget'), (2, 'blue | ring (steel)'), (3, 'nothing here')) v(query_id, query)", "(SELECT p_partkey AS query_id, p_name AS query FROM part WHERE p_partkey % 50 = 0)"),
+    "vector_nearest_all": _without("vector_nearest", "q.vec_id < 5", "q.vec_id % 50 = 0"),
+    "answer_reuse_all": """SELECT a.event_id AS request_id, a.user_id % 40 AS question, r.event_id AS result_id, r.ts AS created_at
+        FROM events a JOIN events r ON r.user_id % 40 = a.user_id % 40 AND r.event_id % 2 = a.event_id % 2 AND r.event_type = a.event_type AND r.ts >= TIMESTAMP '2024-01-28'
+        QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY r.ts DESC, r.event_id) = 1""",
+    "parent_lift_all": """SELECT user_id % 9 AS request, event_id AS subject, CASE WHEN event_type NOT IN ('view', 'purchase') THEN 'u' || user_id END AS parent,
+        CASE event_type WHEN 'view' THEN 'absent' WHEN 'purchase' THEN 'ambiguous' ELSE 'lifted' END AS outcome, round(CASE WHEN event_type NOT IN ('view', 'purchase') THEN value / 1000 * 0.85::DOUBLE END, 9) AS confidence FROM events""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return PLAIN | answers.STATEMENTS | rounds.STATEMENTS | fact_rounds.STATEMENTS | retrievals.STATEMENTS | {f"evidence_{n}": s for n, s in EVIDENCE.items()} | {f"facts_{n}": s for n, s in FACTS.items()} | {f"changes_{n}": s for n, s in CHANGES.items()}
+    return PLAIN | WHOLE | answers.STATEMENTS | rounds.STATEMENTS | fact_rounds.STATEMENTS | retrievals.STATEMENTS | {f"evidence_{n}": s for n, s in EVIDENCE.items()} | {f"facts_{n}": s for n, s in FACTS.items()} | {f"changes_{n}": s for n, s in CHANGES.items()}
