@@ -216,6 +216,13 @@ def test_near_vectors_edge_cases(spark):
     assert near_vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id_bridge_nothing(spark):
+    rows = [(3, [1.0, 0.0], 1), (5, [1.0, 0.1], 1), (5, [0.0, 1.0], 2), (9, [0.1, 1.0], 2), (5, [-1.0, 0.0], 1), (2, [0.1, 1.0], 2), (5, [1.0, 0.1], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors.near_vectors(df).collect())
+    assert got == sorted([(3, 2, 3, True), (5, 2, 3, False), (5, 2, 3, False), (5, 2, 2, False), (9, 2, 2, False), (2, 2, 2, True), (5, 0, 5, True)])
+
+
 def test_near_vectors_with_a_common_direction(spark):
     rng = np.random.default_rng(8)
     common = rng.standard_normal(64)

@@ -19,6 +19,7 @@ from .workspace import Workspace
 BITS = 64
 BLOCK_ROWS = 1024
 PARTITION_ROWS = 50_000
+SALT = 16
 
 
 @dataclass(frozen=True)
@@ -176,6 +177,11 @@ def _block_links(frame: pd.DataFrame, least: float) -> pd.DataFrame:
     return found.groupby("id", as_index=False).near.sum()
 
 
+def placed_ids(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Classes with the number of their component, a lone class with its own."""
+    return classes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
 def near_vectors(vectors: DataFrame, passes: Passes = Passes(), key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
@@ -188,14 +194,17 @@ def near_vectors(vectors: DataFrame, passes: Passes = Passes(), key: str = "vec_
     Vectors that are null, empty, zero or hold null or non-finite components, and rows
     without label or vec_id, link with nothing (n_links 0, their own component; without
     vec_id a null one).  Vectors of different lengths do not link.  Rows that repeat a
-    vec_id are one vertex.  Other columns are ignored; an empty table gives an empty
+    vec_id are vectors of their own, of which each has its links and its component; they
+    bridge neither labels nor components.  Other columns are ignored; an empty table gives an empty
     result.
     """
     spark = vectors.sparkSession
     space = Workspace(spark, "near")
     rows = vectors.select(vectors[key].cast("long").alias("vec_id"), vectors[vector].cast("array<double>").alias("vector"), vectors[label].cast("long").alias("label"))
     good = rows.filter(usable(F.col("vector")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    classes = space.write(good.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
+    # a class has a number of its own: rows of one vec_id may lie in several classes, and under several labels
+    classes = good.groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = space.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     classes = classes.withColumn("size", F.size("vector"))
     sizes = classes.groupBy("label", "size").count().agg(F.max("count"), F.sum("count")).collect()[0]
     turns, total = passes.count(sizes[0] or 0), sizes[1] or 0
@@ -245,12 +254,15 @@ def near_vectors(vectors: DataFrame, passes: Passes = Passes(), key: str = "vec_
     near = spread.groupBy("task").applyInPandas(lambda p: _block_links(p, passes.least_cosine), "id long, near long")
     near = space.write(near.groupBy("id").agg(F.sum("near").alias("near")), "near")
 
-    named = classes.select(F.col("label").alias("_label"), F.col("vector").alias("_vector"), "id", "copies")
-    named = named.join(found, "id", "left").join(near, "id", "left")
+    # minima are combined before they are shuffled and come back in copies, so that a large component is split
+    least = placed_ids(classes, found).groupBy("component").agg(F.min("least").alias("component_id")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = placed_ids(classes, found).withColumn("_salt", F.pmod(F.col("id"), F.lit(SALT)).cast("int"))
+    named = salted.join(least, ["component", "_salt"]).join(near, "id", "left")
+    named = named.select(F.col("label").alias("_label"), F.col("vector").alias("_vector"), "copies", "near", "component_id")
     linked = good.join(named, (good["label"] == named["_label"]) & (good["vector"] == named["_vector"]))
     # a class counts itself with all its copies among its near ones
     n_links = F.coalesce(F.col("near"), F.col("copies")) - 1
-    linked = linked.select("vec_id", n_links.alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    linked = linked.select("vec_id", n_links.alias("n_links"), "component_id")
     alone = rows.filter(~(usable(F.col("vector")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()))
     out = linked.unionByName(alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
