@@ -68,7 +68,7 @@ class WordPieces:
     each word a worker has not met lately.  Words longer than 32 bytes are asked for each time.
     """
 
-    def __init__(self, path: str, by_word: bool = False, memory: int = 800_000) -> None:
+    def __init__(self, path: str, by_word: bool = False, memory: int = 1_600_000) -> None:
         self.path, self.by_word, self.memory = path, by_word, memory
 
     def _piece(self, word: bytes) -> bytes:
