@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import census, fact_plan, packets, paths, ranks, retrieval, search
+from tidemark.operators import census, fact_plan, locators, packets, paths, ranks, retrieval, search
 from tidemark.plans import packet
 from tidemark.plans.queries import NOW, queries
 from tidemark.sources.evidence import CATALOG, Request
@@ -255,3 +255,17 @@ def test_hybrid_candidates_are_those_of_plain_scoring(spark, sf_dir):
         checked += 1
     assert checked
     assert search.VECTOR_BASE == 0.5
+
+
+def test_handles_are_looked_up_at_once_and_saturation_is_told(spark):
+    import hashlib
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    evidence = spark.createDataFrame([("s", "r", f"id{i}") for i in range(4)] + [("s", "r", "twice")] * 2 + [("t", "r", "one")], "source string, repo_id string, evidence_ref_id string")
+    asked = [(1, "s", "r", sha("id1")), (2, "s", "r", sha("twice")), (3, "s", "r", sha("none")), (4, "s", "r", None), (5, "t", "r", None), (6, "s", "r", "short"), (7, "s", "other", sha("id1")), (8, "u", "r", None), (9, "s", "r", sha("id1"))]
+    handles = spark.createDataFrame(asked, "handle long, source string, repo_id string, locator string")
+    states, found = locators.resolve_handles(evidence, handles, listed=5)
+    assert {r.handle: (r.state, r.matches) for r in states.collect()} == {
+        1: ("found", 1), 2: ("saturated", 2), 3: ("not_found", 0), 4: ("saturated", 6), 5: ("found", 1), 6: ("invalid", 0), 7: ("not_found", 0), 8: ("not_found", 0), 9: ("found", 1),
+    }
+    assert sorted((r.handle, r.evidence_ref_id) for r in found.collect()) == [(1, "id1"), (5, "one"), (9, "id1")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vocabulary import FACT_KINDS
 from ..operators import fact_plan
+from ..streaming.files import stored
 
 SUBJECT_KINDS = ("work_item", "repository", "team", "pull_request", "ci_run", "organization", "deployment")
 #: So few facts of an investigation are kept here that some are cut.
@@ -69,7 +70,8 @@ def fact_reads(spark, sf_dir):
 
 def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = _Inputs(spark, sf_dir)
-    results, facts = got.answers()
+    got.planned, got.reads = stored(got.planned, "planned"), stored(got.reads, "reads")
+    results, facts = (stored(df, "answers") for df in got.answers())
     return fact_plan.coverage(got.planned, results, facts, fact_plan.kept_facts(got.planned, facts, MOST))
 
 

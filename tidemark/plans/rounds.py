@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import census, paths, quota, versions
+from ..operators import census, locators, paths, quota, versions
 from ..sources import changes
 from ..sources.telemetry import telemetry, with_tables
 from ..streaming import feed
-from ..streaming.files import scratch
+from ..streaming.files import scratch, stored
 from ..streaming.projection import GraphStore
 
 # ---- the change feed over five tables, with rows that have nothing to publish
@@ -170,7 +170,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     orgs = repos.select(F.col("id").alias("repo_id"), "org_id")
     named = {n: t if "org_id" in t.columns else t.join(orgs, "repo_id") for n, t in named.items()}
     named["work_items"] = versions.first_per_key(named["work_items"], ["org_id", "repo_id", "work_item_id"], [F.desc("last_synced")])
-    return census.census_rows(named)
+    return stored(census.census_rows(named), "census")
 
 
 def _later(rows: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def census_kinds(spark, sf_dir):
 
 def census_decisions(spark, sf_dir):
     rows, asks = _rows(spark, sf_dir), _asks(spark, sf_dir)
-    return census.decided(asks, census.attested(asks, rows, _later(rows)))
+    return census.decided(asks, stored(census.attested(asks, rows, _later(rows)), "attested"))
 
 
 def census_windows(spark, sf_dir):
@@ -351,4 +351,73 @@ STATEMENTS |= {
     "quota_totals": f"{QUOTA_SQL} SELECT user_id, window_start, event_type, count(*) FILTER (denied IS NULL) AS admitted, count(*) FILTER (denied IS NOT NULL) AS denied FROM d GROUP BY ALL",
 }
 
-QUERIES = (quota_decisions, quota_totals, feed_modes, feed_pages, feed_ticks, graph_state_nodes, graph_state_edges, census_kinds, census_decisions, census_windows, context_admission, context_paths, path_drivers)
+# ---- handles of evidence and scopes of requests: every event is one
+
+LOCATED = ("git_commits", "ci_pipeline_runs", "git_pull_requests")
+HANDLES = """SELECT event_id AS handle, CASE event_id % 3 WHEN 0 THEN 'git_commits' WHEN 1 THEN 'ci_pipeline_runs' ELSE 'git_pull_requests' END AS source, concat('repo-', user_id % 25) AS repo_id,
+  CASE WHEN event_id % 50 = 7 THEN NULL WHEN event_id % 60 = 8 THEN 'abc' ELSE {hash}(CASE event_id % 3 WHEN 0 THEN concat('commit:', md5(concat(event_id, '-1'))) WHEN 1 THEN concat('run:', 'run-', event_id) ELSE concat('title:', event_id % 11) END) END AS locator FROM events"""
+
+
+def _located(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    commits, runs, prs = telemetry(spark, sf_dir, *LOCATED)
+    ref = lambda df, source, ref_id: df.select(F.lit(source).alias("source"), "repo_id", ref_id.alias("evidence_ref_id"))
+    rows = ref(commits, "git_commits", F.concat(F.lit("commit:"), "hash")).unionByName(ref(runs, "ci_pipeline_runs", F.concat(F.lit("run:"), "run_id")))
+    rows = rows.unionByName(ref(prs, "git_pull_requests", F.concat(F.lit("title:"), (F.col("number") % 11).cast("string"))))
+    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("_handle_events")
+    handles = spark.sql(HANDLES.format(hash="sha256_hex").replace("sha256_hex(CASE", "sha2(CASE").replace("% 11) END) END", "% 11) END, 256) END").replace("FROM events", "FROM _handle_events"))
+    return locators.resolve_handles(rows, handles, 200)
+
+
+def evidence_handles(spark, sf_dir):
+    return _located(spark, sf_dir)[0]
+
+
+def evidence_references(spark, sf_dir):
+    return _located(spark, sf_dir)[1]
+
+
+def scope_resolutions(spark, sf_dir):
+    """Slugs are regions in part, which several repositories share."""
+    repos = telemetry(spark, sf_dir, "repos")[0].select("org_id", F.col("id").alias("repo_id"), F.when(F.col("id") < "repo-15", F.col("repo")).otherwise(F.substring_index("repo", "/", 1)).alias("slug"), F.when(F.col("id") != "repo-1", F.col("ref")).otherwise("").alias("branch"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").join(telemetry(spark, sf_dir, "repos")[0].select(F.col("id").alias("_id"), "repo", F.col("org_id").alias("_org")), F.col("_id") == F.concat(F.lit("repo-"), F.col("user_id") % 27), "left")
+    requests = e.select(
+        F.col("event_id").alias("request"), F.coalesce("_org", F.lit("org-0")).alias("org_id"), F.when(F.col("event_id") % 4 == 0, F.substring_index("repo", "/", 1)).otherwise(F.coalesce("repo", F.lit("?"))).alias("slug"),
+        F.when(F.col("event_id") % 3 == 0, "release").otherwise("").alias("branch"), F.when(F.col("event_id") % 5 == 0, F.md5(F.col("event_id").cast("string"))).alias("commit_sha"),
+    )
+    return locators.resolve_scopes(requests, repos)
+
+
+def census_presentation(spark, sf_dir):
+    """Every question's two last pull requests and runs of its repository are candidates."""
+    rows, asks = _rows(spark, sf_dir), _asks(spark, sf_dir)
+    kinds = stored(census.attested(asks, rows, _later(rows)), "attested")
+    some = rows.filter("kind IN ('pull_request', 'ci_run')").groupBy("kind", "org_id").agg(F.max("identity").alias("a"), F.min("identity").alias("b"))
+    made = asks.join(some, "org_id").select("question", "kind", F.explode(F.array("a", "b")).alias("node_id")).distinct()
+    made = made.unionByName(kinds.filter("only IS NOT NULL").select("question", "kind", F.col("only").alias("node_id"))).distinct()
+    placed = made.withColumn("place", F.md5(F.concat_ws("/", "kind", "node_id")))
+    return locators.survivors_first(placed, kinds)
+
+
+_HANDLES_SQL = f"""{with_tables(*LOCATED)}, ev AS (
+  SELECT 'git_commits' AS source, repo_id, 'commit:' || hash AS ref FROM git_commits UNION ALL SELECT 'ci_pipeline_runs', repo_id, 'run:' || run_id FROM ci_pipeline_runs UNION ALL SELECT 'git_pull_requests', repo_id, 'title:' || (number % 11) FROM git_pull_requests
+), h AS ({HANDLES.format(hash="sha256")}), l AS (SELECT source, repo_id, sha256(ref) AS locator, count(*) AS n, min(ref) AS ref FROM ev GROUP BY ALL), s AS (SELECT source, repo_id, count(*) AS n FROM ev GROUP BY ALL),
+j AS (SELECT h.*, l.ref, coalesce(CASE WHEN h.locator IS NULL THEN s.n ELSE l.n END, 0) AS n, CASE WHEN h.locator IS NULL THEN 200 ELSE 1 END AS most
+  FROM h LEFT JOIN l ON l.source = h.source AND l.repo_id = h.repo_id AND l.locator = h.locator LEFT JOIN s ON s.source = h.source AND s.repo_id = h.repo_id)"""
+STATEMENTS |= {
+    "evidence_handles": f"{_HANDLES_SQL} SELECT handle, CASE WHEN length(locator) <> 64 THEN 'invalid' WHEN n = 0 THEN 'not_found' WHEN n > most THEN 'saturated' ELSE 'found' END AS state, CASE WHEN length(locator) <> 64 THEN 0 ELSE n END AS matches FROM j",
+    "evidence_references": f"""{_HANDLES_SQL} SELECT handle, ref AS evidence_ref_id FROM j WHERE length(locator) = 64 AND n = 1
+UNION ALL SELECT handle, ev.ref FROM j JOIN ev ON ev.source = j.source AND ev.repo_id = j.repo_id WHERE locator IS NULL AND n BETWEEN 1 AND most""",
+    "scope_resolutions": f"""{with_tables('repos')}, r AS (SELECT org_id, id, CASE WHEN id < 'repo-15' THEN repo ELSE split_part(repo, '/', 1) END AS slug, CASE WHEN id <> 'repo-1' THEN ref END AS branch FROM repos),
+n AS (SELECT org_id, slug, count(DISTINCT id) AS n, min(id) AS repo_id, min(branch) AS def FROM r GROUP BY ALL),
+q AS (SELECT event_id AS request, coalesce(o.org_id, 'org-0') AS org_id, CASE WHEN event_id % 4 = 0 THEN split_part(o.repo, '/', 1) ELSE coalesce(o.repo, '?') END AS slug, event_id % 3 = 0 AS on_branch, event_id % 5 = 0 AS on_commit
+  FROM events LEFT JOIN repos o ON o.id = 'repo-' || (user_id % 27)),
+k AS (SELECT q.*, n, repo_id, def, CASE WHEN n IS NULL THEN 'unresolved' WHEN n > 1 THEN 'ambiguous' WHEN on_commit THEN 'exact_commit' WHEN on_branch THEN 'branch_filtered' ELSE 'repo_fallback' END AS resolution FROM q LEFT JOIN n USING (org_id, slug))
+SELECT request, resolution, CASE WHEN n = 1 THEN repo_id END AS repo_id, CASE WHEN resolution = 'repo_fallback' AND def IS NOT NULL THEN def WHEN on_branch THEN 'release' END AS branch,
+  CASE resolution WHEN 'unresolved' THEN '{locators.NOT_FOUND}' WHEN 'repo_fallback' THEN CASE WHEN def IS NOT NULL THEN '{locators.DEFAULT_BRANCH}' ELSE '{locators.WHOLE_REPOSITORY}' END END AS fallback FROM k""",
+    "census_presentation": f"""{CENSUS_SQL}, ends AS (SELECT kind, org_id, unnest([max(identity), min(identity)]) AS node_id FROM rows WHERE kind IN ('pull_request', 'ci_run') GROUP BY kind, org_id),
+cand AS (SELECT question, s.kind, node_id FROM asks JOIN ends s USING (org_id) UNION SELECT question, kind, sole FROM attested WHERE sole IS NOT NULL),
+o AS (SELECT c.question, c.kind, node_id, md5(c.kind || '/' || node_id) AS place, coalesce(NOT mismatch AND (satisfiers = 0 OR (satisfiers = 1 AND sole <> node_id)), false) AS ruled_out FROM cand c LEFT JOIN attested a ON a.question = c.question AND a.kind = c.kind)
+SELECT question, row_number() OVER (PARTITION BY question ORDER BY ruled_out, place) AS rank, kind, node_id, ruled_out FROM o""",
+}
+
+QUERIES = (evidence_handles, evidence_references, scope_resolutions, census_presentation, quota_decisions, quota_totals, feed_modes, feed_pages, feed_ticks, graph_state_nodes, graph_state_edges, census_kinds, census_decisions, census_windows, context_admission, context_paths, path_drivers)
