@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..streaming.files import stored
 from .temporal import valid_in
 
 
@@ -21,15 +22,16 @@ def walk(edges: DataFrame, seeds: DataFrame, hops: int, source: str, target: str
 
     The loop is over hops, not rows; each turn joins the frontier with either end of
     the edges, so only what is reached is made distinct, and drops what was visited.
+    A frontier is stored before the next hop, so no hop is computed twice.
     """
     out = edges.select(F.col(source).alias("node"), F.col(target).alias("_next"))
     back = edges.select(F.col(target).alias("node"), F.col(source).alias("_next"))
-    visited = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("hop")).distinct()
+    visited = stored(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("hop")).distinct(), "walk")
     frontier = visited
     for hop in range(1, hops + 1):
         steps = frontier.select("seed", "node")
         reached = steps.join(out, "node").unionByName(steps.join(back, "node")).select("seed", F.col("_next").alias("node")).distinct()
-        frontier = reached.join(visited, ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        frontier = stored(reached.join(visited, ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop)), "walk")
         visited = visited.unionByName(frontier)
     return visited
 
