@@ -14,7 +14,7 @@ from ..operators import aggregates, facts, graph, paging, ranking, search, store
 from ..sources import changes
 from ..sources.evidence import CATALOG, Request
 from ..sources.telemetry import telemetry
-from . import answers, fact_rounds, packet, retrievals, rounds
+from . import answers, daily, fact_rounds, packet, retrievals, rounds
 
 NOW = dt.datetime(2024, 1, 31)
 AS_OF = dt.datetime(2024, 1, 15)
@@ -451,6 +451,7 @@ PLAIN = (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable] = {f.__name__: f for f in (*PLAIN, *answers.QUERIES, *rounds.QUERIES, *fact_rounds.QUERIES, *retrievals.QUERIES)}
+    found |= daily.QUERIES
     found |= {f"evidence_{n}": partial(_evidence, n) for n in CATALOG}
     found |= {f"facts_{n}": partial(_facts, n, FACT_TIMES.get(n, AS_OF)) for n in facts.PROVIDERS}
     found |= {"facts_blockers": partial(_dependencies, True), "facts_required_children": partial(_dependencies, False)}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.telemetry import with_tables
-from . import answers, fact_rounds, retrievals, rounds
+from . import answers, daily, fact_rounds, retrievals, rounds
 
 W = with_tables
 
@@ -317,4 +317,4 @@ WHOLE = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return PLAIN | WHOLE | answers.STATEMENTS | rounds.STATEMENTS | fact_rounds.STATEMENTS | retrievals.STATEMENTS | {f"evidence_{n}": s for n, s in EVIDENCE.items()} | {f"facts_{n}": s for n, s in FACTS.items()} | {f"changes_{n}": s for n, s in CHANGES.items()}
+    return PLAIN | WHOLE | answers.STATEMENTS | rounds.STATEMENTS | fact_rounds.STATEMENTS | retrievals.STATEMENTS | daily.STATEMENTS | {f"evidence_{n}": s for n, s in EVIDENCE.items()} | {f"facts_{n}": s for n, s in FACTS.items()} | {f"changes_{n}": s for n, s in CHANGES.items()}
