@@ -20,12 +20,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: df[c].cast("timestamp_ntz") for c, kind in df.dtypes if kind == "timestamp"})
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.round(c, 9) for c, kind in df.dtypes if kind == "double"})
+def _shown(df: DataFrame) -> DataFrame:
+    """Doubles to nine places, days as text."""
+    return df.withColumns({c: F.round(c, 9) if kind == "double" else F.col(c).cast("string") for c, kind in df.dtypes if kind in ("double", "date")})
 
 
 def daily(kind: str, start: dt.datetime | None, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(read_daily(_table(spark, sf_dir, KINDS[kind].table), KINDS[kind], AT, start))
+    return _shown(read_daily(_table(spark, sf_dir, KINDS[kind].table), KINDS[kind], AT, start))
 
 
 def daily_retention(spark, sf_dir):
@@ -41,7 +42,7 @@ def _statement(kind: str, keys: str, at: str, order: str, fields: str, high: str
     total = ", ".join(f"{c.strip()} DESC NULLS LAST" for c in f"{at}, {order}, {fields}".split(","))
     shown = ", ".join(c if c not in DOUBLES else f"round({c}, 9) AS {c}" for c in (x.strip() for x in fields.split(",")))
     return f"""WITH t AS ({DAILY[KINDS[kind].table]}), k AS (SELECT * REPLACE ({blank}) FROM t WHERE {at} <= {high} {f"AND {at} >= {low}" if low else ""}),
-n AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY org_id, {keys} ORDER BY {total}) = 1) SELECT org_id, {keys}, {at}, {shown} FROM n WHERE {keep}"""
+n AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY org_id, {keys} ORDER BY {total}) = 1) SELECT org_id, {keys}, {at if at != 'day' else 'day::VARCHAR AS day'}, {shown} FROM n WHERE {keep}"""
 
 
 DOUBLES = {"median_pr_cycle_hours", "change_failure_rate", "mttr_hours", "code_ownership_gini", "compounding_risk", "throughput_mean", "throughput_stddev", "cycle_p50_hours", "ratio"}
