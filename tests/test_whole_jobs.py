@@ -66,6 +66,40 @@ def test_copies_tie_by_id_over_chunks(spark, small_blocks):
     assert found == {0: [1, 2, 3, 4], 50: [0, 1, 2, 3], 300: []}
 
 
+@pytest.fixture
+def compared(monkeypatch):
+    """How many rows and queries meet in blocks."""
+    sizes, plain = [], search._in_blocks
+
+    def counting(rows, queries, *rest):
+        sizes.append((rows.count(), queries.count()))
+        return plain(rows, queries, *rest)
+
+    monkeypatch.setattr(search, "_in_blocks", counting)
+    return sizes
+
+
+def test_copies_of_texts_are_compared_once(spark, compared):
+    texts = ("red ring", "ring red", "blue ring", "green cup", "")
+    docs = spark.createDataFrame([(i, texts[i % 5]) for i in range(400)], "id long, text string")
+    asks = docs.filter("id % 20 < 5").withColumnsRenamed({"id": "query_id", "text": "query"})
+    got = {tuple(r) for r in search.lexical_search_blocks(docs, asks, "id", "text", 170).select("query_id", "id", "matched", "place", "truncated").collect()}
+    index = search.inverted_index(docs, "id", "text")
+    assert compared == [(3, 3)]
+    assert got == {tuple(r) for r in search.lexical_search(index, asks, "id", 170).select("query_id", "id", "matched", "place", "truncated").collect()}
+    assert len({g[0] for g in got}) == 80 and {g[4] for g in got} == {True, False}
+
+
+def test_copies_of_vectors_are_compared_once(spark, compared):
+    some = ([1.0, 2.0], [2.0, 4.0], [1.0, -0.0], [-1.0, -2.0])
+    v = spark.createDataFrame([(i, some[i % 4]) for i in range(200)], "vec_id long, embedding array<double>")
+    blocks = search.nearest_blocks(v, v.filter("vec_id % 10 = 0"), "vec_id", "embedding", "vec_id", 60, 0.1)
+    got = {(r.query_id, r.place): r.hit_id for r in blocks.collect()}
+    plain = search.nearest(v.withColumn("embedding", F.when(F.col("vec_id") % 4 == 1, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.col("embedding"))), v.filter("vec_id % 10 = 0"), "vec_id", "embedding", "vec_id", 60, 0.1)
+    assert compared == [(4, 2)]
+    assert got == {(r.query_id, r.place): r.hit_id for r in plain.collect()}
+
+
 def plain_hash(question):
     """Blanks and ends as Spark's functions see them: ASCII."""
     once = re.sub(r"[ \t\n\x0b\f\r]+", " ", question).strip(" ").lower()

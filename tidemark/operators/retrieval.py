@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bounded_text, is_pure_identifier
+from ..streaming.files import stored
 from .search import lexical_search_blocks, nearest_blocks, query_terms, vector_relevance
 
 #: Kinds that are never embedded, the kind whose bare identifiers are not, and the search for a missing kind.
@@ -112,11 +113,14 @@ def promoted(found: DataFrame, asks: DataFrame, names: DataFrame, allow_exact: b
     class (label, alias, provider_key).  In order: the label is what was asked for, which makes
     a candidate sure; an alias is; a provider's key is.  Each step sees only what the ones
     before have left, and a match on an alias or key adds its mechanism and no confidence.
-    Names are joined by their folded text, so a term meets its namesakes only.
+    What was asked meets the names of the nodes that were found for it, never all its namesakes.
     """
     folded = lambda c: F.lower(F.trim(c))
-    hits = asks.select("query_id", folded(F.col("query")).alias("_name")).join(names.select("node_id", folded(F.col("name")).alias("_name"), "class"), "_name")
-    sure = hits.groupBy("query_id", "node_id").agg(F.min(F.when(F.col("class") == "label", 0).when(F.col("class") == "alias", 1).otherwise(2)).alias("_class"))
+    found = stored(found, "found")
+    rank = F.min(F.when(F.col("class") == "label", 0).when(F.col("class") == "alias", 1).otherwise(2))
+    named = names.groupBy("node_id", folded(F.col("name")).alias("_name")).agg(rank.alias("_class"))
+    pairs = found.select("query_id", "node_id").distinct().join(asks.select("query_id", folded(F.col("query")).alias("_name")), "query_id")
+    sure = pairs.join(named, ["node_id", "_name"]).groupBy("query_id", "node_id").agg(F.min("_class").alias("_class"))
     out = found.join(sure, ["query_id", "node_id"], "left")
     cls = F.col("_class") if allow_exact else F.lit(None).cast("int")
     by = F.col("mechanism")
