@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 from tidemark.operators import ranking, search, stores
 from tidemark.plans.queries import queries
+from tidemark.sources import evidence
 
 
 def table(sf_dir, name, *columns):
@@ -100,6 +101,34 @@ def test_copies_of_vectors_are_compared_once(spark, compared):
     assert got == {(r.query_id, r.place): r.hit_id for r in plain.collect()}
 
 
+def joined_rows(df):
+    """The most rows that any join of a frame's plan gives."""
+    df.collect()
+    seen, plans = [0], [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        name = plan.getClass().getSimpleName()
+        if "Join" in name and plan.metrics().contains("numOutputRows"):
+            seen.append(plan.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return max(seen)
+
+
+def test_an_incident_meets_one_mapping_of_its_service(spark):
+    at = dt.datetime(2024, 1, 2)
+    rows = [("org", f"i{n}", f"s{n % 2}", "t", "open", "low", at, at, 0) for n in range(60)]
+    i = spark.createDataFrame(rows, "org_id string, id string, service_id string, title string, normalized_status string, normalized_severity string, started_at timestamp_ntz, observed_at timestamp_ntz, is_deleted int")
+    maps = [("org", f"s{n % 2}", "repo", f"m{n:03d}", "native", None if n < 4 else 0.5 + (n % 20 == 0) / 10 + (n % 20 == 1) / 5, None, None, 1) for n in range(200)]
+    m = spark.createDataFrame(maps, "org_id string, service_id string, repo_id string, id string, relationship_provenance string, relationship_confidence double, valid_from timestamp_ntz, valid_to timestamp_ntz, is_active int")
+    out = evidence.incidents({"operational_incidents": i, "service_mappings": m}, evidence.Request("org", "repo", now=at))
+    assert joined_rows(out) == 60
+    assert {r.entity_id: r.confidence for r in out.collect()} == {f"i{n}": 0.7 if n % 2 else 0.6 for n in range(60)}
+
+
 def plain_hash(question):
     """Blanks and ends as Spark's functions see them: ASCII."""
     once = re.sub(r"[ \t\n\x0b\f\r]+", " ", question).strip(" ").lower()

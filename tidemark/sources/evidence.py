@@ -177,8 +177,10 @@ def incidents(t: Tables, r: Request) -> DataFrame:
     m = m.select("org_id", "service_id", F.col("id").alias("mapping_id"), "relationship_provenance", "relationship_confidence")
     i = t["operational_incidents"].filter((F.col("org_id") == r.org_id) & (F.col("is_deleted") == 0))
     observed = F.coalesce("started_at", "observed_at")
-    df = _time(i, observed, r).join(m, ["org_id", "service_id"])
-    df = first_per_key(df, ["id"], [F.desc_nulls_last("relationship_confidence"), F.col("mapping_id")])
+    surest = [F.desc_nulls_last("relationship_confidence"), F.col("mapping_id")]
+    # of a service's mappings only the surest can decide, so an incident meets one and not all of them
+    df = _time(i, observed, r).join(first_per_key(m, ["org_id", "service_id"], surest), ["org_id", "service_id"])
+    df = first_per_key(df, ["id"], surest)
     citation = F.concat(L("status="), text("normalized_status"), L(", severity="), text("normalized_severity"))
     return _shape(df, "incident", "incident", F.col("id"), F.col("title"), citation, observed, None, choose(F.col("relationship_provenance"), INCIDENT_PROVENANCE), clamp(F.coalesce("relationship_confidence", L(1.0))))
 
