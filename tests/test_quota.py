@@ -80,3 +80,11 @@ def test_a_stream_decides_as_the_batch_does(spark, tmp_path):
     streamed = got_of(spark.read.parquet(f"{tmp_path}/out").collect())
     batch = quota.decide(frame(spark, rows), ["key"], "member", "time", "request", 60, 3, 2).collect()
     assert streamed == got_of(batch) == plain(rows, 60, 3, 2)
+
+
+def test_keys_of_one_bucket_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(quota, "TIMES_PER_BUCKET", 90)
+    monkeypatch.setattr(quota, "TIMES_PER_BLOCK", 7)
+    rows = requests_of(5, n=300, keys=40, span=900)
+    got = got_of(quota.decide(frame(spark, rows), ["key"], "member", "time", "request", 60, 3, 2).collect())
+    assert got == plain(rows, 60, 3, 2) and len({v[0] for v in got.values()}) > 30

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Distinct times that a block's task holds, where a single slot does not hold more.
 TIMES_PER_BLOCK = 1_000_000
+#: Distinct times of many keys that a task takes at once, where a block of one key does not hold more.
+TIMES_PER_BUCKET = 50_000
 
 
 def _exits(t: np.ndarray, first_end: int, width: int, block_end: int) -> np.ndarray:
@@ -37,27 +39,43 @@ def window_starts(times: DataFrame, key: list[str], width: int) -> DataFrame:
     """
     slot = F.floor(F.col("at") / width)
     slots = times.groupBy(*key, slot.alias("_slot")).agg(F.count("*").alias("n"))
-    largest = slots.agg(F.max("n")).first()[0] or 1
-    per_block = int(max(1, TIMES_PER_BLOCK // largest))
-    blocked = times.withColumn("_block", F.floor(slot / per_block))
+    largest, every = slots.agg(F.max("n"), F.sum("n")).first()
+    per_block = int(max(1, TIMES_PER_BLOCK // (largest or 1)))
+    buckets = max(1, -(-(every or 0) // TIMES_PER_BUCKET))
+    blocked = times.withColumn("_block", F.floor(slot / per_block)).withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
     kinds = dict(times.dtypes)
     names = ", ".join(f"{k} {kinds[k]}" for k in key)
 
+    def by_key(frame: pd.DataFrame) -> Iterator[tuple[int, int]]:
+        """Where each key's rows begin and end in a frame that is sorted by key."""
+        fresh = np.zeros(len(frame), bool)
+        fresh[:1] = True
+        for k in key:
+            values = frame[k].to_numpy()
+            fresh[1:] |= values[1:] != values[:-1]
+        at = np.flatnonzero(fresh)
+        return zip(at, [*at[1:], len(frame)], strict=True)
+
     def leave(frame: pd.DataFrame) -> pd.DataFrame:
-        """Entries of a block: each time of its first slot, and the first time after that."""
-        t = np.sort(frame["at"].to_numpy())
-        block = int(frame["_block"].iloc[0])
+        """Entries of a block: each time of a key's first slot, and the first time after that."""
+        frame = frame.sort_values([*key, "at"], ignore_index=True)
+        every_t, block = frame["at"].to_numpy(), int(frame["_block"].iloc[0])
         first_end = (block * per_block + 1) * width
-        exits = _exits(t, first_end, width, (block + 1) * per_block * width)
-        later = np.searchsorted(t, first_end)
-        enter, leaves = list(t[:later]), list(exits)
-        if later < len(t):
-            rest = t[later:]
-            enter.append(rest[0])
-            leaves.append(_exits(rest, rest[0] + 1, width, 0)[0])
-        return pd.DataFrame({**{k: [frame[k].iloc[0]] * len(enter) for k in key}, "_block": block, "enter": enter, "leave": leaves})
-
-    doors = blocked.groupBy(*key, "_block").applyInPandas(leave, f"{names}, _block long, enter long, leave long")
+        rows, enter, leaves = [], [], []
+        for a, b in by_key(frame):
+            t = every_t[a:b]
+            exits = _exits(t, first_end, width, (block + 1) * per_block * width)
+            later = int(np.searchsorted(t, first_end))
+            enter.append(t[:later])
+            leaves.append(exits)
+            if later < len(t):
+                rest = t[later:]
+                enter.append(rest[:1])
+                leaves.append(_exits(rest, rest[0] + 1, width, 0)[:1])
+            rows.append(np.full(later + (later < len(t)), a))
+        return frame[key].iloc[np.concatenate(rows)].assign(_block=block, enter=np.concatenate(enter), leave=np.concatenate(leaves))
+
+    doors = blocked.groupBy("_bucket", "_block").applyInPandas(leave, f"{names}, _block long, enter long, leave long")
 
     def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """In order of key and block: the allowed time with which each block is entered."""
@@ -79,18 +97,20 @@ def window_starts(times: DataFrame, key: list[str], width: int) -> DataFrame:
     entries = ordered.mapInPandas(link, f"{names}, _block long, _allowed long")
 
     def mark(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("at", ignore_index=True)
-        t, allowed = frame["at"].to_numpy(), int(frame["_allowed"].iloc[0])
-        start = np.empty(len(t), np.int64)
-        i = int(np.searchsorted(t, allowed))
-        start[:i] = allowed - width  # the last window of an earlier block goes on
-        while i < len(t):
-            j = int(np.searchsorted(t, t[i] + width))
-            start[i:j] = t[i]
-            i = j
-        return frame[[*key, "at"]].assign(start=start)
-
-    return blocked.join(entries, [*key, "_block"]).groupBy(*key, "_block").applyInPandas(mark, f"{names}, at long, start long")
+        frame = frame.sort_values([*key, "at"], ignore_index=True)
+        every_t, allowed_at = frame["at"].to_numpy(), frame["_allowed"].to_numpy()
+        every_start = np.empty(len(frame), np.int64)
+        for a, b in by_key(frame):
+            t, start, allowed = every_t[a:b], every_start[a:b], int(allowed_at[a])
+            i = int(np.searchsorted(t, allowed))
+            start[:i] = allowed - width  # the last window of an earlier block goes on
+            while i < len(t):
+                j = int(np.searchsorted(t, t[i] + width))
+                start[i:j] = t[i]
+                i = j
+        return frame[[*key, "at"]].assign(start=every_start)
+
+    return blocked.join(entries, [*key, "_block"]).groupBy("_bucket", "_block").applyInPandas(mark, f"{names}, at long, start long")
 
 
 def decide(requests: DataFrame, key: list[str], member: str, time: str, request: str, width: int, per_key: int, per_member: int) -> DataFrame:
