@@ -21,17 +21,19 @@ def _kind_at(n: Column) -> Column:
 class _Inputs:
     """Requirements, subjects, gaps and results that the orders and their lines stand for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, several: bool = False) -> None:
+        # several frames are asked for: what they share is made once, not once for each of them
+        once = stored if several else lambda df, name: df
         orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("investigation"))
         lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("investigation"), F.col("l_linenumber").cast("int").alias("place"), F.col("l_partkey").alias("part"), "l_returnflag")
         lines = lines.groupBy("investigation", "place").agg(F.min("part").alias("part"), F.min("l_returnflag").alias("flag"))
         axis = F.when(F.col("investigation") % 13 == 0, "observed").when(F.col("investigation") % 13 == 1, "valid").otherwise("current")
         asked = orders.select("investigation", axis.alias("axis"), F.explode(F.array(*map(F.lit, range(4)))).alias("nth"))
         groups = [asked.filter(f"nth {c} 2").withColumn("fact_kind", _kind_at(F.col("investigation") * 3 + F.col("nth") * step)) for c, step in (("<", 5), (">=", 10))]
-        self.requirements = fact_plan.merged_requirements(*groups).select("investigation", "fact_kind", "axis", "nth")
+        self.requirements = once(fact_plan.merged_requirements(*groups).select("investigation", "fact_kind", "axis", "nth"), "requirements")
         kind = F.element_at(F.array(*map(F.lit, SUBJECT_KINDS)), ((F.col("part") + F.col("place")) % len(SUBJECT_KINDS) + 1).cast("int"))
         named = lines.withColumn("subject_kind", kind).withColumn("subject_id", F.concat_ws(":", "subject_kind", F.col("part").cast("string")))
-        named = named.groupBy("investigation", "subject_kind", "subject_id").agg(F.min("place").alias("place"), F.max("flag").alias("flag"))
+        named = once(named.groupBy("investigation", "subject_kind", "subject_id").agg(F.min("place").alias("place"), F.max("flag").alias("flag")), "named")
         self.scope = named.filter("place <= 4")
         own = named.filter("investigation % 11 = 0 AND place = 1")
         self.own = own.join(self.requirements.filter("nth = 0").select("investigation", "fact_kind"), "investigation")
@@ -42,7 +44,7 @@ class _Inputs:
             F.lit("project_to_repository").alias("policy"), F.lit("membership").alias("basis"), (F.col("investigation") % 8 != 0).alias("degrades"),
         )
         self.capable = fact_plan.capabilities(spark)
-        self.subjects = fact_plan.read_subjects(self.requirements, self.own, self.scope, self.derived)
+        self.subjects = once(fact_plan.read_subjects(self.requirements, self.own, self.scope, self.derived), "subjects")
         self.planned = fact_plan.plan(self.requirements, self.subjects, self.capable, self.gaps)
         self.reads = fact_plan.planned_reads(self.planned, self.subjects, self.capable)
 
@@ -69,7 +71,7 @@ def fact_reads(spark, sf_dir):
 
 
 def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _Inputs(spark, sf_dir)
+    got = _Inputs(spark, sf_dir, several=True)
     got.planned, got.reads = stored(got.planned, "planned"), stored(got.reads, "reads")
     results, facts = (stored(df, "answers") for df in got.answers())
     return fact_plan.coverage(got.planned, results, facts, fact_plan.kept_facts(got.planned, facts, MOST))
