@@ -74,12 +74,14 @@ def repository_freshness(t: Tables, r: Request) -> DataFrame:
     return _shape(df, "repository", "repository", F.col("id"), bounded_label(text("repo"), F.concat(L("repository "), "id")), L("repository freshness"), F.col("last_synced"))
 
 
-def _items(t: Tables) -> DataFrame:
-    return latest_version(t["work_items"], ["work_item_id"], "last_synced")
+def _items(t: Tables, r: Request) -> DataFrame:
+    """The newest version of each item that lies in the repository; items that never were there are not sorted."""
+    ever = _repo(t["work_items"], r, org=True).select("work_item_id")
+    return _repo(latest_version(t["work_items"].join(ever, "work_item_id", "left_semi"), ["work_item_id"], "last_synced"), r, org=True)
 
 
 def work_items(t: Tables, r: Request) -> DataFrame:
-    df = _time(_repo(_items(t), r, org=True), F.col("updated_at"), r)
+    df = _time(_items(t, r), F.col("updated_at"), r)
     if r.task_ref:
         df = df.filter(F.col("work_item_id") == r.task_ref)
     name = F.col("work_item_id")
@@ -90,7 +92,7 @@ def work_item_dependencies(t: Tables, r: Request) -> DataFrame:
     d = as_of(t["work_item_dependencies"].filter(F.col("org_id") == r.org_id), "last_synced", r.as_of)
     if r.task_ref:
         d = d.filter((F.col("source_work_item_id") == r.task_ref) | (F.col("target_work_item_id") == r.task_ref))
-    mine = _repo(_items(t), r, org=True).select(F.col("work_item_id").alias("source_work_item_id"))
+    mine = _items(t, r).select(F.col("work_item_id").alias("source_work_item_id"))
     d = d.join(mine, "source_work_item_id", "left_semi")
     pair = F.concat("source_work_item_id", L(":"), "target_work_item_id")
     return _shape(d, "work-item-dependency", "work_item_dependency", pair, F.concat_ws(" ", "source_work_item_id", "relationship_type", "target_work_item_id"), bounded_label(F.col("relationship_type"), F.concat(L("dependency="), pair), 2000), F.col("last_synced"))
