@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from tidemark.operators import graph
 from tidemark.sources import evidence
 
 
@@ -24,3 +25,12 @@ def test_items_that_never_were_in_the_repository_are_not_sorted(spark, monkeypat
     got = evidence._items({"work_items": items}, evidence.Request("o", "r")).collect()
     assert [(r.work_item_id, r.repo_id) for r in got] == [("b", "r")]  # the newest version of a lies elsewhere
     assert sorted(sorted_ids) == ["a", "a", "b", "b"]
+
+
+def test_a_walk_leaves_out_edges_it_does_not_touch_before_they_are_grouped(spark, monkeypatch):
+    frames = []
+    monkeypatch.setattr(graph, "stored", lambda df, name: frames.append(df) or df.cache())
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "a"), ("p", "q"), ("a", "b")], "s string, t string").groupBy("s", "t").count().select("s", "t")
+    got = {(r.node, r.hop) for r in graph.walk(edges, spark.createDataFrame([("a",)], "seed string"), 2, "s", "t").collect()}
+    assert got == {("a", 0), ("b", 1), ("x", 1), ("c", 2)}
+    assert "LeftSemi" in plan_of(frames[1])

@@ -22,7 +22,8 @@ def walk(edges: DataFrame, seeds: DataFrame, hops: int, source: str, target: str
 
     The loop is over hops, not rows; each turn joins the frontier with either end of
     the edges, so only what is reached is made distinct, and drops what was visited.
-    A frontier is stored before the next hop, so no hop is computed twice.
+    A frontier is stored before the next hop, so no hop is computed twice, and edges that it
+    does not touch are left out before they are grouped or joined, where they are derived.
     """
     out = edges.select(F.col(source).alias("node"), F.col(target).alias("_next"))
     back = edges.select(F.col(target).alias("node"), F.col(source).alias("_next"))
@@ -30,7 +31,8 @@ def walk(edges: DataFrame, seeds: DataFrame, hops: int, source: str, target: str
     frontier = visited
     for hop in range(1, hops + 1):
         steps = frontier.select("seed", "node")
-        reached = steps.join(out, "node").unionByName(steps.join(back, "node")).select("seed", F.col("_next").alias("node")).distinct()
+        near = [end.join(steps.select("node"), "node", "left_semi") for end in (out, back)]
+        reached = steps.join(near[0], "node").unionByName(steps.join(near[1], "node")).select("seed", F.col("_next").alias("node")).distinct()
         frontier = stored(reached.join(visited, ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop)), "walk")
         visited = visited.unionByName(frontier)
     return visited
