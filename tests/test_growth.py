@@ -3,7 +3,7 @@
 import datetime as dt
 
 from tidemark.operators import graph
-from tidemark.sources import evidence
+from tidemark.sources import changes, evidence
 
 
 def plan_of(df) -> str:
@@ -34,3 +34,10 @@ def test_a_walk_leaves_out_edges_it_does_not_touch_before_they_are_grouped(spark
     got = {(r.node, r.hop) for r in graph.walk(edges, spark.createDataFrame([("a",)], "seed string"), 2, "s", "t").collect()}
     assert got == {("a", 0), ("b", 1), ("x", 1), ("c", 2)}
     assert "LeftSemi" in plan_of(frames[1])
+
+
+def test_dependencies_are_joined_once_for_both_relations(spark, sf_dir):
+    from tidemark.sources.telemetry import telemetry
+
+    t = dict(zip(("work_items", "work_item_dependencies"), telemetry(spark, sf_dir, "work_items", "work_item_dependencies"), strict=True))
+    assert plan_of(changes.dependencies(t)).count("LeftOuter") == 1

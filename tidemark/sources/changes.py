@@ -34,8 +34,8 @@ def _node(kind: str, key: Column, label: Column, observed: Column, valid_from: C
     return F.struct(*[v.alias(n.split()[0]) for v, n in zip(values, CHANGE.split(", "), strict=True)])
 
 
-def _edge(relation: str, source: Column, target: Column, observed: Column, valid_from: Column | None = None, valid_to: Column | None = None, op: Column | str = "edge") -> Column:
-    values = (F.lit(op) if isinstance(op, str) else op, F.lit("relationship"), derive_relationship(relation.lower(), source, target), nothing(), source, target, F.lit(relation), valid_from if valid_from is not None else no_time(), valid_to if valid_to is not None else no_time(), observed)
+def _edge(relation: str | Column, source: Column, target: Column, observed: Column, valid_from: Column | None = None, valid_to: Column | None = None, op: Column | str = "edge") -> Column:
+    values = (F.lit(op) if isinstance(op, str) else op, F.lit("relationship"), derive_relationship(F.lower(F.lit(relation)), source, target), nothing(), source, target, F.lit(relation), valid_from if valid_from is not None else no_time(), valid_to if valid_to is not None else no_time(), observed)
     return F.struct(*[v.alias(n.split()[0]) for v, n in zip(values, CHANGE.split(", "), strict=True)])
 
 
@@ -107,23 +107,22 @@ def dependencies(t: Tables) -> DataFrame:
     items = latest_version(t["work_items"], ["work_item_id"], "last_synced")
     d = latest_version(t["work_item_dependencies"], ["source_work_item_id", "target_work_item_id", "relationship_type"], "last_synced")
     ends = lambda side: items.select(F.col("work_item_id").alias(f"{side}_work_item_id"), F.col("created_at").alias(f"{side}_from"), F.col("completed_at").alias(f"{side}_to"), F.lit(True).alias(f"{side}_there"))
-    df = d.join(ends("source"), "source_work_item_id").join(ends("target"), "target_work_item_id", "left")
-    source, target, stub = (derive_id(k, F.col(f"{c}_work_item_id")) for k, c in (("work_item", "source"), ("work_item", "target"), ("work_item_ref", "target")))
+    df = d.filter("relationship_type IS NOT NULL").join(ends("source"), "source_work_item_id").join(ends("target"), "target_work_item_id", "left")
+    # ids and relation are columns of the joined rows, so each is derived once and both relations come from one reading
+    made = [derive_id(k, F.col(f"{c}_work_item_id")).alias(n) for n, k, c in (("_source", "work_item", "source"), ("_target", "work_item", "target"), ("_stub", "work_item_ref", "target"))]
+    df = df.select("*", *made, F.when(F.lower("relationship_type") == "blocks", "BLOCKS").otherwise("DEPENDS_ON").alias("_relation"))
+    source, target, stub, relation = map(F.col, ("_source", "_target", "_stub", "_relation"))
     start, end = intersect_validity((F.col("source_from"), F.col("source_to")), (F.col("target_from"), F.col("target_to")))
     at, there = F.col("last_synced"), F.col("target_there").isNotNull()
-    out = []
-    for kind, relation in (("blocks", "BLOCKS"), (None, "DEPENDS_ON")):
-        mine = F.lower("relationship_type") == "blocks"
-        part = df.filter(mine if kind else ~mine)
-        out.append(_emit(
-            part, F.when(there, _edge(relation, source, target, at, start, end)), F.when(there, _edge(relation, source, stub, at, op="edge_tombstone")),
-            F.when(there, _node("work_item_ref", F.col("target_work_item_id"), nothing(), at, op="orphan_tombstone")),
-            F.when(~there, _node("work_item_ref", F.col("target_work_item_id"), F.col("target_work_item_id"), at)), F.when(~there, _edge(relation, source, stub, at)),
-        ))
-    # many dependencies heal one stub: one tombstone is enough
-    both = out[0].unionByName(out[1])
-    stubs = both.filter("op = 'orphan_tombstone'").groupBy("op", "kind", "node_id").agg(F.max("observed_at").alias("observed_at"))
-    return both.filter("op <> 'orphan_tombstone'").unionByName(stubs, allowMissingColumns=True)
+    found = F.array(_edge(relation, source, target, at, start, end), _edge(relation, source, stub, at, op="edge_tombstone"))
+    absent = F.array(_node("work_item_ref", F.col("target_work_item_id"), F.col("target_work_item_id"), at), _edge(relation, source, stub, at))
+    out = df.select(F.explode(F.when(there, found).otherwise(absent)).alias("_c")).select("_c.*")
+    # many dependencies heal one stub: one tombstone is enough, and its id is derived once
+    ids = t["work_items"].select("work_item_id")
+    healed = d.filter("relationship_type IS NOT NULL").join(ids.withColumnRenamed("work_item_id", "source_work_item_id"), "source_work_item_id", "left_semi")
+    healed = healed.groupBy("target_work_item_id").agg(F.max("last_synced").alias("last_synced")).join(ids.withColumnRenamed("work_item_id", "target_work_item_id"), "target_work_item_id", "left_semi")
+    stubs = _emit(healed, _node("work_item_ref", F.col("target_work_item_id"), nothing(), F.col("last_synced"), op="orphan_tombstone"))
+    return out.unionByName(stubs.groupBy("op", "kind", "node_id").agg(F.max("observed_at").alias("observed_at")), allowMissingColumns=True)
 
 
 def hierarchy(t: Tables) -> DataFrame:
