@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from tidemark.operators import graph
+from tidemark.operators import facts, graph
 from tidemark.sources import changes, evidence
 
 
@@ -41,3 +41,11 @@ def test_dependencies_are_joined_once_for_both_relations(spark, sf_dir):
 
     t = dict(zip(("work_items", "work_item_dependencies"), telemetry(spark, sf_dir, "work_items", "work_item_dependencies"), strict=True))
     assert plan_of(changes.dependencies(t)).count("LeftOuter") == 1
+
+
+def test_versions_of_which_only_the_key_is_told_are_not_sorted(spark):
+    d = spark.createDataFrame([("a", "b", "blocks", 1), ("a", "b", "blocks", 2), ("a", "c", "other", 1), ("a", "c", "other", 3), ("z", "c", "other", 1)], "source_work_item_id string, target_work_item_id string, relationship_type string, last_synced int")
+    items = spark.createDataFrame([("a",), ("b",)], "work_item_id string")
+    out = {b: facts.dependency_facts({"work_item_dependencies": d, "work_items": items}, b) for b in (True, False)}
+    assert {b: [(r.subject_id, r.value) for r in df.collect()] for b, df in out.items()} == {True: [("b", "a")], False: [("a", "c")]}
+    assert all("Window" not in plan_of(df) for df in out.values())

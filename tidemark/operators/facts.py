@@ -101,10 +101,11 @@ def read_facts(tables: dict[str, DataFrame], kind: str, t: dt.datetime, subjects
 
 def dependency_facts(tables: dict[str, DataFrame], blocking: bool) -> DataFrame:
     """What blocks an item (incoming ``blocks``), or what it requires (outgoing, all else)."""
-    d = latest_version(tables["work_item_dependencies"], ["source_work_item_id", "target_work_item_id", "relationship_type"], "last_synced")
+    key = ["source_work_item_id", "target_work_item_id", "relationship_type"]
     blocks = F.lower("relationship_type") == "blocks"
     own, other = ("target_work_item_id", "source_work_item_id") if blocking else ("source_work_item_id", "target_work_item_id")
-    d = d.filter(blocks if blocking else ~blocks)
+    # of a version only its key is told, so the versions are made one without being sorted
+    d = tables["work_item_dependencies"].filter(blocks if blocking else ~blocks).select(*key).distinct()
     items = tables["work_items"].select(F.col("work_item_id").alias(own))
     return long_facts(d.join(items, own, "left_semi"), "blockers" if blocking else "required_children", F.col(own), {"related": F.col(other)})
 
