@@ -49,3 +49,15 @@ def test_versions_of_which_only_the_key_is_told_are_not_sorted(spark):
     out = {b: facts.dependency_facts({"work_item_dependencies": d, "work_items": items}, b) for b in (True, False)}
     assert {b: [(r.subject_id, r.value) for r in df.collect()] for b, df in out.items()} == {True: [("b", "a")], False: [("a", "c")]}
     assert all("Window" not in plan_of(df) for df in out.values())
+
+
+def test_reads_need_no_plan_and_kinds_are_not_shuffled(spark, sf_dir):
+    from tidemark.operators import fact_plan
+    from tidemark.plans import fact_rounds
+
+    got = fact_rounds._Inputs(spark, sf_dir)
+    planned = fact_plan.planned_reads(got.planned, got.subjects, got.capable)
+    short = fact_rounds.fact_reads(spark, sf_dir)
+    assert sorted(short.collect()) == sorted(planned.collect()) and short.count() > 0
+    assert plan_of(short).count("Aggregate") < plan_of(planned).count("Aggregate")
+    assert plan_of(got.planned).count("strategy=broadcast") == 2

@@ -42,19 +42,23 @@ def merged_requirements(*groups: DataFrame) -> DataFrame:
     return both.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
 
 
-def read_subjects(requirements: DataFrame, own: DataFrame, scope: DataFrame, derived: DataFrame) -> DataFrame:
+def read_subjects(requirements: DataFrame, own: DataFrame, scope: DataFrame, derived: DataFrame, capable: DataFrame | None = None) -> DataFrame:
     """Subjects of each requirement: its own or else the investigation's, then derived ones that are not among them.
 
     requirements: investigation, fact_kind; own and derived: investigation, fact_kind, subject_kind,
-    subject_id, place; scope: investigation, subject_kind, subject_id, place.
+    subject_id, place; scope: investigation, subject_kind, subject_id, place.  With ``capable``
+    only subjects of a kind that their facts can be read for, so that no others are grouped.
     """
     key, subject = ["investigation", "fact_kind"], ["subject_kind", "subject_id", "place"]
     named = own.select(*key, *subject).join(requirements.select(*key), key, "left_semi")
     wide = requirements.select(*key).join(own.select(*key).distinct(), key, "left_anti").join(scope.select("investigation", *subject), "investigation").select(*key, *subject)
     more = derived.select(*key, *subject).join(requirements.select(*key), key, "left_semi")
     both = named.unionByName(wide).withColumn("_derived", F.lit(0)).unionByName(more.withColumn("_derived", F.lit(1)))
-    first = F.min(F.struct("_derived", "place")).alias("_at")
-    return both.groupBy(*key, "subject_kind", "subject_id").agg(first).select(*key, "subject_kind", "subject_id", F.col("_at._derived").alias("derived"), F.col("_at.place").alias("place"))
+    both = both if capable is None else fitting(both, capable)
+    # plain numbers, which are hashed where structs would be sorted; dealt by requirement, which is what subjects meet next
+    first = [F.min(F.when(F.col("_derived") == d, F.col("place"))).alias(f"_place{d}") for d in (0, 1)]
+    once = both.repartition(*key).groupBy(*key, "subject_kind", "subject_id").agg(F.min("_derived").alias("derived"), *first)
+    return once.select(*key, "subject_kind", "subject_id", "derived", F.when(F.col("derived") == 0, F.col("_place0")).otherwise(F.col("_place1")).alias("place"))
 
 
 def _list(c: str | Column) -> Column:
@@ -62,6 +66,11 @@ def _list(c: str | Column) -> Column:
     return F.when(joined == "", "none").otherwise(joined)
 
 
+def refusal() -> Column:
+    """Why a requirement's axis cannot be answered by its kind of facts, or null."""
+    return F.when(F.col("axis") == "observed", OBSERVED_REFUSED).when((F.col("axis") != "current") & F.col("fact_kind").isin(*NO_HISTORY), HISTORY_REFUSED)
+
+
 def plan(requirements: DataFrame, subjects: DataFrame, capable: DataFrame, gaps: DataFrame) -> DataFrame:
     """One row per requirement: read, narrowed, pruned, gap, no_subjects, refused or unconfigured, and why.
 
@@ -71,12 +80,13 @@ def plan(requirements: DataFrame, subjects: DataFrame, capable: DataFrame, gaps:
     Subjects are counted per requirement, so any number of them costs one row here.
     """
     key = ["investigation", "fact_kind"]
+    capable = F.broadcast(capable)  # a row per kind of facts; joined by shuffle it would gather all subjects at a few kinds
     met = subjects.join(capable, "fact_kind", "left").withColumn("_fits", F.coalesce(F.array_contains("supported", F.col("subject_kind")), F.lit(False)))
     sums = met.groupBy(*key).agg(F.count("*").alias("asked"), F.count_if("_fits").alias("readable"), F.array_sort(F.collect_set(F.when(~F.col("_fits"), F.col("subject_kind")))).alias("_skipped"))
     out = requirements.join(sums, key, "left").join(capable, "fact_kind", "left").join(gaps.withColumn("_gap", F.lit(True)), key, "left")
     asked, readable = F.coalesce("asked", F.lit(0)), F.coalesce("readable", F.lit(0))
     has_gap, degrades = F.coalesce("_gap", F.lit(False)), F.coalesce("degrades", F.lit(False))
-    refused = F.when(F.col("axis") == "observed", OBSERVED_REFUSED).when((F.col("axis") != "current") & F.col("fact_kind").isin(*NO_HISTORY), HISTORY_REFUSED)
+    refused = refusal()
     decision = (
         F.when(F.col("supported").isNull(), "unconfigured").when(asked == 0, "no_subjects").when((readable == 0) & has_gap, "gap").when(readable == 0, "pruned")
         .when(refused.isNotNull(), "refused").when(readable < asked, "narrowed").otherwise("read")
@@ -97,8 +107,19 @@ def plan(requirements: DataFrame, subjects: DataFrame, capable: DataFrame, gaps:
 def planned_reads(planned: DataFrame, subjects: DataFrame, capable: DataFrame) -> DataFrame:
     """The subjects that each planned read is about."""
     key = ["investigation", "fact_kind"]
-    fit = subjects.join(capable, "fact_kind").filter(F.array_contains("supported", F.col("subject_kind")))
-    return fit.join(planned.filter(F.col("decision").isin("read", "narrowed")).select(*key), key, "left_semi").select(*key, "subject_kind", "subject_id", "derived", "place")
+    return fitting(subjects, capable).join(planned.filter(F.col("decision").isin("read", "narrowed")).select(*key), key, "left_semi").select(*key, "subject_kind", "subject_id", "derived", "place")
+
+
+def fitting(subjects: DataFrame, capable: DataFrame) -> DataFrame:
+    """The subjects of a kind that their requirement's facts can be read for."""
+    kinds = capable.select("fact_kind", F.explode("supported").alias("subject_kind"))
+    return subjects.join(F.broadcast(kinds), ["fact_kind", "subject_kind"], "left_semi")
+
+
+def open_reads(requirements: DataFrame, own: DataFrame, scope: DataFrame, derived: DataFrame, capable: DataFrame) -> DataFrame:
+    """What ``planned_reads`` gives, without the plan: a requirement with a fitting subject is read unless its axis is refused."""
+    asked = requirements.filter(refusal().isNull())
+    return read_subjects(asked, own, scope, derived, capable)
 
 
 def kept_facts(planned: DataFrame, facts: DataFrame, most: int = MOST_FACTS) -> DataFrame:

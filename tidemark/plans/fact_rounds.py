@@ -67,7 +67,8 @@ def fact_plans(spark, sf_dir):
 
 
 def fact_reads(spark, sf_dir):
-    return _Inputs(spark, sf_dir).reads
+    got = _Inputs(spark, sf_dir)
+    return fact_plan.open_reads(got.requirements, got.own, got.scope, got.derived, got.capable)
 
 
 def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
