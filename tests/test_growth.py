@@ -61,3 +61,9 @@ def test_reads_need_no_plan_and_kinds_are_not_shuffled(spark, sf_dir):
     assert sorted(short.collect()) == sorted(planned.collect()) and short.count() > 0
     assert plan_of(short).count("Aggregate") < plan_of(planned).count("Aggregate")
     assert plan_of(got.planned).count("strategy=broadcast") == 2
+
+
+def test_edges_of_context_paths_are_derived_once(spark, sf_dir):
+    from tidemark.plans.queries import queries
+
+    assert "l_orderkey" not in plan_of(queries()["context_paths"](spark, sf_dir))
