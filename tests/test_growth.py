@@ -67,3 +67,9 @@ def test_edges_of_context_paths_are_derived_once(spark, sf_dir):
     from tidemark.plans.queries import queries
 
     assert "l_orderkey" not in plan_of(queries()["context_paths"](spark, sf_dir))
+
+
+def test_inputs_of_graph_batches_are_derived_once(spark, sf_dir):
+    from tidemark.plans import rounds
+
+    assert all("l_orderkey" not in plan_of(b) and "o_orderkey" not in plan_of(b) for b in rounds._batches(spark, sf_dir))

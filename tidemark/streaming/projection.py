@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import apply_tombstones, drop_orphans, upsert
+from ..operators.versions import first_per_key
 from ..sources.changes import CHANGE
 from .files import Folder, Pointers
 
@@ -118,7 +119,9 @@ class GraphStore:
         near |= self._buckets_of(*far)
         both = lambda df: df.withColumn("role", F.explode(F.array(F.lit("out"), F.lit("in"))))
         state = self._read("edges", now, near)
-        edges = upsert(state, both(of("edge").select(*_columns(EDGE))), ["node_id", "role"], [F.desc_nulls_last("observed_at"), F.col("target_id")])
+        # an edge's id decides its ends, so the newest of an edge is found before it is stored at both
+        newest = both(first_per_key(of("edge").select(*_columns(EDGE)), ["node_id"], [F.desc_nulls_last("observed_at"), F.col("target_id")]))
+        edges = state.join(newest.select("node_id", "role"), ["node_id", "role"], "left_anti").unionByName(newest.select(*state.columns))
         edges = apply_tombstones(edges, removed("edge_tombstone"), ["node_id"], "observed_at", "effective_at")
         for end in ("source_id", "target_id"):
             edges = edges.join(gone.select(F.col("node_id").alias(end)), end, "left_anti")
