@@ -73,3 +73,14 @@ def test_inputs_of_graph_batches_are_derived_once(spark, sf_dir):
     from tidemark.plans import rounds
 
     assert all("l_orderkey" not in plan_of(b) and "o_orderkey" not in plan_of(b) for b in rounds._batches(spark, sf_dir))
+
+
+def test_equal_texts_are_counted_before_they_are_cut_into_words(spark, monkeypatch):
+    from tidemark.operators import search
+
+    made = {}
+    monkeypatch.setattr(search, "stored", lambda df, name: made.setdefault(name, df))
+    docs = spark.createDataFrame([(i, ("red ring", "Ring red", None)[i % 3]) for i in range(30)], "id long, text string")
+    got = search.lexical_search_blocks(docs, spark.createDataFrame([(1, "red")], "query_id long, query string"), "id", "text", 3).collect()
+    assert sorted((r.id, r.truncated) for r in got) == [(0, True), (1, True), (3, True)]
+    assert "split(" not in plan_of(made["classes"]) and sorted(r._n for r in made["classes"].collect()) == [10, 10]
