@@ -84,3 +84,19 @@ def test_equal_texts_are_counted_before_they_are_cut_into_words(spark, monkeypat
     got = search.lexical_search_blocks(docs, spark.createDataFrame([(1, "red")], "query_id long, query string"), "id", "text", 3).collect()
     assert sorted((r.id, r.truncated) for r in got) == [(0, True), (1, True), (3, True)]
     assert "split(" not in plan_of(made["classes"]) and sorted(r._n for r in made["classes"].collect()) == [10, 10]
+
+
+def test_vectors_of_texts_meet_classes_of_rows(spark):
+    from tidemark.operators import search
+
+    from .test_whole_jobs import joined_rows
+
+    texts = spark.createDataFrame([(i, f"h{i % 5}") for i in range(100)], "id long, text_hash string")
+    made = spark.createDataFrame([(f"h{i}", [1.0, float(i % 3)]) for i in range(4)], "text_hash string, vector array<double>")
+    each = texts.join(made, "text_hash").select("id", "vector")
+    asked = each.filter("id % 10 = 0").withColumnRenamed("id", "query_id")
+    plain, short = (search.nearest_blocks(v, asked, "id", "vector", "query_id", 30, 0.1, t) for v, t in ((each, None), (made, texts)))
+    assert sorted(short.collect()) == sorted(plain.collect()) and short.count() == 300
+    classes = search._united(search._classes(texts, "id", "text_hash", 31).join(made, "text_hash").drop("text_hash"), "vector", 31)
+    assert sorted((r._n, r._ids[:2]) for r in classes.collect()) == [(20, [1, 6]), (20, [2, 7]), (40, [0, 3])]
+    assert joined_rows(classes) <= 5

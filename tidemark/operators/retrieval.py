@@ -78,12 +78,13 @@ def hashed_vector(text: Column, size: int) -> Column:
     return F.when(F.size(words) > 0, vector)
 
 
-def hybrid_search(subjects: DataFrame, asks: DataFrame, vectors: DataFrame, asked_vectors: DataFrame, k: int, floor: float) -> tuple[DataFrame, DataFrame]:
+def hybrid_search(subjects: DataFrame, asks: DataFrame, vectors: DataFrame, asked_vectors: DataFrame, k: int, floor: float, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Both arms of a search and what each request lacked.
 
     subjects: node_id, text; asks: query_id, query, historical, configured; vectors: node_id,
-    vector; asked_vectors: query_id, vector.  Returns (query_id, node_id, mechanism, relevance)
-    of both arms, not yet merged, and (query_id, truncated, degraded) of every request.
+    vector, or text_hash, vector with ``texts``: node_id, text_hash; asked_vectors: query_id,
+    vector.  Returns (query_id, node_id, mechanism, relevance) of both arms, not yet merged,
+    and (query_id, truncated, degraded) of every request.
 
     A request without any word asks neither arm.  Vectors have no history, so the vector arm
     is left out of a historical request, which is degraded, as is one that has no vector of
@@ -93,7 +94,7 @@ def hybrid_search(subjects: DataFrame, asks: DataFrame, vectors: DataFrame, aske
     worded = asks.filter(terms > 0)
     lexical = lexical_search_blocks(subjects, worded.select("query_id", "query"), "node_id", "text", k)
     able = worded.filter("configured AND NOT historical").join(asked_vectors, "query_id").select("query_id", "vector")
-    near = nearest_blocks(vectors, able, "node_id", "vector", "query_id", k + 1, floor)
+    near = nearest_blocks(vectors, able, "node_id", "vector", "query_id", k + 1, floor, texts)
     cut = near.groupBy("query_id").agg((F.max("place") > k).alias("_near_cut"))
     near = near.filter(F.col("place") <= k)
     found = lexical.select("query_id", "node_id", F.lit("lexical").alias("mechanism"), "relevance").unionByName(

@@ -42,8 +42,8 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     embed = lambda text: retrieval.hashed_vector(text, SIZE)
     texts = subjects.select("text").unionByName(asks.filter("query_id % 450 <> 0").select(F.col("query").alias("text")))
     made = table.add(texts, embed)
-    of = lambda df, text, key: df.select(key, F.sha2(text, 256).alias("text_hash")).join(made, "text_hash").drop("text_hash")
-    return retrieval.hybrid_search(subjects, asks, of(subjects, "text", "node_id"), of(asks, "query", "query_id"), K, FLOOR)
+    of = lambda df, text, key: df.select(key, F.sha2(text, 256).alias("text_hash"))
+    return retrieval.hybrid_search(subjects, asks, made, of(asks, "query", "query_id").join(made, "text_hash").drop("text_hash"), K, FLOOR, of(subjects, "text", "node_id"))
 
 
 def hybrid_candidates(spark, sf_dir):
