@@ -100,3 +100,21 @@ def test_vectors_of_texts_meet_classes_of_rows(spark):
     classes = search._united(search._classes(texts, "id", "text_hash", 31).join(made, "text_hash").drop("text_hash"), "vector", 31)
     assert sorted((r._n, r._ids[:2]) for r in classes.collect()) == [(20, [1, 6]), (20, [2, 7]), (40, [0, 3])]
     assert joined_rows(classes) <= 5
+
+
+def test_rows_that_no_question_names_are_not_counted_by_handle(spark, monkeypatch):
+    from tidemark.operators import census, locators
+
+    met = {}
+    monkeypatch.setattr(census, "stored", lambda df, name: met.setdefault(name, []).append(df) or df)
+    rows = spark.createDataFrame([("ci_run", "o", f"o:r:{i}", str(i), "repository", "r", None) for i in range(50)], "kind string, org_id string, identity string, handle string, anchor_kind string, anchor string, at timestamp_ntz")
+    one = [{"kind": "ci_run", "value": "7"}]
+    asks = spark.createDataFrame([(1, "o", one, None, None, [], True, True), (2, "o", one, "repository", "r", [], True, True), (3, "o", [], "repository", "r", ["ci_run"], True, True)], "question long, org_id string, handles array<struct<kind:string,value:string>>, anchor_kind string, anchor string, pooled array<string>, current boolean, unscoped boolean")
+    kinds = census.attested(asks, rows, rows)
+    assert {r.question: (r.satisfiers, r.only, len(r.satisfier_set or [])) for r in kinds.collect()} == {1: (1, "o:r:7", 0), 2: (1, "o:r:7", 0), 3: (50, None, 50)}
+    assert [df.count() for df in met["near"]] == [1, 1]
+    assert all("min(" not in plan_of(df) for df in met["counts"])  # a least text is found by sorting
+    placed = spark.createDataFrame([(1, "b", "ci_run", "o:r:7"), (1, "a", "ci_run", "x"), (9, "c", "ci_run", "y")], "question long, place string, kind string, node_id string")
+    out = locators.survivors_first(placed.repartition("question"), kinds)
+    assert sorted((r.question, r.rank, r.node_id, r.ruled_out) for r in out.collect()) == [(1, 1, "o:r:7", False), (1, 2, "x", True), (9, 1, "y", False)]
+    assert "hashpartitioning(question#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", kind#" not in "".join(x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])
