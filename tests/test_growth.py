@@ -118,3 +118,16 @@ def test_rows_that_no_question_names_are_not_counted_by_handle(spark, monkeypatc
     out = locators.survivors_first(placed.repartition("question"), kinds)
     assert sorted((r.question, r.rank, r.node_id, r.ruled_out) for r in out.collect()) == [(1, 1, "o:r:7", False), (1, 2, "x", True), (9, 1, "y", False)]
     assert "hashpartitioning(question#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", kind#" not in "".join(x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])
+
+
+def test_times_meet_the_windows_that_ask_for_them_and_rows_are_not_stored(spark, sf_dir, monkeypatch):
+    from tidemark.plans import rounds
+
+    def never(df, name):
+        raise AssertionError(name)
+
+    monkeypatch.setattr(rounds, "stored", never)
+    out = rounds.census_windows(spark, sf_dir)
+    (met,) = [line for line in plan_of(out).splitlines() if "Join" in line and "_low" in line]
+    assert "Join Inner" in met  # a left join cannot send the few windows to the rows, of which a kind and organization then are one task's
+    assert out.count() == 160
