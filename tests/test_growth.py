@@ -131,3 +131,17 @@ def test_times_meet_the_windows_that_ask_for_them_and_rows_are_not_stored(spark,
     (met,) = [line for line in plan_of(out).splitlines() if "Join" in line and "_low" in line]
     assert "Join Inner" in met  # a left join cannot send the few windows to the rows, of which a kind and organization then are one task's
     assert out.count() == 160
+
+
+def test_a_plan_counts_without_sets_and_sorts_no_requirements(spark, sf_dir):
+    from tidemark.operators import fact_plan
+    from tidemark.plans import fact_rounds
+
+    got = fact_rounds._Inputs(spark, sf_dir)
+    assert all(x not in plan_of(got.planned) for x in ("collect_set", "Window", "min(l_returnflag"))
+    by_set = fact_plan.plan(got.requirements, got.subjects, got.capable, got.gaps)
+    key = lambda r: (r.investigation, r.fact_kind)
+    assert sorted(got.planned.collect(), key=key) == sorted(by_set.collect(), key=key)
+    wide = [spark.createDataFrame(rows, "investigation long, fact_kind string, nth int") for rows in ([(1, "a", 5), (1, "b", -2), (1, "b", -3)], [(1, "a", 0), (1, "c", 2**31 - 1), (2, "a", 1)])]
+    merged = fact_plan.merged_requirements(*wide)
+    assert "Window" not in plan_of(merged) and sorted(map(tuple, merged.collect())) == [(1, "a", 5), (1, "b", -3), (1, "c", 2**31 - 1), (2, "a", 1)]

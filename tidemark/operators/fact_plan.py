@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +35,18 @@ def capabilities(spark: SparkSession) -> DataFrame:
 
 
 def merged_requirements(*groups: DataFrame) -> DataFrame:
-    """One requirement per investigation and fact kind: the first of the first group that has it, in their order."""
+    """One requirement per investigation and fact kind: the first of the first group that has it, in their order.
+
+    Groups of nothing but the key and a whole number ``nth`` are merged by one number each, without a sort.
+    """
     keyed = [g.withColumn("_group", F.lit(i)) for i, g in enumerate(groups)]
     both = keyed[0]
     for g in keyed[1:]:
         both = both.unionByName(g, allowMissingColumns=True)
+    if set(both.columns) == {"investigation", "fact_kind", "nth", "_group"} and both.schema["nth"].dataType.simpleString() == "int":
+        least = both.groupBy("investigation", "fact_kind").agg(F.min((F.col("_group") * F.lit(1 << 32)) + F.col("nth")).alias("_least"))
+        group = F.shiftright(F.col("_least") + F.lit(1 << 31), 32)
+        return least.select("investigation", "fact_kind", (F.col("_least") - group * F.lit(1 << 32)).cast("int").alias("nth"))
     order = Window.partitionBy("investigation", "fact_kind").orderBy("_group", "nth")
     return both.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
 
@@ -71,18 +80,27 @@ def refusal() -> Column:
     return F.when(F.col("axis") == "observed", OBSERVED_REFUSED).when((F.col("axis") != "current") & F.col("fact_kind").isin(*NO_HISTORY), HISTORY_REFUSED)
 
 
-def plan(requirements: DataFrame, subjects: DataFrame, capable: DataFrame, gaps: DataFrame) -> DataFrame:
+def plan(requirements: DataFrame, subjects: DataFrame, capable: DataFrame, gaps: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """One row per requirement: read, narrowed, pruned, gap, no_subjects, refused or unconfigured, and why.
 
     A kind of facts that no subject can have is pruned, which proves that nothing is missing;
     where the scope is known to be incomplete (a gap: outcome, origin_kind, policy, basis,
     degrades) that is said instead.  An axis that the facts cannot answer is refused as a row.
-    Subjects are counted per requirement, so any number of them costs one row here.
+    Subjects are counted per requirement, so any number of them costs one row here.  Where all
+    kinds of subjects are known (``kinds``, 63 at most), those of a requirement are one number, not a set.
     """
     key = ["investigation", "fact_kind"]
-    capable = F.broadcast(capable)  # a row per kind of facts; joined by shuffle it would gather all subjects at a few kinds
+    capable = F.broadcast(capable.withColumn("_capable", _list("supported")))  # a row per kind of facts; joined by shuffle it would gather all subjects at a few kinds
     met = subjects.join(capable, "fact_kind", "left").withColumn("_fits", F.coalesce(F.array_contains("supported", F.col("subject_kind")), F.lit(False)))
-    sums = met.groupBy(*key).agg(F.count("*").alias("asked"), F.count_if("_fits").alias("readable"), F.array_sort(F.collect_set(F.when(~F.col("_fits"), F.col("subject_kind")))).alias("_skipped"))
+    if kinds is None:
+        skipped, unfit = _list("_skipped"), F.array_sort(F.collect_set(F.when(~F.col("_fits"), F.col("subject_kind"))))
+    else:
+        bits = {k: 1 << i for i, k in enumerate(sorted(kinds))}
+        named = F.concat_ws(",", *(F.when(F.col("_skipped").bitwiseAND(F.lit(b)) != 0, k) for k, b in bits.items()))
+        skipped = F.when(F.col("_skipped").isNotNull(), F.when(named == "", "none").otherwise(named))
+        bit = reduce(lambda c, k: c.when(F.col("subject_kind") == k, F.lit(bits[k])), list(bits)[1:], F.when(F.col("subject_kind") == next(iter(bits)), F.lit(bits[next(iter(bits))])))
+        unfit = F.coalesce(F.bit_or(F.when(~F.col("_fits"), bit.cast("long"))), F.lit(0).cast("long"))
+    sums = met.groupBy(*key).agg(F.count("*").alias("asked"), F.count_if("_fits").alias("readable"), unfit.alias("_skipped"))
     out = requirements.join(sums, key, "left").join(capable, "fact_kind", "left").join(gaps.withColumn("_gap", F.lit(True)), key, "left")
     asked, readable = F.coalesce("asked", F.lit(0)), F.coalesce("readable", F.lit(0))
     has_gap, degrades = F.coalesce("_gap", F.lit(False)), F.coalesce("degrades", F.lit(False))
@@ -91,17 +109,21 @@ def plan(requirements: DataFrame, subjects: DataFrame, capable: DataFrame, gaps:
         F.when(F.col("supported").isNull(), "unconfigured").when(asked == 0, "no_subjects").when((readable == 0) & has_gap, "gap").when(readable == 0, "pruned")
         .when(refused.isNotNull(), "refused").when(readable < asked, "narrowed").otherwise("read")
     )
-    supported = _list("supported")
-    pruned = F.concat(F.lit(f"{PRUNED}: no resolved subject has a kind this capability supports (resolved: "), _list("_skipped"), F.lit("; supported: "), supported, F.lit(")"))
-    narrowed = F.concat(F.lit(f"{NARROWED}: "), (asked - readable).cast("string"), F.lit(" subject(s) were not queried because this capability does not support their kind (skipped: "), _list("_skipped"), F.lit("; supported: "), supported, F.lit(")"))
+    # each used more than once, so each is a step of its own: all in one is too long a method to be compiled
+    out = out.withColumn("decision", decision).withColumn("_skipped", skipped)
+    decision, supported, skipped = F.col("decision"), F.col("_capable"), F.col("_skipped")
+    pruned = F.concat(F.lit(f"{PRUNED}: no resolved subject has a kind this capability supports (resolved: "), skipped, F.lit("; supported: "), supported, F.lit(")"))
+    narrowed = F.concat(F.lit(f"{NARROWED}: "), (asked - readable).cast("string"), F.lit(" subject(s) were not queried because this capability does not support their kind (skipped: "), skipped, F.lit("; supported: "), supported, F.lit(")"))
     gap = F.concat(
         F.lit(f"{UNEXPANDED}:"), F.col("outcome"), F.lit(": no resolved subject holds this capability's facts directly and scope expansion did not reach them (origin: "), F.col("origin_kind"),
         F.lit("; supported: "), supported, F.lit("; policy: "), F.col("policy"), F.lit("; basis: "), F.col("basis"), F.lit(")"),
     )
+    out = out.withColumn("_gap_note", F.when(has_gap, gap))
+    gap = F.col("_gap_note")
     note = F.concat_ws(" ", F.when(decision == "narrowed", narrowed), F.when(decision.isin("read", "narrowed") & has_gap & degrades, gap))
     reason = F.when(decision == "gap", gap).when(decision == "pruned", pruned).when(decision == "refused", refused).otherwise(F.nullif(note, F.lit("")))
     incomplete = decision.isin("read", "narrowed") & has_gap & degrades
-    return out.select(*key, "nth", decision.alias("decision"), asked.alias("asked"), F.when(decision.isin("read", "narrowed"), readable).otherwise(F.lit(0)).alias("readable"), reason.alias("note"), incomplete.alias("incomplete"), F.col("outcome").alias("gap_outcome"))
+    return out.select(*key, "nth", "decision", asked.alias("asked"), F.when(decision.isin("read", "narrowed"), readable).otherwise(F.lit(0)).alias("readable"), reason.alias("note"), incomplete.alias("incomplete"), F.col("outcome").alias("gap_outcome"))
 
 
 def planned_reads(planned: DataFrame, subjects: DataFrame, capable: DataFrame) -> DataFrame:

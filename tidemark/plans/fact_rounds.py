@@ -21,23 +21,27 @@ def _kind_at(n: Column) -> Column:
 class _Inputs:
     """Requirements, subjects, gaps and results that the orders and their lines stand for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, several: bool = False) -> None:
-        # several frames are asked for: what they share is made once, not once for each of them
-        once = stored if several else lambda df, name: df
+    def __init__(self, spark: SparkSession, sf_dir: str, several: bool = False, planned: bool = False) -> None:
+        # several frames are asked for: what they share is made once, not once for each of them; a plan reads two of them often
+        plain = lambda df, name: df
+        once, often = stored if several else plain, stored if several or planned else plain
         orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("investigation"))
         lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("investigation"), F.col("l_linenumber").cast("int").alias("place"), F.col("l_partkey").alias("part"), "l_returnflag")
-        lines = lines.groupBy("investigation", "place").agg(F.min("part").alias("part"), F.min("l_returnflag").alias("flag"))
+        # a flag counts only as R: before, at or after it is a number in the order of the flags, which is compared without a sort
+        flag = F.when(F.col("l_returnflag") < "R", 0).when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") > "R", 2)
+        lines = lines.withColumn("flag", flag).repartition("investigation").groupBy("investigation", "place").agg(F.min("part").alias("part"), F.min("flag").alias("flag"))
         axis = F.when(F.col("investigation") % 13 == 0, "observed").when(F.col("investigation") % 13 == 1, "valid").otherwise("current")
-        asked = orders.select("investigation", axis.alias("axis"), F.explode(F.array(*map(F.lit, range(4)))).alias("nth"))
+        asked = orders.select("investigation", F.explode(F.array(*map(F.lit, range(4)))).alias("nth"))
         groups = [asked.filter(f"nth {c} 2").withColumn("fact_kind", _kind_at(F.col("investigation") * 3 + F.col("nth") * step)) for c, step in (("<", 5), (">=", 10))]
-        self.requirements = once(fact_plan.merged_requirements(*groups).select("investigation", "fact_kind", "axis", "nth"), "requirements")
-        kind = F.element_at(F.array(*map(F.lit, SUBJECT_KINDS)), ((F.col("part") + F.col("place")) % len(SUBJECT_KINDS) + 1).cast("int"))
-        named = lines.withColumn("subject_kind", kind).withColumn("subject_id", F.concat_ws(":", "subject_kind", F.col("part").cast("string")))
-        named = once(named.groupBy("investigation", "subject_kind", "subject_id").agg(F.min("place").alias("place"), F.max("flag").alias("flag")), "named")
+        self.requirements = often(fact_plan.merged_requirements(*groups).select("investigation", "fact_kind", axis.alias("axis"), "nth"), "requirements")
+        at = ((F.col("part") + F.col("place")) % len(SUBJECT_KINDS) + 1).cast("int")
+        named = lines.groupBy("investigation", at.alias("_kind"), "part").agg(F.min("place").alias("place"), F.max("flag").alias("flag"))
+        named = named.withColumn("subject_kind", F.element_at(F.array(*map(F.lit, SUBJECT_KINDS)), F.col("_kind"))).withColumn("subject_id", F.concat_ws(":", "subject_kind", F.col("part").cast("string")))
+        named = often(named.select("investigation", "subject_kind", "subject_id", "place", "flag"), "named")
         self.scope = named.filter("place <= 4")
         own = named.filter("investigation % 11 = 0 AND place = 1")
         self.own = own.join(self.requirements.filter("nth = 0").select("investigation", "fact_kind"), "investigation")
-        self.derived = named.filter("place > 4 AND flag = 'R'").join(self.requirements.filter("nth = 1").select("investigation", "fact_kind"), "investigation")
+        self.derived = named.filter("place > 4 AND flag = 1").join(self.requirements.filter("nth = 1").select("investigation", "fact_kind"), "investigation")
         gap = self.requirements.filter("investigation % 4 = 0 AND nth <= 1")
         self.gaps = gap.select(
             "investigation", "fact_kind", F.when(F.col("investigation") % 8 == 0, "attempted_empty").otherwise("target_kind_mismatch").alias("outcome"), F.lit("project").alias("origin_kind"),
@@ -45,7 +49,7 @@ class _Inputs:
         )
         self.capable = fact_plan.capabilities(spark)
         self.subjects = once(fact_plan.read_subjects(self.requirements, self.own, self.scope, self.derived), "subjects")
-        self.planned = fact_plan.plan(self.requirements, self.subjects, self.capable, self.gaps)
+        self.planned = fact_plan.plan(self.requirements, self.subjects, self.capable, self.gaps, SUBJECT_KINDS)
         self.reads = fact_plan.planned_reads(self.planned, self.subjects, self.capable)
 
     def answers(self) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +67,7 @@ class _Inputs:
 
 
 def fact_plans(spark, sf_dir):
-    return _Inputs(spark, sf_dir).planned
+    return _Inputs(spark, sf_dir, planned=True).planned
 
 
 def fact_reads(spark, sf_dir):
