@@ -145,3 +145,37 @@ def test_a_plan_counts_without_sets_and_sorts_no_requirements(spark, sf_dir):
     wide = [spark.createDataFrame(rows, "investigation long, fact_kind string, nth int") for rows in ([(1, "a", 5), (1, "b", -2), (1, "b", -3)], [(1, "a", 0), (1, "c", 2**31 - 1), (2, "a", 1)])]
     merged = fact_plan.merged_requirements(*wide)
     assert "Window" not in plan_of(merged) and sorted(map(tuple, merged.collect())) == [(1, "a", 5), (1, "b", -3), (1, "c", 2**31 - 1), (2, "a", 1)]
+
+
+def test_rounds_of_a_batch_are_bounded_and_give_the_same_graph(spark, tmp_path, monkeypatch):
+    import random
+
+    from tidemark.streaming.projection import GraphStore
+
+    from .test_streaming import change, plain_graph
+
+    made, at, write = random.Random(4), {}, GraphStore._write
+    batches = []
+    for day in range(4):
+        rows = [change("node", made.choice(("work_item", "work_item_ref")), f"n{made.randrange(60)}", day=day + made.randrange(3)) for _ in range(30)]
+        for op, most in (("edge", 60), ("edge_tombstone", 25)):
+            rows += [change(op, "relationship", f"n{s}>n{t}", f"n{s}", f"n{t}", day + made.randrange(3)) for s, t in ((made.randrange(70), made.randrange(70)) for _ in range(most))]
+        if day == 3:
+            rows = rows[30:32] + rows[95:97]  # few buckets: most of the edges' other ends are in none of them
+        rows += [change(op, "work_item", f"n{made.randrange(60)}", day=day + made.randrange(3)) for op in ("node_tombstone", "orphan_tombstone") for _ in range(2 if day == 3 else 9)]
+        best = {}  # rows of one node at one time would tie
+        batches.append([best.setdefault((r[0], r[2], r[-1]), r) for r in rows if (r[0], r[2], r[-1]) not in best])
+    jobs = []
+    monkeypatch.setattr(GraphStore, "_write", lambda self, rounds, *a: write(self, (jobs.append(df) or df for df in rounds), *a))
+    for most in (10**9, 25):
+        store = GraphStore(spark, f"file://{tmp_path}/g{most}", 16, most)
+        for n, rows in enumerate(batches):
+            store.apply(spark.createDataFrame(rows, changes.CHANGE), n)
+            got = [sorted(r.node_id for r in store.read(table).collect()) for table in ("nodes", "edges")]
+            assert tuple(got) == plain_graph(batches[: n + 1])
+            ends = sorted((r.node_id, r.role) for r in store._read("edges", store.pointer()).collect())
+            assert ends == sorted((e, role) for e in got[1] for role in ("in", "out"))
+        at[most] = [sorted(map(str, store.read(table).collect())) for table in ("nodes", "edges")]
+        assert len(jobs) == 8 if most > 25 else len(jobs) > 20
+        jobs.clear()
+    assert at[25] == at[10**9] and store._rounds(set(range(16)), 100) == [{i, i + 4, i + 8, i + 12} for i in range(4)]

@@ -5,25 +5,32 @@ touches a node is in the node's own bucket.  A batch writes new folders for the
 touches and then one pointer that says which folder serves each bucket; all other buckets
 keep their files.  A reader sees one pointer or the next, a failed batch leaves unused
 folders under names that are never used again, and a repeated batch is skipped.
+
+A batch is applied in rounds, each over some of the buckets and with no more rows than a round
+may shuffle, so beside the old and the new state the disk holds the shuffle of one round.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import apply_tombstones, drop_orphans, upsert
-from ..operators.versions import first_per_key
 from ..sources.changes import CHANGE
-from .files import Folder, Pointers
+from .files import Folder, Pointers, cleaned, dense
 
 NODE = "kind string, node_id string, label string, valid_from timestamp_ntz, valid_to timestamp_ntz, observed_at timestamp_ntz"
 EDGE = "node_id string, source_id string, target_id string, relation string, valid_from timestamp_ntz, valid_to timestamp_ntz, observed_at timestamp_ntz"
 #: An edge as it is stored: at its source (out) and at its target (in).
 STORED = {"nodes": NODE, "edges": f"{EDGE}, role string"}
+NODE_OPS, EDGE_OPS = ("node", "node_tombstone", "orphan_tombstone"), ("edge", "edge_tombstone")
+#: Rows that a round of a batch shuffles at most, unless one bucket alone holds more.
+ROUND_ROWS = 32_000_000
 
 
 @dataclass
@@ -46,11 +53,12 @@ class GraphStore:
     """The graph of one organization under a folder that Spark can write.
 
     ``buckets`` is set when the store is made; a batch costs what its buckets hold, so more
-    buckets suit larger graphs and smaller batches.  An edge's id decides its ends.
+    buckets suit larger graphs and smaller batches.  An edge's id decides its ends, so what
+    removes an edge names its ends too.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, round_rows: int = ROUND_ROWS) -> None:
+        self.spark, self.root, self.buckets, self.round_rows = spark, root.rstrip("/"), buckets, round_rows
         self._points, self._folder = Pointers(spark, f"{self.root}/pointers"), Folder(spark, self.root)
 
     def pointer(self) -> Pointer:
@@ -88,73 +96,136 @@ class GraphStore:
             found |= {r[0] for r in df.select(self.bucket(F.col(df.columns[0])).alias("b")).distinct().collect()}
         return found
 
-    def _write(self, df: DataFrame, table: str, own: Column, touched: set[int], served: dict[str, str]) -> dict[str, str]:
-        """Store the touched buckets anew; a bucket without rows is no longer served."""
+    def _write(self, rounds: Iterable[DataFrame], table: str, touched: set[int], served: dict[str, str]) -> dict[str, str]:
+        """Store the touched buckets anew, round by round; a bucket without rows is no longer served."""
         fresh = Pointers.fresh()
-        df.withColumn("bucket", self.bucket(own)).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{table}/{fresh}")
+        for df in rounds:
+            df.write.mode("append").options(**dense("node_id", "source_id", "target_id")).partitionBy("bucket").parquet(f"{self.root}/{table}/{fresh}")
         written = {n.split("=")[1] for n in self._folder.names(f"{table}/{fresh}") if n.startswith("bucket=")}
         kept = {b: at for b, at in served.items() if int(b) not in touched}
         return kept | {b: fresh for b in written}
 
-    def _applied(self, changes: DataFrame, now: Pointer) -> Pointer:
+    def _rounds(self, touched: set[int], rows: int) -> list[set[int]]:
+        """The buckets in as many groups as the rows need."""
+        count = max(1, min(len(touched), -(-rows // self.round_rows)))
+        return [set(sorted(touched)[i::count]) for i in range(count)]
+
+    def _among(self, node: Column, buckets: set[int]) -> Column:
+        return F.lit(True) if len(buckets) == self.buckets else self.bucket(node).isin(sorted(buckets))
+
+    def _placed(self, changes: DataFrame) -> Counter:
+        """How many changes each op has, by the bucket of its node or source and that of its target: few rows."""
+        edge = F.col("op").isin(*EDGE_OPS)
+        first, second = self.bucket(F.when(edge, F.col("source_id")).otherwise(F.col("node_id"))), F.when(edge, self.bucket(F.col("target_id")))
+        rows = changes.filter(F.col("op").isin(*NODE_OPS, *EDGE_OPS) & F.col("node_id").isNotNull()).groupBy("op", first.alias("a"), second.alias("b")).count().collect()
+        return Counter({(r.op, r.a, r.b): r["count"] for r in rows})
+
+    @staticmethod
+    def _decided(state: DataFrame, batch: DataFrame, removed: DataFrame, tie: str) -> DataFrame:
+        """The row that counts of each id, the batch's last before the stored one, and whether a tombstone has removed it.
+
+        A row is removed unless it was observed after its tombstone took effect.  Ids meet in one
+        shuffle, and their rows are read in order, none held.
+        """
+        parts = [(removed.withColumnRenamed("observed_at", "_effective"), 0), (batch, 1), (state, 2)]
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("_rank", F.lit(rank)) for df, rank in parts])
+        by = Window.partitionBy("node_id").orderBy("_rank", F.desc_nulls_last("_effective"), F.desc_nulls_last("observed_at"), tie).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumns({"_nth": F.sum(F.least("_rank", F.lit(1))).over(by), "_effective": F.first("_effective").over(by)}).filter("_rank > 0 AND _nth = 1")
+        spared = F.col("_effective").isNull() | F.coalesce(F.col("observed_at") > F.col("_effective"), F.lit(False))
+        return rows.select(*state.columns, (~spared).alias("_dead"))
+
+    def _applied(self, changes: DataFrame, now: Pointer, settled: bool = False) -> Pointer:
         """The state after the changes, written but not served: edges first, then nodes, then tombstones."""
         work = f"{self.root}/work-{Pointers.fresh()}"
-        changes.select(*_columns(CHANGE)).write.parquet(work)  # one reading of a source that may not repeat itself
-        changes = self.spark.read.schema(CHANGE).parquet(work)
-        of = lambda *ops: changes.filter(F.col("op").isin(*ops) & F.col("node_id").isNotNull())
-        removed = lambda op: of(op).select("node_id", F.col("observed_at").alias("effective_at"))
-
-        touched = self._buckets_of(of("node", "node_tombstone", "orphan_tombstone").select("node_id"))
-        nodes = upsert(self._read("nodes", now, touched), of("node").select(*_columns(NODE)), ["node_id"], [F.desc_nulls_last("observed_at"), F.col("label")])
-        kept = apply_tombstones(nodes, removed("node_tombstone"), ["node_id"], "observed_at", "effective_at")
-        # what a tombstone names and did not survive it is gone, with its edges
-        gone = removed("node_tombstone").select("node_id").distinct().join(kept.select("node_id"), "node_id", "left_anti").join(nodes.select("node_id"), "node_id", "left_semi")
-        gone.write.parquet(f"{work}-gone")
-        gone = self.spark.read.schema("node_id string").parquet(f"{work}-gone")
-
-        moved = of("edge", "edge_tombstone")
-        near = self._buckets_of(moved.select("source_id"), moved.select("target_id"), gone)
-        falling = self._read("edges", now, self._buckets_of(gone))
-        far = [falling.join(gone.select(F.col("node_id").alias(a)), a, "left_semi").select(b) for a, b in (("source_id", "target_id"), ("target_id", "source_id"))]
-        near |= self._buckets_of(*far)
-        both = lambda df: df.withColumn("role", F.explode(F.array(F.lit("out"), F.lit("in"))))
-        state = self._read("edges", now, near)
-        # an edge's id decides its ends, so the newest of an edge is found before it is stored at both
-        newest = both(first_per_key(of("edge").select(*_columns(EDGE)), ["node_id"], [F.desc_nulls_last("observed_at"), F.col("target_id")]))
-        edges = state.join(newest.select("node_id", "role"), ["node_id", "role"], "left_anti").unionByName(newest.select(*state.columns))
-        edges = apply_tombstones(edges, removed("edge_tombstone"), ["node_id"], "observed_at", "effective_at")
-        for end in ("source_id", "target_id"):
-            edges = edges.join(gone.select(F.col("node_id").alias(end)), end, "left_anti")
-        own = F.when(F.col("role") == "out", F.col("source_id")).otherwise(F.col("target_id"))
-        # a copy whose bucket was not read belongs to an edge that did not change
-        edges = edges.select(*_columns(STORED["edges"]))
-        new_edges = self._write(edges, "edges", own, near, now.edges)
-
-        heal = of("orphan_tombstone").groupBy("node_id").agg(F.max("observed_at").alias("_effective"))
-        beside = self._read("edges", replace(now, edges=new_edges), self._buckets_of(heal.select("node_id")))
-        due = F.col("_effective").isNotNull() & (F.col("observed_at").isNull() | (F.col("observed_at") <= F.col("_effective")))
-        nodes = drop_orphans(kept.join(heal, "node_id", "left"), beside, F.coalesce(due, F.lit(False))).select(*_columns(NODE))
-        new_nodes = self._write(nodes, "nodes", F.col("node_id"), touched, now.nodes)
+        changes = changes.select(*_columns(CHANGE))
+        if not settled:  # one reading of a source that may not repeat itself
+            changes.write.parquet(work)
+            changes = self.spark.read.schema(CHANGE).parquet(work)
+        of = lambda op: changes.filter((F.col("op") == op) & F.col("node_id").isNotNull())
+        placed = self._placed(changes)
+        ops = {op for op, _, _ in placed}
+
+        touched = {a for op, a, _ in placed if op in NODE_OPS}
+        node_rows = of("node").select(*_columns(NODE))
+        dead_nodes = of("node_tombstone").select("node_id", "observed_at")
+        gone = self.spark.createDataFrame([], "node_id string")
+        if "node_tombstone" in ops:
+            # what a tombstone names and did not survive it is gone, with its edges; only what is named is looked at
+            named = [df.select("node_id", "observed_at").join(dead_nodes.select("node_id"), "node_id", "left_semi") for df in (self._read("nodes", now, touched), node_rows)]
+            self._decided(*named, dead_nodes, "node_id").filter("_dead").select("node_id").write.parquet(f"{work}-gone")
+            gone = self.spark.read.schema("node_id string").parquet(f"{work}-gone")
+
+        near = {b for op, *ends in placed if op in EDGE_OPS for b in ends} | self._buckets_of(gone)
+        if "node_tombstone" in ops and not near >= {int(b) for b in now.edges}:
+            falling = self._read("edges", now, self._buckets_of(gone))
+            far = [falling.join(gone.select(F.col("node_id").alias(a)), a, "left_semi").select(b) for a, b in (("source_id", "target_id"), ("target_id", "source_id"))]
+            near |= self._buckets_of(*far)
+        new_edges = self._write(self._edges(of, now, near, gone if "node_tombstone" in ops else None, placed), "edges", near, now.edges)
+        new_nodes = self._write(self._nodes(of, now, replace(now, edges=new_edges), touched, placed), "nodes", touched, now.nodes)
         for name in (work, f"{work}-gone"):
             self._folder.delete(name.removeprefix(f"{self.root}/"))
         return replace(now, nodes=new_nodes, edges=new_edges)
 
-    def apply(self, changes: DataFrame, batch: int) -> bool:
+    def _edges(self, of, now: Pointer, near: set[int], gone: DataFrame | None, placed: Counter) -> Iterable[DataFrame]:
+        """The edges of the near buckets, some sources' buckets a round: each is read and decided once, then put at both its ends."""
+        if not near:
+            return
+        count = sum(n for (op, *_), n in placed.items() if op in EDGE_OPS) + self._read("edges", now, near).count() // 2
+        named = _columns(EDGE)
+        for nth, here in enumerate(self._rounds(near, count)):
+            mine = self._among(F.col("source_id"), here)
+            state = self._read("edges", now, here).filter("role = 'out'").select(*named)
+            if not nth and len(near) < self.buckets:  # an edge whose source lies in no near bucket is read at its target
+                state = state.unionByName(self._read("edges", now, near).filter((F.col("role") == "in") & ~self._among(F.col("source_id"), near)).select(*named))
+            removed = of("edge_tombstone").filter(mine).select("node_id", "observed_at")
+            edges = self._decided(state, of("edge").filter(mine).select(*named), removed, "target_id").filter("NOT _dead").drop("_dead")
+            for end in ("source_id", "target_id") if gone is not None else ():
+                edges = edges.join(gone.select(F.col("node_id").alias(end)), end, "left_anti")
+            ends = F.explode(F.array(*[F.struct(F.lit(role).alias("role"), self.bucket(F.col(end)).alias("bucket")) for role, end in (("out", "source_id"), ("in", "target_id"))]))
+            edges = edges.select(*named, ends.alias("_e")).select(*named, "_e.*")
+            # a copy whose bucket is not near belongs to an edge that did not change
+            yield edges if len(near) == self.buckets else edges.filter(F.col("bucket").isin(sorted(near)))
+
+    def _nodes(self, of, now: Pointer, beside: Pointer, touched: set[int], placed: Counter) -> Iterable[DataFrame]:
+        """The nodes of the touched buckets; ``beside`` serves the new edges, which keep orphans alive."""
+        if not touched:
+            return
+        ops, named = {op for op, _, _ in placed}, _columns(NODE)
+        count = sum(n for (op, *_), n in placed.items() if op in NODE_OPS) + self._read("nodes", now, touched).count()
+        for here in self._rounds(touched, count):
+            mine = self._among(F.col("node_id"), here)
+            nodes = self._read("nodes", now, here)
+            if ops & {"node", "node_tombstone"}:
+                removed = of("node_tombstone").filter(mine).select("node_id", "observed_at")
+                nodes = self._decided(nodes, of("node").filter(mine).select(*named), removed, "label").filter("NOT _dead").drop("_dead")
+            if "orphan_tombstone" in ops:
+                heal = of("orphan_tombstone").filter(mine).groupBy("node_id").agg(F.max("observed_at").alias("_effective"))
+                own = F.when(F.col("role") == "out", F.col("source_id")).otherwise(F.col("target_id"))
+                held = self._read("edges", beside, here).select(own.alias("node_id")).distinct().withColumn("_held", F.lit(True))
+                due = F.col("_effective").isNotNull() & (F.col("observed_at").isNull() | (F.col("observed_at") <= F.col("_effective")))
+                nodes = nodes.join(heal, "node_id", "left").join(held, "node_id", "left").filter(~due | F.col("_held").isNotNull())
+            yield nodes.select(*named, self.bucket(F.col("node_id")).alias("bucket"))
+
+    def apply(self, changes: DataFrame, batch: int, settled: bool = False) -> bool:
         """Apply a batch; false if it was applied before.
 
         A removed node takes its edges with it.  A stub goes only if no edge touches it and it
-        was observed no later than its tombstone takes effect.
+        was observed no later than its tombstone takes effect.  ``settled`` changes give the same
+        rows whenever they are read, so they are not copied first.
         """
         now = self.pointer()
         if batch <= now.batch:
             return False
-        self._move(replace(self._applied(changes, now), batch=batch, previous=now.number), now)
+        with cleaned(self.spark):
+            made = self._applied(changes, now, settled)
+        self._move(replace(made, batch=batch, previous=now.number), now)
         return True
 
     def rebuild(self, changes: DataFrame) -> int:
         """A new epoch from a full set of changes, served only once it is complete."""
         now = self.pointer()
-        made = self._applied(changes, Pointer())
+        with cleaned(self.spark):
+            made = self._applied(changes, Pointer())
         self._move(replace(made, batch=now.batch, epoch=now.epoch + 1, previous=now.number), now)
         return now.epoch + 1
 
