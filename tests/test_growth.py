@@ -179,3 +179,21 @@ def test_rounds_of_a_batch_are_bounded_and_give_the_same_graph(spark, tmp_path,
         assert len(jobs) == 8 if most > 25 else len(jobs) > 20
         jobs.clear()
     assert at[25] == at[10**9] and store._rounds(set(range(16)), 100) == [{i, i + 4, i + 8, i + 12} for i in range(4)]
+
+
+def shuffle_files(spark) -> set[str]:
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_batches_of_the_graph_leave_no_shuffle_files_and_move_lines_once(spark, sf_dir, monkeypatch):
+    from tidemark.plans import rounds
+
+    plans = {}
+    kept = rounds.stored
+    monkeypatch.setattr(rounds, "stored", lambda df, name, **options: plans.update({name: plan_of(df)}) or kept(df, name, **options))
+    before = shuffle_files(spark)
+    store = rounds._graph(spark, sf_dir)
+    assert not shuffle_files(spark) - before
+    assert "o_orderkey" not in plans["deps"] and plans["deps"].count("Join") == 1 and "Aggregate" not in plans["deps"]
+    assert not [n for n in store._folder.names() if n.startswith("work-")]  # batches that are stored are not copied
