@@ -197,3 +197,30 @@ def test_batches_of_the_graph_leave_no_shuffle_files_and_move_lines_once(spark,
     assert not shuffle_files(spark) - before
     assert "o_orderkey" not in plans["deps"] and plans["deps"].count("Join") == 1 and "Aggregate" not in plans["deps"]
     assert not [n for n in store._folder.names() if n.startswith("work-")]  # batches that are stored are not copied
+
+
+def test_dependencies_move_once_to_each_end(spark):
+    at = [dt.datetime(2024, 1, d) for d in range(1, 9)]
+    items = [("a", at[0], None, None), ("a", at[1], at[5], at[2]), ("b", at[2], at[6], at[0]), ("b", at[1], None, at[3]), ("c", at[0], at[1], at[1])]
+    deps = [("a", "b", "blocks", at[0]), ("a", "b", "blocks", at[4]), ("a", "b", "Blocks", at[1]), ("a", "b", "other", at[2]), ("c", "b", "other", at[6]), ("b", "x", "other", None), ("b", "x", "other", at[3]), ("z", "a", "other", at[7]), ("c", "a", None, at[7]), ("c", None, "other", at[5])]
+    t = {
+        "work_items": spark.createDataFrame(items, "work_item_id string, created_at timestamp_ntz, completed_at timestamp_ntz, last_synced timestamp_ntz"),
+        "work_item_dependencies": spark.createDataFrame(deps, "source_work_item_id string, target_work_item_id string, relationship_type string, last_synced timestamp_ntz"),
+    }
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = changes.dependencies(t)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.op, r.relation or "", r.source_id or r.node_id or "", r.target_id or "", *((x.day if x else 0) for x in (r.valid_from, r.valid_to, r.observed_at))) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [plan.count(f"Exchange hashpartitioning({side}_work_item_id") for side in ("source", "target")] == [1, 1]
+    a, b, c, ref = "work_item.v2:a", "work_item.v2:b", "work_item.v2:c", "work_item_ref.v2:"
+    ab, cb = (2, 6), (2, 2)  # what both ends' newest times have in common
+    assert got == sorted([
+        ("edge", "BLOCKS", a, b, *ab, 5), ("edge", "BLOCKS", a, b, *ab, 2), ("edge", "DEPENDS_ON", a, b, *ab, 3), ("edge", "DEPENDS_ON", c, b, *cb, 7),
+        *[("edge_tombstone", k, s, f"{ref}b", 0, 0, d) for k, s, d in (("BLOCKS", a, 5), ("BLOCKS", a, 2), ("DEPENDS_ON", a, 3), ("DEPENDS_ON", c, 7))],
+        ("orphan_tombstone", "", f"{ref}b", "", 0, 0, 7),
+        ("node", "", f"{ref}x", "", 0, 0, 4), ("edge", "DEPENDS_ON", b, f"{ref}x", 0, 0, 4), ("node", "", "", "", 0, 0, 6), ("edge", "DEPENDS_ON", c, "", 0, 0, 6),
+    ])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import derive_id, derive_relationship
@@ -103,26 +103,32 @@ def incidents(t: Tables) -> DataFrame:
 
 
 def dependencies(t: Tables) -> DataFrame:
-    """A resolved edge and the tombstones that heal its stub, or a stub with an edge to it."""
-    items = latest_version(t["work_items"], ["work_item_id"], "last_synced")
-    d = latest_version(t["work_item_dependencies"], ["source_work_item_id", "target_work_item_id", "relationship_type"], "last_synced")
+    """A resolved edge and the tombstones that heal its stub, or a stub with an edge to it.
+
+    Rows move twice: to their source, where their versions are made one, and with the source's
+    times to their target, where the first row of each target also heals its stub.
+    """
+    # times have fixed width, so the newest of an item is found by hash; a null version counts least
+    version = F.coalesce("last_synced", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+    items = t["work_items"].groupBy("work_item_id").agg(*[F.max_by(c, version).alias(c) for c in ("created_at", "completed_at")])
+    keys = ["source_work_item_id", "target_work_item_id", "relationship_type"]
+    d = t["work_item_dependencies"].filter("relationship_type IS NOT NULL").select(*keys, "last_synced").repartition("source_work_item_id")
+    d = d.groupBy(*keys).agg(F.max("last_synced").alias("last_synced"))
     ends = lambda side: items.select(F.col("work_item_id").alias(f"{side}_work_item_id"), F.col("created_at").alias(f"{side}_from"), F.col("completed_at").alias(f"{side}_to"), F.lit(True).alias(f"{side}_there"))
-    df = d.filter("relationship_type IS NOT NULL").join(ends("source"), "source_work_item_id").join(ends("target"), "target_work_item_id", "left")
+    df = d.join(ends("source"), "source_work_item_id").select(*keys[:2], (F.lower("relationship_type") == "blocks").alias("_blocks"), "last_synced", "source_from", "source_to")
+    # many dependencies heal one stub: one tombstone is enough, that of the newest; the join finds its rows sorted
+    nth = F.row_number().over(Window.partitionBy("target_work_item_id").orderBy(F.desc_nulls_last("last_synced")))
+    df = df.withColumn("_nth", nth).join(ends("target"), "target_work_item_id", "left")
     # ids and relation are columns of the joined rows, so each is derived once and both relations come from one reading
     made = [derive_id(k, F.col(f"{c}_work_item_id")).alias(n) for n, k, c in (("_source", "work_item", "source"), ("_target", "work_item", "target"), ("_stub", "work_item_ref", "target"))]
-    df = df.select("*", *made, F.when(F.lower("relationship_type") == "blocks", "BLOCKS").otherwise("DEPENDS_ON").alias("_relation"))
+    df = df.select("*", *made, F.when(F.col("_blocks"), "BLOCKS").otherwise("DEPENDS_ON").alias("_relation"))
     source, target, stub, relation = map(F.col, ("_source", "_target", "_stub", "_relation"))
     start, end = intersect_validity((F.col("source_from"), F.col("source_to")), (F.col("target_from"), F.col("target_to")))
     at, there = F.col("last_synced"), F.col("target_there").isNotNull()
-    found = F.array(_edge(relation, source, target, at, start, end), _edge(relation, source, stub, at, op="edge_tombstone"))
+    found = [_edge(relation, source, target, at, start, end), _edge(relation, source, stub, at, op="edge_tombstone")]
+    healed = F.when(F.col("_nth") == 1, _node("work_item_ref", F.col("target_work_item_id"), nothing(), at, op="orphan_tombstone"))
     absent = F.array(_node("work_item_ref", F.col("target_work_item_id"), F.col("target_work_item_id"), at), _edge(relation, source, stub, at))
-    out = df.select(F.explode(F.when(there, found).otherwise(absent)).alias("_c")).select("_c.*")
-    # many dependencies heal one stub: one tombstone is enough, and its id is derived once
-    ids = t["work_items"].select("work_item_id")
-    healed = d.filter("relationship_type IS NOT NULL").join(ids.withColumnRenamed("work_item_id", "source_work_item_id"), "source_work_item_id", "left_semi")
-    healed = healed.groupBy("target_work_item_id").agg(F.max("last_synced").alias("last_synced")).join(ids.withColumnRenamed("work_item_id", "target_work_item_id"), "target_work_item_id", "left_semi")
-    stubs = _emit(healed, _node("work_item_ref", F.col("target_work_item_id"), nothing(), F.col("last_synced"), op="orphan_tombstone"))
-    return out.unionByName(stubs.groupBy("op", "kind", "node_id").agg(F.max("observed_at").alias("observed_at")), allowMissingColumns=True)
+    return df.select(F.explode(F.when(there, F.array(*found, healed)).otherwise(absent)).alias("_c")).filter("_c IS NOT NULL").select("_c.*")
 
 
 def hierarchy(t: Tables) -> DataFrame:
